@@ -60,32 +60,41 @@ def first_per_key(requests: DataFrame, key_cols: list, order_col: str = "request
 
 
 def assign_ids(df: DataFrame, order_cols: list[str], base: DataFrame | int, id_col: str = "id",
-               buckets: int | None = None) -> DataFrame:
-    """win_assign_ids: dense surrogate ids ``max+1 ..`` (AUTO_INCREMENT).
-
-    Rows are spread over hash buckets of the (unique) order columns. One
-    small aggregate counts rows per bucket; the current maximum id is added
-    as bucket -1, and a running sum over those few rows gives each bucket's
-    first id. That frame has ``buckets + 1`` rows (a fixed size), so it is
-    broadcast. Inside a bucket a row_number over the order columns gives the
-    offset. No single-partition window over the data is needed; ids are dense
-    and deterministic given the input.
+               slices: int | None = None) -> DataFrame:
+    """win_assign_ids: dense surrogate ids ``max+1 ..`` in order of ``order_cols``
+    (AUTO_INCREMENT for a whole batch); equals
+    ``max + row_number() OVER (ORDER BY order_cols)``.
+
+    The first order column must be numeric and non-NULL and the order
+    columns unique. Rows go to equal-width slices of the first column
+    between its exact min and max (scalar subqueries, evaluated once), so a
+    row's slice is a pure function of its key and stays the same when a
+    lost task is recomputed. One small aggregate counts rows per slice; the
+    current maximum id enters as slice -1, and a running sum over those
+    ``slices + 1`` rows (a fixed size, broadcast) gives each slice its first
+    id. Inside a slice a row_number over the order columns gives the
+    offset. No single-partition window over the data is needed.
     """
     from pyspark.sql import Window
-    if buckets is None:
-        buckets = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    x = df.withColumn("_bucket", F.pmod(F.xxhash64(*order_cols), F.lit(buckets)))
-    counts = x.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    if slices is None:
+        slices = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    first = order_cols[0]
+    lo = df.agg(F.min(F.col(first).cast("double"))).scalar()
+    hi = df.agg(F.max(F.col(first).cast("double"))).scalar()
+    width = (hi - lo + F.lit(1.0)) / F.lit(float(slices))
+    sl = F.least(F.floor((F.col(first).cast("double") - lo) / width), F.lit(slices - 1)).cast("int")
+    x = df.withColumn("_slice", sl)
+    counts = x.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     if isinstance(base, DataFrame):
         start_row = base.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long").alias("_n"))
     else:
         start_row = df.sparkSession.range(1).select(F.lit(int(base)).cast("long").alias("_n"))
-    start_row = start_row.select(F.lit(-1).cast("long").alias("_bucket"), "_n")
-    # At most buckets + 1 rows: a single-partition running sum here is cheap.
-    w = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    start_row = start_row.select(F.lit(-1).alias("_slice"), "_n")
+    # At most slices + 1 rows: a single-partition running sum here is cheap.
+    w = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (counts.unionByName(start_row)
                .withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-               .filter(F.col("_bucket") >= 0).drop("_n"))
-    rn = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order_cols))
-    return (x.join(F.broadcast(offsets), "_bucket").withColumn(id_col, (F.col("_off") + rn).cast("long"))
-            .drop("_bucket", "_off"))
+               .filter(F.col("_slice") >= 0).drop("_n"))
+    rn = F.row_number().over(Window.partitionBy("_slice").orderBy(*order_cols))
+    return (x.join(F.broadcast(offsets), "_slice").withColumn(id_col, (F.col("_off") + rn).cast("long"))
+            .drop("_slice", "_off"))

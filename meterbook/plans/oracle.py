@@ -144,6 +144,73 @@ FROM users"""
 VIEWS["approve_requests"] = """SELECT id*10 AS request_id, CASE WHEN id%40=0 THEN -id-1 ELSE id END AS customer_id
 FROM customers WHERE id%4=0"""
 
+VIEWS["billing_requests"] = """SELECT id*10+4 AS request_id, CASE WHEN id%50=0 THEN -id-1 ELSE id END AS customer_id
+FROM customers WHERE id%2=0"""
+
+VIEWS["settle_requests"] = """SELECT id*10+3 AS request_id, CASE WHEN id%55=0 THEN -id-1 ELSE id END AS bill_id
+FROM bills WHERE id%11=0"""
+
+VIEWS["reject_requests"] = """SELECT id*10+1 AS request_id, CASE WHEN id%30=0 THEN -id-1 ELSE id END AS customer_id
+FROM customers WHERE id%6=0"""
+
+VIEWS["delete_requests"] = """SELECT id*10+2 AS request_id, CASE WHEN id%70=0 THEN -id-1 ELSE id END AS customer_id
+FROM customers WHERE id%7=0"""
+
+VIEWS["plan_requests"] = """SELECT p_partkey AS request_id,
+ CASE WHEN p_partkey%100=0 THEN CAST(p_partkey%7+1 AS INTEGER) END AS id,
+ CASE WHEN p_partkey%450=0 THEN ' ' ELSE ' '||p_brand||' ' END AS name,
+ CAST(p_size AS STRING)||' Mbps' AS speed,
+ CASE p_partkey%9 WHEN 0 THEN 'abc' WHEN 1 THEN '-5' WHEN 2 THEN 'NaN'
+      ELSE CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS STRING) END AS price,
+ CASE WHEN p_partkey%8=0 THEN '0' ELSE '30' END AS validity
+FROM part WHERE p_partkey%50=0"""
+
+VIEWS["plan_delete_requests"] = """SELECT p_partkey AS request_id, CAST(p_partkey%7+1 AS INTEGER) AS plan_id
+FROM part WHERE p_partkey%100=3"""
+
+VIEWS["staff_requests"] = """SELECT s_suppkey AS request_id,
+ CASE WHEN s_suppkey%9=0 THEN '' ELSE ' '||s_name||' ' END AS name,
+ CASE WHEN s_suppkey%5=0 THEN upper(lower(replace(s_name,'#','.'))||'@example.com')
+      WHEN s_suppkey%5=1 THEN 'team'||CAST(s_suppkey%10 AS STRING)||'@example.com'
+      ELSE 'new.staff'||CAST(s_suppkey AS STRING)||'@example.com' END AS email,
+ CASE WHEN s_suppkey%13=0 THEN 0 WHEN s_suppkey%11=0 THEN 4 ELSE 10 END AS password_length
+FROM supplier"""
+
+VIEWS["staff_delete_requests"] = """SELECT id AS request_id, id AS user_id FROM users WHERE id%3=0"""
+
+VIEWS["ticket_requests"] = """SELECT e.event_id AS request_id, 1000000+e.user_id AS principal_id, c.name, c.email,
+ CASE WHEN e.event_id%10=0 THEN '  ' ELSE ' '||e.props||' ' END AS issue, e.ts AS requested_at
+FROM events e LEFT JOIN customers c ON c.id=e.user_id WHERE e.event_type='signup'"""
+
+VIEWS["ticket_moves"] = """SELECT id*10 AS request_id, CASE WHEN id%40=0 THEN -id-1 ELSE id END AS ticket_id,
+ CASE id%5 WHEN 0 THEN 'closed' WHEN 1 THEN 'open' WHEN 2 THEN 'in-progress' ELSE 'resolved' END AS status
+FROM support_tickets WHERE id%4=0"""
+
+VIEWS["usage_reports"] = """SELECT event_id AS report_id, user_id AS customer_id, CAST(ts AS DATE) AS usage_date,
+ CAST(value AS DECIMAL(10,2)) AS used_gb,
+ CAST(CASE WHEN event_id%2=0 THEN 500 ELSE 1000 END AS DECIMAL(10,2)) AS total_gb, ts AS reported_at
+FROM events WHERE event_type IN ('purchase','error')"""
+
+VIEWS["profile_patches"] = """SELECT id*10+5 AS request_id,
+ CASE WHEN id%39=0 THEN 'nobody'||CAST(id AS STRING)||'@example.com' WHEN id%2=0 THEN upper(email) ELSE email END AS email,
+ CASE WHEN id%3=0 THEN '' ELSE name||' X' END AS name,
+ CASE id%4 WHEN 0 THEN '98765 43210' WHEN 1 THEN '123' WHEN 2 THEN '' END AS phone,
+ CASE WHEN id%5=0 THEN ' new addr ' END AS address
+FROM customers WHERE id%13=0"""
+
+VIEWS["customer_requests"] = """SELECT id*10+6 AS request_id, ' '||name||' ' AS name,
+ CASE WHEN id%10=0 THEN email ELSE 'new.'||email END AS email,
+ CASE WHEN id%4=0 THEN '98765'||lpad(CAST(id%100000 AS STRING),5,'0') WHEN id%4=1 THEN '555'
+      ELSE '+91 98765 '||lpad(CAST(id%100000 AS STRING),5,'0') END AS phone,
+ 'addr '||CAST(id AS STRING) AS address,
+ CASE WHEN id%15=0 THEN 42 ELSE plan_id END AS plan_id,
+ CASE WHEN id%2=0 THEN 8 WHEN id%3=0 THEN 3 ELSE 0 END AS password_length
+FROM customers WHERE id%5=0"""
+
+VIEWS["notify_requests"] = """SELECT id AS request_id, CASE WHEN id%85=0 THEN -id-1 ELSE id END AS bill_id,
+ CASE id%5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'due' WHEN 3 THEN 'PAID' ELSE 'bogus' END AS notification_type
+FROM bills WHERE id%17=0"""
+
 RAW_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
               "pages benchmark labels conversations").split()
 

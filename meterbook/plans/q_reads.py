@@ -493,7 +493,8 @@ def q_win_dedup_requests(spark, d):
             .unionByName(rej.select("request_id", "email_key", F.lit(False).alias("accepted"), "reason")))
 
 
-@query("q_win_assign_ids")
+@query("q_win_assign_ids", "SELECT request_id, email, (SELECT max(id) FROM customers) + row_number() OVER "
+                           "(ORDER BY request_id) AS id FROM registrations")
 def q_win_assign_ids(spark, d):
     """Dense new customer ids above the current maximum for the registrations."""
     b = Book(spark, d)

@@ -312,6 +312,127 @@ class Book:
             F.when(k % 40 == 0, -k - 1).otherwise(k).alias("customer_id"))
 
 
+    # ---- request batches for the bulk table changes -----------------------------
+    def _keyed(self, frame: DataFrame, mult: int, add: int, unknown_mod: int, out: str) -> DataFrame:
+        k = F.col("id")
+        return frame.select((k * mult + add).alias("request_id"),
+                            F.when(k % unknown_mod == 0, -k - 1).otherwise(k).alias(out))
+
+    @property
+    def billing_requests(self) -> DataFrame:
+        return self._keyed(self.customers.filter(F.col("id") % 2 == 0), 10, 4, 50, "customer_id")
+
+    @property
+    def settle_requests(self) -> DataFrame:
+        return self._keyed(self.bills.filter(F.col("id") % 11 == 0), 10, 3, 55, "bill_id")
+
+    @property
+    def reject_requests(self) -> DataFrame:
+        return self._keyed(self.customers.filter(F.col("id") % 6 == 0), 10, 1, 30, "customer_id")
+
+    @property
+    def delete_requests(self) -> DataFrame:
+        return self._keyed(self.customers.filter(F.col("id") % 7 == 0), 10, 2, 70, "customer_id")
+
+    @property
+    def plan_requests(self) -> DataFrame:
+        p = self.raw("part").filter(F.col("p_partkey") % 50 == 0)
+        k = F.col("p_partkey")
+        return p.select(
+            k.alias("request_id"),
+            F.when(k % 100 == 0, (k % 7 + 1).cast("int")).alias("id"),
+            F.when(k % 450 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), F.col("p_brand"), F.lit(" "))).alias("name"),
+            F.concat(_s(F.col("p_size")), F.lit(" Mbps")).alias("speed"),
+            _case(k % 9, {0: F.lit("abc"), 1: F.lit("-5"), 2: F.lit("NaN")},
+                  _s(F.col("p_retailprice").cast("decimal(10,2)"))).alias("price"),
+            F.when(k % 8 == 0, F.lit("0")).otherwise(F.lit("30")).alias("validity"))
+
+    @property
+    def plan_delete_requests(self) -> DataFrame:
+        k = F.col("p_partkey")
+        return self.raw("part").filter(k % 100 == 3).select(k.alias("request_id"),
+                                                            (k % 7 + 1).cast("int").alias("plan_id"))
+
+    @property
+    def staff_requests(self) -> DataFrame:
+        k = F.col("s_suppkey")
+        return self.raw("supplier").select(
+            k.alias("request_id"),
+            F.when(k % 9 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), F.col("s_name"), F.lit(" "))).alias("name"),
+            F.when(k % 5 == 0, F.upper(_email_of(F.col("s_name"))))
+            .when(k % 5 == 1, F.concat(F.lit("team"), _s(k % 10), F.lit("@example.com")))
+            .otherwise(F.concat(F.lit("new.staff"), _s(k), F.lit("@example.com"))).alias("email"),
+            F.when(k % 13 == 0, F.lit(0)).when(k % 11 == 0, F.lit(4)).otherwise(F.lit(10)).alias("password_length"))
+
+    @property
+    def staff_delete_requests(self) -> DataFrame:
+        return self.users.filter(F.col("id") % 3 == 0).select(F.col("id").alias("request_id"),
+                                                               F.col("id").alias("user_id"))
+
+    @property
+    def ticket_requests(self) -> DataFrame:
+        e = self.raw("events").filter(F.col("event_type") == "signup")
+        c = self.customers.select(F.col("id").alias("_cid"), "name", "email")
+        j = e.join(c, e.user_id == c._cid, "left")
+        return j.select(
+            F.col("event_id").alias("request_id"), (F.col("user_id") + 1000000).alias("principal_id"), "name", "email",
+            F.when(F.col("event_id") % 10 == 0, F.lit("  "))
+            .otherwise(F.concat(F.lit(" "), F.col("props"), F.lit(" "))).alias("issue"),
+            F.col("ts").alias("requested_at"))
+
+    @property
+    def ticket_moves(self) -> DataFrame:
+        t = self.support_tickets.filter(F.col("id") % 4 == 0)
+        k = F.col("id")
+        return t.select((k * 10).alias("request_id"), F.when(k % 40 == 0, -k - 1).otherwise(k).alias("ticket_id"),
+                        _case(k % 5, {0: F.lit("closed"), 1: F.lit("open"), 2: F.lit("in-progress")},
+                              F.lit("resolved")).alias("status"))
+
+    @property
+    def usage_reports(self) -> DataFrame:
+        e = self.raw("events").filter(F.col("event_type").isin("purchase", "error"))
+        return e.select(
+            F.col("event_id").alias("report_id"), F.col("user_id").alias("customer_id"),
+            F.col("ts").cast("date").alias("usage_date"), F.col("value").cast("decimal(10,2)").alias("used_gb"),
+            F.when(F.col("event_id") % 2 == 0, F.lit(500)).otherwise(F.lit(1000)).cast("decimal(10,2)")
+            .alias("total_gb"), F.col("ts").alias("reported_at"))
+
+    @property
+    def profile_patches(self) -> DataFrame:
+        c = self.customers.filter(F.col("id") % 13 == 0)
+        k = F.col("id")
+        return c.select(
+            (k * 10 + 5).alias("request_id"),
+            F.when(k % 39 == 0, F.concat(F.lit("nobody"), _s(k), F.lit("@example.com")))
+            .when(k % 2 == 0, F.upper(F.col("email"))).otherwise(F.col("email")).alias("email"),
+            F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.col("name"), F.lit(" X"))).alias("name"),
+            _case(k % 4, {0: F.lit("98765 43210"), 1: F.lit("123"), 2: F.lit("")}).alias("phone"),
+            F.when(k % 5 == 0, F.lit(" new addr ")).alias("address"))
+
+    @property
+    def customer_requests(self) -> DataFrame:
+        c = self.customers.filter(F.col("id") % 5 == 0)
+        k = F.col("id")
+        tail = F.lpad(_s(k % 100000), 5, "0")
+        return c.select(
+            (k * 10 + 6).alias("request_id"),
+            F.concat(F.lit(" "), F.col("name"), F.lit(" ")).alias("name"),
+            F.when(k % 10 == 0, F.col("email")).otherwise(F.concat(F.lit("new."), F.col("email"))).alias("email"),
+            F.when(k % 4 == 0, F.concat(F.lit("98765"), tail)).when(k % 4 == 1, F.lit("555"))
+            .otherwise(F.concat(F.lit("+91 98765 "), tail)).alias("phone"),
+            F.concat(F.lit("addr "), _s(k)).alias("address"),
+            F.when(k % 15 == 0, F.lit(42)).otherwise(F.col("plan_id")).alias("plan_id"),
+            F.when(k % 2 == 0, F.lit(8)).when(k % 3 == 0, F.lit(3)).otherwise(F.lit(0)).alias("password_length"))
+
+    @property
+    def notify_requests(self) -> DataFrame:
+        b = self.bills.filter(F.col("id") % 17 == 0)
+        k = F.col("id")
+        return b.select(k.alias("request_id"), F.when(k % 85 == 0, -k - 1).otherwise(k).alias("bill_id"),
+                        _case(k % 5, {1: F.lit(""), 2: F.lit("due"), 3: F.lit("PAID"), 4: F.lit("bogus")})
+                        .alias("notification_type"))
+
+
 def hmac_pads(secret: str) -> tuple[str, str]:
     """Inner and outer HMAC-SHA256 key pads as hex (key zero-padded to 64 bytes)."""
     key = secret.encode()
