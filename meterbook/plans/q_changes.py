@@ -230,7 +230,9 @@ def _digits(c):
     return f"regexp_replace(coalesce(CAST({c} AS STRING),''), '[^0-9]', '', 'g')"
 
 
-def _outbox_sql() -> str:
+def _outbox_events_sql(events_cte: str, event_cols: list[str]) -> str:
+    """Outbox SQL over an ``ev`` CTE carrying ``event_cols`` (bill_id, customer_id,
+    amount, due_date, notification_type, name, email, phone, ...)."""
     d = _digits("e.phone")
     intl = f"(CASE WHEN length({d})=10 THEN '91'||{d} ELSE {d} END)"
     e164 = f"(CASE WHEN {intl}='' THEN '' ELSE '+'||{intl} END)"
@@ -250,16 +252,21 @@ def _outbox_sql() -> str:
     dest = {"whatsapp": intl, "sms": e164, "email": "e.email"}
     parts = []
     for ch in ("whatsapp", "sms", "email"):
-        parts.append(f"SELECT e.request_id, e.bill_id, e.notification_type, e.customer_id, e.amount, e.due_date, e.name, "
-                     f"e.email, e.phone, e.event_key, '{ch}' AS channel, "
+        cols = ", ".join(f"e.{c}" for c in event_cols)
+        parts.append(f"SELECT {cols}, '{ch}' AS channel, "
                      f"CASE WHEN ({reason[ch]}) IS NULL THEN 'queued' ELSE 'skipped' END AS status, "
                      f"{reason[ch]} AS reason, {dest[ch]} AS destination, "
                      f"CASE WHEN e.notification_type='paid' THEN {paid[ch]} ELSE {due[ch]} END AS message FROM ev e")
+    return f"WITH {events_cte} " + " UNION ALL ".join(parts)
+
+
+def _outbox_sql() -> str:
     events = (f"ev AS (SELECT n.request_id, n.bill_id, n.notification_type, b.customer_id, b.amount, b.due_date, "
               f"c.name, c.email, c.phone, n.notification_type||':'||CAST(n.request_id AS STRING) AS event_key "
               f"FROM ({NOTIFY_SQL}) n JOIN bills b ON b.id = n.bill_id JOIN customers c ON c.id = b.customer_id "
               f"WHERE n.reason IS NULL)")
-    return f"WITH {events} " + " UNION ALL ".join(parts)
+    return _outbox_events_sql(events, ["request_id", "bill_id", "notification_type", "customer_id", "amount",
+                                       "due_date", "name", "email", "phone", "event_key"])
 
 
 OUTBOX_SQL = _outbox_sql()
@@ -632,3 +639,71 @@ def q_upsert_usage(spark, d):
     b = Book(spark, d)
     ch = C.upsert_usage(b.data_usage, b.usage_reports)
     return _cols(ch.changed, USAGE_COLS)
+
+
+# -------------------------------------------------------------------- sinks
+def _dir(spark, name):
+    from ..session import shared_dir
+    return shared_dir(spark, name)
+
+
+@query("q_sink_append", f"""SELECT id, bill_id, reminder_date, reminder_type FROM bill_reminders UNION ALL
+SELECT id, bill_id, reminder_date, reminder_type FROM ({REMINDERS_SQL}) x""")
+def q_sink_append(spark, d):
+    """Reminders of a run appended to the stored reminder table, read back."""
+    from ..sources import sinks as S
+    b = Book(spark, d)
+    path = _dir(spark, "sink-append") + "/bill_reminders"
+    S.write_snapshot(b.bill_reminders, path, ["reminder_date"])
+    stored = S.read_table(spark, path, "bill_reminders")
+    ch = C.run_reminders(b.bills, b.customers, stored, AS_OF)
+    S.append(ch.changed.select("id", "bill_id", "reminder_date", "reminder_type"), path, ["reminder_date"])
+    return S.read_table(spark, path, "bill_reminders")
+
+
+@query("q_sink_upsert", f"""SELECT u.* FROM data_usage u WHERE NOT EXISTS (SELECT 1 FROM {LATEST_REPORT_SQL} l
+WHERE l.customer_id = u.customer_id AND l.usage_date = u.usage_date) UNION ALL SELECT * FROM {LATEST_REPORT_SQL} l2""")
+def q_sink_upsert(spark, d):
+    """Usage reports merged into the usage table, written as a new snapshot and read back."""
+    from ..sources import sinks as S
+    b = Book(spark, d)
+    latest = C.upsert_usage(b.data_usage, b.usage_reports).changed.drop("table_name", "action")
+    path = _dir(spark, "sink-upsert") + "/data_usage"
+    S.write_snapshot(S.upsert(b.data_usage, latest, ["customer_id", "usage_date"]), path)
+    return S.read_table(spark, path, "data_usage")
+
+
+@query("q_sink_insert_absent", """SELECT id, bill_id, description, amount, item_type FROM bill_items UNION ALL
+SELECT (SELECT max(id) FROM bill_items) + row_number() OVER (ORDER BY b.id), b.id, 'Broadband subscription charges',
+ b.amount, 'subscription' FROM bills b WHERE NOT EXISTS (SELECT 1 FROM bill_items i WHERE i.bill_id = b.id
+ AND i.item_type = 'subscription')""")
+def q_sink_insert_absent(spark, d):
+    """A subscription line for every bill that has none (INSERT ... WHERE NOT EXISTS)."""
+    from ..functions.exprs import SUBSCRIPTION_LINE
+    from ..operators.windows import assign_ids
+    from ..sources import sinks as S
+    b = Book(spark, d)
+    path = _dir(spark, "sink-insert-absent") + "/bill_items"
+    S.write_snapshot(b.bill_items, path)
+    stored = S.read_table(spark, path)
+    subs = stored.filter(F.col("item_type") == "subscription")
+    cand = b.bills.select(F.col("id").alias("bill_id"), F.lit(SUBSCRIPTION_LINE).alias("description"), "amount",
+                          F.lit("subscription").alias("item_type"))
+    new = assign_ids(S.insert_absent(cand, subs, ["bill_id"]), ["bill_id"], stored)
+    S.append(new.select(*stored.columns), path)
+    return S.read_table(spark, path)
+
+
+@query("q_sink_invoice")
+def q_sink_invoice(spark, d):
+    """Invoice documents (header + ordered lines) of every paid bill, written as
+    JSON partitioned by bill month and read back."""
+    from ..operators import aggregates as A
+    from ..operators import joins as J
+    from ..sources import sinks as S
+    b = Book(spark, d)
+    h = J.invoice_headers(b.bills.filter(F.lower(F.col("status")) == "paid"), b.customers, b.plans, b.payments)
+    docs = A.invoice_lines(h, b.bill_items, nested=True)
+    path = _dir(spark, "sink-invoice") + "/invoices"
+    S.write_invoices(docs, path)
+    return spark.read.schema(docs.schema.add("bill_month", "string")).json(path)

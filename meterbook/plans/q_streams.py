@@ -1 +1,63 @@
-"""placeholder"""
+"""Streaming queries (§2.10). Each runs its stream to completion
+(availableNow) over the data directory and returns the sink's content."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources.fixtures import AS_OF, CALLBACK_SECRET, Book
+from ..streaming import streams as ST
+from .q_changes import LATEST_REPORT_SQL, REMINDERS_SQL, _CALLBACK_J, _outbox_events_sql
+from .registry import query
+
+
+def _rate_sql():
+    parts = []
+    for cls, (limit, length) in ST.RATE_LIMITS.items():
+        parts.append(f"SELECT route_class, client_key, time_bucket(INTERVAL '{length}', ts) AS window_start, "
+                     f"time_bucket(INTERVAL '{length}', ts) + INTERVAL '{length}' AS window_end, count(*) AS requests, "
+                     f"{limit} AS \"limit\", count(*) > {limit} AS over_limit FROM access_log "
+                     f"WHERE route_class = '{cls}' GROUP BY 1, 2, 3")
+    return " UNION ALL ".join(parts)
+
+
+@query("q_st_rate_windows", _rate_sql())
+def q_st_rate_windows(spark, d):
+    """Requests per client and window, flagged above the route-class limit (stream)."""
+    return ST.rate_windows(spark, d)
+
+
+@query("q_st_reminders", f"SELECT bill_id, reminder_date, reminder_type FROM ({REMINDERS_SQL}) x")
+def q_st_reminders(spark, d):
+    """Due reminders emitted as bills stream in; once per bill and day."""
+    b = Book(spark, d)
+    return ST.reminders(spark, d, b.customers, b.bill_reminders, AS_OF).select("bill_id", "reminder_date",
+                                                                               "reminder_type")
+
+
+@query("q_st_callbacks", f"""WITH {_CALLBACK_J}
+SELECT DISTINCT 'payment' AS kind, j.bill_id, j.cust AS customer_id, j.bamount AS amount, 'online' AS method,
+ 'razorpay' AS provider, j.order_id AS provider_order_id, j.payment_id AS provider_payment_id,
+ CAST(NULL AS STRING) AS reason FROM j JOIN customers c ON c.id = j.cust WHERE j.reason IS NULL
+UNION ALL
+SELECT DISTINCT 'reject', bill_id, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM j WHERE reason IS NOT NULL""")
+def q_st_callbacks(spark, d):
+    """Payment callbacks as a stream, repeats dropped within the watermark."""
+    b = Book(spark, d)
+    return ST.callbacks(spark, d, b.bills, b.customers, b.payments, CALLBACK_SECRET)
+
+
+@query("q_st_usage", f"""SELECT u.* FROM data_usage u WHERE NOT EXISTS (SELECT 1 FROM {LATEST_REPORT_SQL} l
+WHERE l.customer_id = u.customer_id AND l.usage_date = u.usage_date) UNION ALL SELECT * FROM {LATEST_REPORT_SQL} l2""")
+def q_st_usage(spark, d):
+    """Usage reports streamed into the daily usage table."""
+    return ST.usage(spark, d, Book(spark, d).data_usage)
+
+
+@query("q_st_outbox", _outbox_events_sql(
+    "ev AS (SELECT b.id AS bill_id, 'paid' AS notification_type, b.customer_id, b.amount, b.due_date, c.name, "
+    "c.email, c.phone FROM bills b JOIN customers c ON c.id = b.customer_id WHERE b.status = 'paid')",
+    ["bill_id", "customer_id", "amount", "due_date", "notification_type", "name", "email", "phone"]))
+def q_st_outbox(spark, d):
+    """'paid' notifications fanned out per channel as bills stream in."""
+    return ST.outbox(spark, d, Book(spark, d).customers)

@@ -98,16 +98,7 @@ class Book:
 
     @property
     def bills(self) -> DataFrame:
-        o = self.raw("orders")
-        d = F.col("o_orderdate").cast("date")
-        return o.select(
-            F.col("o_orderkey").alias("id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_totalprice").cast("decimal(10,2)").alias("amount"),
-            F.when(F.col("o_orderstatus") == "F", "paid").otherwise("unpaid").alias("status"),
-            d.alias("bill_date"),
-            F.date_add(d, 7).alias("due_date"),
-        )
+        return bills_from_orders(self.raw("orders"))
 
     @property
     def bill_items(self) -> DataFrame:
@@ -196,11 +187,7 @@ class Book:
     # ---- request tables ----------------------------------------------------------
     @property
     def access_log(self) -> DataFrame:
-        et = F.col("event_type")
-        return self.raw("events").select(
-            F.col("event_id").alias("request_id"), F.col("user_id").alias("client_key"), "ts",
-            F.when(et == "purchase", "payment").when(et == "signup", "login").otherwise("api")
-            .alias("route_class"))
+        return access_from_events(self.raw("events"))
 
     @property
     def charge_requests(self) -> DataFrame:
@@ -260,23 +247,7 @@ class Book:
 
     @property
     def payment_callbacks(self) -> DataFrame:
-        from ..functions.exprs import hmac_sha256_hex
-        b = self.bills.filter(F.col("id") % 3 == 0)
-        bid = _s(F.col("id"))
-        msg = F.concat(F.lit("order_"), bid, F.lit("|"), F.lit("pay_"), bid)
-
-        def shape(frame: DataFrame, k: int, hours: int) -> DataFrame:
-            return frame.select(
-                (F.col("id") * 2 + k).alias("callback_id"),
-                F.when(F.col("id") % 13 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("bill_id"),
-                F.concat(F.lit("order_"), bid).alias("order_id"),
-                F.concat(F.lit("pay_"), bid).alias("payment_id"),
-                F.when(F.col("id") % 11 == 0, F.lit("bad")).when(F.col("id") % 17 == 0, F.lit(None))
-                .otherwise(hmac_sha256_hex(msg, CALLBACK_SECRET)).alias("signature"),
-                (F.col("bill_date").cast("timestamp_ntz") + F.expr(f"INTERVAL {hours} HOURS")).alias("received_at"))
-
-        return shape(b, 0, 1).unionByName(shape(b.filter(F.col("id") % 4 == 0), 1, 2))
-
+        return callbacks_from_bills(self.bills)
 
     # ---- principals (logged-in users as rows) ------------------------------------
     @property
@@ -390,12 +361,7 @@ class Book:
 
     @property
     def usage_reports(self) -> DataFrame:
-        e = self.raw("events").filter(F.col("event_type").isin("purchase", "error"))
-        return e.select(
-            F.col("event_id").alias("report_id"), F.col("user_id").alias("customer_id"),
-            F.col("ts").cast("date").alias("usage_date"), F.col("value").cast("decimal(10,2)").alias("used_gb"),
-            F.when(F.col("event_id") % 2 == 0, F.lit(500)).otherwise(F.lit(1000)).cast("decimal(10,2)")
-            .alias("total_gb"), F.col("ts").alias("reported_at"))
+        return usage_reports_from_events(self.raw("events"))
 
     @property
     def profile_patches(self) -> DataFrame:
@@ -433,6 +399,55 @@ class Book:
                         .alias("notification_type"))
 
 
+# ---- derivations that also apply to streaming frames ------------------------------
+def bills_from_orders(o: DataFrame) -> DataFrame:
+    d = F.col("o_orderdate").cast("date")
+    return o.select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_custkey").alias("customer_id"),
+        F.col("o_totalprice").cast("decimal(10,2)").alias("amount"),
+        F.when(F.col("o_orderstatus") == "F", "paid").otherwise("unpaid").alias("status"),
+        d.alias("bill_date"),
+        F.date_add(d, 7).alias("due_date"),
+    )
+
+
+def callbacks_from_bills(bills: DataFrame) -> DataFrame:
+    """Provider callbacks for every third bill; every fourth of those is delivered twice."""
+    from ..functions.exprs import hmac_sha256_hex
+    b = bills.filter(F.col("id") % 3 == 0)
+    bid = _s(F.col("id"))
+    msg = F.concat(F.lit("order_"), bid, F.lit("|"), F.lit("pay_"), bid)
+
+    def shape(frame: DataFrame, k: int, hours: int) -> DataFrame:
+        return frame.select(
+            (F.col("id") * 2 + k).alias("callback_id"),
+            F.when(F.col("id") % 13 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("bill_id"),
+            F.concat(F.lit("order_"), bid).alias("order_id"),
+            F.concat(F.lit("pay_"), bid).alias("payment_id"),
+            F.when(F.col("id") % 11 == 0, F.lit("bad")).when(F.col("id") % 17 == 0, F.lit(None))
+            .otherwise(hmac_sha256_hex(msg, CALLBACK_SECRET)).alias("signature"),
+            (F.col("bill_date").cast("timestamp_ntz") + F.expr(f"INTERVAL {hours} HOURS")).alias("received_at"))
+
+    return shape(b, 0, 1).unionByName(shape(b.filter(F.col("id") % 4 == 0), 1, 2))
+
+
+def access_from_events(e: DataFrame) -> DataFrame:
+    et = F.col("event_type")
+    return e.select(
+        F.col("event_id").alias("request_id"), F.col("user_id").alias("client_key"), "ts",
+        F.when(et == "purchase", "payment").when(et == "signup", "login").otherwise("api").alias("route_class"))
+
+
+def usage_reports_from_events(e: DataFrame) -> DataFrame:
+    e = e.filter(F.col("event_type").isin("purchase", "error"))
+    return e.select(
+        F.col("event_id").alias("report_id"), F.col("user_id").alias("customer_id"),
+        F.col("ts").cast("date").alias("usage_date"), F.col("value").cast("decimal(10,2)").alias("used_gb"),
+        F.when(F.col("event_id") % 2 == 0, F.lit(500)).otherwise(F.lit(1000)).cast("decimal(10,2)")
+        .alias("total_gb"), F.col("ts").alias("reported_at"))
+
+
 def hmac_pads(secret: str) -> tuple[str, str]:
     """Inner and outer HMAC-SHA256 key pads as hex (key zero-padded to 64 bytes)."""
     key = secret.encode()
