@@ -25,6 +25,7 @@ from ..functions.exprs import (SUBSCRIPTION_LINE, blank, hmac_sha256_hex, norm_e
                                receipt_no)
 from ..sources.schema import CUSTOMER_STATUSES, TICKET_STATUSES
 from .filters import missing_fields, positive_number
+from .joins import fits_broadcast, restrict
 from .windows import assign_ids, latest_by
 
 # The reasons the reference answers with.
@@ -80,8 +81,30 @@ def _reason(*pairs) -> Column:
     return out
 
 
-def _split(df: DataFrame, reason: Column, key: str, table: str):
+def materialize(df: DataFrame) -> DataFrame:
+    """Checkpoint a validated request batch to the shared checkpoint folder.
+
+    The accepted rows feed the inserts, the updates and the new state, and
+    the rejects are reported too; reading one written copy keeps each branch
+    from re-deriving the batch, and a lost executor does not force the whole
+    lineage to be recomputed.
+    """
+    from ..session import shared_dir
+    shared_dir(df.sparkSession, "batches")
+    return df.checkpoint(eager=True)
+
+
+def batch_rows(df: DataFrame) -> int:
+    """Rows of a materialized batch (a scan of the written copy). Every key set
+    derived from the batch has at most this many rows, which is the bound
+    the broadcast size checks use."""
+    return df.count()
+
+
+def _split(df: DataFrame, reason: Column, key: str, table: str, keep: bool = True):
     tagged = df.withColumn("_reason", reason)
+    if keep:
+        tagged = materialize(tagged)
     ok = tagged.filter(F.col("_reason").isNull()).drop("_reason")
     rej = tagged.filter(F.col("_reason").isNotNull()).select(
         F.lit(table).alias("table_name"), key, F.col("_reason").alias("reason"))
@@ -114,6 +137,9 @@ def run_billing(customers: DataFrame, plans: DataFrame, bills: DataFrame, items:
     """Bill run: one bill per requested customer that has a plan; amount is the
     plan price, due in 7 days, plus one subscription line item."""
     from .joins import customers_with_plan
+    requests = materialize(requests)
+    n = batch_rows(requests)
+    customers = restrict(customers, requests.select("customer_id"), "id", n)
     cp = customers_with_plan(customers.select("id", "plan_id"), plans).select(
         F.col("id").alias("_cid"), F.col("price").alias("_price"))
     j = requests.join(cp, requests["customer_id"] == cp["_cid"], "left")
@@ -139,10 +165,13 @@ def apply_charges(bills: DataFrame, items: DataFrame, requests: DataFrame, run_t
     """Add charges to unpaid bills. An item-less bill first gets a subscription
     line for its old amount; the bill amount grows by the accepted charges."""
     it = F.trim(F.col("item_type"))
+    requests = materialize(requests)
+    n = batch_rows(requests)
+    bills_r = restrict(bills, requests.select("bill_id"), "id", n)
     r = requests.select(
         "request_id", "bill_id", F.trim(F.coalesce(F.col("description"), F.lit(""))).alias("description"),
         "amount", F.when(it.isNull() | (it == ""), F.lit("hardware")).otherwise(F.lower(it)).alias("item_type"))
-    b = bills.select(F.col("id").alias("_bid"), F.col("amount").alias("_old"), F.col("status").alias("_st"))
+    b = bills_r.select(F.col("id").alias("_bid"), F.col("amount").alias("_old"), F.col("status").alias("_st"))
     j = r.join(b, r["bill_id"] == b["_bid"], "left")
     ok, rej = _split(j, _reason((F.col("description") == "", R_DESC_REQUIRED),
                                 (~positive_number("amount"), R_AMOUNT_REQUIRED),
@@ -151,7 +180,9 @@ def apply_charges(bills: DataFrame, items: DataFrame, requests: DataFrame, run_t
                      "request_id", "charge_requests")
     per_bill = ok.groupBy("bill_id").agg(F.min("request_id").alias("_first"), F.first("_old").alias("_old"),
                                          F.sum("amount").alias("_add"))
-    itemless = per_bill.join(items.select("bill_id"), "bill_id", "left_anti")
+    per_bill = materialize(per_bill)
+    touched = restrict(items.select("bill_id"), per_bill.select("bill_id"), "bill_id", n)
+    itemless = per_bill.join(touched, "bill_id", "left_anti")
     backfill = itemless.select("bill_id", F.lit(SUBSCRIPTION_LINE).alias("description"),
                                F.col("_old").alias("amount"), F.lit("subscription").alias("item_type"),
                                F.lit(None).cast("long").alias("request_id"),
@@ -173,9 +204,9 @@ def apply_charges(bills: DataFrame, items: DataFrame, requests: DataFrame, run_t
 
 
 def _pay(acc: DataFrame, customers: DataFrame, payments: DataFrame, method: str, provider: str,
-         run_ms: Column, paid_at: Column, order_id=None, payment_id=None) -> DataFrame:
+         run_ms: Column, paid_at: Column, order_id=None, payment_id=None, bound: int | None = None) -> DataFrame:
     """Payment rows for accepted settlements (only bills whose customer exists)."""
-    c = customers.select(F.col("id").alias("_cid"))
+    c = restrict(customers, acc.select("_cust"), "id", bound).select(F.col("id").alias("_cid"))
     j = acc.join(c, acc["_cust"] == c["_cid"], "inner")
     rows = j.select(
         "request_id", "bill_id", F.col("_cust").alias("customer_id"), F.col("_amount").alias("amount"),
@@ -207,10 +238,13 @@ def settle_manual(bills: DataFrame, customers: DataFrame, payments: DataFrame, r
                   run_ms: int, run_ts: str) -> Change:
     """Mark bills paid and append a manual/staff payment of the bill amount.
     Marking an already-paid bill appends another payment (as the reference does)."""
-    b = bills.select(F.col("id").alias("_bid"), F.col("customer_id").alias("_cust"), F.col("amount").alias("_amount"))
+    requests = materialize(requests)
+    n = batch_rows(requests)
+    b = restrict(bills, requests.select("bill_id"), "id", n).select(
+        F.col("id").alias("_bid"), F.col("customer_id").alias("_cust"), F.col("amount").alias("_amount"))
     j = requests.join(b, requests["bill_id"] == b["_bid"], "left")
     acc, rej = _split(j, _reason((F.col("_bid").isNull(), R_BILL_NOT_FOUND)), "request_id", "settle_requests")
-    pay = _pay(acc, customers, payments, "manual", "staff", F.lit(run_ms), _ts(run_ts))
+    pay = _pay(acc, customers, payments, "manual", "staff", F.lit(run_ms), _ts(run_ts), bound=n)
     ch = _settle(bills, customers, payments, acc, pay, "settle_requests")
     ch.rejects = rej
     return ch
@@ -220,23 +254,27 @@ def verify_callbacks(callbacks: DataFrame, bills: DataFrame, secret: str):
     """Check provider callbacks: fields present, HMAC(order|payment) equal to the
     signature, bill known. Returns (accepted joined to bill, rejects)."""
     msg = F.concat(F.col("order_id"), F.lit("|"), F.col("payment_id"))
-    b = bills.select(F.col("id").alias("_bid"), F.col("customer_id").alias("_cust"), F.col("amount").alias("_amount"))
+    callbacks = materialize(callbacks)
+    n = batch_rows(callbacks)
+    b = restrict(bills, callbacks.select("bill_id"), "id", n).select(
+        F.col("id").alias("_bid"), F.col("customer_id").alias("_cust"), F.col("amount").alias("_amount"))
     j = callbacks.withColumnRenamed("callback_id", "request_id").join(b, F.col("bill_id") == b["_bid"], "left")
     missing = (blank("order_id") | blank("payment_id") | blank("signature") | F.col("bill_id").isNull()
                | (F.col("bill_id") == 0))
-    return _split(j, _reason((missing, R_PAYMENT_DETAILS),
-                             (hmac_sha256_hex(msg, secret) != F.col("signature"), R_BAD_SIGNATURE),
-                             (F.col("_bid").isNull(), R_BILL_NOT_FOUND)), "request_id", "payment_callbacks")
+    acc, rej = _split(j, _reason((missing, R_PAYMENT_DETAILS),
+                                 (hmac_sha256_hex(msg, secret) != F.col("signature"), R_BAD_SIGNATURE),
+                                 (F.col("_bid").isNull(), R_BILL_NOT_FOUND)), "request_id", "payment_callbacks")
+    return acc, rej, n
 
 
 def settle_callbacks(bills: DataFrame, customers: DataFrame, payments: DataFrame, callbacks: DataFrame,
                      secret: str) -> Change:
     """Provider callbacks: verified ones mark the bill paid and append an
     online/razorpay payment at the callback time."""
-    acc, rej = verify_callbacks(callbacks, bills, secret)
+    acc, rej, n = verify_callbacks(callbacks, bills, secret)
     ms = F.unix_millis(F.col("received_at").cast("timestamp"))
     pay = _pay(acc, customers, payments, "online", "razorpay", ms, F.col("received_at"),
-               F.col("order_id"), F.col("payment_id"))
+               F.col("order_id"), F.col("payment_id"), bound=n)
     ch = _settle(bills, customers, payments, acc, pay, "payment_callbacks")
     ch.rejects = rej
     return ch
@@ -246,16 +284,16 @@ def settle_idempotent(bills: DataFrame, customers: DataFrame, payments: DataFram
                       secret: str) -> Change:
     """One payment per provider payment id: repeats within the batch and ids
     already recorded are rejected as duplicates."""
-    acc, rej = verify_callbacks(callbacks, bills, secret)
+    acc, rej, n = verify_callbacks(callbacks, bills, secret)
     first, dup = _first_wins(acc, ["payment_id"], "request_id", R_DUPLICATE, "payment_callbacks")
-    known = payments.filter(F.col("provider_payment_id").isNotNull()).select(
+    known = restrict(payments, acc.select("payment_id"), "provider_payment_id", n).select(
         F.col("provider_payment_id").alias("payment_id")).distinct()
     fresh = first.join(known, "payment_id", "left_anti")
     seen = first.join(known, "payment_id", "left_semi").select(
         F.lit("payment_callbacks").alias("table_name"), "request_id", F.lit(R_DUPLICATE).alias("reason"))
     ms = F.unix_millis(F.col("received_at").cast("timestamp"))
     pay = _pay(fresh, customers, payments, "online", "razorpay", ms, F.col("received_at"),
-               F.col("order_id"), F.col("payment_id"))
+               F.col("order_id"), F.col("payment_id"), bound=n)
     ch = _settle(bills, customers, payments, fresh, pay, "payment_callbacks")
     ch.rejects = rej.unionByName(dup).unionByName(seen)
     return ch
@@ -291,7 +329,11 @@ def notify_type(bills: DataFrame, customers: DataFrame, requests: DataFrame) ->
     """notify_type_default: requested type (lower-cased), else 'paid' for a paid
     bill and 'due' otherwise; other values and unknown bills are rejected."""
     from .joins import bills_with_customer
-    bc = bills_with_customer(bills, customers).select(F.col("id").alias("_bid"), F.col("status").alias("_st"))
+    requests = materialize(requests)
+    n = batch_rows(requests)
+    b = restrict(bills, requests.select("bill_id"), "id", n)
+    c = restrict(customers, b.select("customer_id"), "id", n)
+    bc = bills_with_customer(b, c).select(F.col("id").alias("_bid"), F.col("status").alias("_st"))
     j = requests.join(bc, requests["bill_id"] == bc["_bid"], "left")
     req = F.lower(F.coalesce(F.col("notification_type"), F.lit("")))
     t = F.when(req != "", req).when(F.lower(F.col("_st")) == "paid", F.lit("paid")).otherwise(F.lit("due"))
@@ -308,8 +350,10 @@ def ingest_registrations(users: DataFrame, customers: DataFrame, plans: DataFram
     r = requests.select("request_id", F.trim("name").alias("name"), norm_email("email").alias("email"),
                         F.col("phone").alias("_raw_phone"), phone_in("phone").alias("phone"),
                         F.trim("address").alias("address"), F.col("plan_id").cast("long").alias("plan_id"))
-    ue = users.select(norm_email("email").alias("email"), F.lit(True).alias("_u")).dropDuplicates(["email"])
-    ce = customers.select(norm_email("email").alias("email"), F.lit(True).alias("_c")).dropDuplicates(["email"])
+    r = materialize(r)
+    n = batch_rows(r)
+    ue = _emails(users, r, "_u", n)
+    ce = _emails(customers, r, "_c", n)
     pl = plans.select(F.col("id").cast("long").alias("plan_id"), F.lit(True).alias("_p"))
     j = r.join(ue, "email", "left").join(ce, "email", "left").join(F.broadcast(pl), "plan_id", "left")
     miss = missing_fields(j, ["name", "email", "phone", "address", "plan_id"])
@@ -333,6 +377,13 @@ def ingest_registrations(users: DataFrame, customers: DataFrame, plans: DataFram
     return Change(changed, _missing_reason(rej, j).unionByName(dup), state)
 
 
+def _emails(table: DataFrame, requests: DataFrame, flag: str, bound: int | None = None) -> DataFrame:
+    """Normalised e-mails of ``table`` that occur among the requests' e-mails."""
+    e = table.select(norm_email("email").alias("email"))
+    return restrict(e, requests.select("email"), "email", bound).withColumn(flag, F.lit(True)) \
+        .dropDuplicates(["email"])
+
+
 def _missing_reason(rej: DataFrame, j: DataFrame) -> DataFrame:
     """Spell out which fields are missing for the 'Missing required fields' rejects."""
     miss = j.select("request_id", missing_fields(j, ["name", "email", "phone", "address", "plan_id"]).alias("_m"))
@@ -349,7 +400,9 @@ def ingest_customers(users: DataFrame, customers: DataFrame, plans: DataFrame, r
                         norm_email(F.coalesce("email", F.lit(""))).alias("email"), phone_in("phone").alias("phone"),
                         F.trim(F.coalesce("address", F.lit(""))).alias("address"),
                         F.col("plan_id").cast("long").alias("plan_id"), "password_length")
-    ce = customers.select(norm_email("email").alias("email"), F.lit(True).alias("_c")).dropDuplicates(["email"])
+    r = materialize(r)
+    n = batch_rows(r)
+    ce = _emails(customers, r, "_c", n)
     pl = plans.select(F.col("id").cast("long").alias("plan_id"), F.lit(True).alias("_p"))
     j = r.join(ce, "email", "left").join(F.broadcast(pl), "plan_id", "left")
     pw = F.coalesce(F.col("password_length"), F.lit(0))
@@ -364,6 +417,7 @@ def ingest_customers(users: DataFrame, customers: DataFrame, plans: DataFrame, r
                                        F.lit("active").alias("status")), ["request_id"], customers)
     logins = first.filter(pw > 0).select("request_id", "name", "email")
     u = users.select(F.col("id").alias("_uid"), norm_email("email").alias("email"))
+    u = restrict(u, r.select("email"), "email", n)
     lj = logins.join(u, "email", "left")
     upd = lj.filter(F.col("_uid").isNotNull()).select("request_id", F.col("_uid").alias("id"), "name", "email",
                                                      F.lit("customer").alias("role"))
@@ -386,9 +440,10 @@ def patch_customers(customers: DataFrame, users: DataFrame, patches: DataFrame)
     """Partial update by id: NULL keeps a column, '' overwrites it; a non-blank
     phone must pass the phone rule and is stored as 10 digits. A changed
     name or e-mail is carried to the login found by the old e-mail."""
-    p = patches.select(*[F.col(c).alias("p_" + c) for c in patches.columns])
+    p = materialize(patches.select(*[F.col(c).alias("p_" + c) for c in patches.columns]))
+    n = batch_rows(p)
     phone_given = ~blank("p_phone")
-    cur = customers.select(*[F.col(c).alias("c_" + c) for c in customers.columns])
+    cur = restrict(customers, p.select("p_id"), "id", n).select(*[F.col(c).alias("c_" + c) for c in customers.columns])
     j = p.join(cur, p["p_id"] == cur["c_id"], "left")
     st = F.col("p_status")
     reason = _reason((phone_given & (phone_in("p_phone") == ""), R_PHONE),
@@ -406,18 +461,19 @@ def patch_customers(customers: DataFrame, users: DataFrame, patches: DataFrame)
         .alias("_identity"))
     changed = upd.select(F.lit("customers").alias("table_name"), F.lit("update").alias("action"), "id", "name",
                          "email", "phone", "address", "plan_id", "status")
-    ident = propagate_identity(users, upd)
+    ident = propagate_identity(users, upd, n)
     state = {"customers": _merge(customers, upd.drop("_old_email", "_identity"), "id"),
              "users": _merge(users, ident.drop("table_name", "action"), "id")}
     return Change(changed, rej, state, ident)
 
 
-def propagate_identity(users: DataFrame, upd: DataFrame) -> DataFrame:
+def propagate_identity(users: DataFrame, upd: DataFrame, bound: int | None = None) -> DataFrame:
     """Carry a customer's new name/e-mail to the customer login that had the
     old e-mail (only when the patch gave a name or e-mail)."""
     src = upd.filter(F.col("_identity")).select(norm_email("_old_email").alias("_e"), F.col("name").alias("_n"),
                                                 F.col("email").alias("_m"))
     u = users.filter(F.col("role") == "customer").withColumn("_e", norm_email("email"))
+    u = restrict(u, src.select("_e"), "_e", bound)
     j = u.join(src, "_e", "inner")
     return j.select(F.lit("users").alias("table_name"), F.lit("update").alias("action"), "id",
                     F.col("_n").alias("name"), F.col("_m").alias("email"), "role")
@@ -433,7 +489,9 @@ def patch_profile(customers: DataFrame, users: DataFrame, patches: DataFrame) ->
     phone_given = ~blank("_raw_phone")
     r = r.withColumn("p_phone", F.when(phone_given, phone_in("_raw_phone"))
                      .otherwise(given("_raw_phone")))
-    c = customers.withColumn("_e", norm_email("email"))
+    r = materialize(r)
+    n = batch_rows(r)
+    c = restrict(customers.withColumn("_e", norm_email("email")), r.select("_e"), "_e", n)
     j = r.join(c, "_e", "left")
     ok, rej = _split(j, _reason((phone_given & (F.col("p_phone") == ""), R_PHONE),
                                 (F.col("id").isNull(), R_PROFILE_NOT_FOUND)), "request_id", "profile_patches")
@@ -444,7 +502,7 @@ def patch_profile(customers: DataFrame, users: DataFrame, patches: DataFrame) ->
                          "email", "phone", "address", "plan_id", "status")
     names = upd.filter(F.col("p_name").isNotNull()).select("_e", F.col("p_name").alias("_n"))
     u = users.filter(F.col("role") == "customer").withColumn("_e", norm_email("email"))
-    uu = u.join(names, "_e").select(F.lit("users").alias("table_name"), F.lit("update").alias("action"), "id",
+    uu = restrict(u, names.select("_e"), "_e", n).join(names, "_e").select(F.lit("users").alias("table_name"), F.lit("update").alias("action"), "id",
                                     F.col("_n").alias("name"), "email", "role")
     state = {"customers": _merge(customers, upd.drop("p_name", "_e"), "id"),
              "users": _merge(users, uu.drop("table_name", "action"), "id")}
@@ -453,11 +511,15 @@ def patch_profile(customers: DataFrame, users: DataFrame, patches: DataFrame) ->
 
 def approve_pending(customers: DataFrame, requests: DataFrame) -> Change:
     """pending -> active; anything else (or a repeat) -> 'Pending customer not found'."""
-    pend = customers.filter(F.col("status") == "pending").select(F.col("id").alias("customer_id"), F.lit(True).alias("_p"))
+    requests = materialize(requests)
+    n = batch_rows(requests)
+    pend = restrict(customers.filter(F.col("status") == "pending"), requests.select("customer_id"), "id", n) \
+        .select(F.col("id").alias("customer_id"), F.lit(True).alias("_p"))
     j = requests.join(pend, "customer_id", "left")
     ok, rej = _split(j, _reason((F.col("_p").isNull(), R_PENDING_NOT_FOUND)), "request_id", "approve_requests")
     first, dup = _first_wins(ok, ["customer_id"], "request_id", R_PENDING_NOT_FOUND, "approve_requests")
-    upd = customers.join(first.select(F.col("customer_id").alias("id"), "request_id"), "id", "inner") \
+    upd = restrict(customers, first.select("customer_id"), "id", n) \
+        .join(first.select(F.col("customer_id").alias("id"), "request_id"), "id", "inner") \
         .withColumn("status", F.lit("active"))
     changed = upd.select(F.lit("customers").alias("table_name"), F.lit("update").alias("action"), "request_id",
                          "id", "status")
@@ -466,13 +528,16 @@ def approve_pending(customers: DataFrame, requests: DataFrame) -> Change:
 
 def reject_pending(customers: DataFrame, users: DataFrame, requests: DataFrame) -> Change:
     """Delete pending customers and their customer logins (by e-mail)."""
-    pend = customers.filter(F.col("status") == "pending").select(
+    requests = materialize(requests)
+    n = batch_rows(requests)
+    pend = restrict(customers.filter(F.col("status") == "pending"), requests.select("customer_id"), "id", n).select(
         F.col("id").alias("customer_id"), norm_email("email").alias("_e"))
     j = requests.join(pend, "customer_id", "left")
     ok, rej = _split(j, _reason((F.col("_e").isNull(), R_PENDING_NOT_FOUND)), "request_id", "reject_requests")
     first, dup = _first_wins(ok, ["customer_id"], "request_id", R_PENDING_NOT_FOUND, "reject_requests")
     gone_c = first.select(F.col("customer_id").alias("id"), "request_id")
     u = users.filter(F.col("role") == "customer").select("id", norm_email("email").alias("_e"))
+    u = restrict(u, first.select("_e"), "_e", n)
     gone_u = u.join(first.select("_e", "request_id"), "_e").select("id", "request_id")
     changed = (gone_c.select(F.lit("customers").alias("table_name"), F.lit("delete").alias("action"), "request_id", "id")
                .unionByName(gone_u.select(F.lit("users").alias("table_name"), F.lit("delete").alias("action"),
@@ -488,13 +553,25 @@ def delete_cascade(tables: dict[str, DataFrame], requests: DataFrame) -> Change:
     customer login. Tickets keep their rows with customer_id set to NULL;
     notification logs are untouched."""
     cust, users = tables["customers"], tables["users"]
-    known = cust.select(F.col("id").alias("customer_id"), norm_email("email").alias("_e"))
+    requests = materialize(requests)
+    n = batch_rows(requests)
+    known = restrict(cust, requests.select("customer_id"), "id", n).select(
+        F.col("id").alias("customer_id"), norm_email("email").alias("_e"))
     j = requests.join(known, "customer_id", "left")
     ok, rej = _split(j, _reason((F.col("_e").isNull(), R_CUSTOMER_NOT_FOUND)), "request_id", "delete_requests")
     d = ok.select("customer_id", "_e").dropDuplicates(["customer_id"])
     d_ids = d.select(F.col("customer_id").alias("cid"))
     bills = tables["bills"]
-    gone_bills = bills.join(d_ids, bills["customer_id"] == d_ids["cid"], "left_semi").select(F.col("id").alias("bid"))
+    # The bills of the deleted customers drive four further joins: write them
+    # once; a customer owning a large share of bills makes this set large,
+    # and then the joins below fall back to shuffles instead of broadcasts.
+    gone_bills = materialize(restrict(bills, d_ids, "customer_id", n).select(F.col("id").alias("bid")))
+    small_d = fits_broadcast(n)
+    small_b = fits_broadcast(gone_bills)
+    if small_d:
+        d_ids = F.broadcast(d_ids)
+    if small_b:
+        gone_bills = F.broadcast(gone_bills)
     new = {}
     new["customers"] = cust.join(d_ids, cust["id"] == d_ids["cid"], "left_anti")
     new["bills"] = bills.join(d_ids, bills["customer_id"] == d_ids["cid"], "left_anti")
@@ -516,12 +593,28 @@ def delete_cascade(tables: dict[str, DataFrame], requests: DataFrame) -> Change:
         "customer_id", F.when(F.col("_hit"), F.lit(None).cast("long")).otherwise(F.col("customer_id"))).drop("cid", "_hit")
     set_null = tk_j.filter(F.col("_hit")).agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("support_tickets").alias("table_name"), F.lit("set_null").alias("action"), "n")
+    # Rows removed per table, counted from the removed rows themselves (one
+    # semi join per table) rather than as before-minus-after (two scans).
+    gone = {
+        "customers": cust.join(d_ids, cust["id"] == d_ids["cid"], "left_semi"),
+        "bills": gone_bills,
+        "bill_items": tables["bill_items"].join(gone_bills, tables["bill_items"]["bill_id"] == gone_bills["bid"],
+                                                "left_semi"),
+        "bill_reminders": tables["bill_reminders"].join(
+            gone_bills, tables["bill_reminders"]["bill_id"] == gone_bills["bid"], "left_semi"),
+        "payments": pay.join(gone_bills.select(F.col("bid").alias("_gb"), F.lit(True).alias("_bh")),
+                             pay["bill_id"] == F.col("_gb"), "left")
+                       .join(d_ids.select(F.col("cid").alias("_gc"), F.lit(True).alias("_ch")),
+                             pay["customer_id"] == F.col("_gc"), "left")
+                       .filter(F.col("_bh").isNotNull() | F.col("_ch").isNotNull()),
+        "data_usage": use.join(d_ids, use["customer_id"] == d_ids["cid"], "left_semi"),
+        "users": ue.filter(gone_login).join(d.select("_e"), "_e", "left_semi"),
+        "support_tickets": tk.limit(0),
+    }
     counts = None
-    for t, df in new.items():
-        before = tables[t].agg(F.count(F.lit(1)).alias("_b"))
-        after = df.agg(F.count(F.lit(1)).alias("_a"))
-        row = before.unionByName(after.withColumnRenamed("_a", "_b").withColumn("_b", -F.col("_b"))) \
-            .agg(F.sum("_b").alias("n")).select(F.lit(t).alias("table_name"), F.lit("delete").alias("action"), "n")
+    for t, df in gone.items():
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"),
+                                                          F.lit("delete").alias("action"), "n")
         counts = row if counts is None else counts.unionByName(row)
     changed = counts.unionByName(set_null)
     return Change(changed, rej, new)
@@ -578,7 +671,8 @@ def upsert_staff(users: DataFrame, requests: DataFrame) -> Change:
     r = requests.select("request_id", F.trim(F.coalesce("name", F.lit(""))).alias("name"),
                         norm_email(F.coalesce("email", F.lit(""))).alias("email"),
                         F.coalesce("password_length", F.lit(0)).alias("_pw"))
-    ue = users.select(norm_email("email").alias("email"), F.lit(True).alias("_u")).dropDuplicates(["email"])
+    r = materialize(r)
+    ue = _emails(users, r, "_u", batch_rows(r))
     j = r.join(ue, "email", "left")
     ok, rej = _split(j, _reason(((F.col("name") == "") | (F.col("email") == "") | (F.col("_pw") == 0), R_STAFF_FIELDS),
                                 (F.col("_pw") < 6, R_PASSWORD_SHORT),
@@ -592,7 +686,10 @@ def upsert_staff(users: DataFrame, requests: DataFrame) -> Change:
 
 def delete_staff(users: DataFrame, requests: DataFrame) -> Change:
     """Delete users by id, only where role is 'staff'."""
-    staff = users.filter(F.col("role") == "staff").select(F.col("id").alias("user_id"), F.lit(True).alias("_s"))
+    requests = materialize(requests)
+    staff = restrict(users.filter(F.col("role") == "staff"), requests.select("user_id"), "id",
+                     batch_rows(requests)).select(
+        F.col("id").alias("user_id"), F.lit(True).alias("_s"))
     j = requests.join(staff, "user_id", "left")
     ok, rej = _split(j, _reason((F.col("_s").isNull(), R_STAFF_NOT_FOUND)), "request_id", "staff_delete_requests")
     first, dup = _first_wins(ok, ["user_id"], "request_id", R_STAFF_NOT_FOUND, "staff_delete_requests")
@@ -619,7 +716,8 @@ def open_tickets(tickets: DataFrame, requests: DataFrame) -> Change:
 
 def move_tickets(tickets: DataFrame, moves: DataFrame) -> Change:
     """Set ticket status (open / in-progress / resolved, any to any)."""
-    t = tickets.select(F.col("id").alias("ticket_id"), F.lit(True).alias("_t"))
+    moves = materialize(moves)
+    t = restrict(tickets, moves.select("ticket_id"), "id", batch_rows(moves)).select(F.col("id").alias("ticket_id"), F.lit(True).alias("_t"))
     j = moves.join(t, "ticket_id", "left")
     ok, rej = _split(j, _reason((~F.col("status").isin(*TICKET_STATUSES), R_TICKET_STATUS),
                                 (F.col("_t").isNull(), R_TICKET_NOT_FOUND)), "request_id", "ticket_moves")
@@ -637,7 +735,8 @@ def upsert_usage(usage: DataFrame, reports: DataFrame) -> Change:
     keys = ["customer_id", "usage_date"]
     last = latest_by(reports.select(*keys, "used_gb", "total_gb", "reported_at", "report_id"), keys,
                      ["reported_at", "report_id"]).select(*keys, "used_gb", "total_gb")
-    old = usage.select(*keys, F.lit(True).alias("_old"))
+    last = materialize(last)
+    old = restrict(usage.select(*keys), last.select(*keys), keys, batch_rows(last)).withColumn("_old", F.lit(True))
     tagged = last.join(old, keys, "left").withColumn(
         "action", F.when(F.col("_old").isNotNull(), F.lit("update")).otherwise(F.lit("insert"))).drop("_old")
     changed = tagged.select(F.lit("data_usage").alias("table_name"), "action", *keys, "used_gb", "total_gb")

@@ -142,3 +142,38 @@ def existence_checks(requests: DataFrame, plans: DataFrame, customers: DataFrame
     return (plan_ok.select("request_id", F.lit("plan_exists").alias("check_name"))
             .unionByName(cust.select("request_id", F.lit("customer_email_exists").alias("check_name")))
             .unionByName(user.select("request_id", F.lit("user_email_exists").alias("check_name"))))
+
+
+# Largest key set broadcast for a semi-join reduction (rows; ids are 8-16 bytes,
+# so this stays well under 64 MB per executor).
+BROADCAST_KEYS_MAX = 2_000_000
+
+
+def fits_broadcast(keys: DataFrame | int, max_rows: int = BROADCAST_KEYS_MAX) -> bool:
+    """Size check before broadcasting. ``keys`` is a known row count or a
+    frame read from a materialized (checkpointed) batch, so counting at most
+    ``max_rows + 1`` of its rows is a cheap scan, not a recomputation."""
+    if isinstance(keys, int):
+        return keys <= max_rows
+    return keys.limit(max_rows + 1).count() <= max_rows
+
+
+def restrict(table: DataFrame, keys: DataFrame, table_cols, bound: int | None = None,
+             max_rows: int = BROADCAST_KEYS_MAX) -> DataFrame:
+    """Rows of a (large) table whose key occurs among ``keys`` (semi-join reduction).
+
+    A request batch is usually tiny next to the table it touches. When the
+    key set passes the size check (``bound``: a known upper bound on its
+    rows, e.g. the batch size; else it is counted) it is broadcast and the
+    table is scanned once with no shuffle at all; a larger key set falls
+    back to a shuffled semi join. Either way the later joins with the batch
+    only see matching rows. A semi join needs no distinct keys, and NULL
+    keys never match.
+    """
+    tcols = [table_cols] if isinstance(table_cols, str) else list(table_cols)
+    names = [f"_rk{i}" for i in range(len(tcols))]
+    k = keys.toDF(*names)
+    cond = [table[t] == k[n] for t, n in zip(tcols, names)]
+    if fits_broadcast(bound if bound is not None else k, max_rows):
+        return table.join(F.broadcast(k), cond, "left_semi")
+    return table.join(k, cond, "left_semi")

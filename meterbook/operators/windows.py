@@ -60,7 +60,7 @@ def first_per_key(requests: DataFrame, key_cols: list, order_col: str = "request
 
 
 def assign_ids(df: DataFrame, order_cols: list[str], base: DataFrame | int, id_col: str = "id",
-               slices: int | None = None) -> DataFrame:
+               slices: int | None = None, materialize: bool = True) -> DataFrame:
     """win_assign_ids: dense surrogate ids ``max+1 ..`` in order of ``order_cols``
     (AUTO_INCREMENT for a whole batch); equals
     ``max + row_number() OVER (ORDER BY order_cols)``.
@@ -74,13 +74,23 @@ def assign_ids(df: DataFrame, order_cols: list[str], base: DataFrame | int, id_c
     ``slices + 1`` rows (a fixed size, broadcast) gives each slice its first
     id. Inside a slice a row_number over the order columns gives the
     offset. No single-partition window over the data is needed.
+
+    The batch is first checkpointed to the cluster's shared checkpoint folder
+    (``materialize``): the min/max, the per-slice counts and the numbering
+    then read that copy instead of recomputing the batch's lineage three
+    times, and the numbering survives the loss of an executor.
     """
     from pyspark.sql import Window
+    if materialize:
+        from ..session import shared_dir
+        shared_dir(df.sparkSession, "ids")  # makes sure a checkpoint folder is set
+        df = df.checkpoint(eager=True)
     if slices is None:
         slices = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     first = order_cols[0]
-    lo = df.agg(F.min(F.col(first).cast("double"))).scalar()
-    hi = df.agg(F.max(F.col(first).cast("double"))).scalar()
+    bounds = df.agg(F.min(F.col(first).cast("double")).alias("lo"), F.max(F.col(first).cast("double")).alias("hi"))
+    lo = bounds.select("lo").scalar()
+    hi = bounds.select("hi").scalar()
     width = (hi - lo + F.lit(1.0)) / F.lit(float(slices))
     sl = F.least(F.floor((F.col(first).cast("double") - lo) / width), F.lit(slices - 1)).cast("int")
     x = df.withColumn("_slice", sl)

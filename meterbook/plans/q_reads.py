@@ -202,11 +202,29 @@ def _missing_sql(fields):
     return f"concat_ws(', ', {parts})"
 
 
-@query("q_flt_required", f"SELECT request_id, 'Missing required fields: '||m AS reason FROM "
-                         f"(SELECT request_id, {_missing_sql(_REQ_FIELDS)} AS m FROM registrations) x WHERE m <> ''")
+_REQUIRED = {"registrations": ["name", "email", "phone", "address", "plan_id"],
+             "staff_requests": ["name", "email"],
+             "customer_requests": ["name", "email", "plan_id"]}
+
+
+def _required_sql():
+    parts = []
+    for t, fields in _REQUIRED.items():
+        parts.append(f"SELECT '{t}' AS source, request_id, 'Missing required fields: '||m AS reason FROM "
+                     f"(SELECT request_id, {_missing_sql(fields)} AS m FROM {t}) x WHERE m <> ''")
+    return " UNION ALL ".join(parts)
+
+
+@query("q_flt_required", _required_sql())
 def q_flt_required(spark, d):
-    _, rejects = FL.required(Book(spark, d).registrations, "request_id", _REQ_FIELDS)
-    return rejects
+    """Requests with blank required fields, per request batch, naming the fields."""
+    b = Book(spark, d)
+    out = None
+    for t, fields in _REQUIRED.items():
+        _, rej = FL.required(getattr(b, t), "request_id", fields)
+        rej = rej.select(F.lit(t).alias("source"), "request_id", "reason")
+        out = rej if out is None else out.unionByName(rej)
+    return out
 
 
 @query("q_flt_positive", "SELECT request_id, amount, coalesce(TRY_CAST(CAST(amount AS STRING) AS DOUBLE) > 0 "
