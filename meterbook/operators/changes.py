@@ -89,9 +89,8 @@ def materialize(df: DataFrame) -> DataFrame:
     from re-deriving the batch, and a lost executor does not force the whole
     lineage to be recomputed.
     """
-    from ..session import shared_dir
-    shared_dir(df.sparkSession, "batches")
-    return df.checkpoint(eager=True)
+    from ..session import write_through
+    return write_through(df, "batch")
 
 
 def batch_rows(df: DataFrame) -> int:

@@ -84,8 +84,10 @@ def login_gate(users: DataFrame, customers: DataFrame) -> DataFrame:
                .when(st == "pending", F.lit(LOGIN_PENDING))
                .when(st == "suspended", F.lit(LOGIN_SUSPENDED))
                .otherwise(F.lit("ok")))
-    c2 = customers.select(norm_email("email").alias("_e"), F.col("status").alias("_cs"),
-                          F.lit(True).alias("_cs_present"))
+    # LIMIT 1 per e-mail: one profile per normalised address (lowest id), so
+    # a repeated address can never multiply logins.
+    c2 = (customers.groupBy(norm_email("email").alias("_e"))
+          .agg(F.min_by("status", "id").alias("_cs"), F.lit(True).alias("_cs_present")))
     j = u.join(c2, "_e", "left")
     return j.select("id", "email", "role", outcome.alias("outcome"))
 

@@ -78,7 +78,8 @@ def usage_of_principals(principals: DataFrame, customers: DataFrame, usage: Data
     with no customer profile."""
     p = principals.filter(F.col("role") == "customer").select(
         F.col("id").alias("viewer_id"), norm_email("email").alias("_e"))
-    c = customers.select(F.col("id").alias("customer_id"), norm_email("email").alias("_e"))
+    # LIMIT 1 per e-mail: the lowest customer id owns the address.
+    c = customers.groupBy(norm_email("email").alias("_e")).agg(F.min("id").alias("customer_id"))
     owners = p.join(c, "_e", "inner")
     rows = owners.join(usage, "customer_id", "inner").select(
         "viewer_id", "customer_id", "usage_date", "used_gb", "total_gb")
@@ -124,9 +125,13 @@ def fk_orphans(frames: dict[str, DataFrame]) -> DataFrame:
     for child, col, parent, pcol, _ in FOREIGN_KEYS:
         if child not in frames or parent not in frames:
             continue
-        ch = frames[child].select(F.col(col).cast("long").alias("value")).filter(F.col("value").isNotNull())
+        # Count child rows per value first: the partial aggregate shrinks the
+        # shuffle to one row per value and task, and the anti join reuses the
+        # aggregate's partitioning on ``value``.
+        ch = (frames[child].select(F.col(col).cast("long").alias("value")).filter(F.col("value").isNotNull())
+              .groupBy("value").agg(F.count(F.lit(1)).alias("n")))
         pa = frames[parent].select(F.col(pcol).cast("long").alias("value"))
-        orphans = (ch.join(pa, "value", "left_anti").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+        orphans = (ch.join(pa, "value", "left_anti")
                    .select(F.lit(child).alias("table_name"), F.lit(col).alias("column_name"), "value", "n"))
         out = orphans if out is None else out.unionByName(orphans)
     return out

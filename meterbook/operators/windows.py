@@ -75,16 +75,15 @@ def assign_ids(df: DataFrame, order_cols: list[str], base: DataFrame | int, id_c
     id. Inside a slice a row_number over the order columns gives the
     offset. No single-partition window over the data is needed.
 
-    The batch is first checkpointed to the cluster's shared checkpoint folder
+    The batch is first written to the cluster's shared checkpoint folder
     (``materialize``): the min/max, the per-slice counts and the numbering
     then read that copy instead of recomputing the batch's lineage three
     times, and the numbering survives the loss of an executor.
     """
     from pyspark.sql import Window
     if materialize:
-        from ..session import shared_dir
-        shared_dir(df.sparkSession, "ids")  # makes sure a checkpoint folder is set
-        df = df.checkpoint(eager=True)
+        from ..session import write_through
+        df = write_through(df, "ids")
     if slices is None:
         slices = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     first = order_cols[0]

@@ -84,3 +84,18 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return path
+
+
+def write_through(df, purpose: str):
+    """Write ``df`` once as parquet under the shared checkpoint folder and return
+    a frame reading it back.
+
+    This cuts the lineage (a lost executor re-reads files instead of
+    recomputing upstream joins) and computes ``df`` exactly once, unlike an
+    eager reliable ``checkpoint()`` of an uncached frame, which computes it
+    for the count and again for the checkpoint write.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
