@@ -90,9 +90,17 @@ def ticket_load(tickets: DataFrame) -> DataFrame:
 
 
 def item_count_for(bill_ids: DataFrame, items: DataFrame) -> DataFrame:
-    """agg_item_count: item count of the given bills, 0 when none."""
-    counts = items.groupBy(F.col("bill_id").alias("_b")).agg(F.count(F.lit(1)).alias("item_count"))
-    ids = bill_ids.select("bill_id").distinct()
+    """agg_item_count: item count of the given bills, 0 when none.
+
+    The requested ids are written once; when their number passes the size
+    check they are broadcast and only those bills' items are read and
+    counted, instead of aggregating the whole item table.
+    """
+    from ..session import write_through
+    from .joins import restrict
+    ids = write_through(bill_ids.select("bill_id").distinct(), "keys")
+    rel = restrict(items.select("bill_id"), ids, "bill_id", ids.count())
+    counts = rel.groupBy(F.col("bill_id").alias("_b")).agg(F.count(F.lit(1)).alias("item_count"))
     return (ids.join(counts, ids["bill_id"] == counts["_b"], "left")
             .select("bill_id", F.coalesce("item_count", F.lit(0).cast("long")).alias("item_count")))
 

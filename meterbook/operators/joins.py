@@ -140,10 +140,16 @@ def fk_orphans(frames: dict[str, DataFrame]) -> DataFrame:
 def existence_checks(requests: DataFrame, plans: DataFrame, customers: DataFrame, users: DataFrame) -> DataFrame:
     """semi_exists: which requests hit an existing key (plan id, customer email,
     user email). Each check is a left-semi join; results are unioned."""
-    r = requests.select("request_id", "plan_id", norm_email("email").alias("_e"))
-    plan_ok = r.join(plans.select(F.col("id").cast("long").alias("plan_id")), "plan_id", "left_semi")
-    cust = r.join(customers.select(norm_email("email").alias("_e")), "_e", "left_semi")
-    user = r.join(users.select(norm_email("email").alias("_e")), "_e", "left_semi")
+    from ..session import write_through
+    r = write_through(requests.select("request_id", "plan_id", norm_email("email").alias("_e")), "batch")
+    n = r.count()
+    plan_ok = r.join(F.broadcast(plans.select(F.col("id").cast("long").alias("plan_id"))), "plan_id", "left_semi")
+    # Reduce each big table to the requested e-mails first (broadcast when the
+    # batch passes the size check), then semi-join the batch with that.
+    cust_e = restrict(customers.select(norm_email("email").alias("_e")), r.select("_e"), "_e", n)
+    user_e = restrict(users.select(norm_email("email").alias("_e")), r.select("_e"), "_e", n)
+    cust = r.join(cust_e, "_e", "left_semi")
+    user = r.join(user_e, "_e", "left_semi")
     return (plan_ok.select("request_id", F.lit("plan_exists").alias("check_name"))
             .unionByName(cust.select("request_id", F.lit("customer_email_exists").alias("check_name")))
             .unionByName(user.select("request_id", F.lit("user_email_exists").alias("check_name"))))

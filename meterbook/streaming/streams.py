@@ -97,9 +97,13 @@ def reminders(spark: SparkSession, sf_dir: str, customers: DataFrame, initial: D
     out = f"{root}/out"
 
     def batch(df: DataFrame, batch_id: int):
+        # Only earlier batches count as already reminded: a replay of this
+        # batch must not see its own partial output, or the overwrite below
+        # would lose reminders.
         prior = initial
         try:
-            prior = initial.unionByName(spark.read.parquet(out).drop("batch_id").select(*initial.columns))
+            earlier = spark.read.parquet(out).filter(F.col("batch_id") < batch_id)
+            prior = initial.unionByName(earlier.drop("batch_id").select(*initial.columns))
         except Exception:  # noqa: BLE001 - no earlier batch written yet
             pass
         ch = C.run_reminders(df, customers, prior, as_of)
