@@ -57,6 +57,9 @@ R_ISSUE_REQUIRED = "Issue is required"
 R_TICKET_STATUS = "Invalid ticket status"
 R_TICKET_NOT_FOUND = "Ticket not found"
 MISSING_FIELDS = "Missing required fields: "
+R_VALIDATION = "Validation failed"
+# Shape of an acceptable e-mail address in the sign-up validator.
+EMAIL_SHAPE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
 
 @dataclass
@@ -348,7 +351,8 @@ def ingest_registrations(users: DataFrame, customers: DataFrame, plans: DataFram
     become a users row (customer) and a pending customers row, both or neither."""
     r = requests.select("request_id", F.trim("name").alias("name"), norm_email("email").alias("email"),
                         F.col("phone").alias("_raw_phone"), phone_in("phone").alias("phone"),
-                        F.trim("address").alias("address"), F.col("plan_id").cast("long").alias("plan_id"))
+                        F.trim("address").alias("address"), F.col("plan_id").cast("long").alias("plan_id"),
+                        F.col("plan_id").cast("string").alias("_raw_plan"))
     r = materialize(r)
     n = batch_rows(r)
     ue = _emails(users, r, "_u", n)
@@ -356,7 +360,11 @@ def ingest_registrations(users: DataFrame, customers: DataFrame, plans: DataFram
     pl = plans.select(F.col("id").cast("long").alias("plan_id"), F.lit(True).alias("_p"))
     j = r.join(ue, "email", "left").join(ce, "email", "left").join(F.broadcast(pl), "plan_id", "left")
     miss = missing_fields(j, ["name", "email", "phone", "address", "plan_id"])
-    ok, rej = _split(j, _reason((F.col("phone") == "", R_PHONE),
+    plan_int = F.col("_raw_plan").rlike(r"^[0-9]+$") & (F.col("plan_id") >= 1)
+    invalid = (blank("name") | blank("_raw_phone") | blank("address")
+               | ~F.coalesce(F.col("email").rlike(EMAIL_SHAPE), F.lit(False)) | ~F.coalesce(plan_int, F.lit(False)))
+    ok, rej = _split(j, _reason((invalid, R_VALIDATION),
+                                (F.col("phone") == "", R_PHONE),
                                 (miss != "", "Missing required fields"),
                                 (F.col("_u").isNotNull(), R_EMAIL_EXISTS),
                                 (F.col("_c").isNotNull(), R_CUSTOMER_EMAIL_EXISTS),

@@ -323,13 +323,17 @@ def _phone_sql(c):
 
 @query("q_ingest_registrations", f"""
 WITH r AS (SELECT request_id, trim(name) AS name, lower(trim(email)) AS email, {_phone_sql('phone')} AS phone,
-             trim(address) AS address, CAST(plan_id AS BIGINT) AS plan_id FROM registrations),
+             trim(address) AS address, CAST(plan_id AS BIGINT) AS plan_id,
+             (name IS NULL OR trim(name) = '' OR phone IS NULL OR trim(phone) = '' OR address IS NULL
+              OR trim(address) = '' OR NOT coalesce(regexp_full_match(lower(trim(email)), '[^@\s]+@[^@\s]+\.[^@\s]+'), false)
+              OR NOT coalesce(regexp_full_match(CAST(plan_id AS STRING), '[0-9]+') AND plan_id >= 1, false)) AS invalid
+           FROM registrations),
 m AS (SELECT r.*, concat_ws(', ', CASE WHEN name IS NULL OR trim(name)='' THEN 'name' END,
         CASE WHEN email IS NULL OR trim(email)='' THEN 'email' END,
         CASE WHEN phone IS NULL OR trim(phone)='' THEN 'phone' END,
         CASE WHEN address IS NULL OR trim(address)='' THEN 'address' END,
         CASE WHEN plan_id IS NULL THEN 'plan_id' END) AS missing FROM r),
-t AS (SELECT m.*, CASE WHEN phone = '' THEN 'Enter a valid 10-digit Indian phone number'
+t AS (SELECT m.*, CASE WHEN invalid THEN 'Validation failed' WHEN phone = '' THEN 'Enter a valid 10-digit Indian phone number'
         WHEN missing <> '' THEN 'Missing required fields: '||missing
         WHEN EXISTS (SELECT 1 FROM users u WHERE lower(trim(u.email)) = m.email) THEN 'Email already exists'
         WHEN EXISTS (SELECT 1 FROM customers c WHERE lower(trim(c.email)) = m.email) THEN 'Customer email already exists'

@@ -124,3 +124,23 @@ def test_ticket_or_join_has_no_duplicates(spark):
     tickets = frame(spark, "support_tickets", [(1, 100, "Asha", "A@x.com", "slow", "open", None)])
     rows = J.tickets_of_principals(principals, tickets).collect()
     assert [(r.viewer_id, r.id) for r in rows] == [(100, 1)]
+
+
+def test_signup_validation_phone_and_duplicates(spark):
+    users = frame(spark, "users", [(100, "Asha", "a@x.com", "customer")])
+    plans = spark.createDataFrame([(1, "P", "30 Mbps", Decimal("399.00"), 30)], TABLES["plans"])
+    req = spark.createDataFrame(
+        [(1, "Ravi", "r@x.com", "98765 43210", " ", 1),        # blank address: validator
+         (2, "Ravi", "r@x.com", "12345", "street", 1),          # bad phone
+         (3, "Asha", " A@X.com", "9876543210", "street", 1),    # login exists
+         (4, "Mia", "m@x.com", "+91 98765 43210", "street", 7),  # unknown plan
+         (5, "Neo", "n@x.com", "9876543210", "street", 1),      # accepted
+         (6, "Neo2", "N@x.com ", "9876543211", "street", 1)],   # same e-mail later in the batch
+        "request_id long, name string, email string, phone string, address string, plan_id long")
+    ch = C.ingest_registrations(users, customers(spark), plans, req)
+    reasons = {r.request_id: r.reason for r in ch.rejects.collect()}
+    assert reasons == {1: "Validation failed", 2: "Enter a valid 10-digit Indian phone number",
+                       3: "Email already exists", 4: "Plan ID not found. Please choose an existing plan.",
+                       6: "Email already exists"}
+    new = ch.changed.filter("table_name = 'customers'").collect()
+    assert [(r.request_id, r.email, r.phone, r.status) for r in new] == [(5, "n@x.com", "9876543210", "pending")]
