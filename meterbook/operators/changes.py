@@ -69,7 +69,7 @@ class Change:
     state: dict[str, DataFrame] = field(default_factory=dict)
     events: DataFrame | None = None
 
-    def report(self, key: str = "request_id") -> DataFrame:
+    def report(self) -> DataFrame:
         """Changed rows and rejects in one frame (rejects: action 'reject')."""
         rej = self.rejects.withColumn("action", F.lit("reject"))
         return self.changed.unionByName(rej, allowMissingColumns=True)
@@ -639,8 +639,8 @@ def upsert_plans(plans: DataFrame, requests: DataFrame) -> Change:
                                 (F.col("id").isNotNull() & F.col("_pid").isNull(), R_PLAN_NOT_FOUND)),
                      "request_id", "plan_requests")
     clean = ok.select("request_id", "id", F.trim("name").alias("name"), F.trim("speed").alias("speed"),
-                      F.col("price").cast("string").cast("double").cast("decimal(10,2)").alias("price"),
-                      F.col("validity").cast("string").cast("double").cast("int").alias("validity"))
+                      F.col("price").cast("string").try_cast("double").try_cast("decimal(10,2)").alias("price"),
+                      F.col("validity").cast("string").try_cast("double").try_cast("int").alias("validity"))
     ins = assign_ids(clean.filter(F.col("id").isNull()).drop("id"), ["request_id"], plans)
     upd = clean.filter(F.col("id").isNotNull())
     changed = (ins.select(F.lit("plans").alias("table_name"), F.lit("insert").alias("action"), "request_id",

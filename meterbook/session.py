@@ -25,6 +25,11 @@ _DEFAULTS = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Input splits and post-shuffle partitions of ~256 MB keep the task count
+    # of a 100 TB scan in the hundreds of thousands, not millions.
+    "spark.sql.files.maxPartitionBytes": "256MB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512MB",
 }
 
 
