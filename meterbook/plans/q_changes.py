@@ -325,7 +325,7 @@ def _phone_sql(c):
 WITH r AS (SELECT request_id, trim(name) AS name, lower(trim(email)) AS email, {_phone_sql('phone')} AS phone,
              trim(address) AS address, CAST(plan_id AS BIGINT) AS plan_id,
              (name IS NULL OR trim(name) = '' OR phone IS NULL OR trim(phone) = '' OR address IS NULL
-              OR trim(address) = '' OR NOT coalesce(regexp_full_match(lower(trim(email)), '[^@\s]+@[^@\s]+\.[^@\s]+'), false)
+              OR trim(address) = '' OR NOT coalesce(regexp_full_match(lower(trim(email)), '[^@\\s]+@[^@\\s]+\\.[^@\\s]+'), false)
               OR NOT coalesce(regexp_full_match(CAST(plan_id AS STRING), '[0-9]+') AND plan_id >= 1, false)) AS invalid
            FROM registrations),
 m AS (SELECT r.*, concat_ws(', ', CASE WHEN name IS NULL OR trim(name)='' THEN 'name' END,
