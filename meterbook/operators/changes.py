@@ -182,7 +182,8 @@ def apply_charges(bills: DataFrame, items: DataFrame, requests: DataFrame, run_t
                      "request_id", "charge_requests")
     per_bill = ok.groupBy("bill_id").agg(F.min("request_id").alias("_first"), F.first("_old").alias("_old"),
                                          F.sum("amount").alias("_add"))
-    per_bill = materialize(per_bill)
+    # per_bill is a small aggregate over the written batch: recomputing it is
+    # cheaper than writing it again.
     touched = restrict(items.select("bill_id"), per_bill.select("bill_id"), "bill_id", n)
     itemless = per_bill.join(touched, "bill_id", "left_anti")
     backfill = itemless.select("bill_id", F.lit(SUBSCRIPTION_LINE).alias("description"),

@@ -55,9 +55,13 @@ class Book:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return read_raw(self.spark, self.dir, name)
+        """One relation per input table (file listing and footers read once)."""
+        if name not in self._raw:
+            self._raw[name] = read_raw(self.spark, self.dir, name)
+        return self._raw[name]
 
     # ---- the ten book tables -------------------------------------------------
     @property
