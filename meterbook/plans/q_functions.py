@@ -75,7 +75,14 @@ def q_fn_phone_e164(spark, d):
     return p.select("key", "phone", "e164", X.is_e164("e164").alias("e164_valid"))
 
 
-@query("q_fn_money_in")
+_MONEY_SQL = """WITH x AS (SELECT id, amount, CAST(CAST(coalesce(amount, 0) AS DECIMAL(20,2)) AS VARCHAR) AS s FROM bills),
+y AS (SELECT id, amount, s LIKE '-%' AS neg, split_part(ltrim(s, '-'), '.', 1) AS ip, split_part(s, '.', 2) AS fp FROM x)
+SELECT id, amount, 'Rs. ' || CASE WHEN neg THEN '-' ELSE '' END ||
+ CASE WHEN length(ip) > 3 THEN reverse(rtrim(regexp_replace(reverse(substr(ip, 1, length(ip) - 3)), '([0-9]{2})', '\\1,', 'g'), ','))
+      || ',' || substr(ip, length(ip) - 2, 3) ELSE ip END || '.' || fp AS amount_text FROM y"""
+
+
+@query("q_fn_money_in", _MONEY_SQL)
 def q_fn_money_in(spark, d):
     """Bill amounts as 'Rs. 1,23,45,678.90' (Indian grouping)."""
     return Book(spark, d).bills.select("id", "amount", X.money_in("amount").alias("amount_text"))
@@ -215,7 +222,12 @@ def q_fn_message_cut(spark, d):
                     F.length("email_text").alias("full_length"))
 
 
-@query("q_fn_sms_payload")
+@query("q_fn_sms_payload", "SELECT b.id AS bill_id, CAST(json_object('name', coalesce(nullif(c.name,''),'Customer'), "
+                           "'customer_name', coalesce(nullif(c.name,''),'Customer'), "
+                           "'amount', CAST(CAST(b.amount AS DECIMAL(10,2)) AS VARCHAR), "
+                           "'due_date', coalesce(strftime(b.due_date, '%d %b %Y'), '--'), "
+                           "'bill_id', coalesce(CAST(b.id AS VARCHAR), '')) AS VARCHAR) AS payload "
+                           "FROM bills b JOIN customers c ON b.customer_id = c.id WHERE b.status <> 'paid'")
 def q_fn_sms_payload(spark, d):
     """SMS template variables as JSON for every open bill."""
     from ..operators.joins import bills_with_customer
