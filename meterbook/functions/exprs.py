@@ -32,20 +32,31 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters a JavaScript trim() removes (white space, line
+# terminators, Unicode space separators and the byte-order mark).
+_JS_SPACE = r"[\s\p{Z}\x{FEFF}]"
+
+
+def js_trim(c) -> Column:
+    """String trim with JavaScript's notion of white space (Spark's trim only
+    removes the space character)."""
+    return F.regexp_replace(_c(c).cast("string"), f"^{_JS_SPACE}+|{_JS_SPACE}+$", "")
+
+
 def blank(c) -> Column:
     """NULL or only whitespace."""
     c = _c(c)
-    return c.isNull() | (F.trim(c.cast("string")) == "")
+    return c.isNull() | (js_trim(c) == "")
 
 
 def norm_email(c) -> Column:
     """fn_norm_email: trim + lower."""
-    return F.lower(F.trim(_c(c)))
+    return F.lower(js_trim(c))
 
 
 def norm_role(c) -> Column:
     """fn_norm_role: lower/trim; unknown or empty becomes 'customer'."""
-    r = F.lower(F.trim(F.coalesce(_c(c), F.lit(""))))
+    r = F.lower(js_trim(F.coalesce(_c(c), F.lit(""))))
     return F.when(r.isin(*ROLES), r).otherwise(F.lit("customer"))
 
 

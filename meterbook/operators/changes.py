@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (SUBSCRIPTION_LINE, blank, hmac_sha256_hex, norm_email, phone_in,
+from ..functions.exprs import (SUBSCRIPTION_LINE, blank, hmac_sha256_hex, js_trim, norm_email, phone_in,
                                receipt_no)
 from ..sources.schema import CUSTOMER_STATUSES, TICKET_STATUSES
 from .filters import missing_fields, positive_number
@@ -166,12 +166,12 @@ def run_billing(customers: DataFrame, plans: DataFrame, bills: DataFrame, items:
 def apply_charges(bills: DataFrame, items: DataFrame, requests: DataFrame, run_ts: str) -> Change:
     """Add charges to unpaid bills. An item-less bill first gets a subscription
     line for its old amount; the bill amount grows by the accepted charges."""
-    it = F.trim(F.col("item_type"))
+    it = js_trim(F.col("item_type"))
     requests = materialize(requests)
     n = batch_rows(requests)
     bills_r = restrict(bills, requests.select("bill_id"), "id", n)
     r = requests.select(
-        "request_id", "bill_id", F.trim(F.coalesce(F.col("description"), F.lit(""))).alias("description"),
+        "request_id", "bill_id", js_trim(F.coalesce(F.col("description"), F.lit(""))).alias("description"),
         "amount", F.when(it.isNull() | (it == ""), F.lit("hardware")).otherwise(F.lower(it)).alias("item_type"))
     b = bills_r.select(F.col("id").alias("_bid"), F.col("amount").alias("_old"), F.col("status").alias("_st"))
     j = r.join(b, r["bill_id"] == b["_bid"], "left")
@@ -350,9 +350,9 @@ def ingest_registrations(users: DataFrame, customers: DataFrame, plans: DataFram
     """Sign-ups: phone rule, required fields, e-mail new among users and
     customers, plan exists; the first request per e-mail wins. Accepted rows
     become a users row (customer) and a pending customers row, both or neither."""
-    r = requests.select("request_id", F.trim("name").alias("name"), norm_email("email").alias("email"),
+    r = requests.select("request_id", js_trim("name").alias("name"), norm_email("email").alias("email"),
                         F.col("phone").alias("_raw_phone"), phone_in("phone").alias("phone"),
-                        F.trim("address").alias("address"), F.col("plan_id").cast("long").alias("plan_id"),
+                        js_trim("address").alias("address"), F.col("plan_id").cast("long").alias("plan_id"),
                         F.col("plan_id").cast("string").alias("_raw_plan"))
     r = materialize(r)
     n = batch_rows(r)
@@ -404,9 +404,9 @@ def _missing_reason(rej: DataFrame, j: DataFrame) -> DataFrame:
 def ingest_customers(users: DataFrame, customers: DataFrame, plans: DataFrame, requests: DataFrame) -> Change:
     """Staff-entered customers (status 'active'); a login is upserted by
     e-mail only when a password is given."""
-    r = requests.select("request_id", F.trim(F.coalesce("name", F.lit(""))).alias("name"),
+    r = requests.select("request_id", js_trim(F.coalesce("name", F.lit(""))).alias("name"),
                         norm_email(F.coalesce("email", F.lit(""))).alias("email"), phone_in("phone").alias("phone"),
-                        F.trim(F.coalesce("address", F.lit(""))).alias("address"),
+                        js_trim(F.coalesce("address", F.lit(""))).alias("address"),
                         F.col("plan_id").cast("long").alias("plan_id"), "password_length")
     r = materialize(r)
     n = batch_rows(r)
@@ -491,7 +491,7 @@ def patch_profile(customers: DataFrame, users: DataFrame, patches: DataFrame) ->
     """Self-update by e-mail: name, phone, address; a missing or '' value
     keeps the column. The login's name follows a new name."""
     def given(c):
-        return F.when(F.col(c).isNull() | (F.col(c) == ""), F.lit(None)).otherwise(F.trim(F.col(c)))
+        return F.when(F.col(c).isNull() | (F.col(c) == ""), F.lit(None)).otherwise(js_trim(F.col(c)))
     r = patches.select("request_id", norm_email("email").alias("_e"), given("name").alias("p_name"),
                        F.col("phone").alias("_raw_phone"), given("address").alias("p_address"))
     phone_given = ~blank("_raw_phone")
@@ -639,7 +639,7 @@ def upsert_plans(plans: DataFrame, requests: DataFrame) -> Change:
                                 (~positive_number("price") | ~positive_number("validity"), R_PLAN_POSITIVE),
                                 (F.col("id").isNotNull() & F.col("_pid").isNull(), R_PLAN_NOT_FOUND)),
                      "request_id", "plan_requests")
-    clean = ok.select("request_id", "id", F.trim("name").alias("name"), F.trim("speed").alias("speed"),
+    clean = ok.select("request_id", "id", js_trim("name").alias("name"), js_trim("speed").alias("speed"),
                       F.col("price").cast("string").try_cast("double").try_cast("decimal(10,2)").alias("price"),
                       F.col("validity").cast("string").try_cast("double").try_cast("int").alias("validity"))
     ins = assign_ids(clean.filter(F.col("id").isNull()).drop("id"), ["request_id"], plans)
@@ -676,7 +676,7 @@ def delete_plans(plans: DataFrame, customers: DataFrame, requests: DataFrame) ->
 def upsert_staff(users: DataFrame, requests: DataFrame) -> Change:
     """Add staff logins: name, e-mail and password required (6+ characters);
     an e-mail already in use, or repeated in the batch, is a duplicate."""
-    r = requests.select("request_id", F.trim(F.coalesce("name", F.lit(""))).alias("name"),
+    r = requests.select("request_id", js_trim(F.coalesce("name", F.lit(""))).alias("name"),
                         norm_email(F.coalesce("email", F.lit(""))).alias("email"),
                         F.coalesce("password_length", F.lit(0)).alias("_pw"))
     r = materialize(r)
@@ -710,7 +710,7 @@ def delete_staff(users: DataFrame, requests: DataFrame) -> Change:
 # --------------------------------------------------------------- tickets
 def open_tickets(tickets: DataFrame, requests: DataFrame) -> Change:
     """New tickets: blank issue rejected; status 'open'; requester fields may be NULL."""
-    r = requests.withColumn("issue", F.trim(F.coalesce("issue", F.lit(""))))
+    r = requests.withColumn("issue", js_trim(F.coalesce("issue", F.lit(""))))
     ok, rej = _split(r, _reason((F.col("issue") == "", R_ISSUE_REQUIRED)), "request_id", "ticket_requests")
     ins = assign_ids(ok.select("request_id", F.nullif(F.col("principal_id"), F.lit(0)).alias("customer_id"),
                                F.nullif(F.col("name"), F.lit("")).alias("name"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession  # noqa: F401
 from pyspark.sql import functions as F
 
 from .schema import DEFAULTS, TABLES
@@ -41,10 +41,6 @@ def seed(spark: SparkSession, name: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, TABLES[name])
 
 
-def _blank(c: Column) -> Column:
-    return c.isNull() | (F.trim(c.cast("string")) == "")
-
-
 def enforce(df: DataFrame, name: str, now: Column | None = None) -> DataFrame:
     """Bring ``df`` to the declared columns of ``name`` (schema_enforce).
 

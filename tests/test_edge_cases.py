@@ -144,3 +144,9 @@ def test_signup_validation_phone_and_duplicates(spark):
                        6: "Email already exists"}
     new = ch.changed.filter("table_name = 'customers'").collect()
     assert [(r.request_id, r.email, r.phone, r.status) for r in new] == [(5, "n@x.com", "9876543210", "pending")]
+
+
+def test_js_trim_removes_all_white_space(spark):
+    df = spark.createDataFrame([("\tstaff\n",), (" A@X.com ",), (" \t ",)], "v string")
+    got = [(r.t, r.b) for r in df.select(X.js_trim("v").alias("t"), X.blank("v").alias("b")).collect()]
+    assert got == [("staff", False), ("A@X.com", False), ("", True)]
