@@ -21,8 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (SUBSCRIPTION_LINE, blank, hmac_sha256_hex, js_trim, norm_email, phone_in,
-                               receipt_no)
+from ..functions.exprs import SUBSCRIPTION_LINE, blank, hmac_sha256_hex, js_trim, norm_email, phone_in
 from ..sources.schema import CUSTOMER_STATUSES, TICKET_STATUSES
 from .filters import missing_fields, positive_number
 from .joins import fits_broadcast, restrict
@@ -221,7 +220,8 @@ def _pay(acc: DataFrame, customers: DataFrame, payments: DataFrame, method: str,
     return assign_ids(rows, ["request_id"], payments)
 
 
-def _settle(bills, customers, payments, acc, pay_rows, table) -> Change:
+def _settle(bills: DataFrame, payments: DataFrame, acc: DataFrame, pay_rows: DataFrame) -> Change:
+    """Bills of accepted settlements become 'paid'; payment rows are appended."""
     paid_ids = acc.groupBy("bill_id").agg(F.min("request_id").alias("_r"))
     bill_upd = paid_ids.select(F.lit("bills").alias("table_name"), F.lit("update").alias("action"),
                                F.col("bill_id").alias("id"), F.lit("paid").alias("status"))
@@ -248,7 +248,7 @@ def settle_manual(bills: DataFrame, customers: DataFrame, payments: DataFrame, r
     j = requests.join(b, requests["bill_id"] == b["_bid"], "left")
     acc, rej = _split(j, _reason((F.col("_bid").isNull(), R_BILL_NOT_FOUND)), "request_id", "settle_requests")
     pay = _pay(acc, customers, payments, "manual", "staff", F.lit(run_ms), _ts(run_ts), bound=n)
-    ch = _settle(bills, customers, payments, acc, pay, "settle_requests")
+    ch = _settle(bills, payments, acc, pay)
     ch.rejects = rej
     return ch
 
@@ -278,7 +278,7 @@ def settle_callbacks(bills: DataFrame, customers: DataFrame, payments: DataFrame
     ms = F.unix_millis(F.col("received_at").cast("timestamp"))
     pay = _pay(acc, customers, payments, "online", "razorpay", ms, F.col("received_at"),
                F.col("order_id"), F.col("payment_id"), bound=n)
-    ch = _settle(bills, customers, payments, acc, pay, "payment_callbacks")
+    ch = _settle(bills, payments, acc, pay)
     ch.rejects = rej
     return ch
 
@@ -297,7 +297,7 @@ def settle_idempotent(bills: DataFrame, customers: DataFrame, payments: DataFram
     ms = F.unix_millis(F.col("received_at").cast("timestamp"))
     pay = _pay(fresh, customers, payments, "online", "razorpay", ms, F.col("received_at"),
                F.col("order_id"), F.col("payment_id"), bound=n)
-    ch = _settle(bills, customers, payments, fresh, pay, "payment_callbacks")
+    ch = _settle(bills, payments, fresh, pay)
     ch.rejects = rej.unionByName(dup).unionByName(seen)
     return ch
 

@@ -95,8 +95,9 @@ PAY_COLS = ["table_name", "action", "request_id", "reason", "id", "bill_id", "cu
             "method", "provider", "provider_order_id", "provider_payment_id", "receipt_number", "paid_at"]
 
 
-def _settle_sql(acc_cte: str, method: str, provider: str, order_sql: str, pay_sql: str, ms_sql: str,
-                paid_at_sql: str, reject_source: str) -> str:
+def _settle_sql(acc_cte: str, method: str, provider: str, reject_source: str) -> str:
+    """Payments, bill updates and rejects of a settlement, given ``acc``/``rej`` CTEs
+    whose rows carry k_order, k_pay, k_ms (receipt time) and k_at (paid at)."""
     return f"""WITH {acc_cte},
 pay AS (SELECT a.request_id, a.bill_id, a.cust AS customer_id, a.bamount AS amount, a.k_order, a.k_pay, a.k_ms, a.k_at
         FROM acc a JOIN customers c ON c.id = a.cust)
@@ -121,7 +122,7 @@ acc AS (SELECT * FROM j WHERE reason IS NULL),
 rej AS (SELECT * FROM j WHERE reason IS NOT NULL)"""
 
 
-@query("q_settle_manual", _settle_sql(_MANUAL_ACC, "manual", "staff", "", "", "", "", "settle_requests"))
+@query("q_settle_manual", _settle_sql(_MANUAL_ACC, "manual", "staff", "settle_requests"))
 def q_settle_manual(spark, d):
     """Staff marks bills paid; a manual payment is appended per request."""
     b = Book(spark, d)
@@ -145,7 +146,7 @@ acc AS (SELECT * FROM j WHERE reason IS NULL),
 rej AS (SELECT * FROM j WHERE reason IS NOT NULL)"""
 
 
-@query("q_settle_callbacks", _settle_sql(_CALLBACK_ACC, "online", "razorpay", "", "", "", "", "payment_callbacks"))
+@query("q_settle_callbacks", _settle_sql(_CALLBACK_ACC, "online", "razorpay", "payment_callbacks"))
 def q_settle_callbacks(spark, d):
     """Verified provider callbacks settle their bills."""
     b = Book(spark, d)
@@ -163,7 +164,7 @@ rej AS (SELECT request_id, reason FROM j WHERE reason IS NOT NULL
         WHERE NOT is_first OR payment_id IN (SELECT provider_payment_id FROM known))"""
 
 
-@query("q_settle_idempotent", _settle_sql(_IDEM_ACC, "online", "razorpay", "", "", "", "", "payment_callbacks"))
+@query("q_settle_idempotent", _settle_sql(_IDEM_ACC, "online", "razorpay", "payment_callbacks"))
 def q_settle_idempotent(spark, d):
     """Callbacks settled at most once per provider payment id."""
     b = Book(spark, d)

@@ -3,8 +3,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..sources.fixtures import AS_OF, CALLBACK_SECRET, Book
 from ..streaming import streams as ST
 from .q_changes import LATEST_REPORT_SQL, REMINDERS_SQL, _CALLBACK_J, _outbox_events_sql

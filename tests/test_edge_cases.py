@@ -3,8 +3,6 @@
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import functions as F
-
 from meterbook.functions import exprs as X
 from meterbook.operators import aggregates as A
 from meterbook.operators import changes as C

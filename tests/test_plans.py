@@ -6,7 +6,6 @@ import io
 import pytest
 
 from meterbook.plans.registry import load_all
-from meterbook.sources.fixtures import Book
 
 from .conftest import SMALL
 
