@@ -13,6 +13,7 @@ from ..operators import notify as N
 from ..sources.fixtures import AS_OF, CALLBACK_SECRET, Book
 from .oracle import duck_hmac
 from .q_functions import RUN_MS
+from .q_reads import INVOICE_LINES_SQL
 from .registry import query
 
 RUN_TS = f"{AS_OF} 00:00:00"
@@ -699,16 +700,17 @@ def q_sink_insert_absent(spark, d):
     return S.read_table(spark, path)
 
 
-@query("q_sink_invoice")
+@query("q_sink_invoice", "SELECT x.*, strftime(x.bill_date, '%Y-%m') AS bill_month FROM ("
+                         + INVOICE_LINES_SQL + ") x")
 def q_sink_invoice(spark, d):
-    """Invoice documents (header + ordered lines) of every paid bill, written as
-    JSON partitioned by bill month and read back."""
+    """Invoice data of every paid bill (header + ordered lines) written as JSON
+    lines partitioned by bill month, and read back."""
     from ..operators import aggregates as A
     from ..operators import joins as J
     from ..sources import sinks as S
     b = Book(spark, d)
     h = J.invoice_headers(b.bills.filter(F.lower(F.col("status")) == "paid"), b.customers, b.plans, b.payments)
-    docs = A.invoice_lines(h, b.bill_items, nested=True)
+    lines = A.invoice_lines(h, b.bill_items)
     path = _dir(spark, "sink-invoice") + "/invoices"
-    S.write_invoices(docs, path)
-    return spark.read.schema(docs.schema.add("bill_month", "string")).json(path)
+    S.write_invoices(lines, path)
+    return spark.read.schema(lines.schema.add("bill_month", "string")).json(path)

@@ -52,7 +52,15 @@ def insert_absent(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     return new.join(old.select(*keys).distinct(), keys, "left_anti")
 
 
-def write_invoices(invoices: DataFrame, path: str) -> None:
-    """sink_invoice: one JSON document per paid bill, partitioned by bill month."""
-    (invoices.withColumn("bill_month", F.date_format("bill_date", "yyyy-MM"))
+def write_invoices(lines: DataFrame, path: str) -> None:
+    """sink_invoice: invoice data as JSON lines, partitioned by bill month.
+
+    One record per invoice line, carrying its bill header. Range
+    partitioning on (month, bill, line) keeps every file in line order and
+    splits even a bill with a huge number of lines over several writers, so a
+    document renderer streams bills in order and no bill's lines are ever
+    gathered into one in-memory value or one task.
+    """
+    (lines.withColumn("bill_month", F.date_format("bill_date", "yyyy-MM"))
+     .repartitionByRange("bill_month", "id", "item_id").sortWithinPartitions("bill_month", "id", "item_id")
      .write.mode("errorifexists").partitionBy("bill_month").json(path))
