@@ -535,8 +535,7 @@ def q_delete_cascade(spark, d):
 PLAN_COLS = ["table_name", "action", "request_id", "reason", "id", "name", "speed", "price", "validity"]
 
 
-@query("q_upsert_plans", f"""
-WITH t AS (SELECT r.*, CASE
+_PLAN_CTES = """t AS (SELECT r.*, CASE
         WHEN name IS NULL OR name = '' OR speed IS NULL OR speed = '' OR price IS NULL OR price = ''
              OR validity IS NULL OR validity = '' THEN 'All plan fields are required'
         WHEN NOT coalesce(TRY_CAST(price AS DOUBLE) > 0 AND NOT isnan(TRY_CAST(price AS DOUBLE)), false)
@@ -545,7 +544,10 @@ WITH t AS (SELECT r.*, CASE
       FROM plan_requests r),
 ok AS (SELECT request_id, id, trim(name) AS name, trim(speed) AS speed,
          CAST(CAST(price AS DOUBLE) AS DECIMAL(10,2)) AS price, CAST(CAST(validity AS DOUBLE) AS INTEGER) AS validity
-       FROM t WHERE reason IS NULL)
+       FROM t WHERE reason IS NULL)"""
+
+
+@query("q_upsert_plans", f"""WITH {_PLAN_CTES}
 SELECT 'plans' AS table_name, 'insert' AS action, request_id, CAST(NULL AS STRING) AS reason,
  CAST((SELECT max(id) FROM plans) + row_number() OVER (ORDER BY request_id) AS INTEGER) AS id, name, speed, price, validity
 FROM ok WHERE id IS NULL
@@ -714,3 +716,17 @@ def q_sink_invoice(spark, d):
     path = _dir(spark, "sink-invoice") + "/invoices"
     S.write_invoices(lines, path)
     return spark.read.schema(lines.schema.add("bill_month", "string")).json(path)
+
+
+@query("q_sort_plan_price", f"""WITH {_PLAN_CTES},
+upd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY request_id DESC) AS rn FROM ok
+        WHERE id IS NOT NULL) WHERE rn = 1),
+ins AS (SELECT CAST((SELECT max(id) FROM plans) + row_number() OVER (ORDER BY request_id) AS INTEGER) AS id, name, speed,
+        price, validity FROM ok WHERE id IS NULL)
+SELECT p.id, coalesce(u.name, p.name) AS name, coalesce(u.speed, p.speed) AS speed, coalesce(u.price, p.price) AS price,
+ coalesce(u.validity, p.validity) AS validity FROM plans p LEFT JOIN upd u ON u.id = p.id
+UNION ALL SELECT * FROM ins ORDER BY price, id""")
+def q_sort_plan_price(spark, d):
+    """The plan catalogue after the batch of plan changes, by price (id breaks ties)."""
+    b = Book(spark, d)
+    return C.upsert_plans(b.plans, b.plan_requests).state["plans"].orderBy("price", "id")

@@ -525,11 +525,6 @@ def q_sort_id_desc(spark, d):
     return Book(spark, d).customers.orderBy(F.desc("id"))
 
 
-@query("q_sort_plan_price", "SELECT * FROM plans ORDER BY price, id")
-def q_sort_plan_price(spark, d):
-    return Book(spark, d).plans.orderBy("price", "id")
-
-
 @query("q_sort_usage_series", "SELECT customer_id, usage_date, used_gb, total_gb FROM data_usage "
                               "ORDER BY customer_id, usage_date")
 def q_sort_usage_series(spark, d):
