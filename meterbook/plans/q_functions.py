@@ -219,7 +219,7 @@ def q_fn_message_cut(spark, d):
     """Due e-mail texts cut to the 255 characters a log row keeps."""
     t = _texts(spark, d, "due")
     return t.select("bill_id", X.message_cut("email_text").alias("message"),
-                    F.length("email_text").alias("full_length"))
+                    F.length("email_text").cast("long").alias("full_length"))
 
 
 @query("q_fn_sms_payload", "SELECT b.id AS bill_id, CAST(json_object('name', coalesce(nullif(c.name,''),'Customer'), "
