@@ -74,3 +74,32 @@ def test_latest_usage_with_hot_customer(spark):
                                  F.lit(Decimal("1.00")).alias("used_gb"), F.lit(Decimal("1000.00")).alias("total_gb"))
     hot = W.latest_usage(u).filter("customer_id = 1").first()
     assert hot.usage_date == D + dt.timedelta(days=399)
+
+
+def test_aqe_splits_the_hot_customer_in_the_bill_join(spark):
+    import contextlib
+    import io
+
+    from meterbook.operators.joins import bills_with_customer
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        bills = skewed_bills(spark).select("id", "customer_id", "amount")
+        j = bills_with_customer(bills, customers(spark).select("id", "name", "email", "phone"))
+        assert len(j.collect()) == N
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            j.explain()
+        assert "SortMergeJoin(skew=true)" in buf.getvalue()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
