@@ -75,16 +75,22 @@ class Change:
 
 
 def _reason(*pairs) -> Column:
-    """First failing check wins: pairs of (condition, reason)."""
+    """First failing check wins: pairs of (condition, reason text or column)."""
     out = None
     for cond, text in pairs:
         cond = F.coalesce(cond, F.lit(False))
-        out = F.when(cond, F.lit(text)) if out is None else out.when(cond, F.lit(text))
+        val = text if isinstance(text, Column) else F.lit(text)
+        out = F.when(cond, val) if out is None else out.when(cond, val)
     return out
 
 
+def _small(df: DataFrame, bound: int | None) -> DataFrame:
+    """Broadcast ``df`` when its row bound passes the size check."""
+    return F.broadcast(df) if bound is not None and fits_broadcast(bound) else df
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint a validated request batch to the shared checkpoint folder.
+    """Write a validated request batch once under the shared checkpoint folder.
 
     The accepted rows feed the inserts, the updates and the new state, and
     the rejects are reported too; reading one written copy keeps each branch
@@ -198,7 +204,7 @@ def apply_charges(bills: DataFrame, items: DataFrame, requests: DataFrame, run_t
                                 "request_id", "id", "bill_id", "description", "amount", "item_type")
                .unionByName(upd.select(F.lit("bills").alias("table_name"), F.lit("update").alias("action"),
                                        "id", "amount"), allowMissingColumns=True))
-    new_bills = bills.join(upd.select(F.col("id"), F.col("amount").alias("_new")), "id", "left") \
+    new_bills = bills.join(_small(upd.select(F.col("id"), F.col("amount").alias("_new")), n), "id", "left") \
         .withColumn("amount", F.coalesce("_new", "amount")).drop("_new")
     state = {"bills": new_bills,
              "bill_items": items.unionByName(new_items.drop("request_id"), allowMissingColumns=True)}
@@ -220,7 +226,8 @@ def _pay(acc: DataFrame, customers: DataFrame, payments: DataFrame, method: str,
     return assign_ids(rows, ["request_id"], payments)
 
 
-def _settle(bills: DataFrame, payments: DataFrame, acc: DataFrame, pay_rows: DataFrame) -> Change:
+def _settle(bills: DataFrame, payments: DataFrame, acc: DataFrame, pay_rows: DataFrame,
+            bound: int | None = None) -> Change:
     """Bills of accepted settlements become 'paid'; payment rows are appended."""
     paid_ids = acc.groupBy("bill_id").agg(F.min("request_id").alias("_r"))
     bill_upd = paid_ids.select(F.lit("bills").alias("table_name"), F.lit("update").alias("action"),
@@ -229,7 +236,8 @@ def _settle(bills: DataFrame, payments: DataFrame, acc: DataFrame, pay_rows: Dat
                               "request_id", "id", "bill_id", "customer_id", "amount", "status", "method", "provider",
                               "provider_order_id", "provider_payment_id", "receipt_number", "paid_at") \
         .unionByName(bill_upd, allowMissingColumns=True)
-    new_bills = bills.join(paid_ids.select(F.col("bill_id").alias("id"), F.lit(True).alias("_p")), "id", "left") \
+    new_bills = bills.join(_small(paid_ids.select(F.col("bill_id").alias("id"), F.lit(True).alias("_p")), bound),
+                           "id", "left") \
         .withColumn("status", F.when(F.col("_p"), F.lit("paid")).otherwise(F.col("status"))).drop("_p")
     state = {"bills": new_bills, "payments": payments.unionByName(pay_rows.drop("request_id"))}
     events = pay_rows.select("bill_id", "customer_id", "amount", F.lit(None).cast("date").alias("due_date"),
@@ -248,7 +256,7 @@ def settle_manual(bills: DataFrame, customers: DataFrame, payments: DataFrame, r
     j = requests.join(b, requests["bill_id"] == b["_bid"], "left")
     acc, rej = _split(j, _reason((F.col("_bid").isNull(), R_BILL_NOT_FOUND)), "request_id", "settle_requests")
     pay = _pay(acc, customers, payments, "manual", "staff", F.lit(run_ms), _ts(run_ts), bound=n)
-    ch = _settle(bills, payments, acc, pay)
+    ch = _settle(bills, payments, acc, pay, n)
     ch.rejects = rej
     return ch
 
@@ -278,7 +286,7 @@ def settle_callbacks(bills: DataFrame, customers: DataFrame, payments: DataFrame
     ms = F.unix_millis(F.col("received_at").cast("timestamp"))
     pay = _pay(acc, customers, payments, "online", "razorpay", ms, F.col("received_at"),
                F.col("order_id"), F.col("payment_id"), bound=n)
-    ch = _settle(bills, payments, acc, pay)
+    ch = _settle(bills, payments, acc, pay, n)
     ch.rejects = rej
     return ch
 
@@ -297,7 +305,7 @@ def settle_idempotent(bills: DataFrame, customers: DataFrame, payments: DataFram
     ms = F.unix_millis(F.col("received_at").cast("timestamp"))
     pay = _pay(fresh, customers, payments, "online", "razorpay", ms, F.col("received_at"),
                F.col("order_id"), F.col("payment_id"), bound=n)
-    ch = _settle(bills, payments, fresh, pay)
+    ch = _settle(bills, payments, fresh, pay, n)
     ch.rejects = rej.unionByName(dup).unionByName(seen)
     return ch
 
@@ -366,11 +374,10 @@ def ingest_registrations(users: DataFrame, customers: DataFrame, plans: DataFram
                | ~F.coalesce(F.col("email").rlike(EMAIL_SHAPE), F.lit(False)) | ~F.coalesce(plan_int, F.lit(False)))
     ok, rej = _split(j, _reason((invalid, R_VALIDATION),
                                 (F.col("phone") == "", R_PHONE),
-                                (miss != "", "Missing required fields"),
+                                (miss != "", F.concat(F.lit(MISSING_FIELDS), miss)),
                                 (F.col("_u").isNotNull(), R_EMAIL_EXISTS),
                                 (F.col("_c").isNotNull(), R_CUSTOMER_EMAIL_EXISTS),
                                 (F.col("_p").isNull(), R_PLAN_NOT_FOUND_REG)), "request_id", "registrations")
-    rej = rej.withColumn("reason", F.col("reason"))
     first, dup = _first_wins(ok, ["email"], "request_id", R_EMAIL_EXISTS, "registrations")
     new_users = assign_ids(first.select("request_id", "name", "email", F.lit("customer").alias("role")),
                            ["request_id"], users)
@@ -382,7 +389,7 @@ def ingest_registrations(users: DataFrame, customers: DataFrame, plans: DataFram
                                              "request_id", "id", "name", "email", "role"), allowMissingColumns=True))
     state = {"users": users.unionByName(new_users.drop("request_id")),
              "customers": customers.unionByName(new_cust.drop("request_id").withColumn("plan_id", F.col("plan_id").cast("int")))}
-    return Change(changed, _missing_reason(rej, j).unionByName(dup), state)
+    return Change(changed, rej.unionByName(dup), state)
 
 
 def _emails(table: DataFrame, requests: DataFrame, flag: str, bound: int | None = None) -> DataFrame:
@@ -392,15 +399,6 @@ def _emails(table: DataFrame, requests: DataFrame, flag: str, bound: int | None
         .dropDuplicates(["email"])
 
 
-def _missing_reason(rej: DataFrame, j: DataFrame) -> DataFrame:
-    """Spell out which fields are missing for the 'Missing required fields' rejects."""
-    miss = j.select("request_id", missing_fields(j, ["name", "email", "phone", "address", "plan_id"]).alias("_m"))
-    return (rej.join(miss, "request_id", "left")
-            .withColumn("reason", F.when(F.col("reason") == "Missing required fields",
-                                         F.concat(F.lit(MISSING_FIELDS), F.col("_m"))).otherwise(F.col("reason")))
-            .drop("_m"))
-
-
 def ingest_customers(users: DataFrame, customers: DataFrame, plans: DataFrame, requests: DataFrame) -> Change:
     """Staff-entered customers (status 'active'); a login is upserted by
     e-mail only when a password is given."""
