@@ -155,9 +155,11 @@ def existence_checks(requests: DataFrame, plans: DataFrame, customers: DataFrame
             .unionByName(user.select("request_id", F.lit("user_email_exists").alias("check_name"))))
 
 
-# Largest key set broadcast for a semi-join reduction (rows; ids are 8-16 bytes,
-# so this stays well under 64 MB per executor).
+# Largest key set broadcast for a semi-join reduction, in rows: numeric ids are
+# 8-16 bytes, so 2 M stay well under 64 MB per executor; string keys (e-mails)
+# are several times larger and get a quarter of that.
 BROADCAST_KEYS_MAX = 2_000_000
+BROADCAST_STRING_KEYS_MAX = 500_000
 
 
 def fits_broadcast(keys: DataFrame | int, max_rows: int = BROADCAST_KEYS_MAX) -> bool:
@@ -185,6 +187,8 @@ def restrict(table: DataFrame, keys: DataFrame, table_cols, bound: int | None =
     names = [f"_rk{i}" for i in range(len(tcols))]
     k = keys.toDF(*names)
     cond = [table[t] == k[n] for t, n in zip(tcols, names)]
+    if any(t == "string" for _, t in k.dtypes):
+        max_rows = min(max_rows, BROADCAST_STRING_KEYS_MAX)
     if fits_broadcast(bound if bound is not None else k, max_rows):
         return table.join(F.broadcast(k), cond, "left_semi")
     return table.join(k, cond, "left_semi")

@@ -528,10 +528,10 @@ def q_sort_id_desc(spark, d):
 @query("q_sort_usage_series", "SELECT customer_id, usage_date, used_gb, total_gb FROM data_usage "
                               "ORDER BY customer_id, usage_date")
 def q_sort_usage_series(spark, d):
-    """Each customer's usage by date: hash-partitioned by customer and sorted
-    inside partitions (no global sort needed for per-customer series)."""
-    u = Book(spark, d).data_usage
-    return u.repartition("customer_id").sortWithinPartitions("customer_id", "usage_date")
+    """Every customer's usage by date. A range-partitioned sort on (customer,
+    date): a customer with a huge series is split over several tasks by date
+    instead of landing in one hash partition."""
+    return Book(spark, d).data_usage.orderBy("customer_id", "usage_date")
 
 
 @query("q_sort_due", f"SELECT * FROM bills WHERE status <> 'paid' AND due_date <= DATE '{AS_OF}' + INTERVAL 3 DAY "
@@ -541,14 +541,14 @@ def q_sort_due(spark, d):
     return FL.due_within(FL.not_paid(b.bills), AS_OF, 3).orderBy("due_date", "id")
 
 
-@query("q_sort_items", "SELECT bill_id, list(description ORDER BY id, description) AS descriptions "
-                       "FROM bill_items GROUP BY bill_id")
+@query("q_sort_items", "SELECT bill_id, id, description, amount, item_type FROM bill_items "
+                       "ORDER BY bill_id, id, description")
 def q_sort_items(spark, d):
-    """Line-item descriptions per bill, in item id order."""
+    """Line items of every bill in id order (the bulk form of the per-bill
+    ORDER BY id listing). A range-partitioned sort: no bill's items are
+    gathered into one value or one task."""
     i = Book(spark, d).bill_items
-    return (i.groupBy("bill_id")
-            .agg(F.sort_array(F.collect_list(F.struct("id", "description"))).alias("_s"))
-            .select("bill_id", F.col("_s.description").alias("descriptions")))
+    return i.select("bill_id", "id", "description", "amount", "item_type").orderBy("bill_id", "id", "description")
 
 
 @query("q_topk_notifications", "SELECT n.*, c.name AS customer_name FROM notification_logs n "
