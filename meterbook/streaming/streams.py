@@ -5,7 +5,8 @@ one table's files); in production they would be Kafka topics or landing
 folders. Every job uses a checkpoint under the cluster's shared checkpoint
 folder, so a restarted driver or lost executor resumes where it stopped;
 ``foreachBatch`` sinks write per-batch paths with overwrite, so a replayed
-micro-batch rewrites its own output instead of duplicating it.
+micro-batch rewrites its own output instead of duplicating it. Pass the same
+``root`` again to resume a job from its checkpoint.
 """
 
 from __future__ import annotations
@@ -48,14 +49,14 @@ def _versioned_sink(root: str):
 
 
 def rate_windows(spark: SparkSession, sf_dir: str, limits: dict | None = None,
-                 watermark: str = "1 hour") -> DataFrame:
+                 watermark: str = "1 hour", root: str | None = None) -> DataFrame:
     """st_rate_windows: requests per client and fixed window, flagged above the
     limit. One windowed aggregation per route class (each has its own window
     length), in update mode with a watermark so old windows leave the state;
     the sink keeps every emitted version and the result takes the last one
     per window."""
     limits = limits or RATE_LIMITS
-    root = shared_dir(spark, "st-rate-windows")
+    root = root or shared_dir(spark, "st-rate-windows")
     running = []
     for cls, (limit, length) in limits.items():
         s = access_from_events(file_stream(spark, sf_dir, "events"))
@@ -94,11 +95,12 @@ def rate_windows_batch(access: DataFrame, limits: dict | None = None) -> DataFra
     return out
 
 
-def reminders(spark: SparkSession, sf_dir: str, customers: DataFrame, initial: DataFrame, as_of: str) -> DataFrame:
+def reminders(spark: SparkSession, sf_dir: str, customers: DataFrame, initial: DataFrame, as_of: str,
+              root: str | None = None) -> DataFrame:
     """st_reminders: bills arrive as a stream; each micro-batch emits the due
     reminders of its bills that are not yet reminded for as_of (anti join
     with the initial reminder table plus everything this job wrote)."""
-    root = shared_dir(spark, "st-reminders")
+    root = root or shared_dir(spark, "st-reminders")
     out = f"{root}/out"
 
     def batch(df: DataFrame, batch_id: int):
@@ -121,11 +123,11 @@ def reminders(spark: SparkSession, sf_dir: str, customers: DataFrame, initial: D
 
 
 def callbacks(spark: SparkSession, sf_dir: str, bills: DataFrame, customers: DataFrame, payments: DataFrame,
-              secret: str, watermark: str = "2 days") -> DataFrame:
+              secret: str, watermark: str = "2 days", root: str | None = None) -> DataFrame:
     """st_callbacks: provider callbacks as a stream; repeats of one provider
     payment id within the watermark are dropped, the rest are verified and
     settled per micro-batch."""
-    root = shared_dir(spark, "st-callbacks")
+    root = root or shared_dir(spark, "st-callbacks")
     out = f"{root}/out"
 
     def batch(df: DataFrame, batch_id: int):
@@ -147,7 +149,7 @@ def callbacks(spark: SparkSession, sf_dir: str, bills: DataFrame, customers: Dat
     return spark.read.parquet(out).drop("batch_id")
 
 
-def usage(spark: SparkSession, sf_dir: str, initial: DataFrame) -> DataFrame:
+def usage(spark: SparkSession, sf_dir: str, initial: DataFrame, root: str | None = None) -> DataFrame:
     """st_usage: usage reports as a stream into the daily usage table.
 
     Each micro-batch keeps only its latest report per (customer, date) and
@@ -156,7 +158,7 @@ def usage(spark: SparkSession, sf_dir: str, initial: DataFrame) -> DataFrame:
     logged report per key, exactly what ``upsert_usage`` does in batch.
     """
     from ..operators.windows import latest_by
-    root = shared_dir(spark, "st-usage")
+    root = root or shared_dir(spark, "st-usage")
     log = f"{root}/log"
     keys = ["customer_id", "usage_date"]
 
@@ -169,10 +171,11 @@ def usage(spark: SparkSession, sf_dir: str, initial: DataFrame) -> DataFrame:
     return C.upsert_usage(initial, logged).state["data_usage"]
 
 
-def outbox(spark: SparkSession, sf_dir: str, customers: DataFrame, config: dict | None = None) -> DataFrame:
+def outbox(spark: SparkSession, sf_dir: str, customers: DataFrame, config: dict | None = None,
+           root: str | None = None) -> DataFrame:
     """st_outbox: 'paid' notifications fanned out per channel as bills arrive
     (stateless: a stream-static join with customers and an explode, append mode)."""
-    root = shared_dir(spark, "st-outbox")
+    root = root or shared_dir(spark, "st-outbox")
     bills = bills_from_orders(file_stream(spark, sf_dir, "orders")).filter(F.col("status") == "paid")
     c = customers.select(F.col("id").alias("customer_id"), "name", "email", "phone")
     events = (bills.join(c, "customer_id")
