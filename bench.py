@@ -1,8 +1,9 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
-Each query is run once to warm up, then timed ``$BENCH_RUNS`` times (default 3)
-with its full result materialised through the ``noop`` sink (no driver
-collect); the median is reported. Prints one JSON line.
+Every query is first run once (warm-up pass over all of them), then each is
+timed ``$BENCH_RUNS`` times (default 3) with its full result materialised
+through the ``noop`` sink (no driver collect); the median is reported.
+Prints one JSON line.
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py [--all] [name ...]
 """
@@ -40,18 +41,21 @@ def main() -> None:
     if args:
         names = [n for n in names if any(a in n for a in args)]
     times: dict[str, float] = {}
-    for name in names:
-        build = reg[name].build
+
+    def run(name: str) -> float:
+        t0 = time.perf_counter()
+        reg[name].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - t0
+
+    ok = []
+    for name in names:                      # warm-up pass over every query (JIT, file caches)
         try:
-            build(spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
-            samples = []
-            for _ in range(runs):
-                t0 = time.perf_counter()
-                build(spark, sf_dir).write.format("noop").mode("overwrite").save()
-                samples.append(time.perf_counter() - t0)
-            times[name] = round(statistics.median(samples), 3)
+            run(name)
+            ok.append(name)
         except Exception as e:  # noqa: BLE001
             print(f"# {name} failed: {str(e)[:200]}", file=sys.stderr)
+    for name in ok:
+        times[name] = round(statistics.median(run(name) for _ in range(runs)), 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_queries_total_median_sec", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else sf_dir,
