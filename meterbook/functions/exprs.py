@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 from ..sources.schema import ROLES
 
 # Texts and formats the books print.
-BRAND = "NetWave"
 SUBSCRIPTION_LINE = "Broadband subscription charges"
 DEFAULT_NAME = "Customer"
-DEFAULT_PLAN = "NetWave Broadband"
 DEFAULT_VALIDITY_DAYS = 30
 NO_DATE = "--"
 DATE_FMT = "dd MMM yyyy"
@@ -27,6 +25,42 @@ E164_PATTERN = r"^\+[1-9][0-9]{7,14}$"
 DOWNLOAD_PATH = "/api/bills/download/"
 DOWNLOAD_TTL_HOURS = 168
 
+# Notification texts by (notification type, channel). {name} is
+# the customer name (default "Customer"), {amount} the bill amount with two
+# decimals, {due} the due date as dd MMM yyyy, {bill} the bill id. The e-mail
+# texts are the plain-text bodies without the download link.
+MESSAGES = {
+    ("due", "whatsapp"): "Hi {name}, your NetWave broadband bill of Rs. {amount} is due on {due}. "
+                         "Please pay the amount before the due date to keep your service active.",
+    ("due", "sms"): "NetWave reminder: your broadband bill of Rs. {amount} is pending. "
+                    "Last date for payment: {due}. Please pay before this date.",
+    ("due", "email"): "Hi {name}, your NetWave broadband bill of Rs. {amount} is pending. "
+                      "Last date for payment: {due}. Please pay before this date to keep your service active. "
+                      "If you have already paid, please ignore this reminder or contact NetWave support with "
+                      "your receipt details.",
+    ("paid", "whatsapp"): "Hi {name}, payment complete. We received Rs. {amount} for your NetWave broadband bill. "
+                          "Bill ID: {bill}. Thank you.",
+    ("paid", "sms"): "NetWave payment received. We received Rs. {amount} for bill #{bill}. Thank you.",
+    ("paid", "email"): "Hi {name}, payment received. We received Rs. {amount} for NetWave bill ID {bill}. "
+                       "Please keep this receipt for your records. No further action is required for this bill. "
+                       "For any correction or payment query, contact NetWave support with your bill ID.",
+}
+
+
+def template_parts(template: str) -> list[tuple[str, str]]:
+    """Split a message template into ("text", literal) and ("field", name) parts."""
+    import re
+    parts = []
+    for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
+        if piece:
+            parts.append(("field" if i % 2 else "text", piece))
+    return parts
+
+
+def render(template: str, fields: dict[str, Column]) -> Column:
+    """A message template filled with column values (one JVM concat)."""
+    return F.concat(*[fields[v] if k == "field" else F.lit(v) for k, v in template_parts(template)])
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -168,36 +202,29 @@ def _amount_text(c) -> Column:
     return _c(c).cast("decimal(10,2)").cast("string")
 
 
+def _message_fields(name, amount, due=None, bill_id=None) -> dict[str, Column]:
+    return {"name": falsy_default(name, DEFAULT_NAME), "amount": _amount_text(amount),
+            "due": date_in(due) if due is not None else F.lit(None),
+            "bill": _c(bill_id).cast("string") if bill_id is not None else F.lit(None)}
+
+
+def _message(kind: str, channel, fields: dict[str, Column]) -> Column:
+    ch = _c(channel)
+    out = None
+    for c in ("whatsapp", "sms", "email"):
+        text = render(MESSAGES[(kind, c)], fields)
+        out = F.when(ch == c, text) if out is None else out.when(ch == c, text)
+    return out
+
+
 def msg_due(channel, name, amount, due) -> Column:
     """fn_msg_due: the due text for whatsapp / sms / email (email without the link)."""
-    who = falsy_default(name, DEFAULT_NAME)
-    amt, day = _amount_text(amount), date_in(due)
-    wa = F.concat(F.lit("Hi "), who, F.lit(f", your {BRAND} broadband bill of Rs. "), amt, F.lit(" is due on "),
-                  day, F.lit(". Please pay the amount before the due date to keep your service active."))
-    sms = F.concat(F.lit(f"{BRAND} reminder: your broadband bill of Rs. "), amt,
-                   F.lit(" is pending. Last date for payment: "), day, F.lit(". Please pay before this date."))
-    email = F.concat(F.lit("Hi "), who, F.lit(f", your {BRAND} broadband bill of Rs. "), amt,
-                     F.lit(" is pending. Last date for payment: "), day,
-                     F.lit(". Please pay before this date to keep your service active. If you have already paid, "
-                           f"please ignore this reminder or contact {BRAND} support with your receipt details."))
-    ch = _c(channel)
-    return F.when(ch == "whatsapp", wa).when(ch == "sms", sms).when(ch == "email", email)
+    return _message("due", channel, _message_fields(name, amount, due=due))
 
 
 def msg_paid(channel, name, amount, bill_id) -> Column:
     """fn_msg_paid: the paid text for whatsapp / sms / email (email without the link)."""
-    who = falsy_default(name, DEFAULT_NAME)
-    amt, bid = _amount_text(amount), _c(bill_id).cast("string")
-    wa = F.concat(F.lit("Hi "), who, F.lit(", payment complete. We received Rs. "), amt,
-                  F.lit(f" for your {BRAND} broadband bill. Bill ID: "), bid, F.lit(". Thank you."))
-    sms = F.concat(F.lit(f"{BRAND} payment received. We received Rs. "), amt, F.lit(" for bill #"), bid,
-                   F.lit(". Thank you."))
-    email = F.concat(F.lit("Hi "), who, F.lit(", payment received. We received Rs. "), amt,
-                     F.lit(f" for {BRAND} bill ID "), bid,
-                     F.lit(". Please keep this receipt for your records. No further action is required for this "
-                           f"bill. For any correction or payment query, contact {BRAND} support with your bill ID."))
-    ch = _c(channel)
-    return F.when(ch == "whatsapp", wa).when(ch == "sms", sms).when(ch == "email", email)
+    return _message("paid", channel, _message_fields(name, amount, bill_id=bill_id))
 
 
 def sms_payload(kind, name, amount, due, bill_id) -> Column:

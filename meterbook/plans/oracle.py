@@ -17,6 +17,15 @@ from ..sources.fixtures import AS_OF, CALLBACK_SECRET, hmac_pads
 YESTERDAY = str(_dt.date.fromisoformat(AS_OF) - _dt.timedelta(days=1))
 
 
+def render_sql(template: str, fields: dict[str, str]) -> str:
+    """A message template as a SQL string concatenation over ``fields``."""
+    from ..functions.exprs import template_parts
+    out = []
+    for kind, value in template_parts(template):
+        out.append("(" + fields[value] + ")" if kind == "field" else "'" + value.replace("'", "''") + "'")
+    return " || ".join(out)
+
+
 def duck_hmac(msg_sql: str, secret: str = CALLBACK_SECRET) -> str:
     ipad, opad = hmac_pads(secret)
     return (f"sha256(unhex('{opad}') || unhex(sha256(unhex('{ipad}') || encode({msg_sql}))))")

@@ -238,16 +238,9 @@ def _outbox_events_sql(events_cte: str, event_cols: list[str]) -> str:
     d = _digits("e.phone")
     intl = f"(CASE WHEN length({d})=10 THEN '91'||{d} ELSE {d} END)"
     e164 = f"(CASE WHEN {intl}='' THEN '' ELSE '+'||{intl} END)"
-    amt = "CAST(CAST(e.amount AS DECIMAL(10,2)) AS STRING)"
-    day = "coalesce(strftime(e.due_date, '%d %b %Y'), '--')"
-    who = "coalesce(nullif(e.name,''),'Customer')"
-    bid = "CAST(e.bill_id AS STRING)"
-    due = {"whatsapp": f"'Hi '||{who}||', your NetWave broadband bill of Rs. '||{amt}||' is due on '||{day}||'. Please pay the amount before the due date to keep your service active.'",
-           "sms": f"'NetWave reminder: your broadband bill of Rs. '||{amt}||' is pending. Last date for payment: '||{day}||'. Please pay before this date.'",
-           "email": f"'Hi '||{who}||', your NetWave broadband bill of Rs. '||{amt}||' is pending. Last date for payment: '||{day}||'. Please pay before this date to keep your service active. If you have already paid, please ignore this reminder or contact NetWave support with your receipt details.'"}
-    paid = {"whatsapp": f"'Hi '||{who}||', payment complete. We received Rs. '||{amt}||' for your NetWave broadband bill. Bill ID: '||{bid}||'. Thank you.'",
-            "sms": f"'NetWave payment received. We received Rs. '||{amt}||' for bill #'||{bid}||'. Thank you.'",
-            "email": f"'Hi '||{who}||', payment received. We received Rs. '||{amt}||' for NetWave bill ID '||{bid}||'. Please keep this receipt for your records. No further action is required for this bill. For any correction or payment query, contact NetWave support with your bill ID.'"}
+    from .q_functions import _message_sql
+    due = dict(zip(("whatsapp", "sms", "email"), _message_sql("due", "e.")))
+    paid = dict(zip(("whatsapp", "sms", "email"), _message_sql("paid", "e.")))
     reason = {"whatsapp": "'WhatsApp not configured'",
               "sms": f"CASE WHEN {e164}='' THEN 'Customer phone missing' WHEN NOT regexp_full_match({e164}, '\\+[1-9][0-9]{{7,14}}') THEN 'Invalid E.164 destination phone number: '||{e164} END",
               "email": "CASE WHEN e.email IS NULL OR trim(e.email)='' THEN 'Customer email missing' END"}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..sources.fixtures import AS_OF, CALLBACK_SECRET, Book
-from .oracle import duck_hmac
+from .oracle import duck_hmac, render_sql
 from .registry import query
 
 # Fixed run time for the time-dependent helpers: the as-of date, 00:00 UTC, in epoch ms.
@@ -152,31 +152,21 @@ def q_fn_falsy_default(spark, d):
                     X.falsy_default("address", "Address not available").alias("address"))
 
 
+def _message_sql(kind: str, prefix: str = "") -> tuple[str, str, str]:
+    """whatsapp, sms and e-mail texts of ``kind`` as SQL over bill ``b`` and customer ``c``."""
+    fields = {"name": f"coalesce(nullif({prefix or 'c.'}name,''),'Customer')",
+              "amount": f"CAST(CAST({prefix or 'b.'}amount AS DECIMAL(10,2)) AS STRING)",
+              "due": f"coalesce(strftime({prefix or 'b.'}due_date, '%d %b %Y'), '--')",
+              "bill": f"CAST({prefix + 'bill_id' if prefix else 'b.id'} AS STRING)"}
+    return tuple(render_sql(X.MESSAGES[(kind, ch)], fields) for ch in ("whatsapp", "sms", "email"))
+
+
 def _due_texts_sql():
-    amt = "CAST(CAST(b.amount AS DECIMAL(10,2)) AS STRING)"
-    day = "coalesce(strftime(b.due_date, '%d %b %Y'), '--')"
-    who = "coalesce(nullif(c.name,''),'Customer')"
-    wa = (f"'Hi '||{who}||', your NetWave broadband bill of Rs. '||{amt}||' is due on '||{day}||"
-          f"'. Please pay the amount before the due date to keep your service active.'")
-    sms = (f"'NetWave reminder: your broadband bill of Rs. '||{amt}||' is pending. Last date for payment: '||{day}||"
-           f"'. Please pay before this date.'")
-    email = (f"'Hi '||{who}||', your NetWave broadband bill of Rs. '||{amt}||' is pending. Last date for payment: '||"
-             f"{day}||'. Please pay before this date to keep your service active. If you have already paid, please "
-             f"ignore this reminder or contact NetWave support with your receipt details.'")
-    return wa, sms, email
+    return _message_sql("due")
 
 
 def _paid_texts_sql():
-    amt = "CAST(CAST(b.amount AS DECIMAL(10,2)) AS STRING)"
-    who = "coalesce(nullif(c.name,''),'Customer')"
-    bid = "CAST(b.id AS STRING)"
-    wa = (f"'Hi '||{who}||', payment complete. We received Rs. '||{amt}||' for your NetWave broadband bill. "
-          f"Bill ID: '||{bid}||'. Thank you.'")
-    sms = f"'NetWave payment received. We received Rs. '||{amt}||' for bill #'||{bid}||'. Thank you.'"
-    email = (f"'Hi '||{who}||', payment received. We received Rs. '||{amt}||' for NetWave bill ID '||{bid}||"
-             f"'. Please keep this receipt for your records. No further action is required for this bill. For any "
-             f"correction or payment query, contact NetWave support with your bill ID.'")
-    return wa, sms, email
+    return _message_sql("paid")
 
 
 def _texts(spark, d, kind):
