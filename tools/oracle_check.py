@@ -71,11 +71,15 @@ def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf-dir", default="/root/testdata/sf0.01")
     ap.add_argument("--show", type=int, default=3)
+    ap.add_argument("--conf", action="append", default=[], help="key=value session setting")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
     from meterbook.session import build_session
     from meterbook.plans.registry import load_all
     spark = build_session("local[8]", 8)
+    for kv in a.conf:
+        k, v = kv.split("=", 1)
+        spark.conf.set(k, v)
     reg = load_all()
     con = duck_con(a.sf_dir)
     results = {}
