@@ -372,13 +372,24 @@ def ingest_registrations(users: DataFrame, customers: DataFrame, plans: DataFram
     plan_int = F.col("_raw_plan").rlike(r"^[0-9]+$") & (F.col("plan_id") >= 1)
     invalid = (blank("name") | blank("_raw_phone") | blank("address")
                | ~F.coalesce(F.col("email").rlike(EMAIL_SHAPE), F.lit(False)) | ~F.coalesce(plan_int, F.lit(False)))
-    ok, rej = _split(j, _reason((invalid, R_VALIDATION),
-                                (F.col("phone") == "", R_PHONE),
-                                (miss != "", F.concat(F.lit(MISSING_FIELDS), miss)),
-                                (F.col("_u").isNotNull(), R_EMAIL_EXISTS),
-                                (F.col("_c").isNotNull(), R_CUSTOMER_EMAIL_EXISTS),
-                                (F.col("_p").isNull(), R_PLAN_NOT_FOUND_REG)), "request_id", "registrations")
-    first, dup = _first_wins(ok, ["email"], "request_id", R_EMAIL_EXISTS, "registrations")
+
+    def chain(taken):
+        return _reason((invalid, R_VALIDATION),
+                       (F.col("phone") == "", R_PHONE),
+                       (miss != "", F.concat(F.lit(MISSING_FIELDS), miss)),
+                       (F.col("_u").isNotNull() | taken, R_EMAIL_EXISTS),
+                       (F.col("_c").isNotNull(), R_CUSTOMER_EMAIL_EXISTS),
+                       (F.col("_p").isNull(), R_PLAN_NOT_FOUND_REG))
+
+    # Requests run in request_id order: the earliest request per e-mail that
+    # passes all of its own checks takes the address, and every later request
+    # for it fails at the e-mail check, before the checks that follow it.
+    own = j.withColumn("_own", chain(F.lit(False)))
+    firsts = own.filter(F.col("_own").isNull()).groupBy("email").agg(F.min("request_id").alias("_first_ok"))
+    j = own.join(firsts, "email", "left")
+    taken = F.col("_first_ok").isNotNull() & (F.col("_first_ok") < F.col("request_id"))
+    first, rej = _split(j.withColumn("_taken", taken).drop("_own", "_first_ok"), chain(F.col("_taken")),
+                        "request_id", "registrations")
     new_users = assign_ids(first.select("request_id", "name", "email", F.lit("customer").alias("role")),
                            ["request_id"], users)
     new_cust = assign_ids(first.select("request_id", "name", "email", "phone", "plan_id", "address",
@@ -389,7 +400,7 @@ def ingest_registrations(users: DataFrame, customers: DataFrame, plans: DataFram
                                              "request_id", "id", "name", "email", "role"), allowMissingColumns=True))
     state = {"users": users.unionByName(new_users.drop("request_id")),
              "customers": customers.unionByName(new_cust.drop("request_id").withColumn("plan_id", F.col("plan_id").cast("int")))}
-    return Change(changed, rej.unionByName(dup), state)
+    return Change(changed, rej, state)
 
 
 def _emails(table: DataFrame, requests: DataFrame, flag: str, bound: int | None = None) -> DataFrame:
@@ -452,7 +463,13 @@ def patch_customers(customers: DataFrame, users: DataFrame, patches: DataFrame)
     cur = restrict(customers, p.select("p_id"), "id", n).select(*[F.col(c).alias("c_" + c) for c in customers.columns])
     j = p.join(cur, p["p_id"] == cur["c_id"], "left")
     st = F.col("p_status")
-    reason = _reason((phone_given & (phone_in("p_phone") == ""), R_PHONE),
+    # Patches carry no order of their own, so a batch holds one patch per
+    # customer; an id patched more than once is rejected as a whole.
+    repeated = p.groupBy("p_id").agg(F.count(F.lit(1)).alias("_times")).filter(F.col("_times") > 1) \
+        .select("p_id", F.lit(True).alias("_repeated"))
+    j = j.join(repeated, "p_id", "left")
+    reason = _reason((F.col("_repeated").isNotNull(), R_DUPLICATE),
+                     (phone_given & (phone_in("p_phone") == ""), R_PHONE),
                      (st.isNotNull() & (st != "") & ~st.isin(*CUSTOMER_STATUSES), R_STATUS),
                      (F.col("c_id").isNull(), R_CUSTOMER_NOT_FOUND))
     ok, rej = _split(j.withColumn("id", F.col("p_id")), reason, "id", "customer_patches")
@@ -501,9 +518,15 @@ def patch_profile(customers: DataFrame, users: DataFrame, patches: DataFrame) ->
     j = r.join(c, "_e", "left")
     ok, rej = _split(j, _reason((phone_given & (F.col("p_phone") == ""), R_PHONE),
                                 (F.col("id").isNull(), R_PROFILE_NOT_FOUND)), "request_id", "profile_patches")
-    upd = ok.select("id", F.coalesce("p_name", "name").alias("name"), "email",
-                    F.coalesce("p_phone", "phone").alias("phone"), "plan_id",
-                    F.coalesce("p_address", "address").alias("address"), "status", "p_name", "_e")
+    # Several requests for one customer apply in request order: per column
+    # the latest request that gives a value wins (a partial max_by per key).
+    def latest(c):
+        return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("request_id"))).alias(c)
+    cols = [x for x in customers.columns]
+    comb = ok.groupBy(*cols, "_e").agg(latest("p_name"), latest("p_phone"), latest("p_address"))
+    upd = comb.select("id", F.coalesce("p_name", "name").alias("name"), "email",
+                      F.coalesce("p_phone", "phone").alias("phone"), "plan_id",
+                      F.coalesce("p_address", "address").alias("address"), "status", "p_name", "_e")
     changed = upd.select(F.lit("customers").alias("table_name"), F.lit("update").alias("action"), "id", "name",
                          "email", "phone", "address", "plan_id", "status")
     names = upd.filter(F.col("p_name").isNotNull()).select("_e", F.col("p_name").alias("_n"))
@@ -565,7 +588,9 @@ def delete_cascade(tables: dict[str, DataFrame], requests: DataFrame) -> Change:
         F.col("id").alias("customer_id"), norm_email("email").alias("_e"))
     j = requests.join(known, "customer_id", "left")
     ok, rej = _split(j, _reason((F.col("_e").isNull(), R_CUSTOMER_NOT_FOUND)), "request_id", "delete_requests")
-    d = ok.select("customer_id", "_e").dropDuplicates(["customer_id"])
+    ok, again = _first_wins(ok, ["customer_id"], "request_id", R_CUSTOMER_NOT_FOUND, "delete_requests")
+    rej = rej.unionByName(again)
+    d = ok.select("customer_id", "_e")
     d_ids = d.select(F.col("customer_id").alias("cid"))
     bills = tables["bills"]
     # The bills of the deleted customers drive four further joins: write them

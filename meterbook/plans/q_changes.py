@@ -328,14 +328,21 @@ m AS (SELECT r.*, concat_ws(', ', CASE WHEN name IS NULL OR trim(name)='' THEN '
         CASE WHEN phone IS NULL OR trim(phone)='' THEN 'phone' END,
         CASE WHEN address IS NULL OR trim(address)='' THEN 'address' END,
         CASE WHEN plan_id IS NULL THEN 'plan_id' END) AS missing FROM r),
-t AS (SELECT m.*, CASE WHEN invalid THEN 'Validation failed' WHEN phone = '' THEN 'Enter a valid 10-digit Indian phone number'
+o AS (SELECT m.*, CASE WHEN invalid THEN 'Validation failed' WHEN phone = '' THEN 'Enter a valid 10-digit Indian phone number'
         WHEN missing <> '' THEN 'Missing required fields: '||missing
         WHEN EXISTS (SELECT 1 FROM users u WHERE lower(trim(u.email)) = m.email) THEN 'Email already exists'
         WHEN EXISTS (SELECT 1 FROM customers c WHERE lower(trim(c.email)) = m.email) THEN 'Customer email already exists'
         WHEN NOT EXISTS (SELECT 1 FROM plans p WHERE p.id = m.plan_id) THEN 'Plan ID not found. Please choose an existing plan.'
-        END AS reason FROM m),
-ok AS (SELECT *, request_id = min(request_id) OVER (PARTITION BY email) AS first FROM t WHERE reason IS NULL),
-acc AS (SELECT * FROM ok WHERE first)
+        END AS own_reason FROM m),
+f AS (SELECT email, min(request_id) AS first_ok FROM o WHERE own_reason IS NULL GROUP BY email),
+t AS (SELECT o.*, CASE WHEN invalid THEN 'Validation failed' WHEN phone = '' THEN 'Enter a valid 10-digit Indian phone number'
+        WHEN missing <> '' THEN 'Missing required fields: '||missing
+        WHEN EXISTS (SELECT 1 FROM users u WHERE lower(trim(u.email)) = o.email) OR f.first_ok < o.request_id
+          THEN 'Email already exists'
+        WHEN EXISTS (SELECT 1 FROM customers c WHERE lower(trim(c.email)) = o.email) THEN 'Customer email already exists'
+        WHEN NOT EXISTS (SELECT 1 FROM plans p WHERE p.id = o.plan_id) THEN 'Plan ID not found. Please choose an existing plan.'
+        END AS reason FROM o LEFT JOIN f ON f.email = o.email),
+acc AS (SELECT * FROM t WHERE reason IS NULL)
 SELECT 'customers' AS table_name, 'insert' AS action, request_id, CAST(NULL AS STRING) AS reason,
  (SELECT max(id) FROM customers) + row_number() OVER (ORDER BY request_id) AS id, name, email, phone, address,
  plan_id, 'pending' AS status, CAST(NULL AS STRING) AS role FROM acc
@@ -343,9 +350,7 @@ UNION ALL
 SELECT 'users', 'insert', request_id, NULL, (SELECT max(id) FROM users) + row_number() OVER (ORDER BY request_id),
  name, email, NULL, NULL, NULL, NULL, 'customer' FROM acc
 UNION ALL
-SELECT 'registrations', 'reject', request_id, reason, {_nulls(8)} FROM t WHERE reason IS NOT NULL
-UNION ALL
-SELECT 'registrations', 'reject', request_id, 'Email already exists', {_nulls(8)} FROM ok WHERE NOT first""")
+SELECT 'registrations', 'reject', request_id, reason, {_nulls(8)} FROM t WHERE reason IS NOT NULL""")
 def q_ingest_registrations(spark, d):
     """Sign-ups become a login and a pending customer, or a reject."""
     b = Book(spark, d)
@@ -389,7 +394,9 @@ def q_ingest_customers(spark, d):
 _PATCH_T = f"""t AS (SELECT p.id AS pid, p.name AS pname, p.email AS pemail, p.phone AS pphone, p.address AS paddress,
         p.plan_id AS pplan, p.status AS pstatus, c.*,
         (p.phone IS NOT NULL AND trim(p.phone) <> '') AS phone_given,
-        CASE WHEN p.phone IS NOT NULL AND trim(p.phone) <> '' AND {_phone_sql('p.phone')} = ''
+        CASE WHEN (SELECT count(*) FROM customer_patches q WHERE q.id = p.id) > 1
+               THEN 'Duplicate record already exists'
+             WHEN p.phone IS NOT NULL AND trim(p.phone) <> '' AND {_phone_sql('p.phone')} = ''
                THEN 'Enter a valid 10-digit Indian phone number'
              WHEN p.status IS NOT NULL AND p.status <> '' AND p.status NOT IN ('pending','active','suspended')
                THEN 'Invalid customer status'
@@ -444,13 +451,19 @@ WITH r AS (SELECT request_id, lower(trim(email)) AS e,
            FROM profile_patches),
 t AS (SELECT r.*, c.*, CASE WHEN phone_given AND pphone = '' THEN 'Enter a valid 10-digit Indian phone number'
         WHEN c.id IS NULL THEN 'Customer profile not found' END AS reason
-      FROM r LEFT JOIN customers c ON lower(trim(c.email)) = r.e)
+      FROM r LEFT JOIN customers c ON lower(trim(c.email)) = r.e),
+acc AS (SELECT id, any_value(name) AS name, any_value(email) AS email, any_value(phone) AS phone,
+        any_value(address) AS address, any_value(plan_id) AS plan_id, any_value(status) AS status, any_value(e) AS e,
+        arg_max(pname, request_id) FILTER (WHERE pname IS NOT NULL) AS pname,
+        arg_max(pphone, request_id) FILTER (WHERE pphone IS NOT NULL) AS pphone,
+        arg_max(paddress, request_id) FILTER (WHERE paddress IS NOT NULL) AS paddress
+      FROM t WHERE reason IS NULL GROUP BY id)
 SELECT 'customers' AS table_name, 'update' AS action, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS STRING) AS reason,
  id, coalesce(pname, name) AS name, email, coalesce(pphone, phone) AS phone, coalesce(paddress, address) AS address,
- plan_id, status, CAST(NULL AS STRING) AS role FROM t WHERE reason IS NULL
+ plan_id, status, CAST(NULL AS STRING) AS role FROM acc
 UNION ALL
-SELECT 'users', 'update', NULL, NULL, u.id, t.pname, u.email, NULL, NULL, NULL, NULL, u.role FROM t
- JOIN users u ON lower(trim(u.email)) = t.e AND u.role = 'customer' WHERE t.reason IS NULL AND t.pname IS NOT NULL
+SELECT 'users', 'update', NULL, NULL, u.id, acc.pname, u.email, NULL, NULL, NULL, NULL, u.role FROM acc
+ JOIN users u ON lower(trim(u.email)) = acc.e AND u.role = 'customer' WHERE acc.pname IS NOT NULL
 UNION ALL
 SELECT 'profile_patches', 'reject', request_id, reason, {_nulls(8)} FROM t WHERE reason IS NOT NULL""")
 def q_patch_profile(spark, d):
@@ -515,7 +528,8 @@ UNION ALL SELECT 'users', 'delete', count(*) FROM users WHERE role = 'customer'
 UNION ALL SELECT 'support_tickets', 'delete', 0
 UNION ALL SELECT 'support_tickets', 'set_null', count(*) FROM support_tickets WHERE customer_id IN (SELECT customer_id FROM dk)
 UNION ALL SELECT 'delete_requests', 'reject', count(*) FROM delete_requests r
-  WHERE NOT EXISTS (SELECT 1 FROM customers c WHERE c.id = r.customer_id)""")
+  WHERE NOT EXISTS (SELECT 1 FROM customers c WHERE c.id = r.customer_id)
+     OR EXISTS (SELECT 1 FROM delete_requests e WHERE e.customer_id = r.customer_id AND e.request_id < r.request_id)""")
 def q_delete_cascade(spark, d):
     """Customer deletion with its cascade; rows removed / nulled per table."""
     b = Book(spark, d)

@@ -148,3 +148,24 @@ def test_js_trim_removes_all_white_space(spark):
     df = spark.createDataFrame([("\tstaff\n",), (" A@X.com ",), (" \t ",)], "v string")
     got = [(r.t, r.b) for r in df.select(X.js_trim("v").alias("t"), X.blank("v").alias("b")).collect()]
     assert got == [("staff", False), ("A@X.com", False), ("", True)]
+
+
+def test_repeated_patches_and_deletes(spark):
+    cust = customers(spark)
+    patches = spark.createDataFrame([(1, "X", None, None, None, None, None), (1, "Y", None, None, None, None, None),
+                                     (2, "Z", None, None, None, None, None)],
+                                    "id long, name string, email string, phone string, address string, "
+                                    "plan_id int, status string")
+    users = frame(spark, "users", [])
+    ch = C.patch_customers(cust, users, patches)
+    assert sorted((r.id, r.reason) for r in ch.rejects.collect()) == [(1, "Duplicate record already exists"),
+                                                                     (1, "Duplicate record already exists")]
+    assert {r.id: r.name for r in ch.state["customers"].collect()} == {1: "Asha", 2: "Z"}
+    tables = {t: frame(spark, t, []) for t in ("users", "bills", "bill_items", "bill_reminders", "payments",
+                                               "data_usage", "support_tickets")}
+    tables["customers"] = cust
+    req = spark.createDataFrame([(1, 2), (2, 2), (3, 9)], "request_id long, customer_id long")
+    dc = C.delete_cascade(tables, req)
+    assert sorted((r.request_id, r.reason) for r in dc.rejects.collect()) == [(2, "Customer not found"),
+                                                                             (3, "Customer not found")]
+    assert [r.id for r in dc.state["customers"].collect()] == [1]

@@ -126,3 +126,104 @@ def test_registrations_equal_sequential_model(spark, reqs):
     got = sorted((r.request_id, r.email, r.phone) for r in ch.changed.filter("table_name = 'customers'").collect())
     assert got == sorted(accepted)
     assert {r.request_id: r.reason for r in ch.rejects.collect()} == rejects
+
+
+ids_st = st.lists(st.integers(0, 6), min_size=1, max_size=10)
+
+
+@SETTINGS
+@given(st.lists(st.sampled_from(["pending", "active", "suspended", None]), min_size=1, max_size=6), ids_st)
+def test_approvals_equal_sequential_model(spark, statuses, req_ids):
+    status = {i + 1: s for i, s in enumerate(statuses)}
+    cust = spark.createDataFrame([(i, f"n{i}", f"e{i}@x.com", None, 1, None, s) for i, s in status.items()],
+                                 TABLES["customers"])
+    requests = [(r + 1, c) for r, c in enumerate(req_ids)]
+    ch = C.approve_pending(cust, spark.createDataFrame(requests, "request_id long, customer_id long"))
+    want_rej, cur = {}, dict(status)
+    for rid, c in requests:
+        if cur.get(c) == "pending":
+            cur[c] = "active"
+        else:
+            want_rej[rid] = "Pending customer not found"
+    assert {r.request_id: r.reason for r in ch.rejects.collect()} == want_rej
+    assert {r.id: r.status for r in ch.state["customers"].collect()} == cur
+
+
+@SETTINGS
+@given(st.lists(st.sampled_from(["staff", "admin", "customer"]), min_size=1, max_size=6), ids_st)
+def test_staff_deletions_equal_sequential_model(spark, roles, req_ids):
+    users = spark.createDataFrame([(i + 1, f"n{i}", f"e{i}@x.com", r) for i, r in enumerate(roles)], TABLES["users"])
+    requests = [(r + 1, u) for r, u in enumerate(req_ids)]
+    ch = C.delete_staff(users, spark.createDataFrame(requests, "request_id long, user_id long"))
+    alive = {i + 1: r for i, r in enumerate(roles)}
+    want_rej = {}
+    for rid, u in requests:
+        if alive.get(u) == "staff":
+            del alive[u]
+        else:
+            want_rej[rid] = "Staff user not found"
+    assert {r.request_id: r.reason for r in ch.rejects.collect()} == want_rej
+    assert sorted(r.id for r in ch.state["users"].collect()) == sorted(alive)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 5), st.sampled_from(["open", "in-progress", "resolved", "closed", "Open"])),
+                min_size=1, max_size=10))
+def test_ticket_moves_equal_sequential_model(spark, moves):
+    tickets = spark.createDataFrame([(i, None, None, None, "x", "open", None) for i in range(1, 5)],
+                                    TABLES["support_tickets"])
+    requests = [(r + 1, t, s) for r, (t, s) in enumerate(moves)]
+    ch = C.move_tickets(tickets, spark.createDataFrame(requests, "request_id long, ticket_id long, status string"))
+    cur, want_rej = {i: "open" for i in range(1, 5)}, {}
+    for rid, t, s in requests:
+        if s not in ("open", "in-progress", "resolved"):
+            want_rej[rid] = "Invalid ticket status"
+        elif t not in cur:
+            want_rej[rid] = "Ticket not found"
+        else:
+            cur[t] = s
+    assert {r.request_id: r.reason for r in ch.rejects.collect()} == want_rej
+    assert {r.id: r.status for r in ch.state["support_tickets"].collect()} == cur
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["a@x.com", "A@x.com ", "b@x.com", "z@x.com"]),
+                          st.sampled_from([None, "", "Ann", " Bo "]),
+                          st.sampled_from([None, "", "98765 43210", "123", "+91 98765 00000"]),
+                          st.sampled_from([None, "", "Road 1"])), min_size=1, max_size=8))
+def test_profile_updates_equal_sequential_model(spark, reqs):
+    import re
+    base = {1: ("A", "a@x.com", "9000000001", "old"), 2: ("B", "b@x.com", None, None)}
+    cust = spark.createDataFrame([(i, n, e, p, 1, a, "active") for i, (n, e, p, a) in base.items()],
+                                 TABLES["customers"])
+    users = spark.createDataFrame([(10, "A", "a@x.com", "customer"), (11, "B", "b@x.com", "staff")], TABLES["users"])
+    requests = [(r + 1, *x) for r, x in enumerate(reqs)]
+    rdf = spark.createDataFrame(requests, "request_id long, email string, name string, phone string, address string")
+    ch = C.patch_profile(cust, users, rdf)
+    cur = {i: list(v) for i, v in base.items()}
+    by_email = {v[1]: i for i, v in base.items()}
+    login = {"a@x.com": "A"}
+    want_rej = {}
+    for rid, email, name, phone, address in requests:
+        cid = by_email.get(email.strip().lower())
+        if phone is not None and phone.strip():
+            d = re.sub(r"[^0-9]", "", phone)
+            p10 = d if len(d) == 10 else d[2:] if len(d) == 12 and d.startswith("91") else ""
+            if not p10:
+                want_rej[rid] = "Enter a valid 10-digit Indian phone number"
+                continue
+            phone = p10
+        if cid is None:
+            want_rej[rid] = "Customer profile not found"
+            continue
+        name = name.strip() if name else None
+        phone = phone.strip() if phone else None
+        address = address.strip() if address else None
+        cur[cid] = [name if name is not None else cur[cid][0], cur[cid][1],
+                    phone if phone is not None else cur[cid][2], address if address is not None else cur[cid][3]]
+        if name is not None and cur[cid][1] in login:
+            login[cur[cid][1]] = name
+    assert {r.request_id: r.reason for r in ch.rejects.collect()} == want_rej
+    got = {r.id: [r.name, r.email, r.phone, r.address] for r in ch.state["customers"].collect()}
+    assert got == cur
+    assert {r.email: r.name for r in ch.state["users"].filter("role = 'customer'").collect()} == login
