@@ -600,8 +600,10 @@ def delete_cascade(tables: dict[str, DataFrame], requests: DataFrame) -> Change:
     # once; a customer owning a large share of bills makes this set large,
     # and then the joins below fall back to shuffles instead of broadcasts.
     gone_bills = materialize(restrict(bills, d_ids, "customer_id", n).select(F.col("id").alias("bid")))
+    gone_bills_plain = gone_bills
+    gone_n = batch_rows(gone_bills)
     small_d = fits_broadcast(n)
-    small_b = fits_broadcast(gone_bills)
+    small_b = fits_broadcast(gone_n)
     if small_d:
         d_ids = F.broadcast(d_ids)
     if small_b:
@@ -619,12 +621,14 @@ def delete_cascade(tables: dict[str, DataFrame], requests: DataFrame) -> Change:
     new["data_usage"] = use.join(d_ids, use["customer_id"] == d_ids["cid"], "left_anti")
     ue = users.withColumn("_e", norm_email("email"))
     gone_login = (F.col("role") == "customer")
-    new["users"] = (ue.join(d.select("_e", F.lit(True).alias("_gone")), "_e", "left")
+    gone_e = _small(d.select("_e", F.lit(True).alias("_gone")), n)
+    new["users"] = (ue.join(gone_e, "_e", "left")
                     .filter(~(gone_login & F.col("_gone").isNotNull())).drop("_e", "_gone"))
     tk = tables["support_tickets"]
-    tk_j = tk.join(d_ids.withColumn("_hit", F.lit(True)), tk["customer_id"] == d_ids["cid"], "left")
+    hits = _small(d.select(F.col("customer_id").alias("_tc"), F.lit(True).alias("_hit")), n)
+    tk_j = tk.join(hits, tk["customer_id"] == F.col("_tc"), "left").drop("_tc")
     new["support_tickets"] = tk_j.withColumn(
-        "customer_id", F.when(F.col("_hit"), F.lit(None).cast("long")).otherwise(F.col("customer_id"))).drop("cid", "_hit")
+        "customer_id", F.when(F.col("_hit"), F.lit(None).cast("long")).otherwise(F.col("customer_id"))).drop("_hit")
     set_null = tk_j.filter(F.col("_hit")).agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("support_tickets").alias("table_name"), F.lit("set_null").alias("action"), "n")
     # Rows removed per table, counted from the removed rows themselves (one
@@ -636,13 +640,13 @@ def delete_cascade(tables: dict[str, DataFrame], requests: DataFrame) -> Change:
                                                 "left_semi"),
         "bill_reminders": tables["bill_reminders"].join(
             gone_bills, tables["bill_reminders"]["bill_id"] == gone_bills["bid"], "left_semi"),
-        "payments": pay.join(gone_bills.select(F.col("bid").alias("_gb"), F.lit(True).alias("_bh")),
-                             pay["bill_id"] == F.col("_gb"), "left")
-                       .join(d_ids.select(F.col("cid").alias("_gc"), F.lit(True).alias("_ch")),
+        "payments": pay.join(_small(gone_bills_plain.select(F.col("bid").alias("_gb"), F.lit(True).alias("_bh")),
+                                    gone_n), pay["bill_id"] == F.col("_gb"), "left")
+                       .join(_small(d.select(F.col("customer_id").alias("_gc"), F.lit(True).alias("_ch")), n),
                              pay["customer_id"] == F.col("_gc"), "left")
                        .filter(F.col("_bh").isNotNull() | F.col("_ch").isNotNull()),
         "data_usage": use.join(d_ids, use["customer_id"] == d_ids["cid"], "left_semi"),
-        "users": ue.filter(gone_login).join(d.select("_e"), "_e", "left_semi"),
+        "users": restrict(ue.filter(gone_login), d.select("_e"), "_e", n),
         "support_tickets": tk.limit(0),
     }
     counts = None
