@@ -227,3 +227,42 @@ def test_profile_updates_equal_sequential_model(spark, reqs):
     got = {r.id: [r.name, r.email, r.phone, r.address] for r in ch.state["customers"].collect()}
     assert got == cur
     assert {r.email: r.name for r in ch.state["users"].filter("role = 'customer'").collect()} == login
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["Ann", " ", "Bo"]), st.sampled_from(["n@x.com", " N@X.com", "s@x.com", "c@x.com"]),
+                          st.sampled_from(["9876543210", "555"]), st.sampled_from([1, 9, None]),
+                          st.sampled_from([0, 3, 8])), min_size=1, max_size=8))
+def test_staff_entered_customers_equal_sequential_model(spark, reqs):
+    import re
+    users = spark.createDataFrame([(5, "S", "s@x.com", "staff")], TABLES["users"])
+    custs = spark.createDataFrame([(3, "C", "c@x.com", None, 1, None, "active")], TABLES["customers"])
+    plans = spark.createDataFrame([(1, "P", "s", Decimal("1.00"), 30)], TABLES["plans"])
+    requests = [(r + 1, n, e, p, "addr", pl, pw) for r, (n, e, p, pl, pw) in enumerate(reqs)]
+    rdf = spark.createDataFrame(requests, "request_id long, name string, email string, phone string, address string, "
+                                          "plan_id long, password_length int")
+    ch = C.ingest_customers(users, custs, plans, rdf)
+    logins = {"s@x.com": ("S", "staff")}
+    cust_emails, accepted, want_rej = {"c@x.com"}, [], {}
+    for rid, name, email, phone, _, plan, pw in requests:
+        n, e = name.strip(), email.strip().lower()
+        d = re.sub(r"[^0-9]", "", phone)
+        if len(d) != 10:
+            want_rej[rid] = "Enter a valid 10-digit Indian phone number"
+        elif not n or not e or not plan:
+            want_rej[rid] = "Name, email and plan are required"
+        elif 0 < pw < 6:
+            want_rej[rid] = "Password must be at least 6 characters"
+        elif plan != 1:
+            want_rej[rid] = "Plan ID not found. Please choose an existing plan."
+        elif e in cust_emails:
+            want_rej[rid] = "Customer email already exists"
+        else:
+            cust_emails.add(e)
+            accepted.append((rid, e))
+            if pw:
+                logins[e] = (n, "customer")
+    assert {r.request_id: r.reason for r in ch.rejects.collect()} == want_rej
+    got = sorted((r.request_id, r.email) for r in ch.changed.filter("table_name = 'customers'").collect())
+    assert got == sorted(accepted)
+    assert {r.email: (r.name, r.role) for r in ch.state["users"].collect()} == logins
