@@ -99,7 +99,7 @@ def item_count_for(bill_ids: DataFrame, items: DataFrame) -> DataFrame:
     from ..session import write_through
     from .joins import restrict
     ids = write_through(bill_ids.select("bill_id").distinct(), "keys")
-    rel = restrict(items.select("bill_id"), ids, "bill_id", ids.count())
+    rel = restrict(items.select("bill_id"), ids, "bill_id", ids.written_rows)
     counts = rel.groupBy(F.col("bill_id").alias("_b")).agg(F.count(F.lit(1)).alias("item_count"))
     return (ids.join(counts, ids["bill_id"] == counts["_b"], "left")
             .select("bill_id", F.coalesce("item_count", F.lit(0).cast("long")).alias("item_count")))
