@@ -106,7 +106,7 @@ def write_through(df, purpose: str):
     from pyspark.sql import functions as F
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
-    seen = Observation(f"rows-{purpose}")
+    seen = Observation(f"rows-{purpose}-{uuid.uuid4().hex[:8]}")
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
     out = spark.read.parquet(path)
     out.written_rows = int(seen.get["n"])
