@@ -64,3 +64,19 @@ def write_invoices(lines: DataFrame, path: str) -> None:
     (lines.withColumn("bill_month", F.date_format("bill_date", "yyyy-MM"))
      .repartitionByRange("bill_month", "id", "item_id").sortWithinPartitions("bill_month", "id", "item_id")
      .write.mode("errorifexists").partitionBy("bill_month").json(path))
+
+
+def publish_state(state: dict[str, DataFrame], root: str, version: str) -> dict[str, str]:
+    """Write every table a change touched as a new snapshot under
+    ``root/version=<version>/<table>`` and return the paths.
+
+    All tables of one change come from the same input snapshot; readers
+    switch to the returned paths together once every write has finished,
+    so nobody sees half a change and no path being read is overwritten.
+    """
+    paths = {}
+    for name, df in state.items():
+        path = f"{root.rstrip('/')}/version={version}/{name}"
+        write_snapshot(df, path)
+        paths[name] = path
+    return paths

@@ -37,7 +37,8 @@ def test_query_matches_oracle(spark, duck, name):
     _compare(q.build(spark, SMALL), duck.execute(q.oracle))
 
 
-@pytest.mark.parametrize("name", ROWS_ONLY)
-def test_rows_only_query_runs(spark, name):
-    df = REG[name].build(spark, SMALL)
-    assert df.count() > 0
+if ROWS_ONLY:  # every query currently has an oracle
+    @pytest.mark.parametrize("name", ROWS_ONLY)
+    def test_rows_only_query_runs(spark, name):
+        df = REG[name].build(spark, SMALL)
+        assert df.count() > 0
