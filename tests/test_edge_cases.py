@@ -169,3 +169,13 @@ def test_repeated_patches_and_deletes(spark):
     assert sorted((r.request_id, r.reason) for r in dc.rejects.collect()) == [(2, "Customer not found"),
                                                                              (3, "Customer not found")]
     assert [r.id for r in dc.state["customers"].collect()] == [1]
+
+
+def test_dashboard_nested_shape(spark):
+    bills = frame(spark, "bills", [(1, 1, Decimal("10.00"), "paid", D, D), (2, 1, Decimal("5.50"), "paid", D, D),
+                                   (3, 1, Decimal("7.00"), "unpaid", D, D), (4, 1, Decimal("1.00"), None, D, D)])
+    row = A.dashboard(bills, customers(spark), nested=True).first()
+    assert row.revenue == Decimal("15.50") and row.customers == 2
+    assert sorted((p.status or "", p["count"]) for p in row.payments) == [("", 1), ("paid", 2), ("unpaid", 1)]
+    flat = A.dashboard(bills, customers(spark)).first()
+    assert (flat.bills, flat.paid_bills, flat.unpaid_bills, flat.null_status_bills) == (4, 2, 1, 1)
