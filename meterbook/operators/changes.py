@@ -57,6 +57,10 @@ R_TICKET_STATUS = "Invalid ticket status"
 R_TICKET_NOT_FOUND = "Ticket not found"
 MISSING_FIELDS = "Missing required fields: "
 R_VALIDATION = "Validation failed"
+
+# How a settlement is recorded (payments.method, payments.provider).
+STAFF_SETTLEMENT = ("manual", "staff")
+PROVIDER_SETTLEMENT = ("online", "razorpay")
 # Shape of an acceptable e-mail address in the sign-up validator.
 EMAIL_SHAPE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
@@ -256,7 +260,7 @@ def settle_manual(bills: DataFrame, customers: DataFrame, payments: DataFrame, r
         F.col("id").alias("_bid"), F.col("customer_id").alias("_cust"), F.col("amount").alias("_amount"))
     j = requests.join(b, requests["bill_id"] == b["_bid"], "left")
     acc, rej = _split(j, _reason((F.col("_bid").isNull(), R_BILL_NOT_FOUND)), "request_id", "settle_requests")
-    pay = _pay(acc, customers, payments, "manual", "staff", F.lit(run_ms), _ts(run_ts), bound=n)
+    pay = _pay(acc, customers, payments, *STAFF_SETTLEMENT, F.lit(run_ms), _ts(run_ts), bound=n)
     ch = _settle(bills, payments, acc, pay, n)
     ch.rejects = rej
     return ch
@@ -285,7 +289,7 @@ def settle_callbacks(bills: DataFrame, customers: DataFrame, payments: DataFrame
     online/razorpay payment at the callback time."""
     acc, rej, n = verify_callbacks(callbacks, bills, secret)
     ms = F.unix_millis(F.col("received_at").cast("timestamp"))
-    pay = _pay(acc, customers, payments, "online", "razorpay", ms, F.col("received_at"),
+    pay = _pay(acc, customers, payments, *PROVIDER_SETTLEMENT, ms, F.col("received_at"),
                F.col("order_id"), F.col("payment_id"), bound=n)
     ch = _settle(bills, payments, acc, pay, n)
     ch.rejects = rej
@@ -304,7 +308,7 @@ def settle_idempotent(bills: DataFrame, customers: DataFrame, payments: DataFram
     seen = first.join(known, "payment_id", "left_semi").select(
         F.lit("payment_callbacks").alias("table_name"), "request_id", F.lit(R_DUPLICATE).alias("reason"))
     ms = F.unix_millis(F.col("received_at").cast("timestamp"))
-    pay = _pay(fresh, customers, payments, "online", "razorpay", ms, F.col("received_at"),
+    pay = _pay(fresh, customers, payments, *PROVIDER_SETTLEMENT, ms, F.col("received_at"),
                F.col("order_id"), F.col("payment_id"), bound=n)
     ch = _settle(bills, payments, fresh, pay, n)
     ch.rejects = rej.unionByName(dup).unionByName(seen)
