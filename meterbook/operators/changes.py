@@ -106,11 +106,10 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def batch_rows(df: DataFrame) -> int:
-    """Rows of a materialized batch (observed while it was written; counted
-    from the written copy otherwise). Every key set derived from the batch has
-    at most this many rows, which is the bound the broadcast size checks use."""
-    rows = getattr(df, "written_rows", None)
-    return rows if rows is not None else df.count()
+    """Rows of a materialized batch (a scan of the written copy). Every key set
+    derived from the batch has at most this many rows, which is the bound the
+    broadcast size checks use."""
+    return df.count()
 
 
 def _split(df: DataFrame, reason: Column, key: str, table: str, keep: bool = True):

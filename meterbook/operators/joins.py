@@ -142,7 +142,7 @@ def existence_checks(requests: DataFrame, plans: DataFrame, customers: DataFrame
     user email). Each check is a left-semi join; results are unioned."""
     from ..session import write_through
     r = write_through(requests.select("request_id", "plan_id", norm_email("email").alias("_e")), "batch")
-    n = r.written_rows
+    n = r.count()
     plan_ok = r.join(F.broadcast(plans.select(F.col("id").cast("long").alias("plan_id"))), "plan_id", "left_semi")
     # Reduce each big table to the requested e-mails first (broadcast when the
     # batch passes the size check), then semi-join the batch with that.
