@@ -15,6 +15,7 @@ import os
 import re
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -35,7 +36,8 @@ def main() -> None:
     from meterbook.plans.registry import load_all
     from meterbook.session import build_session
     spark = build_session(f"local[{cpus}]", max(8, 2 * cpus), app_name="meterbook-bench",
-                          extra={"spark.driver.memory": "16g"})
+                          extra={"spark.driver.memory": "16g",
+                                 "spark.checkpoint.dir": tempfile.mkdtemp(prefix="checkpoints-")})
     reg = load_all()
     names = sorted(reg) if "--all" in sys.argv else HEADLINE
     if args:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -33,7 +31,8 @@ _DEFAULTS = {
 }
 
 
-_RUNTIME = ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
+_TUNED: dict[str, set] = {}
+_RUNTIME = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
             "spark.sql.sources.fileCompressionFactor", "spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
@@ -59,36 +58,36 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings the jobs rely on to an existing session."""
+    """Fill in the runtime SQL settings the jobs rely on; a setting the caller made stays.
+
+    The session time zone is the exception: dates in the books are UTC days.
+    """
+    launched = spark.sparkContext.getConf()
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     for k in _RUNTIME:
-        spark.conf.set(k, _DEFAULTS[k])
+        if launched.get(k) is None and k not in _TUNED.setdefault(spark.sparkContext.applicationId, set()):
+            spark.conf.set(k, _DEFAULTS[k])
+            _TUNED[spark.sparkContext.applicationId].add(k)
     return spark
 
 
+def shared_base(spark: SparkSession) -> str | None:
+    """The folder every executor can reach, named by ``spark.checkpoint.dir``."""
+    return (spark.conf.get("spark.checkpoint.dir", None)
+            or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+            or spark.sparkContext.getCheckpointDir())
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh directory under the cluster's shared checkpoint folder.
+    """A fresh path under the cluster's shared checkpoint folder; Spark's writers create it.
 
-    ``spark.checkpoint.dir`` names storage every executor can reach. It is
-    read from the session; only when it is unset (local tests) do we create
-    one under the local temp folder and record it on the session.
+    The folder is read from the session. There is no machine-local fallback:
+    on a cluster each executor would write to its own disk.
     """
-    base = (spark.conf.get("spark.checkpoint.dir", None)
-            or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-            or spark.sparkContext.getCheckpointDir())
+    base = shared_base(spark)
     if not base:
-        base = tempfile.mkdtemp(prefix="meterbook-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", base)
-        except Exception:  # noqa: BLE001 - some deployments refuse core settings at runtime
-            pass
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path:
-        os.makedirs(path, exist_ok=True)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return path
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
 def write_through(df, purpose: str):
@@ -104,4 +103,4 @@ def write_through(df, purpose: str):
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

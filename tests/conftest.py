@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,8 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from meterbook.session import build_session
-    s = build_session("local[4]", 8)
+    s = build_session("local[4]", 8, extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="checkpoints-"),
+                                            "spark.driver.memory": "6g"})
     yield s
     s.stop()
 

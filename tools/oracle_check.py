@@ -16,6 +16,7 @@ import json
 import math
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -76,11 +77,17 @@ def main():
     a = ap.parse_args()
     from meterbook.session import build_session
     from meterbook.plans.registry import load_all
-    spark = build_session("local[8]", 8)
+    spark = build_session("local[8]", 8, extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="checkpoints-")})
     for kv in a.conf:
         k, v = kv.split("=", 1)
         spark.conf.set(k, v)
     reg = load_all()
+    try:
+        from meterbook.llm.queries import QUERIES
+        reg = {**reg, **QUERIES}
+    except ModuleNotFoundError as e:
+        if not (e.name or "").startswith(("meterbook.llm", "corpus_pipeline")):
+            raise
     con = duck_con(a.sf_dir)
     results = {}
     for name, q in sorted(reg.items()):
