@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bloom_cascade, exact_dedup, quality_cascade, source_mix
+from . import bloom_cascade, chat_format, exact_dedup, merge_dropout, quality_cascade, source_mix
 from .common import table, text_of
 
 
@@ -36,12 +36,26 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_cascade.judge_urls(table(spark, sf_dir, "pages"))
 
 
+@query()
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the digest of the text that they decode to."""
+    return merge_dropout.encode(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     return source_mix.mix_report(table(spark, sf_dir, "documents"))
 
 
+@query(chat_format.ORACLE)
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted turns."""
+    records = chat_format.with_extra(table(spark, sf_dir, "conversations"))
+    turns = chat_format.canonical_turns(records).where("layout IS NOT NULL")
+    return chat_format.conversation_digests(turns)
+
+
 @query(exact_dedup.ORACLE)
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of every document by identical text, with a digest of every text."""
