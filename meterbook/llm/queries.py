@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bloom_cascade, chat_format, exact_dedup, merge_dropout, quality_cascade, source_mix
+from . import bloom_cascade, chat_format, exact_dedup, merge_dropout, pii_crf, quality_cascade, source_mix, toxicity
 from .common import table, text_of
 
 
@@ -36,6 +36,20 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_cascade.judge_urls(table(spark, sf_dir, "pages"))
 
 
+@query()
+def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: the rules' counts and digest, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    return pii_crf.detect(docs, pii_crf.train(docs))
+
+
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, from a model of the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query()
 def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and the digest of the text that they decode to."""
