@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bloom_cascade, chat_format, exact_dedup, merge_dropout, pii_crf, quality_cascade, source_mix, toxicity
+from . import bloom_cascade, chat_format, exact_dedup, merge_dropout, pii_crf, quality_cascade, source_mix, suffix_family, token_groups, toxicity
 from .common import table, text_of
 
 
@@ -62,6 +62,12 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_report(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document by links of shingle sets."""
+    return token_groups.join(table(spark, sf_dir, "documents"))
+
+
 @query(chat_format.ORACLE)
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation, read back from its formatted turns."""
@@ -82,4 +88,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+@query()
+def op10_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a passage repeated anywhere covers, and a digest of the rest."""
+    return suffix_family.remove(table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = Query("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)

@@ -194,19 +194,22 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     text. A document that lies in one block comes whole. ``n_chars``, if there
     is one, follows the piece.
     """
-    keyed = docs.withColumn("__copy", F.xxhash64(text_of(text)))
+    name = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (id_column, source)]
+    keyed = docs.select(*[F.col(c) for c in docs.columns], name[0].alias("__id"), name[1].alias("__source"),
+                        F.xxhash64(text_of(text)).alias("__copy"))
     plan = Mix(sized(docs, id_column, text, source), **options)
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(k) for c, k in (("doc_id", "__id"), ("source", "__source"))]
     drawn = plan.pieces().join(plan.slots, ["src", "block"]).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("copy").alias("__copy2"),
-        F.col("size").alias("__size"), "from_word", "n_words")
+        *own, F.col("copy").alias("__copy"), F.col("size").alias("__size"), F.col("from_word").alias("__from"),
+        F.col("n_words").alias("__words"))
     # Rows alike in id, source and text have pieces each; one of them stands for all.
-    one = keyed.dropDuplicates([id_column, source, "__copy"])
-    joined = one.join(drawn, F.col(id_column).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source"))
-                      & (F.col("__copy") == F.col("__copy2")))
+    if not plan.rows.groupBy("doc_id", "source", "copy").count().where("count > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["__id", "__source", "__copy"])
+    joined = keyed.join(drawn, ["__id", "__source", "__copy"])
     tokens = F.regexp_extract_all(F.col(text), F.lit(r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
                                                      r"|[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    piece = F.array_join(F.slice(tokens, (F.col("from_word") + 1).cast("int"), F.col("n_words").cast("int")), "")
-    cut = joined.withColumn(text, F.when(F.col("n_words") == F.col("__size"), F.col(text)).otherwise(piece))
+    piece = F.array_join(F.slice(tokens, (F.col("__from") + 1).cast("int"), F.col("__words").cast("int")), "")
+    cut = joined.withColumn(text, F.when(F.col("__words") == F.col("__size"), F.col(text)).otherwise(piece))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
