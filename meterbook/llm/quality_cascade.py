@@ -105,7 +105,9 @@ RULES = (
 
 def order_rules(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections per second on a sample of at most ``sample_rows`` rows."""
-    sample = stash(docs.select(text_of(text).alias("__text")).limit(sample_rows), "sample")
+    # take() reads as few files as it needs; a limit inside a plan would gather rows from every partition.
+    taken = docs.select(text_of(text).alias("__text")).take(sample_rows)
+    sample = stash(docs.sparkSession.createDataFrame([(r[0],) for r in taken], "__text string"), "sample")
     measure = lambda name: {**MEASURES, "n_lines": n_lines}[name](F.col("__text"))
     sample.select(F.sum(F.length("__text"))).collect()       # the files are cached before the timing
     found = []
