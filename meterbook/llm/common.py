@@ -53,3 +53,8 @@ def prefix_sums(df: DataFrame, group: list[str], chunk: str, order: list[str], v
     return (df.withColumn(out, F.coalesce(F.sum(value).over(in_chunk), F.lit(0)))
             .join(starts, [*group, chunk])
             .withColumn(out, F.col(out) + F.col(base)).drop(base))
+
+
+def hash_sample(df: DataFrame, key: Column, about: int) -> DataFrame:
+    """Rows of ``df`` by hash of ``key``: all up to ``about``, else between that many and twice as many are expected."""
+    return df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(max(1, df.count() // about))) == 0)

@@ -12,7 +12,7 @@ clamped, so that a number that is a phone number in one place is one in the
 others too. Mentions that are likely a kind add a span; the rules' spans stay.
 
 The weights are fitted by pseudo-likelihood on the rules' labels in a sample
-of at most ``FIT_TEXTS`` texts. Surface cues are masked in half of the sample,
+of about ``FIT_TEXTS`` texts. Surface cues are masked in half of the sample,
 so that the edges have to carry their part. A Gaussian prior pulls the
 resemblance weights to ``SKIP_PRIOR``.
 """
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import hash_sample, text_of
 
 KINDS = ("email", "ip", "card", "phone")            # fixed values, in the contract's order
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -256,11 +256,10 @@ def spell(spans) -> str:
 
 
 def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text", max_texts: int = FIT_TEXTS) -> Field:
-    """Fits on at most ``max_texts`` texts that hold a mention, chosen by hash of the text."""
+    """Fits on about ``max_texts`` texts that hold a mention (at most twice as many), chosen by hash of the text."""
     body = text_of(text)
-    rows = (docs.select(body.alias("t")).where(F.col("t").rlike(r"[0-9]{3}|@") & (F.length("t") < 50_000))
-            .orderBy(F.xxhash64("t"), "t").limit(max_texts).collect())
-    return fit(sorted(r["t"] for r in rows))
+    hinting = docs.select(body.alias("t")).where(F.col("t").rlike(r"[0-9]{3}|@") & (F.length("t") < 50_000))
+    return fit(sorted(r["t"] for r in hash_sample(hinting, F.col("t"), max_texts).collect()))
 
 
 def detect(docs: DataFrame, field: Field, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -14,8 +14,8 @@ The kernel of two words without a common subsequence of length ``ORDER`` is 0.
 A bit-parallel longest-common-subsequence test finds these pairs exactly, and
 the dynamic program runs for the others only.
 
-Fitting reads at most ``MAX_PER_CLASS`` labelled texts of each class, taken by
-hash order; everything is scored.
+Fitting reads about ``MAX_PER_CLASS`` labelled texts of each class, taken by
+hash; everything is scored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import hash_sample, text_of
 
 ORDER, DECAY = 3, 0.8
 MAX_PER_CLASS = 1500           # labelled texts of either class that the fit reads
@@ -39,12 +39,14 @@ CACHE_WORDS = 600_000
 BATCH_WORDS = 1 << 15          # words that meet the landmarks at a time
 BATCH_TEXTS = 1000
 SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")       # letters set apart by spaces
+NO_LETTERS = re.compile(r"[\W\d_]+")
 DIGITS = str.maketrans("01345", "oieas")                   # digits that stand for letters
 ROUNDS = 4
 
 
 def letters(token: str) -> str:
-    return "".join(c for c in token.lower().translate(DIGITS) if c.isalpha())
+    low = token.lower()
+    return low if low.isalpha() else NO_LETTERS.sub("", low.translate(DIGITS))
 
 
 def tokens(text: str) -> set[str]:
@@ -251,12 +253,12 @@ def held_out(id_column: Column, folds: int = 5) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic",
           max_per_class: int = MAX_PER_CLASS) -> Model | None:
-    """Fits on at most ``max_per_class`` labelled texts of each class, chosen by hash of the id."""
+    """Fits on about ``max_per_class`` labelled texts of each class (at most twice as many), chosen by hash of the id."""
     marks = (labels.where(~held_out(F.col(id_column)) & F.col(label).isNotNull())
              .groupBy(F.col(id_column).alias("__id")).agg(F.max(label).alias("__toxic")))
     rows = []
     for value in (0, 1):
-        ids = marks.where(F.col("__toxic") == value).orderBy(F.xxhash64("__id"), "__id").limit(max_per_class)
+        ids = hash_sample(marks.where(F.col("__toxic") == value), F.col("__id"), max_per_class)
         found = (docs.join(F.broadcast(ids), F.col(id_column) == F.col("__id"))
                  .where(F.length(text_of(text)) <= MAX_FIT_CHARS)
                  .select("__id", text_of(text).alias("__text")).dropDuplicates(["__id"]))
