@@ -58,3 +58,10 @@ def prefix_sums(df: DataFrame, group: list[str], chunk: str, order: list[str], v
 def hash_sample(df: DataFrame, key: Column, about: int) -> DataFrame:
     """Rows of ``df`` by hash of ``key``: all up to ``about``, else between that many and twice as many are expected."""
     return df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(max(1, df.count() // about))) == 0)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` texts, unless the session says otherwise: both sides hold a batch in memory."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":       # Spark's default
+        spark.conf.set(setting, str(rows))

@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 7
@@ -291,6 +293,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text: str = "text", model
     on the driver and reaches the executors as a broadcast of fixed size.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(load_vocabulary(model))
     kind = docs.schema[id_column].dataType.simpleString()
 

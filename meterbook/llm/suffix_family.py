@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, text_of
+from .common import small_batches, stash, text_of
 from .shingles import _BYTE, mix, powers
 from .token_groups import only
 
@@ -37,8 +37,8 @@ LENGTH = 400                   # bytes of a repeated string; fixed value of the
 GRAM = 64
 SPAN = LENGTH - GRAM + 1       # strings of GRAM bytes in a window
 BATCHES = 4
-CHUNK = 1 << 19                # window starts that are looked at at a time
-SLICE_BYTES = 8 << 20
+CHUNK = 1 << 18                # window starts that are looked at at a time
+SLICE_BYTES = 4 << 20
 RANGE_BYTES = 128 << 20        # text per range of fingerprints
 PART_ROWS = 8192               # edge entries that are compared in one task
 HOT_CLASSES = 4096             # a fingerprint with more different stretches is compared by window hashes over all tasks
@@ -367,6 +367,7 @@ def remove(docs: DataFrame, id_column: str = "doc_id", text: str = "text", batch
     texts lose nothing. Rows that repeat an id are documents of their own; null
     ids are handled as any other. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     no_id = -(1 << 63)
     rows = docs.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(no_id)).alias("doc_id"), text_of(text).alias("text"))
     spans = repeated_passages(rows, batches).groupBy("doc", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))

@@ -14,8 +14,9 @@ puts frequent tokens last. Groups that share a matrix row with a query are its
 candidates. A bit union of the group's whole token sets bounds the overlap
 from above; only groups that can still reach it are opened, and their members
 are compared by bit sets (an exact bound on the difference) and then by their
-sets. Once two groups' leaders link, the groups need not be opened to each
-other. Nothing is sampled, and no list is cut.
+sets. Before that, every member of a row meets the row's most typical member
+only; groups that these links join need not be opened to each other. Nothing
+is sampled, and no list is cut.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom_cascade import Level, bit_array, hits
-from .common import stash, text_of
+from .common import small_batches, stash, text_of
 from .graph import components
 from .shingles import shingle_set
 
@@ -260,7 +261,10 @@ def _groups(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _postings(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], bits: int) -> DataFrame:
-    """(token, doc_id) of every prefix token that two or more rows have in their prefixes."""
+    """(token, doc_id, place, frequent) of every prefix token that two or more rows have in their prefixes.
+
+    ``place`` is the token's rank in the row's set, ``frequent`` how many of the set's tokens are frequent.
+    """
     ranges = 1 << bits
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
@@ -269,7 +273,8 @@ def _postings(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], bits: int)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in _slices(texts):
-                tokens, owners = [], []
+                tokens, owners, places = [], [], []
+                frequent = np.zeros(b - a, np.int64)
                 for i, text in enumerate(texts[a:b]):
                     s = shingle_set(text)
                     if not len(s) or ids[a + i] is None:
@@ -281,38 +286,48 @@ def _postings(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], bits: int)
                         df = np.where(names[at] == short, often[at], 0)
                         if df.any():
                             s = s[np.lexsort((s, df))]
+                        frequent[i] = np.count_nonzero(df)
                     s = s[:prefix_length(len(s))]
                     tokens.append(s)
+                    places.append(np.arange(len(s), dtype=np.uint32))
                     owners.append(np.full(len(s), i, np.uint32))
                 if not tokens:
                     continue
                 every = np.concatenate(tokens) >> np.uint64(32 - bits)
                 order = np.argsort(every)
-                every, owner = every[order], np.concatenate(owners)[order]
+                every, owner, place = every[order], np.concatenate(owners)[order], np.concatenate(places)[order]
                 cuts = np.searchsorted(every, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)).tolist()
-                own = np.array([-1 if i is None else i for i in ids[a:b]], np.int64).tobytes()
-                rows = [(r, every[x:y].astype(np.uint32).tobytes(), owner[x:y].tobytes(), own)
+                own = np.array([-1 if i is None else i for i in ids[a:b]], np.int64).tobytes() + frequent.tobytes()
+                rows = [(r, every[x:y].astype(np.uint32).tobytes(), owner[x:y].tobytes(), place[x:y].tobytes(), own)
                         for r, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)],
-                    names=["range", "tokens", "owners", "ids"])
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)],
+                    names=["range", "tokens", "owners", "places", "ids"])
 
     def reduce(table: pa.Table) -> pa.Table:
         r = table.column("range")[0].as_py()
-        tokens, owners = [], []
+        tokens, owners, rows, places = [], [], [], []
         for i in range(table.num_rows):
             tokens.append(np.frombuffer(table.column("tokens")[i].as_py(), np.uint32))
-            ids = np.frombuffer(table.column("ids")[i].as_py(), np.int64)
-            owners.append(ids[np.frombuffer(table.column("owners")[i].as_py(), np.uint32)])
-        every, owner = np.concatenate(tokens), np.concatenate(owners)
+            owners.append(np.frombuffer(table.column("owners")[i].as_py(), np.uint32))
+            places.append(np.frombuffer(table.column("places")[i].as_py(), np.uint32))
+            rows.append(np.full(len(tokens[-1]), i, np.uint32))
+        every = np.concatenate(tokens)
         order = np.argsort(every)
-        every, owner = every[order], owner[order]
+        every = every[order]
         _, counts = _runs(every)
         some = np.repeat(counts > 1, counts)
-        return pa.table({"token": every[some].astype(np.int64) | np.int64(r) << np.int64(32), "doc_id": owner[some]})
+        order = order[some]
+        row, owner = np.concatenate(rows)[order], np.concatenate(owners)[order]
+        both = [np.frombuffer(x.as_py(), np.int64) for x in table.column("ids")]
+        starts = np.cumsum([0] + [len(x) // 2 for x in both])
+        ids = np.concatenate([x[:len(x) // 2] for x in both])[starts[row] + owner]
+        often = np.concatenate([x[len(x) // 2:] for x in both])[starts[row] + owner]
+        return pa.table({"token": every[some].astype(np.int64) | np.int64(r) << np.int64(32), "doc_id": ids,
+                         "place": np.concatenate(places)[order].astype(np.int64), "frequent": often})
 
-    return (docs.mapInArrow(scan, "range int, tokens binary, owners binary, ids binary")
-            .groupBy("range").applyInArrow(reduce, "token bigint, doc_id bigint"))
+    return (docs.mapInArrow(scan, "range int, tokens binary, owners binary, places binary, ids binary")
+            .groupBy("range").applyInArrow(reduce, "token bigint, doc_id bigint, place bigint, frequent bigint"))
 
 
 def _where(pairs: DataFrame, test, left: list[str], right: list[str]) -> DataFrame:
@@ -339,7 +354,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _unions(nodes: DataFrame) -> DataFrame:
-    """(grp, signature): the bit union of the members' tokens, for groups of two or more."""
+    """(grp, signature): the bit union of the members' tokens."""
     def union(table: pa.Table) -> pa.Table:
         rows = table.column("signature").to_pylist()
         size = min(map(len, rows))
@@ -349,11 +364,13 @@ def _unions(nodes: DataFrame) -> DataFrame:
         return pa.table({"grp": table.column("grp").slice(0, 1).cast(pa.int64()),
                          "signature": pa.array([total.to_bytes(size, "little")], pa.binary())})
 
-    several = nodes.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
-    rows = (nodes.join(several, "grp")
+    sizes = nodes.groupBy("grp").agg(F.count("*").alias("n"))
+    single = nodes.join(sizes.where("n = 1"), "grp").select("grp", "signature")
+    rows = (nodes.join(sizes.where("n > 1"), "grp")
             .withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART))).select("grp", "part", "signature"))
     parts = rows.groupBy("grp", "part").applyInArrow(lambda t: union(t), "grp bigint, signature binary")
-    return stash(parts.groupBy("grp").applyInArrow(lambda t: union(t), "grp bigint, signature binary"), "unions")
+    whole = parts.groupBy("grp").applyInArrow(lambda t: union(t), "grp bigint, signature binary")
+    return stash(whole.unionByName(single), "unions")
 
 
 def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -367,6 +384,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
     all their links. A null id has no component. Other columns are not read;
     an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(2, math.ceil(math.log2(total / RANGE_CHARS + 1)))
@@ -392,33 +410,38 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
     often = scanned.where(F.col("token").isNotNull() & (F.col("df") > limit)).select("token", "df").toPandas().sort_values("token")
     heavy = (often["token"].to_numpy(np.uint64), often["df"].to_numpy(np.int64))
 
-    # The matrix: (token, grp), with the members that have the token in their prefix.
-    owner = ids.where("node IS NOT NULL").select("doc_id", "node").dropDuplicates()
+    # The matrix: (token, grp), with the members that have the token in their prefix, its place there and their size.
+    owner = ids.where("node IS NOT NULL").select("doc_id", "node", "n_shingles").dropDuplicates(["doc_id", "node"])
     cells = stash(_postings(docs, heavy, bits).join(owner, "doc_id").join(groups, "node")
-                  .select("token", "node", "grp").distinct(), "cells")
-    active = cells.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b").select("token")
-    matrix = stash(cells.join(active, "token", "left_semi"), "matrix")
-    columns = matrix.select("token", "grp").distinct()
-    pairs = stash(columns.select("token", F.col("grp").alias("u"))
-                  .join(columns.select("token", F.col("grp").alias("v")), "token").where("u < v")
-                  .select("u", "v").distinct(), "pairs")
-    led = _verified(docs, pairs, nodes)
-    # Groups whose leaders link are one already. One step of the smallest label is enough to skip most of them.
-    near = components(led)
-    label = stash(groups.join(near, groups.grp == near.node, "left").select(
-        groups.node, "grp", F.coalesce("component", "grp").alias("label")), "label")
-    unions = _unions(nodes)
-    of_query = matrix.join(label, ["node", "grp"]).select("token", "node", F.col("label").alias("la"))
-    of_group = matrix.join(unions.select("grp"), "grp", "left_semi").join(label, ["node", "grp"]).select(
-        "token", "grp", F.col("label").alias("lb")).distinct()
-    asked = stash(of_query.join(of_group, "token").where("la <> lb")
-                  .select(F.col("node").alias("u"), F.col("grp").alias("v")).distinct(), "asked")
+                  .select("token", "node", "grp", "place", "frequent", "n_shingles").dropDuplicates(["token", "node"]), "cells")
+    # First every member of a row meets the row's most typical one only, the one with the largest share of frequent
+    # tokens: copies of one text mostly link to the text itself, and then need not be compared with each other.
+    typical = F.struct((F.col("frequent") / F.col("n_shingles")).alias("share"), (-F.col("node")).alias("turned"), "grp")
+    pivots = cells.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("b"), F.max(typical).alias("pivot")).where("a <> b")
+    stars = stash(cells.join(pivots, "token").where("grp <> pivot.grp")
+                  .select(F.least("node", -F.col("pivot.turned")).alias("u"), F.greatest("node", -F.col("pivot.turned")).alias("v"))
+                  .distinct(), "stars")
+    led = _verified(docs, stars, nodes)
+    named = groups.select(F.col("node").alias("u"), F.col("grp").alias("gu"))
+    joined = components(led.join(named, "u").join(named.toDF("v", "gv"), "v").select(F.col("gu").alias("u"), F.col("gv").alias("v")))
+    label = stash(groups.join(joined.toDF("__grp", "component"), F.col("grp") == F.col("__grp"), "left")
+                  .select("node", F.coalesce("component", "grp").alias("label")), "label")
+    # Then queries meet the groups that are not one component with them: rows of the matrix with several labels.
+    labelled = stash(cells.join(label, "node"), "labelled")
+    split = labelled.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
+    matrix = stash(labelled.join(split, "token", "left_semi"), "matrix")
+    q, m = matrix.alias("q"), matrix.alias("m")
+    # What two sets share from a common token on is no more than either has left there.
+    left = F.least(F.col("q.n_shingles") - F.col("q.place"), F.col("m.n_shingles") - F.col("m.place"))
+    enough = (NEED[0] + NEED[1]) * left >= NEED[0] * (F.col("q.n_shingles") + F.col("m.n_shingles"))
+    asked = stash(q.join(m, "token").where((F.col("q.label") < F.col("m.label")) & enough)
+                  .select(F.col("q.node").alias("u"), F.col("m.grp").alias("v"), F.col("m.node").alias("w")).distinct(), "asked")
     query = nodes.select(F.col("node").alias("u"), F.col("signature").alias("s1"), F.col("n_shingles").alias("n1"))
-    opened = stash(_where(asked.join(query, "u").join(unions.select(F.col("grp").alias("v"), F.col("signature").alias("s2")), "v"),
+    unions = _unions(nodes)
+    opened = stash(_where(asked.select("u", "v").distinct().join(query, "u")
+                          .join(unions.select(F.col("grp").alias("v"), F.col("signature").alias("s2")), "v"),
                           may_open, ["s1", "n1"], ["s2"]), "opened")
-    members = matrix.select("token", F.col("node").alias("member"), F.col("grp").alias("v"))
-    inner = (opened.join(matrix.select("token", F.col("node").alias("u")), "u").join(members, ["token", "v"])
-             .select("u", F.col("member").alias("w")).distinct())
+    inner = asked.join(opened, ["u", "v"], "left_semi").select("u", "w")
     found = _verified(docs, inner.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("v")).distinct(), nodes)
 
     repeated = (ids.where("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("doc_id")
