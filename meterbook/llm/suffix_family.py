@@ -39,7 +39,7 @@ SPAN = LENGTH - GRAM + 1       # strings of GRAM bytes in a window
 BATCHES = 4
 CHUNK = 1 << 18                # window starts that are looked at at a time
 SLICE_BYTES = 4 << 20
-RANGE_BYTES = 128 << 20        # text per range of fingerprints
+RANGE_BYTES = 8 << 20        # text per range of fingerprints
 PART_ROWS = 8192               # edge entries that are compared in one task
 HOT_CLASSES = 4096             # a fingerprint with more different stretches is compared by window hashes over all tasks
 

@@ -39,7 +39,7 @@ PART = 128                       # nodes that are compared directly in one task
 HEAVY = 32                       # texts from which on a token counts as frequent
 MAX_HEAVY = 500_000              # frequent tokens that are broadcast; more raise the limit above HEAVY
 SLICE_BYTES = 4 << 20            # text that a Python worker turns into sets at a time
-RANGE_CHARS = 64 << 20           # text per range of tokens
+RANGE_CHARS = 16 << 20           # text per range of tokens
 MAX_SIGNATURE_BITS = 1 << 16
 MAX_FILTER_BITS = 1 << 26
 
