@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 7
 VARIANTS = 4
-CACHE_CHUNKS = 400_000         # kept segmentations of a Python worker
+CACHE_CHUNKS = 800_000         # kept segmentations of a Python worker
 GROUP_CHARS = 1 << 20          # text that a Python worker holds cut up at a time
 LONG_CHUNK = 48                # symbols; longer chunks have an agenda of their own
 
@@ -227,26 +227,27 @@ class Codec:
             text = text[at:]
         yield text
 
-    def encode_texts(self, owners: list, texts: list[str], caches: list[dict]):
+    def encode_texts(self, owners: list, texts: list[str], caches: list[tuple[dict, dict]]):
         """One uint16 array of ids per text; the empty text has none."""
         groups, rows, wanted = [], 0, [set() for _ in caches]
         out = [[] for _ in texts]
 
         def flush():
             for v, names in enumerate(wanted):
-                if names:
-                    names_list = list(names)
-                    caches[v].update(zip(names_list, self.encode_many(names_list, [v] * len(names_list)), strict=True))
-                    names.clear()
+                new, old = caches[v]
+                for c in names:
+                    if c in old:
+                        new[c] = old[c]
+                missing = [c for c in names if c not in new]
+                if missing:
+                    new.update(zip(missing, self.encode_many(missing, [v] * len(missing)), strict=True))
+                names.clear()
+            known = [new for new, _ in caches]
             for i, chunks, vs in groups:
-                out[i].append(b"".join([caches[v][c] for c, v in zip(chunks, vs, strict=True)]))
-            if sum(map(len, caches)) > CACHE_CHUNKS:       # start over with what the last texts used
-                recent = [{} for _ in caches]
-                for _, chunks, vs in groups:
-                    for c, v in zip(chunks, vs, strict=True):
-                        recent[v][c] = caches[v][c]
-                caches[:] = recent
+                out[i].append(b"".join([known[v][c] for c, v in zip(chunks, vs, strict=True)]))
             groups.clear()
+            if sum(map(len, known)) > CACHE_CHUNKS // 2:     # the older half goes when the newer one is full
+                caches[:] = [({}, new) for new in known]
 
         for i, (owner, text) in enumerate(zip(owners, texts, strict=True)):
             base, ordinal = zlib.crc32(repr(owner).encode()), 0
@@ -257,7 +258,7 @@ class Codec:
                     vs = (_mix(places ^ self.seed) % np.uint64(self.variants)).tolist()
                 ordinal += len(chunks)
                 for c, v in zip(chunks, vs, strict=True):
-                    if c not in caches[v]:
+                    if c not in caches[v][0]:
                         wanted[v].add(c)
                 groups.append((i, chunks, vs))
                 rows += len(part)
@@ -299,7 +300,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text: str = "text", model
 
     def run(batches):
         codec = _codec(shared, dropout, seed, variants)
-        caches: list[dict] = [{} for _ in range(variants)]
+        caches: list[tuple[dict, dict]] = [({}, {}) for _ in range(variants)]
         for batch in batches:
             sizes = np.cumsum([0] + [len(x) if x else 0 for x in batch.column(1).to_pylist()]) // GROUP_CHARS
             cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]

@@ -40,6 +40,7 @@ BATCHES = 4
 CHUNK = 1 << 18                # window starts that are looked at at a time
 SLICE_BYTES = 4 << 20
 RANGE_BYTES = 8 << 20        # text per range of fingerprints
+ROW_ENTRIES = 2048             # of a packed row; small rows keep the writers' pages small
 PART_ROWS = 8192               # edge entries that are compared in one task
 HOT_CLASSES = 4096             # a fingerprint with more different stretches is compared by window hashes over all tasks
 
@@ -75,7 +76,9 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM):
             place = anchor[lo]
             digest = mix(mix((total[hi + length] - total[lo]) * down[lo]) + (place - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                          + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        yield grams[place], digest, lo + at, hi + at
+        # Anchors are minima: mixed again, their fingerprints are spread evenly over the ranges.
+        with np.errstate(over="ignore"):
+            yield mix(grams[place] + np.uint64(1)), digest, lo + at, hi + at
 
 
 def window_hashes(data: bytes, length: int = LENGTH) -> np.ndarray:
@@ -105,7 +108,7 @@ def _hit_columns(found: np.ndarray) -> list[pa.Array]:
 
 def _packed(r: int, entries: list[np.ndarray], found: np.ndarray) -> pa.Table:
     """Rows of a level (range, entries) and of the entries found (the others)."""
-    kept = [e for e in entries if len(e)]
+    kept = [e[i:i + ROW_ENTRIES] for e in entries for i in range(0, len(e), ROW_ENTRIES)]
     blanks = [pa.nulls(len(kept), pa.int64())] * 6
     level = pa.table([pa.array([r] * len(kept), pa.int32()), pa.array([e.tobytes() for e in kept], pa.binary()), *blanks],
                      names=["range", "entries", *_HIT_NAMES])
@@ -117,8 +120,11 @@ def _packed(r: int, entries: list[np.ndarray], found: np.ndarray) -> pa.Table:
 
 
 def _entries(table: pa.Table) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_py(), ENTRY) for x in table.column("entries")]) if table.num_rows else \
-        np.zeros(0, ENTRY)
+    """Entries of a range, by fingerprint."""
+    if not table.num_rows:
+        return np.zeros(0, ENTRY)
+    e = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY)
+    return e[np.argsort(e["fp"], kind="stable")]
 
 
 def _index(docs: DataFrame, bits: int, batches: int) -> DataFrame:
@@ -160,7 +166,6 @@ def _build(table: pa.Table) -> pa.Table:
     """A batch's index of one range: sorted entries; those whose fingerprint repeats inside it are found."""
     r = table.column("range")[0].as_py()
     e = _entries(table)
-    e = e[np.argsort(e["fp"], kind="stable")]
     fp = e["fp"]
     same = np.concatenate([[False], fp[1:] == fp[:-1]])
     again = same | np.append(same[1:], False)
@@ -173,8 +178,6 @@ def _scan(merge: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         r = (left if left.num_rows else right).column("range")[0].as_py()
         a, b = _entries(left), _entries(right)
-        a = a.copy()
-        b = b.copy()
 
         def among(x, y):
             at = np.searchsorted(y["fp"], x["fp"]) if len(y) else np.zeros(len(x), np.int64)
