@@ -62,6 +62,7 @@ def _mix(x):
 class Codec:
     def __init__(self, vocabulary, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
         self.size, self.variants = len(vocabulary), variants
+        self.caches: list[tuple[dict, dict]] = [({}, {}) for _ in range(variants)]
         self.seed = np.uint64(int.from_bytes(hashlib.blake2b(repr(seed).encode(), digest_size=8).digest(), "big"))
         self.limit = np.uint64(min(_M64, int(dropout * 2.0 ** 64)))
         self.byte_id = np.zeros(256, np.int64)
@@ -300,7 +301,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text: str = "text", model
 
     def run(batches):
         codec = _codec(shared, dropout, seed, variants)
-        caches: list[tuple[dict, dict]] = [({}, {}) for _ in range(variants)]
+        caches = codec.caches           # lives as long as the Python worker, over its tasks
         for batch in batches:
             sizes = np.cumsum([0] + [len(x) if x else 0 for x in batch.column(1).to_pylist()]) // GROUP_CHARS
             cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
