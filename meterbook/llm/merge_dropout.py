@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 import zlib
 
 import numpy as np
@@ -35,10 +34,10 @@ SEED = 7
 VARIANTS = 4
 CACHE_CHUNKS = 800_000         # kept segmentations of a Python worker
 GROUP_CHARS = 1 << 20          # text that a Python worker holds cut up at a time
+SLOT_BITS = 20
 LONG_CHUNK = 48                # symbols; longer chunks have an agenda of their own
 
 SPACE_PIECE = "▁"         # fixed value: the model's space symbol
-_CHUNK = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 _M64 = (1 << 64) - 1
 _NONE = np.int64(1 << 62)
 
@@ -86,6 +85,11 @@ class Codec:
         self.rank = np.array([rank[-s] for _, s, _ in vocabulary], np.int64)
         order = sorted(pairs)
         self.pair_key, self.pair_id = np.array(order, np.int64), np.array([pairs[k] for k in order], np.int64)
+        # A slot by hash names a pair of its own; pairs of a crowded slot are looked up in the sorted array.
+        slots = self._slot(self.pair_key)
+        self.pair_at = np.zeros(1 << SLOT_BITS, np.int32)
+        self.pair_at[slots] = np.arange(len(order))
+        self.crowded = np.bincount(slots, minlength=1 << SLOT_BITS) > 1
 
     # --- one chunk occurrence -> ids
 
@@ -134,12 +138,18 @@ class Codec:
                     offer(prv[left])
         return np.array([sym[i] for i in range(n) if version[i] >= 0], np.uint16)
 
+    @staticmethod
+    def _slot(pairs):
+        return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
     def _candidates(self, sym, word, start, keys, at):
         """Rank and merged piece of the pairs (at, at + 1); _NONE if there is none or it is skipped."""
         left, right = sym[at], sym[at + 1]
         pair = left * self.size + right
-        found = np.searchsorted(self.pair_key, pair)
-        found[found == len(self.pair_key)] = 0
+        slot = self._slot(pair)
+        found = self.pair_at[slot]
+        again = np.flatnonzero(self.crowded[slot])
+        found[again] = np.minimum(np.searchsorted(self.pair_key, pair[again]), len(self.pair_key) - 1)
         merged = self.pair_id[found]
         is_one = (self.pair_key[found] == pair) & (word[at] == word[at + 1])
         is_one &= ~self.dropped(keys[word[at]], start[at].astype(np.uint64), merged.astype(np.uint64))
@@ -216,58 +226,101 @@ class Codec:
     # --- texts
 
     def _cut(self, text: str):
-        """Parts of at most about GROUP_CHARS, cut before a run of spaces."""
-        text = " " + text
-        while len(text) > GROUP_CHARS:
-            at = text.rfind(" ", 1, GROUP_CHARS)
-            while at > 1 and text[at - 1] == " ":
+        """Parts of at most about GROUP_CHARS, cut before a run of spaces; with whether it is the last one."""
+        text, begin = " " + text, 0
+        while len(text) - begin > GROUP_CHARS:
+            at = text.rfind(" ", begin + 1, begin + GROUP_CHARS)
+            while at > begin + 1 and text[at - 1] == " ":
                 at -= 1
-            if at <= 1:
+            if at <= begin + 1:
                 break
-            yield text[:at]
-            text = text[at:]
-        yield text
+            yield text[begin:at], False
+            begin = at
+        yield text[begin:], True
+
+    def _look_up(self, names: list[bytes], wanted, caches: list[tuple[dict, dict]]) -> list[bytes]:
+        """Segmentations of the wanted (chunk * variants + variant), from the caches or made now."""
+        found: list = [None] * len(wanted)
+        missing, chunks, kinds = [], [], []
+        for i, (name, v) in enumerate(zip([names[w] for w in (wanted // self.variants).tolist()],
+                                          (wanted % self.variants).tolist(), strict=True)):
+            new, old = caches[v]
+            ids = new.get(name)
+            if ids is None:
+                ids = old.get(name)
+                if ids is None:
+                    missing.append(i)
+                    chunks.append(name)
+                    kinds.append(v)
+                    continue
+                new[name] = ids
+            found[i] = ids
+        if missing:
+            made = self.encode_many([c.decode() for c in chunks], kinds)
+            for i, name, v, ids in zip(missing, chunks, kinds, made, strict=True):
+                found[i] = caches[v][0][name] = ids
+        if sum(len(new) for new, _ in caches) > CACHE_CHUNKS // 2:     # the older half goes when the newer one is full
+            caches[:] = [({}, new) for new, _ in caches]
+        return found
+
+    def _encode_group(self, parts: list[bytes], bases: list[int], ordinals: list[int], caches):
+        """The ids of every part, and how many chunks each has. A part's first chunk has its given ordinal."""
+        text = b"".join(parts)
+        raw = np.frombuffer(text, np.uint8)
+        begins = np.cumsum([0] + [len(x) for x in parts[:-1]])
+        space, line = raw == 32, raw == 10
+        head = line.copy()
+        head[1:] |= (space[1:] & ~space[:-1]) | line[:-1]
+        head[begins] = True
+        heads = np.flatnonzero(head)
+        cuts = np.append(heads, len(raw)).astype(np.int32)
+        # Arrow's dictionary finds the distinct chunks without a Python string for each occurrence.
+        coded = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(cuts), pa.py_buffer(text)]).dictionary_encode()
+        firsts = np.searchsorted(heads, begins)
+        counts = np.diff(np.append(firsts, len(heads)))
+        with np.errstate(over="ignore"):
+            places = np.arange(len(heads)) - np.repeat(firsts - np.array(ordinals), counts)
+            places = places.astype(np.uint64) + np.repeat(np.array(bases, np.uint64) << np.uint64(32), counts)
+            kinds = (_mix(places ^ self.seed) % np.uint64(self.variants)).astype(np.int64)
+        names = coded.dictionary.to_pylist()
+        codes = coded.indices.to_numpy().astype(np.int64) * self.variants + kinds
+        used = np.zeros(len(names) * self.variants, bool)
+        used[codes] = True
+        wanted = np.flatnonzero(used)
+        pieces = self._look_up(names, wanted, caches)
+        lengths = np.array([len(x) for x in pieces]) // 2
+        slot = (np.cumsum(used) - 1)[codes]
+        times = lengths[slot]
+        ends = np.cumsum(times)
+        source = np.repeat((np.cumsum(lengths) - lengths)[slot] - (ends - times), times) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(pieces), np.uint16)[source]
+        return np.split(ids, (ends - times)[firsts[1:]]), counts.tolist()
 
     def encode_texts(self, owners: list, texts: list[str], caches: list[tuple[dict, dict]]):
         """One uint16 array of ids per text; the empty text has none."""
-        groups, rows, wanted = [], 0, [set() for _ in caches]
-        out = [[] for _ in texts]
+        out: list = [[] for _ in texts]
+        group: list = []
+        size = 0
 
         def flush():
-            for v, names in enumerate(wanted):
-                new, old = caches[v]
-                for c in names:
-                    if c in old:
-                        new[c] = old[c]
-                missing = [c for c in names if c not in new]
-                if missing:
-                    new.update(zip(missing, self.encode_many(missing, [v] * len(missing)), strict=True))
-                names.clear()
-            known = [new for new, _ in caches]
-            for i, chunks, vs in groups:
-                out[i].append(b"".join([known[v][c] for c, v in zip(chunks, vs, strict=True)]))
-            groups.clear()
-            if sum(map(len, known)) > CACHE_CHUNKS // 2:     # the older half goes when the newer one is full
-                caches[:] = [({}, new) for new in known]
+            made, counts = self._encode_group([p for _, p, _, _ in group], [b for _, _, b, _ in group],
+                                              [o for _, _, _, o in group], caches)
+            for (i, *_), ids in zip(group, made, strict=True):
+                out[i].append(ids)
+            group.clear()
+            return counts[-1]
 
         for i, (owner, text) in enumerate(zip(owners, texts, strict=True)):
             base, ordinal = zlib.crc32(repr(owner).encode()), 0
-            for part in self._cut(text) if text else ():
-                chunks = _CHUNK.findall(part)
-                with np.errstate(over="ignore"):
-                    places = np.arange(ordinal, ordinal + len(chunks), dtype=np.uint64) + np.uint64(base << 32)
-                    vs = (_mix(places ^ self.seed) % np.uint64(self.variants)).tolist()
-                ordinal += len(chunks)
-                for c, v in zip(chunks, vs, strict=True):
-                    if c not in caches[v][0]:
-                        wanted[v].add(c)
-                groups.append((i, chunks, vs))
-                rows += len(part)
-                if rows > GROUP_CHARS:
-                    flush()
-                    rows = 0
-        flush()
-        return [np.frombuffer(b"".join(x), np.uint16) for x in out]
+            for part, last in self._cut(text) if text else ():
+                group.append((i, part.encode(), base, ordinal))
+                size += len(part)
+                if size > GROUP_CHARS or not last:      # the next part's ordinals follow on this one's
+                    ordinal += flush()
+                    size = 0
+        if group:
+            flush()
+        return [np.concatenate(x) if x else np.zeros(0, np.uint16) for x in out]
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.piece_bytes.__getitem__, ids.tolist() if hasattr(ids, "tolist") else ids)).decode()
