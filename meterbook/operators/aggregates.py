@@ -116,14 +116,20 @@ def amount_reconcile(bills: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def duplicate_keys(frames: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
-    """agg_duplicate_keys: UNIQUE-key violations; string keys compared lower/trimmed."""
+    """agg_duplicate_keys: UNIQUE-key violations; string keys compared lower/trimmed.
+
+    As in SQL, a key with a NULL in it is never a duplicate; keys are grouped
+    column by column and joined with '|' only for the report.
+    """
     out = None
     for table, cols in keys.items():
         df = frames[table]
         kexprs = [F.lower(F.trim(F.col(c))) if dict(df.dtypes)[c] == "string" else F.col(c).cast("string")
                   for c in cols]
-        g = (df.groupBy(F.concat_ws("|", *kexprs).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-             .filter(F.col("n") > 1)
+        names = [f"_k{i}" for i in range(len(cols))]
+        g = (df.select(*[e.alias(k) for e, k in zip(kexprs, names, strict=True)]).dropna()
+             .groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+             .filter(F.col("n") > 1).withColumn("key", F.concat_ws("|", *names))
              .select(F.lit(table).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"), "key", "n"))
         out = g if out is None else out.unionByName(g)
     return out

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import SUBSCRIPTION_LINE, blank, hmac_sha256_hex, js_trim, norm_email, phone_in
 from ..sources.schema import CUSTOMER_STATUSES, TICKET_STATUSES
 from .filters import missing_fields, positive_number
-from .joins import fits_broadcast, restrict
+from .joins import BROADCAST_STRING_KEYS_MAX, fits_broadcast, restrict
 from .windows import assign_ids, latest_by
 
 # The reasons the reference answers with.
@@ -190,7 +190,7 @@ def apply_charges(bills: DataFrame, items: DataFrame, requests: DataFrame, run_t
                                 (F.lower(F.coalesce(F.col("_st"), F.lit(""))) == "paid", R_BILL_PAID)),
                      "request_id", "charge_requests")
     per_bill = ok.groupBy("bill_id").agg(F.min("request_id").alias("_first"), F.first("_old").alias("_old"),
-                                         F.sum("amount").alias("_add"))
+                                         F.sum(F.col("amount").cast("decimal(10,2)")).alias("_add"))
     # per_bill is a small aggregate over the written batch: recomputing it is
     # cheaper than writing it again.
     touched = restrict(items.select("bill_id"), per_bill.select("bill_id"), "bill_id", n)
@@ -562,40 +562,40 @@ def approve_pending(customers: DataFrame, requests: DataFrame) -> Change:
     return Change(changed, rej.unionByName(dup), {"customers": _merge(customers, upd.drop("request_id"), "id")})
 
 
-def reject_pending(customers: DataFrame, users: DataFrame, requests: DataFrame) -> Change:
-    """Delete pending customers and their customer logins (by e-mail)."""
-    requests = materialize(requests)
-    n = batch_rows(requests)
-    pend = restrict(customers.filter(F.col("status") == "pending"), requests.select("customer_id"), "id", n).select(
-        F.col("id").alias("customer_id"), norm_email("email").alias("_e"))
-    j = requests.join(pend, "customer_id", "left")
-    ok, rej = _split(j, _reason((F.col("_e").isNull(), R_PENDING_NOT_FOUND)), "request_id", "reject_requests")
-    first, dup = _first_wins(ok, ["customer_id"], "request_id", R_PENDING_NOT_FOUND, "reject_requests")
-    gone_c = first.select(F.col("customer_id").alias("id"), "request_id")
-    u = users.filter(F.col("role") == "customer").select("id", norm_email("email").alias("_e"))
-    u = restrict(u, first.select("_e"), "_e", n)
-    gone_u = u.join(first.select("_e", "request_id"), "_e").select("id", "request_id")
-    changed = (gone_c.select(F.lit("customers").alias("table_name"), F.lit("delete").alias("action"), "request_id", "id")
-               .unionByName(gone_u.select(F.lit("users").alias("table_name"), F.lit("delete").alias("action"),
-                                          "request_id", "id")))
-    state = {"customers": customers.join(gone_c.select("id"), "id", "left_anti"),
-             "users": users.join(gone_u.select("id"), "id", "left_anti")}
-    return Change(changed, rej.unionByName(dup), state)
+def reject_pending(tables: dict[str, DataFrame], requests: DataFrame) -> Change:
+    """Delete pending customers with the same cascade as ``delete_cascade``."""
+    return _remove_customers(tables, requests, F.col("status") == "pending", R_PENDING_NOT_FOUND, "reject_requests")
 
 
 def delete_cascade(tables: dict[str, DataFrame], requests: DataFrame) -> Change:
     """Delete customers with everything that cascades from them: bills, then
     their items, payments and reminders; payments by customer; usage; the
     customer login. Tickets keep their rows with customer_id set to NULL;
-    notification logs are untouched."""
+    notification logs are untouched. ``changed`` has the key of every row
+    removed or nulled."""
+    return _remove_customers(tables, requests, F.lit(True), R_CUSTOMER_NOT_FOUND, "delete_requests")
+
+
+def _removed(df: DataFrame, table: str, action: str = "delete") -> DataFrame:
+    """Keys of removed (or nulled) rows: id, or customer and date where a table has no id."""
+    by_id = "id" in df.columns
+    return df.select(
+        F.lit(table).alias("table_name"), F.lit(action).alias("action"), F.lit(None).cast("long").alias("request_id"),
+        (F.col("id") if by_id else F.lit(None)).cast("long").alias("id"),
+        (F.lit(None) if by_id else F.col("customer_id")).cast("long").alias("customer_id"),
+        (F.lit(None) if by_id else F.col("usage_date")).cast("date").alias("usage_date"))
+
+
+def _remove_customers(tables: dict[str, DataFrame], requests: DataFrame, eligible: Column, reason: str,
+                      source: str) -> Change:
     cust, users = tables["customers"], tables["users"]
     requests = materialize(requests)
     n = batch_rows(requests)
-    known = restrict(cust, requests.select("customer_id"), "id", n).select(
-        F.col("id").alias("customer_id"), norm_email("email").alias("_e"))
+    known = restrict(cust.filter(eligible), requests.select("customer_id"), "id", n).select(
+        F.col("id").alias("customer_id"), norm_email("email").alias("_e"), F.lit(True).alias("_known"))
     j = requests.join(known, "customer_id", "left")
-    ok, rej = _split(j, _reason((F.col("_e").isNull(), R_CUSTOMER_NOT_FOUND)), "request_id", "delete_requests")
-    ok, again = _first_wins(ok, ["customer_id"], "request_id", R_CUSTOMER_NOT_FOUND, "delete_requests")
+    ok, rej = _split(j, _reason((F.col("_known").isNull(), reason)), "request_id", source)
+    ok, again = _first_wins(ok, ["customer_id"], "request_id", reason, source)
     rej = rej.unionByName(again)
     d = ok.select("customer_id", "_e")
     d_ids = d.select(F.col("customer_id").alias("cid"))
@@ -625,7 +625,9 @@ def delete_cascade(tables: dict[str, DataFrame], requests: DataFrame) -> Change:
     new["data_usage"] = use.join(d_ids, use["customer_id"] == d_ids["cid"], "left_anti")
     ue = users.withColumn("_e", norm_email("email"))
     gone_login = (F.col("role") == "customer")
-    gone_e = _small(d.select("_e", F.lit(True).alias("_gone")), n)
+    # Two deleted customers may share an address; each login must meet it once.
+    gone_e = d.select("_e").distinct().withColumn("_gone", F.lit(True))
+    gone_e = F.broadcast(gone_e) if fits_broadcast(n, BROADCAST_STRING_KEYS_MAX) else gone_e
     new["users"] = (ue.join(gone_e, "_e", "left")
                     .filter(~(gone_login & F.col("_gone").isNotNull())).drop("_e", "_gone"))
     tk = tables["support_tickets"]
@@ -633,13 +635,10 @@ def delete_cascade(tables: dict[str, DataFrame], requests: DataFrame) -> Change:
     tk_j = tk.join(hits, tk["customer_id"] == F.col("_tc"), "left").drop("_tc")
     new["support_tickets"] = tk_j.withColumn(
         "customer_id", F.when(F.col("_hit"), F.lit(None).cast("long")).otherwise(F.col("customer_id"))).drop("_hit")
-    set_null = tk_j.filter(F.col("_hit")).agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("support_tickets").alias("table_name"), F.lit("set_null").alias("action"), "n")
-    # Rows removed per table, counted from the removed rows themselves (one
-    # semi join per table) rather than as before-minus-after (two scans).
+    # Removed rows come from one semi join per table, not from before-minus-after.
     gone = {
         "customers": cust.join(d_ids, cust["id"] == d_ids["cid"], "left_semi"),
-        "bills": gone_bills,
+        "bills": gone_bills_plain.withColumnRenamed("bid", "id"),
         "bill_items": tables["bill_items"].join(gone_bills, tables["bill_items"]["bill_id"] == gone_bills["bid"],
                                                 "left_semi"),
         "bill_reminders": tables["bill_reminders"].join(
@@ -651,14 +650,10 @@ def delete_cascade(tables: dict[str, DataFrame], requests: DataFrame) -> Change:
                        .filter(F.col("_bh").isNotNull() | F.col("_ch").isNotNull()),
         "data_usage": use.join(d_ids, use["customer_id"] == d_ids["cid"], "left_semi"),
         "users": restrict(ue.filter(gone_login), d.select("_e"), "_e", n),
-        "support_tickets": tk.limit(0),
     }
-    counts = None
+    changed = _removed(tk_j.filter(F.col("_hit")), "support_tickets", "set_null")
     for t, df in gone.items():
-        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"),
-                                                          F.lit("delete").alias("action"), "n")
-        counts = row if counts is None else counts.unionByName(row)
-    changed = counts.unionByName(set_null)
+        changed = changed.unionByName(_removed(df, t))
     return Change(changed, rej, new)
 
 
@@ -761,7 +756,7 @@ def move_tickets(tickets: DataFrame, moves: DataFrame) -> Change:
     moves = materialize(moves)
     t = restrict(tickets, moves.select("ticket_id"), "id", batch_rows(moves)).select(F.col("id").alias("ticket_id"), F.lit(True).alias("_t"))
     j = moves.join(t, "ticket_id", "left")
-    ok, rej = _split(j, _reason((~F.col("status").isin(*TICKET_STATUSES), R_TICKET_STATUS),
+    ok, rej = _split(j, _reason((F.col("status").isNull() | ~F.col("status").isin(*TICKET_STATUSES), R_TICKET_STATUS),
                                 (F.col("_t").isNull(), R_TICKET_NOT_FOUND)), "request_id", "ticket_moves")
     changed = ok.select(F.lit("support_tickets").alias("table_name"), F.lit("update").alias("action"), "request_id",
                         F.col("ticket_id").alias("id"), "status")

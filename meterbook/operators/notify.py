@@ -53,13 +53,13 @@ def build_outbox(events: DataFrame, config: dict | None = None) -> DataFrame:
 def log_rows(outbox: DataFrame, results: DataFrame, run_ts: str) -> DataFrame:
     """notification_logs rows: skipped rows log their reason; delivered rows log
     'sent' (with the provider's note, '' if none) or 'failed' (with the
-    error); messages are cut to 255 characters. The customer id falls back
+    error); rows without a result stay 'queued'; messages are cut to 255 characters. The customer id falls back
     to the event's own id when missing, as the reference's does."""
     key = ["event_key", "channel"]
     r = results.select(*key, F.col("outcome").alias("_o"), F.col("note").alias("_note"))
     j = outbox.join(r, key, "left")
     status = F.when(F.col("status") == "skipped", F.lit("skipped")) \
-        .when(F.col("_o") == "failed", F.lit("failed")).otherwise(F.lit("sent"))
+        .when(F.col("_o").isin("sent", "failed"), F.col("_o")).otherwise(F.lit("queued"))
     msg = F.when(F.col("status") == "skipped", F.col("reason")).otherwise(F.col("_note"))
     keep = [c for c in outbox.columns if c in ("request_id", "event_key")]
     return j.select(

@@ -159,7 +159,7 @@ FROM customers WHERE id%2=0"""
 VIEWS["settle_requests"] = """SELECT id*10+3 AS request_id, CASE WHEN id%55=0 THEN -id-1 ELSE id END AS bill_id
 FROM bills WHERE id%11=0"""
 
-VIEWS["reject_requests"] = """SELECT id*10+1 AS request_id, CASE WHEN id%30=0 THEN -id-1 ELSE id END AS customer_id
+VIEWS["reject_requests"] = """SELECT id*10+1 AS request_id, CASE WHEN id%42=0 THEN -id-1 ELSE id END AS customer_id
 FROM customers WHERE id%6=0"""
 
 VIEWS["delete_requests"] = """SELECT id*10+2 AS request_id, CASE WHEN id%70=0 THEN -id-1 ELSE id END AS customer_id
@@ -191,8 +191,8 @@ VIEWS["ticket_requests"] = """SELECT e.event_id AS request_id, 1000000+e.user_id
  CASE WHEN e.event_id%10=0 THEN '  ' ELSE ' '||e.props||' ' END AS issue, e.ts AS requested_at
 FROM events e LEFT JOIN customers c ON c.id=e.user_id WHERE e.event_type='signup'"""
 
-VIEWS["ticket_moves"] = """SELECT id*10 AS request_id, CASE WHEN id%40=0 THEN -id-1 ELSE id END AS ticket_id,
- CASE id%5 WHEN 0 THEN 'closed' WHEN 1 THEN 'open' WHEN 2 THEN 'in-progress' ELSE 'resolved' END AS status
+VIEWS["ticket_moves"] = """SELECT id*10 AS request_id, CASE WHEN id%36=0 THEN -id-1 ELSE id END AS ticket_id,
+ CASE WHEN id%28=0 THEN NULL ELSE CASE id%5 WHEN 0 THEN 'closed' WHEN 1 THEN 'open' WHEN 2 THEN 'in-progress' ELSE 'resolved' END END AS status
 FROM support_tickets WHERE id%4=0"""
 
 VIEWS["usage_reports"] = """SELECT event_id AS report_id, user_id AS customer_id, CAST(ts AS DATE) AS usage_date,

@@ -490,21 +490,34 @@ def q_approve_pending(spark, d):
 
 
 DEL_COLS = ["table_name", "action", "request_id", "reason", "id"]
-
-
-@query("q_reject_pending", """
-WITH j AS (SELECT r.*, c.id AS cid, lower(trim(c.email)) AS e FROM reject_requests r LEFT JOIN customers c
-           ON c.id = r.customer_id AND c.status = 'pending'),
-ok AS (SELECT *, request_id = min(request_id) OVER (PARTITION BY customer_id) AS first FROM j WHERE cid IS NOT NULL),
-acc AS (SELECT * FROM ok WHERE first)
-SELECT 'customers' AS table_name, 'delete' AS action, request_id, CAST(NULL AS STRING) AS reason, customer_id AS id FROM acc
-UNION ALL SELECT 'users', 'delete', a.request_id, NULL, u.id FROM acc a JOIN users u
- ON lower(trim(u.email)) = a.e AND u.role = 'customer'
-UNION ALL SELECT 'reject_requests', 'reject', request_id, 'Pending customer not found', NULL FROM j WHERE cid IS NULL
-UNION ALL SELECT 'reject_requests', 'reject', request_id, 'Pending customer not found', NULL FROM ok WHERE NOT first""")
-def q_reject_pending(spark, d):
-    b = Book(spark, d)
-    return _report(C.reject_pending(b.customers, b.users, b.reject_requests), DEL_COLS)
+REMOVAL_COLS = [*DEL_COLS, "customer_id", "usage_date"]
+
+
+def _removal_sql(source: str, reason: str, eligible: str = "") -> str:
+    """Keys of all rows that go (or lose their customer) with the customers of ``source``, and its rejects."""
+    gone = {
+        "customers": "id IN (SELECT customer_id FROM dk)",
+        "bills": "id IN (SELECT id FROM gb)",
+        "bill_items": "bill_id IN (SELECT id FROM gb)",
+        "bill_reminders": "bill_id IN (SELECT id FROM gb)",
+        "payments": "bill_id IN (SELECT id FROM gb) OR customer_id IN (SELECT customer_id FROM dk)",
+        "users": "role = 'customer' AND lower(trim(email)) IN (SELECT e FROM dk)",
+    }
+    by_id = " UNION ALL ".join(f"SELECT '{t}', 'delete', NULL, NULL, id, NULL, NULL FROM {t} WHERE {cond}"
+                               for t, cond in gone.items())
+    return f"""
+WITH dk AS (SELECT DISTINCT r.customer_id, lower(trim(c.email)) AS e FROM {source} r
+            JOIN customers c ON c.id = r.customer_id {eligible}),
+gb AS (SELECT id FROM bills WHERE customer_id IN (SELECT customer_id FROM dk))
+SELECT 'data_usage' AS table_name, 'delete' AS action, CAST(NULL AS BIGINT) AS request_id,
+ CAST(NULL AS STRING) AS reason, CAST(NULL AS BIGINT) AS id, customer_id, usage_date
+FROM data_usage WHERE customer_id IN (SELECT customer_id FROM dk)
+UNION ALL {by_id}
+UNION ALL SELECT 'support_tickets', 'set_null', NULL, NULL, id, NULL, NULL FROM support_tickets
+ WHERE customer_id IN (SELECT customer_id FROM dk)
+UNION ALL SELECT '{source}', 'reject', request_id, '{reason}', NULL, NULL, NULL FROM {source} r
+ WHERE NOT EXISTS (SELECT 1 FROM dk WHERE dk.customer_id = r.customer_id)
+    OR EXISTS (SELECT 1 FROM {source} e WHERE e.customer_id = r.customer_id AND e.request_id < r.request_id)"""
 
 
 def _cascade_tables(b: Book) -> dict:
@@ -513,30 +526,18 @@ def _cascade_tables(b: Book) -> dict:
             "support_tickets": b.support_tickets}
 
 
-@query("q_delete_cascade", """
-WITH dk AS (SELECT DISTINCT r.customer_id, lower(trim(c.email)) AS e FROM delete_requests r
-            JOIN customers c ON c.id = r.customer_id),
-gb AS (SELECT id FROM bills WHERE customer_id IN (SELECT customer_id FROM dk))
-SELECT 'customers' AS table_name, 'delete' AS action, count(*) AS n FROM customers WHERE id IN (SELECT customer_id FROM dk)
-UNION ALL SELECT 'bills', 'delete', count(*) FROM gb
-UNION ALL SELECT 'bill_items', 'delete', count(*) FROM bill_items WHERE bill_id IN (SELECT id FROM gb)
-UNION ALL SELECT 'bill_reminders', 'delete', count(*) FROM bill_reminders WHERE bill_id IN (SELECT id FROM gb)
-UNION ALL SELECT 'payments', 'delete', count(*) FROM payments WHERE bill_id IN (SELECT id FROM gb)
-  OR customer_id IN (SELECT customer_id FROM dk)
-UNION ALL SELECT 'data_usage', 'delete', count(*) FROM data_usage WHERE customer_id IN (SELECT customer_id FROM dk)
-UNION ALL SELECT 'users', 'delete', count(*) FROM users WHERE role = 'customer' AND lower(trim(email)) IN (SELECT e FROM dk)
-UNION ALL SELECT 'support_tickets', 'delete', 0
-UNION ALL SELECT 'support_tickets', 'set_null', count(*) FROM support_tickets WHERE customer_id IN (SELECT customer_id FROM dk)
-UNION ALL SELECT 'delete_requests', 'reject', count(*) FROM delete_requests r
-  WHERE NOT EXISTS (SELECT 1 FROM customers c WHERE c.id = r.customer_id)
-     OR EXISTS (SELECT 1 FROM delete_requests e WHERE e.customer_id = r.customer_id AND e.request_id < r.request_id)""")
+@query("q_reject_pending", _removal_sql("reject_requests", "Pending customer not found", "AND c.status = 'pending'"))
+def q_reject_pending(spark, d):
+    """Pending customers removed with their cascade; the keys of all rows concerned."""
+    b = Book(spark, d)
+    return _report(C.reject_pending(_cascade_tables(b), b.reject_requests), REMOVAL_COLS)
+
+
+@query("q_delete_cascade", _removal_sql("delete_requests", "Customer not found"))
 def q_delete_cascade(spark, d):
-    """Customer deletion with its cascade; rows removed / nulled per table."""
+    """Customer deletion with its cascade; the keys of all rows removed or nulled."""
     b = Book(spark, d)
-    ch = C.delete_cascade(_cascade_tables(b), b.delete_requests)
-    rej = ch.rejects.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("delete_requests").alias("table_name"), F.lit("reject").alias("action"), "n")
-    return ch.changed.unionByName(rej)
+    return _report(C.delete_cascade(_cascade_tables(b), b.delete_requests), REMOVAL_COLS)
 
 
 PLAN_COLS = ["table_name", "action", "request_id", "reason", "id", "name", "speed", "price", "validity"]

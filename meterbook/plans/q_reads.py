@@ -464,7 +464,8 @@ def _dup_sql():
         keys = ", ".join(f"lower(trim({c}))" if c in ("email", "reminder_type") else f"CAST({c} AS STRING)"
                          for c in cols)
         parts.append(f"SELECT '{t}' AS table_name, '{','.join(cols)}' AS key_columns, concat_ws('|', {keys}) AS key, "
-                     f"count(*) AS n FROM {t} GROUP BY 3 HAVING count(*) > 1")
+                     f"count(*) AS n FROM {t} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cols)} "
+                     f"GROUP BY {keys} HAVING count(*) > 1")
     return " UNION ALL ".join(parts)
 
 

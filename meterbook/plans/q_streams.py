@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from ..sources.fixtures import AS_OF, CALLBACK_SECRET, Book
 from ..streaming import streams as ST
-from .q_changes import LATEST_REPORT_SQL, REMINDERS_SQL, _CALLBACK_J, _outbox_events_sql
+from .q_changes import LATEST_REPORT_SQL, PAY_COLS, REMINDERS_SQL, _IDEM_ACC, _outbox_events_sql, _settle_sql
 from .registry import query
 
 
@@ -33,16 +33,12 @@ def q_st_reminders(spark, d):
                                                                                "reminder_type")
 
 
-@query("q_st_callbacks", f"""WITH {_CALLBACK_J}
-SELECT DISTINCT 'payment' AS kind, j.bill_id, j.cust AS customer_id, j.bamount AS amount, 'online' AS method,
- 'razorpay' AS provider, j.order_id AS provider_order_id, j.payment_id AS provider_payment_id,
- CAST(NULL AS STRING) AS reason FROM j JOIN customers c ON c.id = j.cust WHERE j.reason IS NULL
-UNION ALL
-SELECT DISTINCT 'reject', bill_id, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM j WHERE reason IS NOT NULL""")
+@query("q_st_callbacks", _settle_sql(_IDEM_ACC, "online", "razorpay", "payment_callbacks"))
 def q_st_callbacks(spark, d):
-    """Payment callbacks as a stream, repeats dropped within the watermark."""
+    """Payment callbacks settled as a stream, once per provider payment id."""
     b = Book(spark, d)
-    return ST.callbacks(spark, d, b.bills, b.customers, b.payments, CALLBACK_SECRET)
+    out = ST.callbacks(spark, d, b.bills, b.customers, b.payments, CALLBACK_SECRET)
+    return out.select(*PAY_COLS)
 
 
 @query("q_st_usage", f"""SELECT u.* FROM data_usage u WHERE NOT EXISTS (SELECT 1 FROM {LATEST_REPORT_SQL} l

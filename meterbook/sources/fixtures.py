@@ -303,7 +303,7 @@ class Book:
 
     @property
     def reject_requests(self) -> DataFrame:
-        return self._keyed(self.customers.filter(F.col("id") % 6 == 0), 10, 1, 30, "customer_id")
+        return self._keyed(self.customers.filter(F.col("id") % 6 == 0), 10, 1, 42, "customer_id")
 
     @property
     def delete_requests(self) -> DataFrame:
@@ -359,9 +359,9 @@ class Book:
     def ticket_moves(self) -> DataFrame:
         t = self.support_tickets.filter(F.col("id") % 4 == 0)
         k = F.col("id")
-        return t.select((k * 10).alias("request_id"), F.when(k % 40 == 0, -k - 1).otherwise(k).alias("ticket_id"),
-                        _case(k % 5, {0: F.lit("closed"), 1: F.lit("open"), 2: F.lit("in-progress")},
-                              F.lit("resolved")).alias("status"))
+        return t.select((k * 10).alias("request_id"), F.when(k % 36 == 0, -k - 1).otherwise(k).alias("ticket_id"),
+                        F.when(k % 28 != 0, _case(k % 5, {0: F.lit("closed"), 1: F.lit("open"), 2: F.lit("in-progress")},
+                              F.lit("resolved"))).alias("status"))
 
     @property
     def usage_reports(self) -> DataFrame:

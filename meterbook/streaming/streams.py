@@ -108,11 +108,9 @@ def reminders(spark: SparkSession, sf_dir: str, customers: DataFrame, initial: D
         # batch must not see its own partial output, or the overwrite below
         # would lose reminders.
         prior = initial
-        try:
+        if batch_id > 0:
             earlier = spark.read.parquet(out).filter(F.col("batch_id") < batch_id)
-            prior = initial.unionByName(earlier.drop("batch_id").select(*initial.columns))
-        except Exception:  # noqa: BLE001 - no earlier batch written yet
-            pass
+            prior = initial.unionByName(earlier.select(*initial.columns))
         ch = C.run_reminders(df, customers, prior, as_of)
         ch.changed.select("id", "bill_id", "reminder_date", "reminder_type") \
             .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
@@ -122,33 +120,39 @@ def reminders(spark: SparkSession, sf_dir: str, customers: DataFrame, initial: D
     return spark.read.parquet(out).drop("batch_id")
 
 
-def callbacks(spark: SparkSession, sf_dir: str, bills: DataFrame, customers: DataFrame, payments: DataFrame,
-              secret: str, watermark: str = "2 days", root: str | None = None) -> DataFrame:
-    """st_callbacks: provider callbacks as a stream; repeats of one provider
-    payment id within the watermark are dropped, the rest are verified and
-    settled per micro-batch."""
-    root = root or shared_dir(spark, "st-callbacks")
+def settle_stream(spark: SparkSession, stream: DataFrame, bills: DataFrame, customers: DataFrame, payments: DataFrame,
+                  secret: str, root: str) -> DataFrame:
+    """Callbacks of a stream, each micro-batch settled by ``settle_idempotent``.
+
+    Every callback is verified before repeats are looked for, so a forged
+    delivery never hides the valid one that follows it. Payments that earlier
+    micro-batches wrote count as known: their ids are continued, and a payment
+    id that comes again, however late, is rejected as a duplicate. Returns the
+    payment rows, bill updates and rejects of all micro-batches.
+    """
     out = f"{root}/out"
 
     def batch(df: DataFrame, batch_id: int):
-        ch = C.settle_callbacks(bills, customers, payments, df.drop("_event_time"), secret)
-        pay = ch.changed.filter(F.col("table_name") == "payments").select(
-            F.lit("payment").alias("kind"), "bill_id", "customer_id", "amount", "method", "provider",
-            "provider_order_id", "provider_payment_id", F.lit(None).cast("string").alias("reason"))
-        rej = ch.rejects.join(df.select(F.col("callback_id").alias("request_id"), "bill_id"), "request_id").select(
-            F.lit("reject").alias("kind"), "bill_id", F.lit(None).cast("long").alias("customer_id"),
-            F.lit(None).cast("decimal(10,2)").alias("amount"), F.lit(None).cast("string").alias("method"),
-            F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("provider_order_id"),
-            F.lit(None).cast("string").alias("provider_payment_id"), "reason")
-        pay.unionByName(rej).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    cb = callbacks_from_bills(bills_from_orders(file_stream(spark, sf_dir, "orders")))
-    cb = (cb.withColumn("_event_time", F.col("received_at").cast("timestamp"))
-          .withWatermark("_event_time", watermark).dropDuplicatesWithinWatermark(["payment_id"]))
-    _run(cb.writeStream.foreachBatch(batch), f"{root}/checkpoint")
+        known = payments
+        if batch_id > 0:        # a replay must not see its own partial output
+            earlier = spark.read.parquet(out).filter(
+                (F.col("batch_id") < batch_id) & (F.col("table_name") == "payments") & (F.col("action") == "insert"))
+            known = payments.unionByName(earlier.select(*payments.columns))
+        report = C.settle_idempotent(bills, customers, known, df, secret).report()
+        report.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    _run(stream.writeStream.foreachBatch(batch), f"{root}/checkpoint")
     return spark.read.parquet(out).drop("batch_id")
 
 
+def callbacks(spark: SparkSession, sf_dir: str, bills: DataFrame, customers: DataFrame, payments: DataFrame,
+              secret: str, root: str | None = None) -> DataFrame:
+    """st_callbacks: provider callbacks as a stream; the twin of settle_idempotent."""
+    root = root or shared_dir(spark, "st-callbacks")
+    stream = callbacks_from_bills(bills_from_orders(file_stream(spark, sf_dir, "orders")))
+    return settle_stream(spark, stream, bills, customers, payments, secret, root)
+
+
 def usage(spark: SparkSession, sf_dir: str, initial: DataFrame, root: str | None = None) -> DataFrame:
     """st_usage: usage reports as a stream into the daily usage table.
 

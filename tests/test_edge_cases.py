@@ -8,6 +8,7 @@ from meterbook.operators import aggregates as A
 from meterbook.operators import changes as C
 from meterbook.operators import filters as FL
 from meterbook.operators import joins as J
+from meterbook.operators import notify as N
 from meterbook.sources.schema import TABLES
 
 AS_OF = "1998-06-15"
@@ -179,3 +180,34 @@ def test_dashboard_nested_shape(spark):
     assert sorted((p.status or "", p["count"]) for p in row.payments) == [("", 1), ("paid", 2), ("unpaid", 1)]
     flat = A.dashboard(bills, customers(spark)).first()
     assert (flat.bills, flat.paid_bills, flat.unpaid_bills, flat.null_status_bills) == (4, 2, 1, 1)
+
+
+def test_message_without_a_result_is_not_sent(spark):
+    ob = spark.createDataFrame([(1, "sms", "queued", None), (1, "email", "queued", None), (2, "sms", "queued", None),
+                                (2, "email", "skipped", "off")],
+                               "event_key long, channel string, status string, reason string") \
+        .selectExpr("*", "event_key AS bill_id", "9L AS customer_id", "'due' AS notification_type")
+    results = spark.createDataFrame([(1, "sms", "sent", None), (1, "email", "failed", "no")],
+                                    "event_key long, channel string, outcome string, note string")
+    got = {(r.event_key, r.channel): r.status for r in N.log_rows(ob, results, "2024-01-01 00:00:00").collect()}
+    assert got == {(1, "sms"): "sent", (1, "email"): "failed", (2, "sms"): "queued", (2, "email"): "skipped"}
+
+
+def test_duplicate_keys_ignore_nulls_and_separators(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), (None, "x"), ("k", "v"), ("K ", "v")], "a string, b string")
+    got = A.duplicate_keys({"t": df}, {"t": ["a", "b"]}).collect()
+    assert [(r.key, r.n) for r in got] == [("k|v", 2)]
+
+
+def test_charges_round_each_amount(spark):
+    bills = frame(spark, "bills", [(1, 1, Decimal("10.00"), "unpaid", D, D)])
+    req = spark.createDataFrame([(1, 1, "x", Decimal("0.005"), None), (2, 1, "y", Decimal("0.005"), None)],
+                                "request_id long, bill_id long, description string, amount decimal(10,3), item_type string")
+    ch = C.apply_charges(bills, frame(spark, "bill_items", []), req, "2024-01-01 00:00:00")
+    assert ch.state["bills"].first().amount == Decimal("10.02")
+
+
+def test_ticket_move_without_status_is_rejected(spark):
+    tickets = frame(spark, "support_tickets", [(1, None, None, None, "x", "open", None)])
+    ch = C.move_tickets(tickets, spark.createDataFrame([(1, 1, None)], "request_id long, ticket_id long, status string"))
+    assert [r.reason for r in ch.rejects.collect()] == ["Invalid ticket status"] and ch.changed.count() == 0
