@@ -206,6 +206,25 @@ def test_merge_dropout_agendas_agree():
     assert len(rows) > 8       # segmentations vary
 
 
+def test_merge_dropout_draws_per_occurrence():
+    codec = merge_dropout.Codec(merge_dropout.load_vocabulary())
+    split = lambda ids: [x.tolist() for x in np.split(ids, np.flatnonzero(starts[ids]))[1:]]
+    starts = np.array([p.startswith("▁") for p, _, _ in merge_dropout.load_vocabulary()])
+    seen = collections.Counter(map(tuple, split(codec.encode_texts([1], [" ".join(["international"] * 5000)], codec.caches)[0])))
+    assert sum(seen.values()) == 5000 and len(seen) > 20
+    one, two = codec.encode_texts([1, 2], [" ".join("a" * 20_000)] * 2, codec.caches)
+    assert one.tolist() != two.tolist()
+    assert all(0.09 < len(x) / 20_000 - 1 < 0.11 for x in (one, two))     # one candidate, skipped in a tenth
+    words = ["international", "the", "x" * 60, "été", "漢字", "understanding"] * 200
+    base = int.from_bytes(hashlib.blake2b(repr(7).encode(), digest_size=8).digest(), "big")
+    want = []
+    with np.errstate(over="ignore"):
+        for i, w in enumerate(words):
+            place = merge_dropout._mix_int(base + i * 0x9FB21C651E98DF25)
+            want += codec.encode_long(" " + w, codec.key(" " + w, place)).tolist()
+    assert codec.encode_texts([7], [" ".join(words)], codec.caches)[0].tolist() == want
+
+
 def test_pii(spark, edge, empty, small):
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     rng = np.random.default_rng(5)
