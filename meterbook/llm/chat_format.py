@@ -102,8 +102,9 @@ def canonical_turns(records: DataFrame, mappings=MAPPINGS, column: str = "record
 
     Null role or text: empty. Fields of a flat layout that are null give no
     turn. Records whose fingerprint is unknown, that aren't JSON or are null
-    give one row with a null turn and layout, so that none goes unseen. Empty
-    tables give empty results.
+    give one row with a null turn and layout, so that none goes unseen; so do
+    records with a string of over 20,000,000 characters, which no variant
+    takes (``table_turns`` has no such bound). Empty tables give empty results.
     """
     parsed = records.select(F.try_parse_json(F.col(column)).alias("v")).withColumn("print", fingerprint(F.col("v")))
     get = lambda v, path, kind: F.try_variant_get(v, "$." + path, kind)
@@ -134,6 +135,33 @@ def canonical_turns(records: DataFrame, mappings=MAPPINGS, column: str = "record
                     F.coalesce("t.text", F.lit("")).alias("text"), "layout"))
 
 
+def table_turns(df: DataFrame, mappings=MAPPINGS) -> DataFrame:
+    """(conv_id, turn, role, text, layout) of a table of turns, whose columns are the fields of a flat layout.
+
+    Every row's record chooses the layout, with its strings emptied: a variant
+    takes no string of over 20,000,000 characters, and the layout depends on
+    names only. Turn, role and text are the columns themselves, whatever their
+    length. Null role or text: empty. A row whose record has no such layout
+    raises an error, so that none is left out.
+    """
+    emptied = [F.when(F.col(f.name).isNotNull(), F.lit("")).alias(f.name) if f.dataType.simpleString() == "string"
+               else F.col(f.name) for f in df.schema]
+    record = F.to_json(F.struct(*emptied), {"ignoreNullFields": "false"})
+    flat = [m for m in mappings if not m.array and not m.fields and {m.id, m.turn, m.role, m.text} <= set(df.columns)]
+    marked = df.withColumn("__print", fingerprint(F.try_parse_json(record)))
+    chosen = None
+    for m in flat:
+        is_it = F.col("__print") == hashlib.sha256(example_shape(m.example).encode()).hexdigest()
+        turn = F.struct(F.col(m.id).cast("bigint").alias("conv_id"), F.col(m.turn).cast("bigint").alias("turn"),
+                        F.coalesce(_renamed(F.col(m.role), m), F.lit("")).alias("role"),
+                        F.coalesce(F.col(m.text), F.lit("")).alias("text"), F.lit(m.name).alias("layout"))
+        chosen = F.when(is_it, turn) if chosen is None else chosen.when(is_it, turn)
+    unknown = F.raise_error(F.lit(f"no layout of turns for a row with the columns {', '.join(df.columns)}"))
+    kind = "struct<conv_id: bigint, turn: bigint, role: string, text: string, layout: string>"
+    chosen = unknown.cast(kind) if chosen is None else chosen.otherwise(unknown.cast(kind))
+    return marked.select(chosen.alias("t")).select("t.*")
+
+
 def _renamed(role: Column, m: Mapping) -> Column:
     for old, new in m.roles.items():
         role = F.when(role == old, F.lit(new)).otherwise(role)
@@ -233,9 +261,9 @@ EXTRA = {"conv_id": -1, "messages": [{"role": "user", "content": EXTRA_TEXT}, {"
 
 
 def with_extra(conversations: DataFrame) -> DataFrame:
-    """Records of the table's rows (one layout) and of the extra conversation (another)."""
+    """Turns of the table's rows (one layout) and of the extra conversation (a record of another)."""
     extra = conversations.sparkSession.range(1).select(F.lit(json.dumps(EXTRA)).alias("record"))
-    return records_of(conversations.select("conv_id", "turn", "role", "text")).unionByName(extra)
+    return table_turns(conversations.select("conv_id", "turn", "role", "text")).unionByName(canonical_turns(extra))
 
 
 ORACLE = r"""

@@ -71,9 +71,7 @@ def op6_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(chat_format.ORACLE)
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation, read back from its formatted turns."""
-    records = chat_format.with_extra(table(spark, sf_dir, "conversations"))
-    turns = chat_format.canonical_turns(records).where("layout IS NOT NULL")
-    return chat_format.conversation_digests(turns)
+    return chat_format.conversation_digests(chat_format.with_extra(table(spark, sf_dir, "conversations")))
 
 
 @query(exact_dedup.ORACLE)

@@ -275,6 +275,19 @@ def test_chat_layouts_and_escapes(spark, empty):
     assert chat_format.conversation_digests(known.limit(0)).count() == 0
 
 
+def test_chat_long_turn(spark, tmp_path):
+    n = 21_000_000
+    one = spark.range(1).select(F.lit(5).cast("bigint").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"),
+                                F.lit("assistant").alias("role"), F.expr(f"repeat('x', {n})").alias("text"))
+    none = one.withColumn("conv_id", F.lit(None).cast("bigint")).withColumn("text", F.lit(None).cast("string"))
+    one.unionByName(none).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in QUERIES["op7_chat_format"].build(spark, str(tmp_path)).collect()}
+    assert set(got) == {5, None, -1} and got[5].loss_chars == n and got[None].loss_chars == 0
+    assert got[5].turns_sha256 == hashlib.sha256(b"assistant\n" + b"x" * n + b"\n").hexdigest()
+    with pytest.raises(Exception, match="no layout"):
+        chat_format.table_turns(one.withColumn("more", F.lit(1))).collect()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
