@@ -55,9 +55,13 @@ def prefix_sums(df: DataFrame, group: list[str], chunk: str, order: list[str], v
             .withColumn(out, F.col(out) + F.col(base)).drop(base))
 
 
-def hash_sample(df: DataFrame, key: Column, about: int) -> DataFrame:
-    """Rows of ``df`` by hash of ``key``: all up to ``about``, else between that many and twice as many are expected."""
-    return df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(max(1, df.count() // about))) == 0)
+def hash_sample(df: DataFrame, key: Column, about: int, n_keys: int | None = None) -> DataFrame:
+    """Rows of ``df`` by hash of ``key``: all up to ``about`` keys, else between that many and twice as many are expected.
+
+    Without ``n_keys`` every row counts as a key of its own.
+    """
+    n = df.count() if n_keys is None else n_keys
+    return df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(max(1, n // about))) == 0)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

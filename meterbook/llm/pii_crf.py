@@ -256,10 +256,13 @@ def spell(spans) -> str:
 
 
 def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text", max_texts: int = FIT_TEXTS) -> Field:
-    """Fits on about ``max_texts`` texts that hold a mention (at most twice as many), chosen by hash of the text."""
+    """Fits on about ``max_texts`` distinct texts that hold a mention (at most twice as many are expected), by hash."""
     body = text_of(text)
     hinting = docs.select(body.alias("t")).where(F.col("t").rlike(r"[0-9]{3}|@") & (F.length("t") < 50_000))
-    return fit(sorted(r["t"] for r in hash_sample(hinting, F.col("t"), max_texts).collect()))
+    # Copies count once: hashes of the texts are counted, and one text of each chosen hash is collected.
+    hashed = hinting.withColumn("h", F.xxhash64("t"))
+    chosen = hash_sample(hashed, F.col("h"), max_texts, hashed.select("h").distinct().count())
+    return fit(sorted(r["t"] for r in chosen.dropDuplicates(["h"]).select("t").collect()))
 
 
 def detect(docs: DataFrame, field: Field, id_column: str = "doc_id", text: str = "text") -> DataFrame:

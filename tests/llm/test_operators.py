@@ -241,6 +241,16 @@ def test_pii(spark, edge, empty, small):
     assert pii_crf.detect(empty, pii_crf.train(empty)).count() == 0
 
 
+def test_pii_fit_counts_copies_once(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(pii_crf, "fit", read.extend)
+    rows = [(i, f"call 555-{i:04d}") for i in range(400)] + [(1000 + i, "call 415-555-0132") for i in range(200)]
+    for about in (1000, 100, 20):
+        read.clear()
+        pii_crf.train(spark.createDataFrame(rows, "doc_id bigint, text string"), max_texts=about)
+        assert len(read) == len(set(read)) <= 2 * about and (about < 1000 or len(read) == 401)
+
+
 def test_toxicity(spark, edge, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
