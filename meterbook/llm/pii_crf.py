@@ -242,7 +242,7 @@ def find(text: str, field: Field) -> tuple[list, list]:
     base = base_spans(text)
     places = mentions(text, base)
     added = []
-    if any(k != NONE for _, _, k in places) and any(k == NONE for _, _, k in places):
+    if any(k == NONE for _, _, k in places):      # also where the rules find nothing
         clamped = np.array([k for _, _, k in places])
         p = field.marginals(*graph(text, places), clamped)
         for (s, e, k), row in zip(places, p, strict=True):

@@ -241,6 +241,12 @@ def test_pii(spark, edge, empty, small):
     assert pii_crf.detect(empty, pii_crf.train(empty)).count() == 0
 
 
+def test_pii_without_a_span_of_the_rules(spark):
+    field = pii_crf.fit([r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()])
+    base, every = pii_crf.find("phone (415) 555-0132 or 415-555-0132", field)
+    assert base == [] and [k for k, _, _ in every] == [3, 3]
+
+
 def test_pii_fit_counts_copies_once(spark, monkeypatch):
     read = []
     monkeypatch.setattr(pii_crf, "fit", read.extend)
