@@ -63,11 +63,15 @@ def refine(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; of rows repeated with one id, one stays."""
-    marks = stash(refine(docs, id_column, text).where("group_size > 1")
-                  .groupBy(F.col(id_column).alias("__id")).agg(F.max("kept").alias("__kept"), F.count("*").alias("__n")),
-                  "marks")
-    kept = docs.join(marks.where("not __kept"), F.col(id_column).eqNullSafe(F.col("__id")), "left_anti")
+    """The documents that stay, with all their columns; of rows repeated with one id and text, one stays.
+
+    An id that occurs with several texts is judged for each text on its own.
+    """
+    sha = F.sha2(text_of(text), 256)
+    marks = stash(refine(docs, id_column, text, carry={"__sha": sha}).where("group_size > 1")
+                  .groupBy(F.col(id_column).alias("__id"), "__sha")
+                  .agg(F.max("kept").alias("__kept"), F.count("*").alias("__n")), "marks")
+    kept = docs.join(marks.where("not __kept"), F.col(id_column).eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_anti")
     if marks.where("__kept and __n > 1").isEmpty():
         return kept
     return kept.dropDuplicates([id_column, text])

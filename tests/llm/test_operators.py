@@ -66,6 +66,13 @@ def test_dedup_edges(edge, empty):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 7, 9, 10, 11] and kept.columns == edge.columns
 
 
+def test_dedup_id_with_several_texts(spark):
+    rows = [(5, "A"), (9, "A"), (5, "B"), (5, "C"), (3, "C"), (None, "A"), (None, "D")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, exact_dedup.dedup(df).collect()), key=str) == sorted(
+        [(9, "A"), (5, "B"), (5, "C"), (None, "D")], key=str)
+
+
 def test_quality_edges(edge, empty):
     got = {r.doc_id: r for r in quality_cascade.judge(edge).collect()}
     assert got[4].n_words == 0 and got[4].base_failed and not got[4].kept and got[1].kept
