@@ -106,14 +106,25 @@ class Cascade:
         """``universe`` and ``listed`` have a column ``key``; null keys are left out.
 
         Every key that will be judged has to be in the universe; listed keys
-        that are not are ignored. An empty table makes an empty cascade.
+        that are not are ignored. An empty table makes an empty cascade. The
+        parts follow from the listed keys or, if these are more, the unlisted
+        ones that level 0 is expected to accept; they are doubled while any
+        level would exceed ``max_bits`` (64 at least).
         """
         names = universe.select(key).where(F.col(key).isNotNull()).distinct()
         marks = listed.select(key).where(F.col(key).isNotNull()).distinct().withColumn("listed", F.lit(True))
         marked = stash(names.join(marks, key, "left")
                        .select(key, F.coalesce("listed", F.lit(False)).alias("listed")), "universe")
-        n_listed = marked.where("listed").count()
-        parts = max(1, math.ceil(n_listed * bits_per_key / max_bits))
+        n_listed, n_all = marked.agg(F.count_if("listed"), F.count("*")).first()
+        accepted = (n_all - n_listed) * (1 - math.exp(-HASHES / bits_per_key)) ** HASHES if n_listed else 0
+        parts = max(1, math.ceil(max(n_listed, accepted) * bits_per_key / max_bits))
+        while (made := cls._build_parts(marked, key, parts, bits_per_key, max_bits)) is None:
+            parts *= 2
+        return cls(made)
+
+    @staticmethod
+    def _build_parts(marked: DataFrame, key: str, parts: int, bits_per_key: int, max_bits: int) -> list[list[Level]] | None:
+        """The levels of every part; None if one would exceed ``max_bits``."""
         marked = marked.withColumn("part", F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts)))
         made = []
         for part in range(parts):
@@ -122,13 +133,15 @@ class Cascade:
             levels: list[Level] = []
             while n := inside.count():
                 size = max(64, 64 * math.ceil(n * bits_per_key / 64))
+                if size > max(64, max_bits):
+                    return None
                 bits = stash(bit_array(inside, key, size, len(levels)), "level")
                 level = Level(bits, size, len(levels), n)
                 levels.append(level)
                 # The next level's table is written, so that its plan does not grow with the levels.
                 inside, outside = stash(outside.where(hits(level, F.col(key))), "accepted"), inside
             made.append(levels)
-        return cls(made)
+        return made
 
     def listed(self, key: Column) -> Column:
         """True if the key (of the universe) is listed; null is not."""

@@ -57,6 +57,14 @@ def test_cascade_parts_are_exact(spark):
     assert keys.where(nothing.listed(F.col("key"))).count() == 0
 
 
+def test_cascade_levels_stay_within_max_bits(spark):
+    keys = spark.range(20_000).select(F.concat(F.lit("host"), "id").alias("key"))
+    listed = keys.where("cast(substr(key, 5) as int) % 1000 = 0")
+    cascade = bloom_cascade.Cascade.build(keys, listed, max_bits=2048)
+    assert max(level.size for part in cascade.parts for level in part) <= 2048
+    assert {r[0] for r in keys.where(cascade.listed(F.col("key"))).collect()} == {r[0] for r in listed.collect()}
+
+
 def test_dedup_edges(edge, empty):
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.refine(edge).collect()}
     assert {(1, 2, 3, False), (2, 2, 3, True), (None, 2, 3, False), (4, 5, 2, False), (5, 5, 2, True), (6, 7, 3, False),
