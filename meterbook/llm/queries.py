@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bloom_cascade, chat_format, exact_dedup, merge_dropout, pii_crf, quality_cascade, source_mix, suffix_family, token_groups, toxicity
+from . import (bloom_cascade, chat_format, exact_dedup, merge_dropout, pii_crf, quality_cascade, source_mix, spelling, suffix_family,
+               suffix_search, token_groups, toxicity)
 from .common import table, text_of
 
 
@@ -92,4 +93,16 @@ def op10_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_family.remove(table(spark, sf_dir, "documents"))
 
 
+@query(suffix_search.ORACLE)
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a window of the benchmark covers, and the items it comes from."""
+    return suffix_search.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits")
+
+
+@query()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word, its near words, the form that it is a variant of and the end of that chain."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = Query("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
