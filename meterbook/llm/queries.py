@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import (bloom_cascade, chat_format, exact_dedup, merge_dropout, pii_crf, quality_cascade, source_mix, spelling, suffix_family,
-               suffix_search, token_groups, toxicity)
+               suffix_search, token_groups, toxicity, whitening)
 from .common import table, text_of
 
 
@@ -99,6 +99,12 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_search.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits")
 
 
+@query()
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened first components of every vector, with the shares that they explain."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frequent word, its near words, the form that it is a variant of and the end of that chain."""
