@@ -9,36 +9,75 @@ from pyspark.sql import functions as F
 from ..functions.exprs import SUBSCRIPTION_LINE
 
 ITEM_SUMMARY_SEP = ", "
+SEGMENT_ITEMS = 10_000         # items in one text; more are listed in further segments
 
 
-def item_summary(items: DataFrame) -> DataFrame:
-    """agg_item_summary: per bill, item count and descriptions in id order."""
-    return items.groupBy("bill_id").agg(
-        F.count(F.lit(1)).alias("item_count"),
-        F.expr(f"listagg(description, '{ITEM_SUMMARY_SEP}') WITHIN GROUP (ORDER BY id, description)")
-        .alias("item_summary"))
+def item_summary(items: DataFrame, segment_items: int = SEGMENT_ITEMS) -> DataFrame:
+    """agg_item_summary: per bill, item count and descriptions in id order, as
+    numbered segments of at most ``segment_items`` items.
 
-
-def with_item_summary(bills: DataFrame, items: DataFrame) -> DataFrame:
-    """join_bill_items: bills left-joined to the per-bill summary (aggregate
-    first, so the join never fans out)."""
-    s = item_summary(items).withColumnRenamed("bill_id", "_sb")
+    (bill_id, segment, item_count, item_summary): segment 0 holds the first
+    ``segment_items`` descriptions, segment 1 the next, and so on;
+    ``item_count`` is the whole bill's. The texts of a bill's segments, joined
+    with the separator, are its full list. No bill is ever one buffer: bills
+    that fit a segment are concatenated as they are; the items of larger ones
+    are numbered across all tasks (``number_rows``), and an item's segment is
+    its place in the bill divided by the size. Items without a bill are the
+    group NULL, as in SQL.
+    """
+    from ..session import write_through
+    from .joins import fits_broadcast
+    from .windows import number_rows
+
+    def concat(df: DataFrame, *keys: str) -> DataFrame:
+        return df.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("item_count"),
+            F.expr(f"listagg(description, '{ITEM_SUMMARY_SEP}') WITHIN GROUP (ORDER BY id, description)")
+            .alias("item_summary"))
+
+    large = write_through(items.groupBy(F.col("bill_id").alias("_lb")).agg(F.count(F.lit(1)).alias("_n"))
+                          .filter(F.col("_n") > segment_items), "large-bills")
+    n = large.count()
+    whole = F.lit(0).cast("long").alias("segment")
+    if not n:
+        return concat(items, "bill_id").select("bill_id", whole, "item_count", "item_summary")
+    keys = F.broadcast(large) if fits_broadcast(n) else large
+    of_large = F.col("bill_id").eqNullSafe(F.col("_lb"))
+    small = concat(items.join(keys, of_large, "left_anti"), "bill_id").select("bill_id", whole, "item_count", "item_summary")
+    numbered = number_rows(items.select("bill_id", "id", "description").join(keys, of_large, "left_semi"),
+                           ["bill_id", "id", "description"], "_nth")
+    firsts = write_through(numbered.groupBy(F.col("bill_id").alias("_fb")).agg(
+        F.min("_nth").alias("_first"), F.count(F.lit(1)).alias("_items")), "large-bills")
+    firsts = F.broadcast(firsts) if fits_broadcast(n) else firsts
+    segments = concat(numbered.join(firsts, F.col("bill_id").eqNullSafe(F.col("_fb")))
+                      .withColumn("segment", F.expr(f"(_nth - _first) div {int(segment_items)}")),
+                      "bill_id", "segment", "_items")
+    return small.unionByName(segments.select("bill_id", "segment", F.col("_items").alias("item_count"), "item_summary"))
+
+
+def with_item_summary(bills: DataFrame, items: DataFrame, segment_items: int = SEGMENT_ITEMS) -> DataFrame:
+    """join_bill_items: bills left-joined to the per-bill summary, a row for
+    every segment of it (one for a bill of up to ``segment_items`` items).
+    Aggregate first, so the join fans out to no more than that."""
+    s = item_summary(items, segment_items).withColumnRenamed("bill_id", "_sb")
     return (bills.join(s, bills["id"] == s["_sb"], "left")
             .withColumn("item_count", F.coalesce(F.col("item_count"), F.lit(0).cast("long")))
+            .withColumn("segment", F.coalesce(F.col("segment"), F.lit(0).cast("long")))
             .drop("_sb"))
 
 
-def ledger(bills: DataFrame, customers: DataFrame, items: DataFrame) -> DataFrame:
-    """agg_ledger: every bill with its customer's name, item count and item summary.
+def ledger(bills: DataFrame, customers: DataFrame, items: DataFrame, segment_items: int = SEGMENT_ITEMS) -> DataFrame:
+    """agg_ledger: every bill with its customer's name, item count and item summary,
+    a row for every segment of the summary.
 
     Plan: items are partially aggregated and shuffled on bill_id; bills join
     that on bill_id, then join customers on customer_id (inner: orphan bills
     drop out). AQE splits a customer that owns a large share of bills.
     """
     c = customers.select(F.col("id").alias("_cid"), F.col("name").alias("customer_name"))
-    b = with_item_summary(bills, items)
+    b = with_item_summary(bills, items, segment_items)
     return (b.join(c, b["customer_id"] == c["_cid"], "inner")
-            .select(*[b[x] for x in bills.columns], "customer_name", "item_count", "item_summary"))
+            .select(*[b[x] for x in bills.columns], "customer_name", "segment", "item_count", "item_summary"))
 
 
 def revenue(bills: DataFrame) -> DataFrame:
@@ -146,21 +185,25 @@ def invoice_lines(invoice_headers: DataFrame, items: DataFrame, nested: bool = F
     """agg_invoice: ordered line items per invoice; a bill without items gets
     one synthetic subscription line for its full amount.
 
-    Lines are joined (not collected) in the flat form, so one bill with
-    millions of lines never lands in a single aggregation buffer. The nested
-    form collects per bill, for document output only.
+    The headers are written once; then items meet them in an inner join of
+    two plain sides, which AQE splits where one bill holds a large share of
+    the items, and the bills without items come from an anti join with the
+    distinct bill ids of the items (pre-aggregated, one row per bill). Nothing
+    collects a bill's lines; the nested form does, for document output only.
     """
+    from ..session import write_through
+    h = write_through(invoice_headers, "invoice-headers")
     it = items.select(F.col("bill_id").alias("_b"), F.col("id").alias("item_id"), "description",
                       F.col("amount").alias("line_amount"), "item_type")
-    h = invoice_headers
-    j = h.join(it, h["id"] == it["_b"], "left")
-    synthetic = F.col("_b").isNull()
-    flat = j.select(
-        *[h[c] for c in h.columns],
-        F.col("item_id"),
-        F.when(synthetic, F.lit(SUBSCRIPTION_LINE)).otherwise(F.col("description")).alias("line_description"),
-        F.when(synthetic, F.col("amount")).otherwise(F.col("line_amount")).alias("line_amount"),
-        F.when(synthetic, F.lit("subscription")).otherwise(F.col("item_type")).alias("line_type"))
+    lines = h.join(it, h["id"] == it["_b"], "inner").select(
+        *[h[c] for c in h.columns], "item_id", F.col("description").alias("line_description"), "line_amount",
+        F.col("item_type").alias("line_type"))
+    billed = items.select(F.col("bill_id").alias("_b")).distinct()
+    without = h.join(billed, h["id"] == billed["_b"], "left_anti").select(
+        *[h[c] for c in h.columns], F.lit(None).cast(items.schema["id"].dataType).alias("item_id"),
+        F.lit(SUBSCRIPTION_LINE).alias("line_description"), F.col("amount").alias("line_amount"),
+        F.lit("subscription").alias("line_type"))
+    flat = lines.unionByName(without)
     if not nested:
         return flat
     return (flat.groupBy(*h.columns)

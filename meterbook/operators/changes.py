@@ -25,7 +25,7 @@ from ..functions.exprs import SUBSCRIPTION_LINE, blank, hmac_sha256_hex, js_trim
 from ..sources.schema import CUSTOMER_STATUSES, TICKET_STATUSES
 from .filters import missing_fields, positive_number
 from .joins import BROADCAST_STRING_KEYS_MAX, fits_broadcast, restrict
-from .windows import assign_ids, latest_by
+from .windows import assign_ids, latest_by, split_first
 
 # The reasons the reference answers with.
 R_CUSTOMER_ID_REQUIRED = "Customer ID is required"
@@ -123,14 +123,9 @@ def _split(df: DataFrame, reason: Column, key: str, table: str, keep: bool = Tru
 
 
 def _first_wins(df: DataFrame, key_cols: list, order_col: str, reason: str, table: str):
-    """Keep the first request per key (partial min aggregate + join back)."""
-    keyed = df.withColumn("_k", F.struct(*[F.col(c) if isinstance(c, str) else c for c in key_cols]))
-    firsts = keyed.groupBy("_k").agg(F.min(order_col).alias("_first"))
-    j = keyed.join(firsts, "_k")
-    ok = j.filter(F.col(order_col) == F.col("_first")).drop("_k", "_first")
-    rej = j.filter(F.col(order_col) != F.col("_first")).select(
-        F.lit(table).alias("table_name"), order_col, F.lit(reason).alias("reason"))
-    return ok, rej
+    """Keep the first request per key; later ones are rejected."""
+    first, repeats = split_first(df, key_cols, order_col)
+    return first, repeats.select(F.lit(table).alias("table_name"), order_col, F.lit(reason).alias("reason"))
 
 
 def _merge(state: DataFrame, updates: DataFrame, key: str) -> DataFrame:
@@ -159,10 +154,10 @@ def run_billing(customers: DataFrame, plans: DataFrame, bills: DataFrame, items:
     day = F.lit(as_of).cast("date")
     new_bills = assign_ids(ok.select("request_id", "customer_id", F.col("_price").alias("amount"),
                                      F.lit("unpaid").alias("status"), day.alias("bill_date"),
-                                     F.date_add(day, 7).alias("due_date")), ["request_id"], bills)
+                                     F.date_add(day, 7).alias("due_date")), ["request_id"], bills, materialize=False)
     new_items = assign_ids(new_bills.select(F.col("id").alias("bill_id"), F.lit(SUBSCRIPTION_LINE).alias("description"),
                                             "amount", F.lit("subscription").alias("item_type")),
-                           ["bill_id"], items)
+                           ["bill_id"], items, materialize=False)
     changed = new_bills.select(F.lit("bills").alias("table_name"), F.lit("insert").alias("action"), "request_id",
                                "id", "customer_id", "amount", "status", "bill_date", "due_date")
     state = {"bills": bills.unionByName(new_bills.drop("request_id")),
@@ -398,9 +393,9 @@ def ingest_registrations(users: DataFrame, customers: DataFrame, plans: DataFram
     first, rej = _split(j.withColumn("_taken", taken).drop("_own", "_first_ok"), chain(F.col("_taken")),
                         "request_id", "registrations")
     new_users = assign_ids(first.select("request_id", "name", "email", F.lit("customer").alias("role")),
-                           ["request_id"], users)
+                           ["request_id"], users, materialize=False)
     new_cust = assign_ids(first.select("request_id", "name", "email", "phone", "plan_id", "address",
-                                       F.lit("pending").alias("status")), ["request_id"], customers)
+                                       F.lit("pending").alias("status")), ["request_id"], customers, materialize=False)
     changed = (new_cust.select(F.lit("customers").alias("table_name"), F.lit("insert").alias("action"), "request_id",
                                "id", "name", "email", "phone", "address", "plan_id", "status")
                .unionByName(new_users.select(F.lit("users").alias("table_name"), F.lit("insert").alias("action"),
@@ -438,7 +433,7 @@ def ingest_customers(users: DataFrame, customers: DataFrame, plans: DataFrame, r
                                 (F.col("_c").isNotNull(), R_CUSTOMER_EMAIL_EXISTS)), "request_id", "customer_requests")
     first, dup = _first_wins(ok, ["email"], "request_id", R_CUSTOMER_EMAIL_EXISTS, "customer_requests")
     new_cust = assign_ids(first.select("request_id", "name", "email", "phone", "plan_id", "address",
-                                       F.lit("active").alias("status")), ["request_id"], customers)
+                                       F.lit("active").alias("status")), ["request_id"], customers, materialize=False)
     logins = first.filter(pw > 0).select("request_id", "name", "email")
     u = users.select(F.col("id").alias("_uid"), norm_email("email").alias("email"))
     u = restrict(u, r.select("email"), "email", n)
@@ -671,7 +666,7 @@ def upsert_plans(plans: DataFrame, requests: DataFrame) -> Change:
     clean = ok.select("request_id", "id", js_trim("name").alias("name"), js_trim("speed").alias("speed"),
                       F.col("price").cast("string").try_cast("double").try_cast("decimal(10,2)").alias("price"),
                       F.col("validity").cast("string").try_cast("double").try_cast("int").alias("validity"))
-    ins = assign_ids(clean.filter(F.col("id").isNull()).drop("id"), ["request_id"], plans)
+    ins = assign_ids(clean.filter(F.col("id").isNull()).drop("id"), ["request_id"], plans, materialize=False)
     upd = clean.filter(F.col("id").isNotNull())
     changed = (ins.select(F.lit("plans").alias("table_name"), F.lit("insert").alias("action"), "request_id",
                           F.col("id").cast("int").alias("id"), "name", "speed", "price", "validity")
@@ -715,7 +710,7 @@ def upsert_staff(users: DataFrame, requests: DataFrame) -> Change:
                                 (F.col("_pw") < 6, R_PASSWORD_SHORT),
                                 (F.col("_u").isNotNull(), R_DUPLICATE)), "request_id", "staff_requests")
     first, dup = _first_wins(ok, ["email"], "request_id", R_DUPLICATE, "staff_requests")
-    ins = assign_ids(first.select("request_id", "name", "email", F.lit("staff").alias("role")), ["request_id"], users)
+    ins = assign_ids(first.select("request_id", "name", "email", F.lit("staff").alias("role")), ["request_id"], users, materialize=False)
     changed = ins.select(F.lit("users").alias("table_name"), F.lit("insert").alias("action"), "request_id", "id",
                          "name", "email", "role")
     return Change(changed, rej.unionByName(dup), {"users": users.unionByName(ins.drop("request_id"))})
@@ -745,7 +740,7 @@ def open_tickets(tickets: DataFrame, requests: DataFrame) -> Change:
                                F.nullif(F.col("name"), F.lit("")).alias("name"),
                                F.nullif(F.col("email"), F.lit("")).alias("email"), "issue",
                                F.lit("open").alias("status"), F.col("requested_at").alias("created_at")),
-                     ["request_id"], tickets)
+                     ["request_id"], tickets, materialize=False)
     changed = ins.select(F.lit("support_tickets").alias("table_name"), F.lit("insert").alias("action"), "request_id",
                          "id", "customer_id", "name", "email", "issue", "status", "created_at")
     return Change(changed, rej, {"support_tickets": tickets.unionByName(ins.drop("request_id"))})

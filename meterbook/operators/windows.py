@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import BROADCAST_KEYS_MAX, BROADCAST_STRING_KEYS_MAX, fits_broadcast
+
 # Reason given to a repeated unique key.
 DUPLICATE = "Duplicate record already exists"
 
@@ -40,70 +42,87 @@ def current_bill(customers: DataFrame, bills: DataFrame) -> DataFrame:
                     F.col("_b.due_date").alias("due_date"))
 
 
+def split_first(requests: DataFrame, key_cols: list, order_col: str = "request_id") -> tuple[DataFrame, DataFrame]:
+    """(first, repeats): the first request of every unique key, and all later ones.
+
+    A partial ``min`` per key gives the request ids of the firsts, one row per
+    key, which are written once. The requests then meet them on the request
+    id, which is unique, together with the key: a semi join for the firsts and
+    an anti join for the repeats. No row is dealt by the key alone, so a key
+    that holds a third of the batch is spread like any other; ids that pass
+    the size check are broadcast. NULL keys are one key. Two rows with the
+    same request id and key are both first.
+    """
+    from ..session import write_through
+    names = [f"_k{i}" for i in range(len(key_cols))]
+    keyed = requests.withColumns(dict(zip(names, [c if not isinstance(c, str) else F.col(c) for c in key_cols], strict=True)))
+    firsts = write_through(keyed.groupBy(*names).agg(F.min(order_col).alias("_first")), "firsts").toDF(
+        *[f"_f{n}" for n in names], "_first")
+    limit = BROADCAST_STRING_KEYS_MAX if any(t == "string" for _, t in firsts.dtypes) else BROADCAST_KEYS_MAX
+    ids = F.broadcast(firsts) if fits_broadcast(firsts, limit) else firsts
+    cond = F.col(order_col) == F.col("_first")
+    for n in names:
+        cond = cond & F.col(n).eqNullSafe(F.col(f"_f{n}"))
+    return keyed.join(ids, cond, "left_semi").drop(*names), keyed.join(ids, cond, "left_anti").drop(*names)
+
+
 def first_per_key(requests: DataFrame, key_cols: list, order_col: str = "request_id"):
     """win_dedup_requests: first request per unique key is accepted, the rest
-    are rejected with the duplicate reason.
-
-    The first request per key comes from a partial ``min`` aggregate joined
-    back on the key; a key holding a third of the batch is pre-combined on
-    the map side and the join is split by AQE, instead of one task ranking
-    every row of that key.
+    are rejected with the duplicate reason (see ``split_first``)."""
+    accepted, repeats = split_first(requests, key_cols, order_col)
+    return accepted, repeats.select(order_col, F.lit(DUPLICATE).alias("reason"))
+
+
+def place_rows(df: DataFrame, order_cols: list[str], slices: int | None = None) -> DataFrame:
+    """``df`` in order, written once, with ``_slice`` and ``_at`` (place in the slice, from 0)."""
+    from ..session import write_through
+    cols = [F.col(c) for c in order_cols]
+    ordered = df.repartitionByRange(slices, *cols).sortWithinPartitions(*cols) if slices else df.orderBy(*cols)
+    # The id holds the partition in its upper bits and the place in it in the lower 33.
+    placed = write_through(ordered.withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    return (placed.withColumn("_slice", F.shiftright("_place", 33))
+            .withColumn("_at", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_place"))
+
+
+def number_rows(df: DataFrame, order_cols: list[str], out: str, base: DataFrame | int = 0, base_col: str = "id",
+                slices: int | None = None) -> DataFrame:
+    """``df`` with a dense number from ``base + 1`` in the order of ``order_cols``:
+    ``base + row_number() OVER (ORDER BY order_cols)`` without a window over the data.
+
+    Spark's range partitioner deals the rows into slices: it samples all order
+    columns together, so a value that many rows share is split by the columns
+    after it and one far outlier takes no slice for itself. Each slice is sorted
+    and written once with its rows' places, so the numbers stay as they are
+    when a lost task is recomputed. One row per slice (counts and their
+    running sum, broadcast) turns places into numbers. ``base`` is a number or
+    a frame whose greatest ``base_col`` is continued. The order columns
+    have to be unique together; any types, NULLs included.
     """
-    kexpr = [c if not isinstance(c, str) else F.col(c) for c in key_cols]
-    keyed = requests.withColumn("_k", F.struct(*kexpr))
-    firsts = keyed.groupBy("_k").agg(F.min(order_col).alias("_first"))
-    j = keyed.join(firsts, "_k", "inner")
-    tagged = j.withColumn("_dup", F.col(order_col) != F.col("_first")).drop("_k", "_first")
-    accepted = tagged.filter(~F.col("_dup")).drop("_dup")
-    rejects = tagged.filter(F.col("_dup")).select(order_col, F.lit(DUPLICATE).alias("reason"))
-    return accepted, rejects
+    from pyspark.sql import Window
+    placed = place_rows(df, order_cols, slices)
+    counts = placed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    if isinstance(base, DataFrame):
+        start = base.agg(F.coalesce(F.max(base_col), F.lit(0)).cast("long").alias("_n"))
+    else:
+        start = df.sparkSession.range(1).select(F.lit(int(base)).cast("long").alias("_n"))
+    # One row per slice: a running sum in a single partition is cheap here.
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (counts.unionByName(start.select(F.lit(-1).cast("long").alias("_slice"), "_n"))
+               .withColumn("_off", F.sum("_n").over(before)).filter(F.col("_slice") >= 0).drop("_n"))
+    return (placed.join(F.broadcast(offsets), "_slice")
+            .withColumn(out, (F.col("_off") + F.col("_at") + 1).cast("long")).drop("_slice", "_off", "_at"))
 
 
 def assign_ids(df: DataFrame, order_cols: list[str], base: DataFrame | int, id_col: str = "id",
                slices: int | None = None, materialize: bool = True) -> DataFrame:
     """win_assign_ids: dense surrogate ids ``max+1 ..`` in order of ``order_cols``
-    (AUTO_INCREMENT for a whole batch); equals
-    ``max + row_number() OVER (ORDER BY order_cols)``.
-
-    The first order column must be numeric and non-NULL and the order
-    columns unique. Rows go to equal-width slices of the first column
-    between its exact min and max (scalar subqueries, evaluated once), so a
-    row's slice is a pure function of its key and stays the same when a
-    lost task is recomputed. One small aggregate counts rows per slice; the
-    current maximum id enters as slice -1, and a running sum over those
-    ``slices + 1`` rows (a fixed size, broadcast) gives each slice its first
-    id. Inside a slice a row_number over the order columns gives the
-    offset. No single-partition window over the data is needed.
-
-    The batch is first written to the cluster's shared checkpoint folder
-    (``materialize``): the min/max, the per-slice counts and the numbering
-    then read that copy instead of recomputing the batch's lineage three
-    times, and the numbering survives the loss of an executor.
+    (AUTO_INCREMENT for a whole batch); see ``number_rows``.
+
+    With ``materialize`` the batch is written to the shared folder first, so
+    that sampling and sorting read that copy instead of deriving the batch
+    twice; leave it off for plain projections of a written batch.
     """
-    from pyspark.sql import Window
     if materialize:
         from ..session import write_through
         df = write_through(df, "ids")
-    if slices is None:
-        slices = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    first = order_cols[0]
-    bounds = df.agg(F.min(F.col(first).cast("double")).alias("lo"), F.max(F.col(first).cast("double")).alias("hi"))
-    lo = bounds.select("lo").scalar()
-    hi = bounds.select("hi").scalar()
-    width = (hi - lo + F.lit(1.0)) / F.lit(float(slices))
-    sl = F.least(F.floor((F.col(first).cast("double") - lo) / width), F.lit(slices - 1)).cast("int")
-    x = df.withColumn("_slice", sl)
-    counts = x.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    if isinstance(base, DataFrame):
-        start_row = base.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long").alias("_n"))
-    else:
-        start_row = df.sparkSession.range(1).select(F.lit(int(base)).cast("long").alias("_n"))
-    start_row = start_row.select(F.lit(-1).alias("_slice"), "_n")
-    # At most slices + 1 rows: a single-partition running sum here is cheap.
-    w = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (counts.unionByName(start_row)
-               .withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-               .filter(F.col("_slice") >= 0).drop("_n"))
-    rn = F.row_number().over(Window.partitionBy("_slice").orderBy(*order_cols))
-    return (x.join(F.broadcast(offsets), "_slice").withColumn(id_col, (F.col("_off") + rn).cast("long"))
-            .drop("_slice", "_off"))
+    return number_rows(df, order_cols, id_col, base, id_col, slices)

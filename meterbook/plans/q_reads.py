@@ -16,9 +16,17 @@ from ..sources.schema import CUSTOMER_STATUSES, UNIQUE_KEYS
 from ..sources.tables import enforce
 from .registry import query
 
-ITEM_SUMMARY_SQL = ("(SELECT bill_id, count(*) AS item_count, "
-                    "string_agg(description, ', ' ORDER BY id, description) AS item_summary "
-                    "FROM bill_items GROUP BY bill_id)")
+
+
+def _segments_sql(size: int) -> str:
+    """Item summaries as segments of ``size`` items."""
+    return ("(SELECT bill_id, segment, any_value(n) AS item_count, "
+            "string_agg(description, ', ' ORDER BY id, description) AS item_summary "
+            f"FROM (SELECT *, (row_number() OVER (PARTITION BY bill_id ORDER BY id, description) - 1) // {size} AS segment, "
+            "count(*) OVER (PARTITION BY bill_id) AS n FROM bill_items) GROUP BY bill_id, segment)")
+
+
+ITEM_SUMMARY_SQL = _segments_sql(A.SEGMENT_ITEMS)
 BILL_COLS = "b.id, b.customer_id, b.amount, b.status, b.bill_date, b.due_date"
 REMINDED_TODAY = (f"(SELECT bill_id FROM bill_reminders WHERE reminder_date = DATE '{AS_OF}' "
                   "AND reminder_type = 'due')")
@@ -249,8 +257,8 @@ def q_join_bill_cust(spark, d):
     return J.bills_with_customer(b.bills, b.customers)
 
 
-@query("q_join_bill_items", f"SELECT {BILL_COLS}, COALESCE(i.item_count,0) AS item_count, i.item_summary "
-                            f"FROM bills b LEFT JOIN {ITEM_SUMMARY_SQL} i ON i.bill_id = b.id")
+@query("q_join_bill_items", f"SELECT {BILL_COLS}, COALESCE(i.segment,0) AS segment, "
+                            f"COALESCE(i.item_count,0) AS item_count, i.item_summary FROM bills b LEFT JOIN {ITEM_SUMMARY_SQL} i ON i.bill_id = b.id")
 def q_join_bill_items(spark, d):
     b = Book(spark, d)
     return A.with_item_summary(b.bills, b.bill_items)
@@ -398,7 +406,14 @@ def q_agg_item_summary(spark, d):
     return A.item_summary(Book(spark, d).bill_items)
 
 
-LEDGER_SQL = (f"SELECT {BILL_COLS}, c.name AS customer_name, COALESCE(i.item_count,0) AS item_count, "
+@query("q_agg_item_segments", f"SELECT * FROM {_segments_sql(3)} i")
+def q_agg_item_segments(spark, d):
+    """The same in segments of three items, so that bills of several segments occur."""
+    return A.item_summary(Book(spark, d).bill_items, 3)
+
+
+LEDGER_SQL = (f"SELECT {BILL_COLS}, c.name AS customer_name, COALESCE(i.segment,0) AS segment, "
+              f"COALESCE(i.item_count,0) AS item_count, "
               f"i.item_summary FROM bills b JOIN customers c ON b.customer_id = c.id "
               f"LEFT JOIN {ITEM_SUMMARY_SQL} i ON i.bill_id = b.id")
 
