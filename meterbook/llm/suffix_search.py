@@ -10,8 +10,8 @@ so all its locations; windows that follow each other in both texts join to the
 longest verbatim matches. Documents are scanned once and nothing is shuffled.
 
 The benchmark travels to the tasks in blocks of a bounded number of bytes, one
-pass over the texts for each block; one block is the rule. Words are compared
-by 64-bit hashes.
+pass over the texts for each block; one block is the rule, and between blocks
+the rows are written. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import small_batches, stash, text_of
 from .shingles import _BYTE, mix, powers
 
 # Fixed values of the contract: what is no word, after A-Z are lower-cased, and the words in a window.
@@ -272,7 +272,8 @@ def _marked(rows: DataFrame, benchmark: DataFrame, item_column: str, item_text:
     frame = rows.selectExpr("*", "CAST(0 AS BIGINT) AS __n_words", "CAST(array() AS array<struct<start:bigint,end:bigint>>) AS __hits",
                             "CAST(array() AS array<string>) AS __items")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    for block in blocks(benchmark, item_column, item_text, block_bytes):
+    for k, block in enumerate(blocks(benchmark, item_column, item_text, block_bytes)):
+        frame = stash(frame, "marked") if k else frame
         frame = frame.mapInArrow(_marker(spark.sparkContext.broadcast(block)), f"{fields}, {HITS}")
     return frame
 
