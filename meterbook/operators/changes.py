@@ -211,7 +211,8 @@ def apply_charges(bills: DataFrame, items: DataFrame, requests: DataFrame, run_t
 
 
 def _pay(acc: DataFrame, customers: DataFrame, payments: DataFrame, method: str, provider: str,
-         run_ms: Column, paid_at: Column, order_id=None, payment_id=None, bound: int | None = None) -> DataFrame:
+         run_ms: Column, paid_at: Column, order_id=None, payment_id=None, bound: int | None = None,
+         id_base: int | None = None) -> DataFrame:
     """Payment rows for accepted settlements (only bills whose customer exists)."""
     c = restrict(customers, acc.select("_cust"), "id", bound).select(F.col("id").alias("_cid"))
     j = acc.join(c, acc["_cust"] == c["_cid"], "inner")
@@ -222,7 +223,7 @@ def _pay(acc: DataFrame, customers: DataFrame, payments: DataFrame, method: str,
         (payment_id if payment_id is not None else F.lit(None).cast("string")).alias("provider_payment_id"),
         F.concat(F.lit("NW-"), F.col("bill_id").cast("string"), F.lit("-"), run_ms.cast("string")).alias("receipt_number"),
         paid_at.alias("paid_at"))
-    return assign_ids(rows, ["request_id"], payments)
+    return assign_ids(rows, ["request_id"], payments if id_base is None else id_base)
 
 
 def _settle(bills: DataFrame, payments: DataFrame, acc: DataFrame, pay_rows: DataFrame,
@@ -250,8 +251,7 @@ def settle_manual(bills: DataFrame, customers: DataFrame, payments: DataFrame, r
     Marking an already-paid bill appends another payment (as the reference does)."""
     requests = materialize(requests)
     n = batch_rows(requests)
-    b = restrict(bills, requests.select("bill_id"), "id", n).select(
-        F.col("id").alias("_bid"), F.col("customer_id").alias("_cust"), F.col("amount").alias("_amount"))
+    b = _billed(restrict(bills, requests.select("bill_id"), "id", n))
     j = requests.join(b, requests["bill_id"] == b["_bid"], "left")
     acc, rej = _split(j, _reason((F.col("_bid").isNull(), R_BILL_NOT_FOUND)), "request_id", "settle_requests")
     pay = _pay(acc, customers, payments, *STAFF_SETTLEMENT, F.lit(run_ms), _ts(run_ts), bound=n)
@@ -260,20 +260,28 @@ def settle_manual(bills: DataFrame, customers: DataFrame, payments: DataFrame, r
     return ch
 
 
-def verify_callbacks(callbacks: DataFrame, bills: DataFrame, secret: str):
-    """Check provider callbacks: fields present, HMAC(order|payment) equal to the
-    signature, bill known. Returns (accepted joined to bill, rejects)."""
+def callback_reason(secret: str) -> Column:
+    """Why a provider callback fails: a field is missing, the signature is not
+    HMAC(order|payment), or no bill was found for it (``_bid`` NULL)."""
     msg = F.concat(F.col("order_id"), F.lit("|"), F.col("payment_id"))
+    missing = (blank("order_id") | blank("payment_id") | blank("signature") | F.col("bill_id").isNull()
+               | (F.col("bill_id") == 0))
+    return _reason((missing, R_PAYMENT_DETAILS), (hmac_sha256_hex(msg, secret) != F.col("signature"), R_BAD_SIGNATURE),
+                   (F.col("_bid").isNull(), R_BILL_NOT_FOUND))
+
+
+def _billed(bills: DataFrame) -> DataFrame:
+    """What a settlement needs of a bill: _bid, _cust, _amount."""
+    return bills.select(F.col("id").alias("_bid"), F.col("customer_id").alias("_cust"), F.col("amount").alias("_amount"))
+
+
+def verify_callbacks(callbacks: DataFrame, bills: DataFrame, secret: str):
+    """Check provider callbacks (``callback_reason``). Returns (accepted joined to bill, rejects, batch rows)."""
     callbacks = materialize(callbacks)
     n = batch_rows(callbacks)
-    b = restrict(bills, callbacks.select("bill_id"), "id", n).select(
-        F.col("id").alias("_bid"), F.col("customer_id").alias("_cust"), F.col("amount").alias("_amount"))
+    b = _billed(restrict(bills, callbacks.select("bill_id"), "id", n))
     j = callbacks.withColumnRenamed("callback_id", "request_id").join(b, F.col("bill_id") == b["_bid"], "left")
-    missing = (blank("order_id") | blank("payment_id") | blank("signature") | F.col("bill_id").isNull()
-               | (F.col("bill_id") == 0))
-    acc, rej = _split(j, _reason((missing, R_PAYMENT_DETAILS),
-                                 (hmac_sha256_hex(msg, secret) != F.col("signature"), R_BAD_SIGNATURE),
-                                 (F.col("_bid").isNull(), R_BILL_NOT_FOUND)), "request_id", "payment_callbacks")
+    acc, rej = _split(j, callback_reason(secret), "request_id", "payment_callbacks")
     return acc, rej, n
 
 
@@ -290,22 +298,35 @@ def settle_callbacks(bills: DataFrame, customers: DataFrame, payments: DataFrame
     return ch
 
 
+def _callback_rejects(rows: DataFrame, reason: str) -> DataFrame:
+    return rows.select(F.lit("payment_callbacks").alias("table_name"), "request_id", F.lit(reason).alias("reason"))
+
+
+def settle_firsts(bills: DataFrame, customers: DataFrame, payments: DataFrame, first: DataFrame, bound: int | None = None,
+                  id_base: int | None = None) -> Change:
+    """Settle verified callbacks that are the first of their payment id, unless
+    the id is recorded in ``payments``; those are rejected as duplicates. New
+    payment ids continue ``id_base``, or the greatest of ``payments``."""
+    known = restrict(payments, first.select("payment_id"), "provider_payment_id", bound).select(
+        F.col("provider_payment_id").alias("payment_id")).distinct()
+    fresh = first.join(known, "payment_id", "left_anti")
+    seen = _callback_rejects(first.join(known, "payment_id", "left_semi"), R_DUPLICATE)
+    ms = F.unix_millis(F.col("received_at").cast("timestamp"))
+    pay = _pay(fresh, customers, payments, *PROVIDER_SETTLEMENT, ms, F.col("received_at"),
+               F.col("order_id"), F.col("payment_id"), bound=bound, id_base=id_base)
+    ch = _settle(bills, payments, fresh, pay, bound)
+    ch.rejects = seen
+    return ch
+
+
 def settle_idempotent(bills: DataFrame, customers: DataFrame, payments: DataFrame, callbacks: DataFrame,
                       secret: str) -> Change:
     """One payment per provider payment id: repeats within the batch and ids
     already recorded are rejected as duplicates."""
     acc, rej, n = verify_callbacks(callbacks, bills, secret)
     first, dup = _first_wins(acc, ["payment_id"], "request_id", R_DUPLICATE, "payment_callbacks")
-    known = restrict(payments, acc.select("payment_id"), "provider_payment_id", n).select(
-        F.col("provider_payment_id").alias("payment_id")).distinct()
-    fresh = first.join(known, "payment_id", "left_anti")
-    seen = first.join(known, "payment_id", "left_semi").select(
-        F.lit("payment_callbacks").alias("table_name"), "request_id", F.lit(R_DUPLICATE).alias("reason"))
-    ms = F.unix_millis(F.col("received_at").cast("timestamp"))
-    pay = _pay(fresh, customers, payments, *PROVIDER_SETTLEMENT, ms, F.col("received_at"),
-               F.col("order_id"), F.col("payment_id"), bound=n)
-    ch = _settle(bills, payments, fresh, pay, n)
-    ch.rejects = rej.unionByName(dup).unionByName(seen)
+    ch = settle_firsts(bills, customers, payments, first, n)
+    ch.rejects = rej.unionByName(dup).unionByName(ch.rejects)
     return ch
 
 
@@ -324,11 +345,14 @@ def reminder_candidates(bills: DataFrame, customers: DataFrame, reminders: DataF
     return bills_with_customer(cand, restrict(customers, cand.select("customer_id"), "id", batch_rows(cand)))
 
 
-def run_reminders(bills: DataFrame, customers: DataFrame, reminders: DataFrame, as_of: str) -> Change:
-    """Emit one (bill, as_of, 'due') reminder per candidate; a rerun emits none."""
+def run_reminders(bills: DataFrame, customers: DataFrame, reminders: DataFrame, as_of: str,
+                  id_base: int | None = None) -> Change:
+    """Emit one (bill, as_of, 'due') reminder per candidate; a rerun emits none.
+    New ids continue ``id_base``, or the greatest of ``reminders``."""
     cand = reminder_candidates(bills, customers, reminders, as_of)
     new = assign_ids(cand.select(F.col("id").alias("bill_id"), F.lit(as_of).cast("date").alias("reminder_date"),
-                                 F.lit("due").alias("reminder_type")), ["bill_id"], reminders)
+                                 F.lit("due").alias("reminder_type")), ["bill_id"],
+                     reminders if id_base is None else id_base)
     changed = new.select(F.lit("bill_reminders").alias("table_name"), F.lit("insert").alias("action"),
                          "id", "bill_id", "reminder_date", "reminder_type")
     events = cand.select(F.col("id").alias("bill_id"), "customer_id", "amount", "due_date",

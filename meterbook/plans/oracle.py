@@ -100,9 +100,11 @@ VIEWS["notification_logs"] = """SELECT event_id AS id, CASE WHEN event_id%9=0 TH
  props AS message, ts AS created_at
 FROM events"""
 
-VIEWS["access_log"] = """SELECT event_id AS request_id, user_id AS client_key, ts,
- CASE event_type WHEN 'purchase' THEN 'payment' WHEN 'signup' THEN 'login' ELSE 'api' END AS route_class
-FROM events"""
+VIEWS["access_log"] = """SELECT event_id AS request_id, CASE WHEN user_id%3=0 THEN 0 ELSE user_id END AS client_key,
+ make_timestamp(1704067200000000 + us) AS ts,
+ CASE event_type WHEN 'purchase' THEN 'payment' WHEN 'signup' THEN 'login' ELSE 'api' END AS route_class,
+ (us + CASE WHEN event_id%40=7 THEN 1800000000 ELSE 0 END) // 1800000000 AS landing
+FROM (SELECT *, (epoch_us(ts) - 1704067200000000) // 720 AS us FROM events)"""
 
 VIEWS["charge_requests"] = """SELECT CAST(l_orderkey*10+l_linenumber AS BIGINT) AS request_id, l_orderkey AS bill_id,
  CASE WHEN l_partkey%17=0 THEN '  ' ELSE ' '||p_name||' ' END AS description,

@@ -96,14 +96,14 @@ PAY_COLS = ["table_name", "action", "request_id", "reason", "id", "bill_id", "cu
             "method", "provider", "provider_order_id", "provider_payment_id", "receipt_number", "paid_at"]
 
 
-def _settle_sql(acc_cte: str, method: str, provider: str, reject_source: str) -> str:
+def _settle_sql(acc_cte: str, method: str, provider: str, reject_source: str, order: str = "request_id") -> str:
     """Payments, bill updates and rejects of a settlement, given ``acc``/``rej`` CTEs
     whose rows carry k_order, k_pay, k_ms (receipt time) and k_at (paid at)."""
     return f"""WITH {acc_cte},
 pay AS (SELECT a.request_id, a.bill_id, a.cust AS customer_id, a.bamount AS amount, a.k_order, a.k_pay, a.k_ms, a.k_at
         FROM acc a JOIN customers c ON c.id = a.cust)
 SELECT 'payments' AS table_name, 'insert' AS action, request_id, CAST(NULL AS STRING) AS reason,
- (SELECT max(id) FROM payments) + row_number() OVER (ORDER BY request_id) AS id, bill_id, customer_id, amount,
+ (SELECT max(id) FROM payments) + row_number() OVER (ORDER BY {order}) AS id, bill_id, customer_id, amount,
  'paid' AS status, '{method}' AS method, '{provider}' AS provider, k_order AS provider_order_id,
  k_pay AS provider_payment_id, 'NW-'||CAST(bill_id AS STRING)||'-'||CAST(k_ms AS STRING) AS receipt_number,
  k_at AS paid_at FROM pay

@@ -29,6 +29,8 @@ SEED_PLANS = [
 ]
 # The seeded week of usage for customer 1 (GB used, oldest first; quota 1000).
 SEED_USAGE_GB = [42, 88, 135, 181, 226, 274, 320]
+# 2024-01-01 00:00 UTC, when the events begin.
+ACCESS_EPOCH_MICROS = 1704067200 * 10**6
 # Key signing the fixture payment callbacks.
 CALLBACK_SECRET = "test-secret"
 
@@ -437,10 +439,19 @@ def callbacks_from_bills(bills: DataFrame) -> DataFrame:
 
 
 def access_from_events(e: DataFrame) -> DataFrame:
+    """The month of events played at 720 times its speed, as requests of one hour. A third of them come from one
+    client; every fortieth arrives half an hour late. ``landing`` numbers the half hours of arrival."""
     et = F.col("event_type")
-    return e.select(
-        F.col("event_id").alias("request_id"), F.col("user_id").alias("client_key"), "ts",
-        F.when(et == "purchase", "payment").when(et == "signup", "login").otherwise("api").alias("route_class"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(ACCESS_EPOCH_MICROS)
+    at = F.lit(ACCESS_EPOCH_MICROS) + F.expr("_micros div 720")
+    late = F.when(F.col("event_id") % 40 == 7, F.lit(1800 * 10**6)).otherwise(F.lit(0))
+    return e.withColumn("_micros", micros).select(
+        F.col("event_id").alias("request_id"),
+        F.when(F.col("user_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")).cast("long").alias("client_key"),
+        F.timestamp_micros(at).cast("timestamp_ntz").alias("ts"),
+        F.when(et == "purchase", "payment").when(et == "signup", "login").otherwise("api").alias("route_class"),
+        (F.expr("_micros div 720") + late).alias("_arrival")).withColumn(
+        "landing", F.expr("_arrival div 1800000000")).drop("_arrival")
 
 
 def usage_reports_from_events(e: DataFrame) -> DataFrame:

@@ -1,28 +1,36 @@
 """Structured Streaming jobs, each the streaming twin of a batch job.
 
-Sources are file streams over the data directory (``pathGlobFilter`` picks
-one table's files); in production they would be Kafka topics or landing
-folders. Every job uses a checkpoint under the cluster's shared checkpoint
-folder, so a restarted driver or lost executor resumes where it stopped;
-``foreachBatch`` sinks write per-batch paths with overwrite, so a replayed
-micro-batch rewrites its own output instead of duplicating it. Pass the same
-``root`` again to resume a job from its checkpoint.
+Sources are file streams over a folder that data land in (``land``) or over
+the data directory (``file_stream``); in production they would be Kafka topics
+or landing folders. Every job uses a checkpoint under the cluster's shared
+checkpoint folder, so a restarted driver or lost executor resumes where it
+stopped; ``foreachBatch`` sinks write per-batch paths with overwrite, so a
+replayed micro-batch rewrites its own output instead of duplicating it. Pass
+the same ``root`` again to resume a job from its checkpoint.
+
+What a micro-batch has to know of earlier ones is keyed state, never the job's
+whole output: Spark's state store (payment ids, reminded bills), the windows
+that are still open, and one row with the greatest id given out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import changes as C
 from ..operators import notify as N
+from ..operators.filters import due_within, not_paid
 from ..session import shared_dir
-from ..sources.fixtures import (access_from_events, bills_from_orders, callbacks_from_bills,
-                                usage_reports_from_events)
+from ..sources.fixtures import bills_from_orders, usage_reports_from_events
 
-# Request limits per client (count per window), by route class.
-RATE_LIMITS = {"api": (300, "15 minutes"), "payment": (30, "10 minutes"), "login": (5, "15 minutes")}
+# Request limits per client (count per window) and window lengths in minutes, by route class.
+RATE_LIMITS = {"api": (300, 15), "payment": (30, 10), "login": (5, 15)}
+LATE_MINUTES = 10               # a window closes when requests so much younger than its end have come
 
 
 def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1) -> DataFrame:
@@ -32,6 +40,16 @@ def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1
             .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
 
 
+def land(df: DataFrame, folder: str) -> None:
+    """Add rows to a folder that a stream reads."""
+    df.write.mode("append").parquet(folder)
+
+
+def landed(spark: SparkSession, folder: str) -> DataFrame:
+    """The folder as a stream; a run takes all files that are new."""
+    return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+
+
 def _run(writer, checkpoint: str, available_now: bool = True):
     q = writer.option("checkpointLocation", checkpoint)
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")
@@ -41,116 +59,185 @@ def _run(writer, checkpoint: str, available_now: bool = True):
     return handle
 
 
-def _versioned_sink(root: str):
-    """foreachBatch writer: each micro-batch lands in its own batch_id folder (overwrite on replay)."""
-    def write(df: DataFrame, batch_id: int):
-        df.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
-    return write
+def _greatest_id(spark: SparkSession, root: str, batch_id: int, initial: DataFrame) -> int:
+    """The greatest id given out before this micro-batch: one row that the one before it left."""
+    if batch_id:
+        return spark.read.parquet(f"{root}/ids/batch_id={batch_id - 1}").first()["id"]
+    return initial.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("id")).first()["id"]
+
+
+def _keep_greatest_id(new: DataFrame, root: str, batch_id: int, before: int) -> None:
+    (new.agg(F.greatest(F.coalesce(F.max("id"), F.lit(before)), F.lit(before)).cast("long").alias("id"))
+     .write.mode("overwrite").parquet(f"{root}/ids/batch_id={batch_id}"))
+
+
+WINDOW = ["route_class", "client_key", "window_start", "window_end"]
+
+
+def _windowed(access: DataFrame, limits: dict) -> DataFrame:
+    """Requests with their window; lengths go by route class, windows are aligned with the epoch."""
+    minutes = F.lit(None).cast("int")
+    for cls, (_, length) in limits.items():
+        minutes = F.when(F.col("route_class") == cls, F.lit(length)).otherwise(minutes)
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return (access.withColumn("_seconds", minutes * 60).where("_seconds IS NOT NULL AND ts IS NOT NULL")
+            .withColumn("_start", at - F.pmod(at, F.col("_seconds")))
+            .withColumn("window_start", F.timestamp_seconds("_start").cast("timestamp_ntz"))
+            .withColumn("window_end", F.timestamp_seconds(F.col("_start") + F.col("_seconds")).cast("timestamp_ntz")))
+
+
+def _judged(counts: DataFrame, limits: dict) -> DataFrame:
+    limit = F.lit(None).cast("int")
+    for cls, (most, _) in limits.items():
+        limit = F.when(F.col("route_class") == cls, F.lit(most)).otherwise(limit)
+    return counts.select(*WINDOW, "requests", limit.alias("limit"), (F.col("requests") > limit).alias("over_limit"))
+
 
+def rate_windows(spark: SparkSession, stream: DataFrame, root: str, limits: dict | None = None,
+                 late_minutes: int = LATE_MINUTES) -> tuple[DataFrame, DataFrame]:
+    """st_rate_windows: (closed windows, late requests).
 
-def rate_windows(spark: SparkSession, sf_dir: str, limits: dict | None = None,
-                 watermark: str = "1 hour", root: str | None = None) -> DataFrame:
-    """st_rate_windows: requests per client and fixed window, flagged above the
-    limit. One windowed aggregation per route class (each has its own window
-    length), in update mode with a watermark so old windows leave the state;
-    the sink keeps every emitted version and the result takes the last one
-    per window."""
+    Requests per client and fixed window, flagged above the limit, for all route
+    classes in one scan. A window is emitted once, when it closes: when the
+    newest request so far is ``late_minutes`` past its end. A request
+    that comes for a closed window is late; late requests are counted per
+    window in an output of their own instead of being dropped unseen.
+
+    A micro-batch is counted per window in one pass (partial aggregates, so a
+    client with a third of the requests is combined before the shuffle) and
+    written. What it needs of earlier ones are the windows still open and the
+    watermark, both left by the micro-batch before it; they span no more time
+    than the longest window and ``late_minutes``. Every output is a folder per
+    micro-batch, overwritten by a replay.
+    """
     limits = limits or RATE_LIMITS
-    root = root or shared_dir(spark, "st-rate-windows")
-    running = []
-    for cls, (limit, length) in limits.items():
-        s = access_from_events(file_stream(spark, sf_dir, "events"))
-        s = s.filter(F.col("route_class") == cls).withColumn("ts", F.col("ts").cast("timestamp"))
-        agg = (s.withWatermark("ts", watermark)
-               .groupBy("route_class", "client_key", F.window("ts", length))
-               .agg(F.count(F.lit(1)).alias("requests")))
-        out = agg.select("route_class", "client_key", F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                         F.col("window.end").cast("timestamp_ntz").alias("window_end"), "requests",
-                         F.lit(limit).alias("limit"), (F.col("requests") > limit).alias("over_limit"))
-        writer = (out.writeStream.outputMode("update")
-                  .foreachBatch(_versioned_sink(f"{root}/out/route_class={cls}"))
-                  .option("checkpointLocation", f"{root}/checkpoint-{cls}").trigger(availableNow=True))
-        running.append(writer.start())          # the three classes run side by side
-    for q in running:
-        q.awaitTermination()
-    emitted = spark.read.parquet(f"{root}/out")
-    keys = ["route_class", "client_key", "window_start"]
-    w = Window.partitionBy(*keys)
-    # Per window only a handful of versions exist (one per micro-batch that touched it).
-    return (emitted.withColumn("_last", F.max("batch_id").over(w)).filter(F.col("batch_id") == F.col("_last"))
-            .select(*keys, "window_end", "requests", "limit", "over_limit"))
+
+    def batch(df: DataFrame, batch_id: int):
+        part, windows, marks = (f"{root}/{x}/batch_id={batch_id}" for x in ("parts", "windows", "marks"))
+        before = f"batch_id={batch_id - 1}"
+        (_windowed(df, limits).groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("requests"), F.max("ts").cast("timestamp_ntz").alias("last"))
+         .write.mode("overwrite").parquet(part))
+        counted = spark.read.parquet(part)
+        closed_before = spark.read.parquet(f"{root}/marks/{before}").first()["mark"] if batch_id else None
+        gone = F.col("window_end") <= F.lit(closed_before).cast("timestamp_ntz")
+        now = counted.where(~F.coalesce(gone, F.lit(False))).drop("last")
+        if batch_id:
+            now = now.unionByName(spark.read.parquet(f"{root}/windows/{before}").where("NOT closed").drop("closed"))
+        newest = F.max("last") - F.expr(f"INTERVAL {late_minutes} MINUTES")
+        counted.agg(F.greatest(newest, F.lit(closed_before).cast("timestamp_ntz")).alias("mark")).write.mode("overwrite").parquet(marks)
+        mark = spark.read.parquet(marks).first()["mark"]
+        closes = F.coalesce(F.col("window_end") <= F.lit(mark).cast("timestamp_ntz"), F.lit(False))
+        (now.groupBy(*WINDOW).agg(F.sum("requests").alias("requests")).withColumn("closed", closes)
+         .write.mode("overwrite").parquet(windows))
+        counted.where(gone).drop("last").write.mode("overwrite").parquet(f"{root}/late/batch_id={batch_id}")
+
+    _run(stream.writeStream.foreachBatch(batch), f"{root}/checkpoint")
+    closed = _judged(spark.read.parquet(f"{root}/windows").where("closed"), limits)
+    late = spark.read.parquet(f"{root}/late").groupBy(*WINDOW).agg(F.sum("requests").alias("requests"))
+    return closed, late
 
 
 def rate_windows_batch(access: DataFrame, limits: dict | None = None) -> DataFrame:
-    """Batch twin of ``rate_windows``."""
+    """Batch twin of ``rate_windows``: every window, closed or not, of all requests."""
     limits = limits or RATE_LIMITS
-    out = None
-    for cls, (limit, length) in limits.items():
-        a = (access.filter(F.col("route_class") == cls).withColumn("ts", F.col("ts").cast("timestamp"))
-             .groupBy("route_class", "client_key", F.window("ts", length)).agg(F.count(F.lit(1)).alias("requests"))
-             .select("route_class", "client_key", F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                     F.col("window.end").cast("timestamp_ntz").alias("window_end"), "requests",
-                     F.lit(limit).alias("limit"), (F.col("requests") > limit).alias("over_limit")))
-        out = a if out is None else out.unionByName(a)
-    return out
-
-
-def reminders(spark: SparkSession, sf_dir: str, customers: DataFrame, initial: DataFrame, as_of: str,
-              root: str | None = None) -> DataFrame:
-    """st_reminders: bills arrive as a stream; each micro-batch emits the due
-    reminders of its bills that are not yet reminded for as_of (anti join
-    with the initial reminder table plus everything this job wrote)."""
-    root = root or shared_dir(spark, "st-reminders")
-    out = f"{root}/out"
+    return _judged(_windowed(access, limits).groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("requests")), limits)
+
 
+def reminders(spark: SparkSession, bills: DataFrame, customers: DataFrame, initial: DataFrame, as_of: str, root: str) -> DataFrame:
+    """st_reminders: bills arrive as a stream; each due bill is reminded once for as_of.
+
+    Bills that are not due are filtered from the stream first. A due bill that
+    came before is dropped by the state store's keyed state
+    (``dropDuplicates``), so a micro-batch looks up its own bills only and
+    never reads what the job has written.
+    """
     def batch(df: DataFrame, batch_id: int):
-        # Only earlier batches count as already reminded: a replay of this
-        # batch must not see its own partial output, or the overwrite below
-        # would lose reminders.
-        prior = initial
-        if batch_id > 0:
-            earlier = spark.read.parquet(out).filter(F.col("batch_id") < batch_id)
-            prior = initial.unionByName(earlier.select(*initial.columns))
-        ch = C.run_reminders(df, customers, prior, as_of)
-        ch.changed.select("id", "bill_id", "reminder_date", "reminder_type") \
-            .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    bills = bills_from_orders(file_stream(spark, sf_dir, "orders"))
-    _run(bills.writeStream.foreachBatch(batch), f"{root}/checkpoint")
-    return spark.read.parquet(out).drop("batch_id")
+        before = _greatest_id(spark, root, batch_id, initial)
+        ch = C.run_reminders(df, customers, initial, as_of, before)
+        out = f"{root}/out/batch_id={batch_id}"
+        ch.changed.select("id", "bill_id", "reminder_date", "reminder_type").write.mode("overwrite").parquet(out)
+        _keep_greatest_id(spark.read.parquet(out), root, batch_id, before)
+
+    due = due_within(not_paid(bills), as_of, 3).dropDuplicates(["id"])
+    _run(due.writeStream.foreachBatch(batch), f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out").drop("batch_id")
+
+
+NTZ = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+
+
+def _first_of_key(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Flags the accepted request with the least id, unless an earlier micro-batch had one; only the best so far is held."""
+    def rows(ids, texts, first: bool) -> pd.DataFrame:
+        return pd.DataFrame({"request_id": ids, "row": texts, "first": [first] * len(ids)})
+
+    taken, best = state.exists, None
+    for part in parts:
+        ids, texts = part["request_id"].tolist(), part["row"].tolist()
+        if not taken:
+            candidates = [i for i, ok in enumerate(part["accepted"].tolist()) if ok]
+            if candidates:
+                i = min(candidates, key=ids.__getitem__)
+                here = ids.pop(i), texts.pop(i)
+                if best is not None:
+                    best, worse = min(best, here), max(best, here)
+                    ids.append(worse[0])
+                    texts.append(worse[1])
+                else:
+                    best = here
+        if ids:
+            yield rows(ids, texts, False)
+    if best is not None:
+        state.update((True,))
+        yield rows([best[0]], [best[1]], True)
+
+
+def first_by_state(tagged: DataFrame, key: Column) -> DataFrame:
+    """Rows of a stream (``request_id`` unique, ``_reason`` NULL where accepted) with ``_first``: accepted and the first of their key
+    in all micro-batches, by request id within one. The state store keeps one flag per key that was taken."""
+    rest = F.struct(*[c for c in tagged.columns if c != "request_id"])
+    schema = tagged.select(rest.alias("row")).schema["row"].dataType
+    ok = F.col("_reason").isNull()
+    keyed = tagged.select(
+        "request_id", ok.alias("accepted"), F.to_json(rest, NTZ).alias("row"),
+        # Rejected rows pass through without state, some hundred groups of them.
+        F.when(ok, F.concat(F.lit("key "), key)).otherwise(F.concat(F.lit("reject "), F.pmod("request_id", F.lit(256)).cast("string")))
+        .alias("key"))
+    found = keyed.groupBy("key").applyInPandasWithState(
+        _first_of_key, "request_id bigint, row string, first boolean", "taken boolean", "append", GroupStateTimeout.NoTimeout)
+    return (found.withColumn("row", F.from_json("row", schema, NTZ))
+            .select("request_id", *[F.col(f"row.{c}").alias(c) for c in schema.names], F.col("first").alias("_first")))
 
 
 def settle_stream(spark: SparkSession, stream: DataFrame, bills: DataFrame, customers: DataFrame, payments: DataFrame,
                   secret: str, root: str) -> DataFrame:
-    """Callbacks of a stream, each micro-batch settled by ``settle_idempotent``.
+    """st_callbacks: callbacks of a stream, settled at most once per provider payment id.
 
     Every callback is verified before repeats are looked for, so a forged
-    delivery never hides the valid one that follows it. Payments that earlier
-    micro-batches wrote count as known: their ids are continued, and a payment
-    id that comes again, however late, is rejected as a duplicate. Returns the
-    payment rows, bill updates and rejects of all micro-batches.
+    delivery never hides the valid one that follows it. Which payment ids were
+    taken is keyed state: a micro-batch touches the state of its own ids, and
+    an id that comes again, however late, is a duplicate. ``payments`` are
+    those stored before the stream began. Returns the payment rows, bill
+    updates and rejects of all micro-batches.
     """
-    out = f"{root}/out"
+    b = C._billed(bills)
+    rows = stream.withColumnRenamed("callback_id", "request_id").join(b, F.col("bill_id") == b["_bid"], "left")
+    flagged = first_by_state(rows.withColumn("_reason", C.callback_reason(secret)), F.col("payment_id"))
 
     def batch(df: DataFrame, batch_id: int):
-        known = payments
-        if batch_id > 0:        # a replay must not see its own partial output
-            earlier = spark.read.parquet(out).filter(
-                (F.col("batch_id") < batch_id) & (F.col("table_name") == "payments") & (F.col("action") == "insert"))
-            known = payments.unionByName(earlier.select(*payments.columns))
-        report = C.settle_idempotent(bills, customers, known, df, secret).report()
-        report.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    _run(stream.writeStream.foreachBatch(batch), f"{root}/checkpoint")
-    return spark.read.parquet(out).drop("batch_id")
-
-
-def callbacks(spark: SparkSession, sf_dir: str, bills: DataFrame, customers: DataFrame, payments: DataFrame,
-              secret: str, root: str | None = None) -> DataFrame:
-    """st_callbacks: provider callbacks as a stream; the twin of settle_idempotent."""
-    root = root or shared_dir(spark, "st-callbacks")
-    stream = callbacks_from_bills(bills_from_orders(file_stream(spark, sf_dir, "orders")))
-    return settle_stream(spark, stream, bills, customers, payments, secret, root)
+        before = _greatest_id(spark, root, batch_id, payments)
+        df = C.materialize(df)
+        n = C.batch_rows(df)
+        ch = C.settle_firsts(bills, customers, payments, df.where("_first"), n, before)
+        rest = df.where("NOT _first").select(F.lit("payment_callbacks").alias("table_name"), "request_id",
+                                             F.coalesce("_reason", F.lit(C.R_DUPLICATE)).alias("reason"))
+        ch.rejects = ch.rejects.unionByName(rest)
+        out = f"{root}/out/batch_id={batch_id}"
+        ch.report().write.mode("overwrite").parquet(out)
+        _keep_greatest_id(spark.read.parquet(out).where("table_name = 'payments' AND action = 'insert'"), root, batch_id, before)
+
+    _run(flagged.writeStream.foreachBatch(batch), f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out").drop("batch_id")
 
 
 def usage(spark: SparkSession, sf_dir: str, initial: DataFrame, root: str | None = None) -> DataFrame:

@@ -1,11 +1,16 @@
 """Streams resume from their checkpoints: a second run over the same root
 processes nothing new and leaves the output unchanged."""
 
+import collections
+import contextlib
 import datetime as dt
 import hashlib
 import hmac
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameReader
+
 from meterbook.operators import changes as C
 from meterbook.sources.schema import TABLES
 from meterbook.session import shared_dir
@@ -30,15 +35,67 @@ def test_usage_and_reminder_streams_resume(spark, book):
     root = shared_dir(spark, "test-usage")
     assert _rows(ST.usage(spark, SMALL, book.data_usage, root=root)) == \
         _rows(ST.usage(spark, SMALL, book.data_usage, root=root))
-    root = shared_dir(spark, "test-reminders")
-    first = _rows(ST.reminders(spark, SMALL, book.customers, book.bill_reminders, AS_OF, root=root))
-    assert first == _rows(ST.reminders(spark, SMALL, book.customers, book.bill_reminders, AS_OF, root=root))
 
 
-def test_callback_stream_equals_its_batch_twin(spark, book):
-    out = ST.callbacks(spark, SMALL, book.bills, book.customers, book.payments, CALLBACK_SECRET)
+def _parts(df, column, n, folder):
+    """Lands the rows part by part, by ``column`` modulo ``n``, yielding after each."""
+    for k in range(n):
+        ST.land(df.where(F.col(column) % n == k), folder)
+        yield k
+
+
+@contextlib.contextmanager
+def _reads(monkeypatch):
+    """Paths that are read while the block runs."""
+    seen, old = [], DataFrameReader.parquet
+
+    def parquet(self, *paths, **options):
+        seen.extend(paths)
+        return old(self, *paths, **options)
+    with monkeypatch.context() as m:
+        m.setattr(DataFrameReader, "parquet", parquet)
+        yield seen
+
+
+def test_reminder_stream_keeps_state_and_resumes(spark, book, monkeypatch):
+    folder, root = shared_dir(spark, "bills"), shared_dir(spark, "test-reminders")
+
+    def run():
+        return ST.reminders(spark, ST.landed(spark, folder), book.customers, book.bill_reminders, AS_OF, root)
+    for k in _parts(book.bills, "id", 3, folder):
+        with _reads(monkeypatch) as seen:
+            out = run()
+        mine = [p for p in seen if p.startswith(root)]
+        # Of what earlier micro-batches left, only the last one's greatest id is read.
+        assert [p for p in mine if f"batch_id={k}" not in p] == ([f"{root}/ids/batch_id={k - 1}"] if k else []) + [f"{root}/out"]
+    first = _rows(out)
+    assert _rows(run()) == first                            # nothing new: nothing emitted
+    ST.land(book.bills.where("id % 2 = 0"), folder)          # bills that came before come again
+    assert _rows(run()) == first
+    twin = C.run_reminders(book.bills, book.customers, book.bill_reminders, AS_OF).changed
+    assert sorted((r[1:] for r in first), key=str) == _rows(twin.select("bill_id", "reminder_date", "reminder_type"))
+    assert sorted(r[0] for r in first) == sorted(r.id for r in twin.collect())
+
+
+def test_callback_stream_keeps_state_and_equals_its_batch_twin(spark, book, monkeypatch):
+    folder, root = shared_dir(spark, "callbacks"), shared_dir(spark, "test-callbacks")
+
+    def run():
+        return ST.settle_stream(spark, ST.landed(spark, folder), book.bills, book.customers, book.payments, CALLBACK_SECRET, root)
+    for k in _parts(book.payment_callbacks, "callback_id", 2, folder):
+        with _reads(monkeypatch) as seen:
+            out = run()
+        mine = [p for p in seen if p.startswith(root)]
+        assert [p for p in mine if f"batch_id={k}" not in p] == ([f"{root}/ids/batch_id={k - 1}"] if k else []) + [f"{root}/out"]
     twin = C.settle_idempotent(book.bills, book.customers, book.payments, book.payment_callbacks, CALLBACK_SECRET).report()
-    assert out.count() > 0 and _rows(out.select(*twin.columns)) == _rows(twin)
+    plain = [c for c in twin.columns if c != "id"]           # ids follow arrival
+    first = _rows(out)
+    pays = "table_name = 'payments'"
+    assert _rows(out.where(pays).select(*plain)) == _rows(twin.where(pays).select(*plain))
+    assert _rows(out.where(f"NOT {pays}").select(*twin.columns)) == _rows(twin.where(f"NOT {pays}"))
+    assert sorted(r.id for r in out.where(pays).collect()) == sorted(r.id for r in twin.where(pays).collect())
+    ST.land(book.payment_callbacks.limit(0), folder)
+    assert _rows(run()) == first
 
 
 def test_callbacks_over_several_files_bad_delivery_first(spark, tmp_path):
@@ -70,8 +127,45 @@ def test_callbacks_over_several_files_bad_delivery_first(spark, tmp_path):
             (5, "Duplicate record already exists")} < bad and len(bad) == 4
 
 
-def test_rate_windows_stream_equals_batch(spark, book):
-    stream = _rows(ST.rate_windows(spark, SMALL))
-    batch = _rows(ST.rate_windows_batch(book.access_log).select(
-        "route_class", "client_key", "window_start", "window_end", "requests", "limit", "over_limit"))
-    assert stream == batch
+def test_rate_windows_close_and_late_requests_are_counted(spark, book, monkeypatch):
+    """Three landings of all requests; closed windows and late rows against a plain reckoning."""
+    access, folder, root = book.access_log, shared_dir(spark, "access"), shared_dir(spark, "test-rates")
+    limits = {"api": (3, 15), "payment": (2, 10), "login": (1, 15)}
+    rows = [(r.route_class, r.client_key, r.ts, r.landing) for r in access.collect()]
+    want, late, marks = collections.Counter(), collections.Counter(), [None]
+    for k in range(3):
+        for cls, client, ts, landing in rows:
+            if landing != k:
+                continue
+            minutes = limits[cls][1]
+            start = ts.replace(minute=ts.minute // minutes * minutes, second=0, microsecond=0)
+            key = (cls, client, start, start + dt.timedelta(minutes=minutes))
+            (late if marks[-1] and key[3] <= marks[-1] else want)[key] += 1
+        marks.append(max(ts for *_, ts, landing in rows if landing <= k) - dt.timedelta(minutes=10))
+        ST.land(access.where(F.col("landing") == k), folder)
+        with _reads(monkeypatch) as seen:
+            closed, found = ST.rate_windows(spark, ST.landed(spark, folder), root, limits)
+        old = {p for p in seen if p.startswith(root) and "batch_id=" in p and f"batch_id={k}" not in p}
+        assert old == ({f"{root}/{x}/batch_id={k - 1}" for x in ("marks", "windows")} if k else set())
+        open_now = {key: n for key, n in want.items() if key[3] > marks[-1]}
+        done = {key: n for key, n in want.items() if key[3] <= marks[-1]}
+        assert {tuple(r)[:4]: r.requests for r in closed.collect()} == done
+        assert {tuple(r)[:4]: r.requests for r in found.collect()} == dict(late)
+        left = spark.read.parquet(f"{root}/windows/batch_id={k}").where("NOT closed").collect()
+        assert {(r.route_class, r.client_key, r.window_start, r.window_end): r.requests for r in left} == open_now
+    assert late and {r.over_limit for r in closed.collect()} == {True, False}
+    again = ST.rate_windows(spark, ST.landed(spark, folder), root, limits)
+    assert _rows(again[0]) == _rows(closed) and _rows(again[1]) == _rows(found)
+
+
+def test_rate_windows_of_no_requests(spark, book):
+    folder, root = shared_dir(spark, "access"), shared_dir(spark, "test-rates")
+    ST.land(book.access_log.limit(0), folder)
+    for _ in range(2):
+        closed, late = ST.rate_windows(spark, ST.landed(spark, folder), root)
+        assert closed.count() == 0 and late.count() == 0
+        ST.land(book.access_log.limit(5), folder)
+
+
+def test_rate_windows_batch_counts_all(spark, book):
+    assert sum(r.requests for r in ST.rate_windows_batch(book.access_log).collect()) == book.access_log.count()
