@@ -57,6 +57,7 @@ R_TICKET_STATUS = "Invalid ticket status"
 R_TICKET_NOT_FOUND = "Ticket not found"
 MISSING_FIELDS = "Missing required fields: "
 R_VALIDATION = "Validation failed"
+R_SERVER_ERROR = "Internal server error"
 
 # How a settlement is recorded (payments.method, payments.provider).
 STAFF_SETTLEMENT = ("manual", "staff")
@@ -93,6 +94,11 @@ def _small(df: DataFrame, bound: int | None) -> DataFrame:
     return F.broadcast(df) if bound is not None and fits_broadcast(bound) else df
 
 
+def _small_table(df: DataFrame) -> DataFrame:
+    """Broadcast a table of few rows, its size checked by reading no more than one row beyond the bound."""
+    return F.broadcast(df) if fits_broadcast(df) else df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a validated request batch once under the shared checkpoint folder.
 
@@ -393,7 +399,7 @@ def ingest_registrations(users: DataFrame, customers: DataFrame, plans: DataFram
     ue = _emails(users, r, "_u", n)
     ce = _emails(customers, r, "_c", n)
     pl = plans.select(F.col("id").cast("long").alias("plan_id"), F.lit(True).alias("_p"))
-    j = r.join(ue, "email", "left").join(ce, "email", "left").join(F.broadcast(pl), "plan_id", "left")
+    j = r.join(ue, "email", "left").join(ce, "email", "left").join(_small_table(pl), "plan_id", "left")
     miss = missing_fields(j, ["name", "email", "phone", "address", "plan_id"])
     plan_int = F.col("_raw_plan").rlike(r"^[0-9]+$") & (F.col("plan_id") >= 1)
     invalid = (blank("name") | blank("_raw_phone") | blank("address")
@@ -447,7 +453,7 @@ def ingest_customers(users: DataFrame, customers: DataFrame, plans: DataFrame, r
     n = batch_rows(r)
     ce = _emails(customers, r, "_c", n)
     pl = plans.select(F.col("id").cast("long").alias("plan_id"), F.lit(True).alias("_p"))
-    j = r.join(ce, "email", "left").join(F.broadcast(pl), "plan_id", "left")
+    j = r.join(ce, "email", "left").join(_small_table(pl), "plan_id", "left")
     pw = F.coalesce(F.col("password_length"), F.lit(0))
     ok, rej = _split(j, _reason((F.col("phone") == "", R_PHONE),
                                 ((F.col("name") == "") | (F.col("email") == "") | F.col("plan_id").isNull()
@@ -479,26 +485,96 @@ def ingest_customers(users: DataFrame, customers: DataFrame, plans: DataFrame, r
     return Change(changed, rej.unionByName(dup), state)
 
 
-def patch_customers(customers: DataFrame, users: DataFrame, patches: DataFrame) -> Change:
+def settle_addresses(want: DataFrame, customers: DataFrame, users: DataFrame) -> DataFrame:
+    """Request ids that get the e-mail they ask for, as if the requests ran one after the other.
+
+    ``want`` (written): request_id, old and e (normalised addresses, different,
+    one request per customer). An address is unique among customers and among
+    logins. It can be taken once whoever holds it has moved away: a customer
+    by a request of this batch that came earlier and succeeded, the login
+    along with its customer; staff never move. Of those that ask later, the
+    first gets it and keeps it.
+
+    So an address depends on one other at most, the one its holder moves to.
+    Per address, the first request that could take it in each case is a
+    partial ``min`` (an address that a third of the batch asks for is one row
+    after that); then all addresses are decided at once, again with what their
+    holders got, until nothing changes. That takes a round for each link of
+    the longest chain of moves.
+    """
+    n = batch_rows(want)
+    string_bound = n if fits_broadcast(n, BROADCAST_STRING_KEYS_MAX) else None
+    held = restrict(customers.select(norm_email("email").alias("e")), want.select("e"), "e", n) \
+        .groupBy("e").agg(F.lit(True).alias("_customer"))
+    asked = want.select("e").unionByName(want.select(F.col("old").alias("e")))
+    owners = materialize(restrict(users.select(norm_email("email").alias("e"), "role"), asked, "e", 2 * n)
+                         .groupBy("e").agg(F.max(F.col("role") == "customer").alias("_login"),
+                                           F.max(~F.col("role").eqNullSafe("customer")).alias("_stays")))
+    has_login = owners.where("_login").select(F.col("e").alias("old"), F.lit(True).alias("_has"))
+    movers = materialize(want.select(F.col("old").alias("e"), F.col("request_id").alias("mover"), F.col("e").alias("to")))
+    later = F.col("request_id") > F.col("mover")
+    has = F.col("_has").isNotNull()
+
+    def first(cond: Column, name: str) -> Column:
+        return F.min(F.when(cond, F.col("request_id"))).alias(name)
+
+    cases = (want.join(_small(has_login, string_bound), "old", "left").join(_small(movers, string_bound), "e", "left")
+             .groupBy("e").agg(F.first("mover").alias("mover"), F.first("to").alias("to"),
+                               first(has, "login_any"), first(has & later, "login_later"),
+                               first(~has, "plain_any"), first(~has & later, "plain_later")))
+    state = materialize(cases.join(held, "e", "left").join(owners, "e", "left")
+                        .withColumn("winner", F.lit(None).cast("long")).withColumn("changed", F.lit(True)))
+    taken = F.col("_customer").isNotNull()
+    user_holds = F.col("_login").isNotNull()
+    while True:
+        got = state.select(F.col("e").alias("to"), F.col("winner").alias("_got"))
+        moved = F.coalesce(F.col("_got") == F.col("mover"), F.lit(False))
+        plain = F.when(~taken, F.col("plain_any")).when(moved, F.col("plain_later"))
+        login = F.when(~taken & ~user_holds, F.col("login_any")) \
+            .when(moved & ~(user_holds & F.coalesce(F.col("_stays"), F.lit(False))), F.col("login_later"))
+        now = F.least(plain, login)
+        state = materialize(state.join(_small(got, string_bound), "to", "left")
+                            .withColumn("changed", ~now.eqNullSafe(F.col("winner"))).withColumn("winner", now).drop("_got"))
+        if state.where("changed").isEmpty():
+            return state.where("winner IS NOT NULL").select(F.col("winner").alias("request_id"))
+
+
+def patch_customers(customers: DataFrame, users: DataFrame, plans: DataFrame, patches: DataFrame) -> Change:
     """Partial update by id: NULL keeps a column, '' overwrites it; a non-blank
     phone must pass the phone rule and is stored as 10 digits. A changed
-    name or e-mail is carried to the login found by the old e-mail."""
+    name or e-mail is carried to the login found by the old e-mail.
+
+    Patches run in ``request_id`` order. An unknown plan, or an address that
+    another customer (or, for a customer with a login, another login) holds at
+    that point, rejects the whole patch; an address that an earlier patch of
+    the batch gave up is free (``settle_addresses``).
+    """
     p = materialize(patches.select(*[F.col(c).alias("p_" + c) for c in patches.columns]))
     n = batch_rows(p)
     phone_given = ~blank("p_phone")
     cur = restrict(customers, p.select("p_id"), "id", n).select(*[F.col(c).alias("c_" + c) for c in customers.columns])
     j = p.join(cur, p["p_id"] == cur["c_id"], "left")
     st = F.col("p_status")
-    # Patches carry no order of their own, so a batch holds one patch per
-    # customer; an id patched more than once is rejected as a whole.
+    # A batch holds one patch per customer; an id patched more than once is rejected as a whole.
     repeated = p.groupBy("p_id").agg(F.count(F.lit(1)).alias("_times")).filter(F.col("_times") > 1) \
         .select("p_id", F.lit(True).alias("_repeated"))
-    j = j.join(repeated, "p_id", "left")
-    reason = _reason((F.col("_repeated").isNotNull(), R_DUPLICATE),
-                     (phone_given & (phone_in("p_phone") == ""), R_PHONE),
-                     (st.isNotNull() & (st != "") & ~st.isin(*CUSTOMER_STATUSES), R_STATUS),
-                     (F.col("c_id").isNull(), R_CUSTOMER_NOT_FOUND))
-    ok, rej = _split(j.withColumn("id", F.col("p_id")), reason, "id", "customer_patches")
+    known_plans = plans.select(F.col("id").cast("int").alias("p_plan_id"), F.lit(True).alias("_plan"))
+    j = j.join(_small(repeated, n), "p_id", "left").join(_small_table(known_plans), "p_plan_id", "left")
+    static = materialize(j.withColumn("_static", _reason(
+        (F.col("_repeated").isNotNull(), R_DUPLICATE),
+        (phone_given & (phone_in("p_phone") == ""), R_PHONE),
+        (st.isNotNull() & (st != "") & ~st.isin(*CUSTOMER_STATUSES), R_STATUS),
+        (F.col("c_id").isNull(), R_CUSTOMER_NOT_FOUND),
+        (F.col("p_plan_id").isNotNull() & F.col("_plan").isNull(), R_SERVER_ERROR)))
+        .withColumn("_e", norm_email("p_email")).withColumn("_old", norm_email("c_email"))
+        .withColumn("_moves", F.col("p_email").isNotNull() & (F.col("_e") != F.coalesce("_old", F.lit("")))))
+    want = materialize(static.where("_static IS NULL AND _moves").select(
+        F.col("p_request_id").alias("request_id"), F.col("_old").alias("old"), F.col("_e").alias("e")))
+    got = settle_addresses(want, customers, users).select(F.col("request_id").alias("p_request_id"), F.lit(True).alias("_got"))
+    tagged = static.join(_small(got, n), "p_request_id", "left")
+    ok, rej = _split(tagged.withColumn("id", F.col("p_id")), _reason(
+        (F.col("_static").isNotNull(), F.col("_static")), (F.col("_moves") & F.col("_got").isNull(), R_DUPLICATE)),
+        "id", "customer_patches")
     new_phone = F.when(phone_given, phone_in("p_phone")).otherwise(F.col("p_phone"))
     upd = ok.select(
         F.col("c_id").alias("id"), F.coalesce("p_name", "c_name").alias("name"),

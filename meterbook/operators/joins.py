@@ -14,14 +14,19 @@ def _prefixed(df: DataFrame, prefix: str, cols=None) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in (cols or df.columns)])
 
 
+def _catalogue(plans: DataFrame) -> DataFrame:
+    """The plans, broadcast if counting them stops below the bound."""
+    return F.broadcast(plans) if fits_broadcast(plans, BROADCAST_STRING_KEYS_MAX) else plans
+
+
 def customers_with_plan(customers: DataFrame, plans: DataFrame, how: str = "inner") -> DataFrame:
     """join_cust_plan / proj_alias: customers joined to plans.
 
-    The plan table is a fixed catalogue (a handful of rows), so it is
-    broadcast; customers are never shuffled for this join.
+    The plan catalogue is broadcast when it passes the size check, so that
+    customers are not shuffled for this join.
     """
     p = plans.select(F.col("id").alias("_pid"), F.col("name").alias("plan_name"), "speed", "price", "validity")
-    return customers.join(F.broadcast(p), customers["plan_id"] == p["_pid"], how).drop("_pid")
+    return customers.join(_catalogue(p), customers["plan_id"] == p["_pid"], how).drop("_pid")
 
 
 def bills_with_customer(bills: DataFrame, customers: DataFrame, how: str = "inner") -> DataFrame:
@@ -60,7 +65,7 @@ def invoice_headers(bills: DataFrame, customers: DataFrame, plans: DataFrame, pa
     lp = latest_payment(payments).select(F.col("bill_id").alias("_pb"), "provider_payment_id",
                                          "receipt_number", "method", "paid_at")
     j = (bills.join(c, bills["customer_id"] == c["_cid"], "inner")
-         .join(F.broadcast(p), F.col("plan_id") == p["_pid"], "left")
+         .join(_catalogue(p), F.col("plan_id") == p["_pid"], "left")
          .join(lp, bills["id"] == lp["_pb"], "left"))
     return j.select(*[bills[x] for x in bills.columns], "name", "email", "phone", "address", "plan_name",
                     "plan_speed", "provider_payment_id", "receipt_number", "method", "paid_at")
@@ -143,7 +148,7 @@ def existence_checks(requests: DataFrame, plans: DataFrame, customers: DataFrame
     from ..session import write_through
     r = write_through(requests.select("request_id", "plan_id", norm_email("email").alias("_e")), "batch")
     n = r.count()
-    plan_ok = r.join(F.broadcast(plans.select(F.col("id").cast("long").alias("plan_id"))), "plan_id", "left_semi")
+    plan_ok = r.join(_catalogue(plans.select(F.col("id").cast("long").alias("plan_id"))), "plan_id", "left_semi")
     # Reduce each big table to the requested e-mails first (broadcast when the
     # batch passes the size check), then semi-join the batch with that.
     cust_e = restrict(customers.select(norm_email("email").alias("_e")), r.select("_e"), "_e", n)

@@ -118,14 +118,17 @@ SELECT id*10+9 AS request_id, CASE WHEN id%5=0 THEN -id-1 ELSE id END AS bill_id
  CAST(50 AS DECIMAL(10,2)) AS amount, 'hardware' AS item_type
 FROM bills WHERE NOT EXISTS (SELECT 1 FROM bill_items i WHERE i.bill_id=bills.id)"""
 
-VIEWS["customer_patches"] = """SELECT id, CASE WHEN id%2=0 THEN name||' Jr' END AS name,
- CASE WHEN id%5=0 THEN 'NEW.'||email END AS email,
- CASE WHEN id%3=0 THEN '' END AS phone, CAST(NULL AS STRING) AS address,
- CASE WHEN id%4=0 THEN 3 END AS plan_id,
+VIEWS["customer_patches"] = """SELECT CASE x WHEN 0 THEN rid WHEN 1 THEN rid+1 ELSE rid+2 END AS request_id,
+ CASE WHEN x=2 THEN -id-1 ELSE id END AS id, CASE WHEN id%2=0 THEN name||' Jr' END AS name,
+ CASE id%10 WHEN 0 THEN 'NEW.'||email WHEN 1 THEN ' customer.'||lpad(CAST(id+1 AS STRING),9,'0')||'@EXAMPLE.com'
+   WHEN 2 THEN 'moved.'||email WHEN 3 THEN 'supplier.'||lpad(CAST(id%10+1 AS STRING),9,'0')||'@example.com'
+   WHEN 4 THEN 'shared@example.com' WHEN 5 THEN upper(email) END AS email,
+ CASE WHEN id%3=0 THEN '' WHEN id%17=1 THEN '123' WHEN id%17=2 THEN '98765 43210' END AS phone,
+ CASE WHEN id%19=0 THEN '' WHEN id%19=1 THEN 'moved street' END AS address,
+ CASE WHEN id%13=0 THEN 77 WHEN id%4=0 THEN 3 END AS plan_id,
  CASE WHEN id%11=0 THEN 'bogus' WHEN id%7=0 THEN 'suspended' END AS status
-FROM customers WHERE id%9=0
-UNION ALL
-SELECT -1 AS id, 'ghost' AS name, NULL, NULL, NULL, NULL, 'active'"""
+FROM (SELECT *, CASE WHEN id%20<10 THEN id ELSE 2000000000-id END * 10 + 7 AS rid FROM customers) c
+CROSS JOIN (VALUES (0),(1),(2)) t(x) WHERE x=0 OR (x=1 AND id%50=1) OR (x=2 AND id%100=3)"""
 
 VIEWS["registrations"] = """SELECT id AS request_id, ' '||name||' ' AS name,
  CASE WHEN id%4=0 THEN upper(email) ELSE 'reg.'||CAST(id%400 AS STRING)||'@example.com' END AS email,

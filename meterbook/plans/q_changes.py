@@ -391,22 +391,53 @@ def q_ingest_customers(spark, d):
     return _report(ch, PEOPLE_COLS)
 
 
-_PATCH_T = f"""t AS (SELECT p.id AS pid, p.name AS pname, p.email AS pemail, p.phone AS pphone, p.address AS paddress,
-        p.plan_id AS pplan, p.status AS pstatus, c.*,
+def _patch_sql() -> str:
+    """The patch batch: ``t`` with each patch's reason, ``u`` with the customers' new rows.
+
+    Addresses are decided in rounds: ``w0`` knows no move, ``w1`` the moves that succeed without one, and so on; no
+    chain of moves in these requests has more than three links.
+    """
+    rounds = []
+    for k in range(4):
+        moved = "false" if k == 0 else f"coalesce((SELECT g.winner FROM w{k - 1} g WHERE g.e = x.dest) = x.mover, false)"
+        rounds.append(f"""w{k} AS (SELECT e, least(CASE WHEN NOT held THEN plain_any WHEN moved THEN plain_later END,
+   CASE WHEN NOT held AND NOT owned THEN login_any WHEN moved AND NOT (owned AND stays) THEN login_later END) AS winner
+  FROM (SELECT *, {moved} AS moved FROM x) y)""")
+    return f"""s AS (SELECT p.request_id, p.id AS pid, p.name AS pname, p.email AS pemail, p.phone AS pphone, p.address AS paddress,
+        p.plan_id AS pplan, p.status AS pstatus, c.*, lower(trim(p.email)) AS e, lower(trim(c.email)) AS old,
         (p.phone IS NOT NULL AND trim(p.phone) <> '') AS phone_given,
-        CASE WHEN (SELECT count(*) FROM customer_patches q WHERE q.id = p.id) > 1
-               THEN 'Duplicate record already exists'
+        CASE WHEN count(*) OVER (PARTITION BY p.id) > 1 THEN 'Duplicate record already exists'
              WHEN p.phone IS NOT NULL AND trim(p.phone) <> '' AND {_phone_sql('p.phone')} = ''
                THEN 'Enter a valid 10-digit Indian phone number'
              WHEN p.status IS NOT NULL AND p.status <> '' AND p.status NOT IN ('pending','active','suspended')
                THEN 'Invalid customer status'
-             WHEN c.id IS NULL THEN 'Customer not found' END AS reason
+             WHEN c.id IS NULL THEN 'Customer not found'
+             WHEN p.plan_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM plans l WHERE l.id = p.plan_id)
+               THEN 'Internal server error' END AS static_reason
       FROM customer_patches p LEFT JOIN customers c ON c.id = p.id),
+want AS (SELECT request_id, e, old, EXISTS (SELECT 1 FROM users a WHERE a.role = 'customer' AND lower(trim(a.email)) = s.old) AS has
+         FROM s WHERE static_reason IS NULL AND e IS NOT NULL AND e <> old),
+x AS (SELECT r.e, any_value(m.request_id) AS mover, any_value(m.e) AS dest,
+        min(r.request_id) FILTER (WHERE has_login) AS login_any,
+        min(r.request_id) FILTER (WHERE has_login AND r.request_id > m.request_id) AS login_later,
+        min(r.request_id) FILTER (WHERE NOT has_login) AS plain_any,
+        min(r.request_id) FILTER (WHERE NOT has_login AND r.request_id > m.request_id) AS plain_later,
+        bool_or(EXISTS (SELECT 1 FROM customers c WHERE lower(trim(c.email)) = r.e)) AS held,
+        bool_or(EXISTS (SELECT 1 FROM users a WHERE lower(trim(a.email)) = r.e)) AS owned,
+        bool_or(EXISTS (SELECT 1 FROM users a WHERE lower(trim(a.email)) = r.e AND a.role <> 'customer')) AS stays
+      FROM (SELECT request_id, e, has AS has_login FROM want) r LEFT JOIN want m ON m.old = r.e GROUP BY r.e),
+{", ".join(rounds)},
+t AS (SELECT *, CASE WHEN static_reason IS NOT NULL THEN static_reason
+                     WHEN e IS NOT NULL AND e <> old AND request_id NOT IN (SELECT winner FROM w3 WHERE winner IS NOT NULL)
+                       THEN 'Duplicate record already exists' END AS reason FROM s),
 u AS (SELECT id, coalesce(pname, name) AS name, coalesce(pemail, email) AS email,
         coalesce(CASE WHEN phone_given THEN {_phone_sql('pphone')} ELSE pphone END, phone) AS phone,
         coalesce(paddress, address) AS address, coalesce(pplan, plan_id) AS plan_id,
         coalesce(pstatus, status) AS status, email AS old_email,
         (coalesce(pname,'') <> '' OR coalesce(pemail,'') <> '') AS identity FROM t WHERE reason IS NULL)"""
+
+
+_PATCH_T = _patch_sql()
 PATCH_COLS = ["table_name", "action", "id", "reason", "name", "email", "phone", "address", "plan_id", "status"]
 
 
@@ -417,7 +448,7 @@ UNION ALL SELECT 'customer_patches', 'reject', pid, reason, {_nulls(6)} FROM t W
 def q_patch_customers(spark, d):
     """Staff partial updates of customers."""
     b = Book(spark, d)
-    ch = C.patch_customers(b.customers, b.users, b.customer_patches)
+    ch = C.patch_customers(b.customers, b.users, b.plans, b.customer_patches)
     return _cols(ch.report(), PATCH_COLS)
 
 
@@ -427,7 +458,7 @@ SELECT action, count(*) AS n FROM (SELECT 'update' AS action FROM u UNION ALL
 def q_agg_affected(spark, d):
     """Rows changed / rejected by the customer patch batch (affectedRows)."""
     b = Book(spark, d)
-    ch = C.patch_customers(b.customers, b.users, b.customer_patches)
+    ch = C.patch_customers(b.customers, b.users, b.plans, b.customer_patches)
     return ch.report().groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -437,7 +468,7 @@ WHERE x.role = 'customer' AND u.identity""")
 def q_propagate_identity(spark, d):
     """Customer logins renamed / re-addressed after the customer patch batch."""
     b = Book(spark, d)
-    ch = C.patch_customers(b.customers, b.users, b.customer_patches)
+    ch = C.patch_customers(b.customers, b.users, b.plans, b.customer_patches)
     return ch.events.select("id", "name", "email", "role")
 
 

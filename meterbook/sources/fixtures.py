@@ -222,20 +222,28 @@ class Book:
 
     @property
     def customer_patches(self) -> DataFrame:
-        c = self.customers.filter(F.col("id") % 9 == 0)
+        """A patch for every customer. Those with id % 20 >= 10 come in falling order of id, after the others."""
+        c = self.customers
         k = F.col("id")
+        late = F.lit(2 * 10**9)
         patches = c.select(
+            (F.when(k % 20 < 10, k).otherwise(late - k) * 10 + 7).alias("request_id"),
             k.alias("id"),
             F.when(k % 2 == 0, F.concat(F.col("name"), F.lit(" Jr"))).alias("name"),
-            F.when(k % 5 == 0, F.concat(F.lit("NEW."), F.col("email"))).alias("email"),
-            F.when(k % 3 == 0, F.lit("")).alias("phone"),
-            F.lit(None).cast("string").alias("address"),
-            F.when(k % 4 == 0, F.lit(3)).alias("plan_id"),
+            _case(k % 10, {
+                0: F.concat(F.lit("NEW."), F.col("email")),
+                1: F.concat(F.lit(" customer."), F.lpad(_s(k + 1), 9, "0"), F.lit("@EXAMPLE.com")),     # the next customer's
+                2: F.concat(F.lit("moved."), F.col("email")),
+                3: F.concat(F.lit("supplier."), F.lpad(_s(k % 10 + 1), 9, "0"), F.lit("@example.com")),  # a staff login's
+                4: F.lit("shared@example.com"),
+                5: F.upper(F.col("email"))}).alias("email"),
+            F.when(k % 3 == 0, F.lit("")).when(k % 17 == 1, F.lit("123")).when(k % 17 == 2, F.lit("98765 43210")).alias("phone"),
+            F.when(k % 19 == 0, F.lit("")).when(k % 19 == 1, F.lit("moved street")).alias("address"),
+            F.when(k % 13 == 0, F.lit(77)).when(k % 4 == 0, F.lit(3)).alias("plan_id"),
             F.when(k % 11 == 0, F.lit("bogus")).when(k % 7 == 0, F.lit("suspended")).alias("status"))
-        ghost = self.spark.createDataFrame(
-            [(-1, "ghost", None, None, None, None, "active")],
-            "id bigint, name string, email string, phone string, address string, plan_id int, status string")
-        return patches.unionByName(ghost)
+        again = patches.filter(k % 50 == 1).withColumn("request_id", F.col("request_id") + 1)
+        ghosts = patches.filter(k % 100 == 3).withColumn("id", -k - 1).withColumn("request_id", F.col("request_id") + 2)
+        return patches.unionByName(again).unionByName(ghosts)
 
     @property
     def registrations(self) -> DataFrame:

@@ -153,12 +153,13 @@ def test_js_trim_removes_all_white_space(spark):
 
 def test_repeated_patches_and_deletes(spark):
     cust = customers(spark)
-    patches = spark.createDataFrame([(1, "X", None, None, None, None, None), (1, "Y", None, None, None, None, None),
-                                     (2, "Z", None, None, None, None, None)],
-                                    "id long, name string, email string, phone string, address string, "
+    patches = spark.createDataFrame([(1, 1, "X", None, None, None, None, None), (2, 1, "Y", None, None, None, None, None),
+                                     (3, 2, "Z", None, None, None, None, None)],
+                                    "request_id long, id long, name string, email string, phone string, address string, "
                                     "plan_id int, status string")
     users = frame(spark, "users", [])
-    ch = C.patch_customers(cust, users, patches)
+    plans = frame(spark, "plans", [])
+    ch = C.patch_customers(cust, users, plans, patches)
     assert sorted((r.id, r.reason) for r in ch.rejects.collect()) == [(1, "Duplicate record already exists"),
                                                                      (1, "Duplicate record already exists")]
     assert {r.id: r.name for r in ch.state["customers"].collect()} == {1: "Asha", 2: "Z"}

@@ -266,3 +266,71 @@ def test_staff_entered_customers_equal_sequential_model(spark, reqs):
     got = sorted((r.request_id, r.email) for r in ch.changed.filter("table_name = 'customers'").collect())
     assert got == sorted(accepted)
     assert {r.email: (r.name, r.role) for r in ch.state["users"].collect()} == logins
+
+
+ADDRESSES = ["a@x.com", "b@x.com", "c@x.com", "d@x.com", "e@x.com", "s@x.com", "new@x.com", " A@X.com", "B@x.com ", "", None]
+patch_st = st.permutations([1, 2, 3, 4, 5, 9]).flatmap(lambda ids: st.lists(
+    st.tuples(st.sampled_from(ADDRESSES), st.sampled_from([None, "N", ""]), st.sampled_from([None, None, 1, 7])),
+    min_size=6, max_size=6).map(lambda rows: [(i, *r) for i, r in zip(ids, rows, strict=True)]))
+
+
+def model_patches(customers, users, plans, patches):
+    """customers: id -> [name, email]; users: id -> [name, email, role]; both changed in place."""
+    def key(email):
+        return email.strip().lower()
+    rejects = {}
+    for cid, email, name, plan in patches:
+        if cid not in customers:
+            rejects[cid] = "Customer not found"
+            continue
+        if plan is not None and plan not in plans:
+            rejects[cid] = "Internal server error"
+            continue
+        old = key(customers[cid][1])
+        login = next((u for u in users.values() if u[2] == "customer" and key(u[1]) == old), None)
+        if email is not None and key(email) != old:
+            if any(key(c[1]) == key(email) for c in customers.values()) or (login and any(key(u[1]) == key(email) for u in users.values())):
+                rejects[cid] = "Duplicate record already exists"
+                continue
+        if name is not None:
+            customers[cid][0] = name
+        if email is not None:
+            customers[cid][1] = email
+        if login and (name or email):
+            login[0], login[1] = customers[cid]
+    return rejects
+
+
+@settings(max_examples=5, deadline=None)
+@given(patch_st, st.sets(st.integers(1, 5)))
+def test_patches_equal_sequential_model(spark, patches, with_login):
+    customers = {i + 1: [f"C{i}", f"{c}@x.com"] for i, c in enumerate("abcde")}
+    users = {100 + i: [f"C{i}", customers[i][1].upper(), "customer"] for i in with_login} | {7: ["S", "s@x.com", "staff"]}
+    cdf = spark.createDataFrame([(i, n, e, None, 1, None, "active") for i, (n, e) in customers.items()], TABLES["customers"])
+    udf = spark.createDataFrame([(i, *u) for i, u in users.items()], TABLES["users"])
+    plans = spark.createDataFrame([(1, "P", "s", Decimal("1.00"), 30)], TABLES["plans"])
+    pdf = spark.createDataFrame([(k, i, n, e, None, None, plan, None) for k, (i, e, n, plan) in enumerate(patches)],
+                                "request_id long, id long, name string, email string, phone string, address string, plan_id int, status string")
+    rejects = model_patches(customers, users, {1}, patches)
+    ch = C.patch_customers(cdf, udf, plans, pdf)
+    assert {r.id: r.reason for r in ch.rejects.collect()} == rejects
+    assert {r.id: [r.name, r.email] for r in ch.state["customers"].collect()} == customers
+    assert {r.id: [r.name, r.email, r.role] for r in ch.state["users"].collect()} == users
+    emails = [r.e for r in ch.state["customers"].selectExpr("lower(trim(email)) AS e").collect()]
+    assert len(emails) == len(set(emails))
+
+
+def test_a_chain_of_moves(spark):
+    """30 customers, each wants the next one's address; the last moves away first, so all succeed."""
+    n = 30
+    cdf = spark.createDataFrame([(i, f"C{i}", f"{i}@x.com", None, 1, None, "active") for i in range(n)], TABLES["customers"])
+    udf = spark.createDataFrame([(100 + i, f"C{i}", f"{i}@x.com", "customer") for i in range(n)], TABLES["users"])
+    plans = spark.createDataFrame([(1, "P", "s", Decimal("1.00"), 30)], TABLES["plans"])
+    schema = "request_id long, id long, name string, email string, phone string, address string, plan_id int, status string"
+    ch = C.patch_customers(cdf, udf, plans, spark.createDataFrame(
+        [(n - i, i, None, f"{i + 1}@x.com", None, None, None, None) for i in range(n)], schema))
+    assert ch.rejects.count() == 0
+    assert {r.id: r.email for r in ch.state["users"].collect()} == {100 + i: f"{i + 1}@x.com" for i in range(n)}
+    swap = C.patch_customers(cdf, udf, plans, spark.createDataFrame(
+        [(1, 0, None, "1@x.com", None, None, None, None), (2, 1, None, "0@x.com", None, None, None, None)], schema))
+    assert swap.rejects.count() == 2
