@@ -25,25 +25,28 @@ E164_PATTERN = r"^\+[1-9][0-9]{7,14}$"
 DOWNLOAD_PATH = "/api/bills/download/"
 DOWNLOAD_TTL_HOURS = 168
 
+BRAND = "Meterbook"            # the provider's name in messages unless a job is given another
+
 # Notification texts by (notification type, channel). {name} is
 # the customer name (default "Customer"), {amount} the bill amount with two
-# decimals, {due} the due date as dd MMM yyyy, {bill} the bill id. The e-mail
-# texts are the plain-text bodies without the download link.
+# decimals, {due} the due date as dd MMM yyyy, {bill} the bill id, {link} the
+# bill's download link, {brand} the provider's name. The e-mail texts are the plain-text bodies.
 MESSAGES = {
-    ("due", "whatsapp"): "Hi {name}, your NetWave broadband bill of Rs. {amount} is due on {due}. "
+    ("due", "whatsapp"): "Hi {name}, your {brand} broadband bill of Rs. {amount} is due on {due}. "
                          "Please pay the amount before the due date to keep your service active.",
-    ("due", "sms"): "NetWave reminder: your broadband bill of Rs. {amount} is pending. "
+    ("due", "sms"): "{brand} reminder: your broadband bill of Rs. {amount} is pending. "
                     "Last date for payment: {due}. Please pay before this date.",
-    ("due", "email"): "Hi {name}, your NetWave broadband bill of Rs. {amount} is pending. "
+    ("due", "email"): "Hi {name}, your {brand} broadband bill of Rs. {amount} is pending. "
                       "Last date for payment: {due}. Please pay before this date to keep your service active. "
-                      "If you have already paid, please ignore this reminder or contact NetWave support with "
-                      "your receipt details.",
-    ("paid", "whatsapp"): "Hi {name}, payment complete. We received Rs. {amount} for your NetWave broadband bill. "
+                      "If you have already paid, please ignore this reminder or contact {brand} support with "
+                      "your receipt details. Download bill: {link}",
+    ("paid", "whatsapp"): "Hi {name}, payment complete. We received Rs. {amount} for your {brand} broadband bill. "
                           "Bill ID: {bill}. Thank you.",
-    ("paid", "sms"): "NetWave payment received. We received Rs. {amount} for bill #{bill}. Thank you.",
-    ("paid", "email"): "Hi {name}, payment received. We received Rs. {amount} for NetWave bill ID {bill}. "
+    ("paid", "sms"): "{brand} payment received. We received Rs. {amount} for bill #{bill}. Thank you.",
+    ("paid", "email"): "Hi {name}, payment received. We received Rs. {amount} for {brand} bill ID {bill}. "
                        "Please keep this receipt for your records. No further action is required for this bill. "
-                       "For any correction or payment query, contact NetWave support with your bill ID.",
+                       "For any correction or payment query, contact {brand} support with your bill ID. "
+                       "Download bill: {link}",
 }
 
 
@@ -202,10 +205,12 @@ def _amount_text(c) -> Column:
     return _c(c).cast("decimal(10,2)").cast("string")
 
 
-def _message_fields(name, amount, due=None, bill_id=None) -> dict[str, Column]:
+def _message_fields(name, amount, due=None, bill_id=None, link=None, brand: str = BRAND) -> dict[str, Column]:
+    none = F.lit(None).cast("string")
     return {"name": falsy_default(name, DEFAULT_NAME), "amount": _amount_text(amount),
-            "due": date_in(due) if due is not None else F.lit(None),
-            "bill": _c(bill_id).cast("string") if bill_id is not None else F.lit(None)}
+            "due": date_in(due) if due is not None else none,
+            "bill": _c(bill_id).cast("string") if bill_id is not None else none,
+            "link": _c(link) if link is not None else none, "brand": F.lit(brand)}
 
 
 def _message(kind: str, channel, fields: dict[str, Column]) -> Column:
@@ -217,14 +222,14 @@ def _message(kind: str, channel, fields: dict[str, Column]) -> Column:
     return out
 
 
-def msg_due(channel, name, amount, due) -> Column:
-    """fn_msg_due: the due text for whatsapp / sms / email (email without the link)."""
-    return _message("due", channel, _message_fields(name, amount, due=due))
+def msg_due(channel, name, amount, due, link, brand: str = BRAND) -> Column:
+    """fn_msg_due: the due text for whatsapp / sms / email; the e-mail ends with the bill's download link."""
+    return _message("due", channel, _message_fields(name, amount, due=due, link=link, brand=brand))
 
 
-def msg_paid(channel, name, amount, bill_id) -> Column:
-    """fn_msg_paid: the paid text for whatsapp / sms / email (email without the link)."""
-    return _message("paid", channel, _message_fields(name, amount, bill_id=bill_id))
+def msg_paid(channel, name, amount, bill_id, link, brand: str = BRAND) -> Column:
+    """fn_msg_paid: the paid text for whatsapp / sms / email; the e-mail ends with the bill's download link."""
+    return _message("paid", channel, _message_fields(name, amount, bill_id=bill_id, link=link, brand=brand))
 
 
 def sms_payload(kind, name, amount, due, bill_id) -> Column:

@@ -72,6 +72,7 @@ class Change:
     rejects: DataFrame                      # request key, reason
     state: dict[str, DataFrame] = field(default_factory=dict)
     events: DataFrame | None = None
+    affected: dict[str, int] = field(default_factory=dict)     # counted while the batch was written
 
     def report(self) -> DataFrame:
         """Changed rows and rejects in one frame (rejects: action 'reject')."""
@@ -118,20 +119,33 @@ def batch_rows(df: DataFrame) -> int:
     return df.count()
 
 
-def _split(df: DataFrame, reason: Column, key: str, table: str, keep: bool = True):
-    tagged = df.withColumn("_reason", reason)
-    if keep:
-        tagged = materialize(tagged)
-    ok = tagged.filter(F.col("_reason").isNull()).drop("_reason")
-    rej = tagged.filter(F.col("_reason").isNotNull()).select(
-        F.lit(table).alias("table_name"), key, F.col("_reason").alias("reason"))
-    return ok, rej
+def _split_counted(df: DataFrame, reason: Column, key: str, table: str) -> tuple[DataFrame, DataFrame, dict]:
+    """Requests that pass and rejects, from one written copy; how many of each, counted as it was written."""
+    from ..session import write_counted
+    good = F.col("_reason").isNull()
+    tagged, seen = write_counted(df.withColumn("_reason", reason), "batch", accepted=F.count_if(good), rejected=F.count_if(~good))
+    rej = tagged.filter(~good).select(F.lit(table).alias("table_name"), key, F.col("_reason").alias("reason"))
+    return tagged.filter(good).drop("_reason"), rej, seen
+
+
+def _split(df: DataFrame, reason: Column, key: str, table: str) -> tuple[DataFrame, DataFrame]:
+    return _split_counted(df, reason, key, table)[:2]
 
 
 def _first_wins(df: DataFrame, key_cols: list, order_col: str, reason: str, table: str):
     """Keep the first request per key; later ones are rejected."""
-    first, repeats = split_first(df, key_cols, order_col)
-    return first, repeats.select(F.lit(table).alias("table_name"), order_col, F.lit(reason).alias("reason"))
+    return _first_wins_counted(df, key_cols, order_col, reason, table)[:2]
+
+
+def _first_wins_counted(df: DataFrame, key_cols: list, order_col: str, reason: str, table: str):
+    first, repeats, keys = split_first(df, key_cols, order_col)
+    return first, repeats.select(F.lit(table).alias("table_name"), order_col, F.lit(reason).alias("reason")), keys
+
+
+def _affected(seen: dict, rows: int | None = None) -> dict:
+    """Rows that a job changed (all accepted requests, unless ``rows`` says how many) and requests that it refused."""
+    rows = seen["accepted"] if rows is None else rows
+    return {"affected": rows, "rejected": seen["accepted"] + seen["rejected"] - rows}
 
 
 def _merge(state: DataFrame, updates: DataFrame, key: str) -> DataFrame:
@@ -147,7 +161,7 @@ def _ts(run_ts: str) -> Column:
 def run_billing(customers: DataFrame, plans: DataFrame, bills: DataFrame, items: DataFrame,
                 requests: DataFrame, as_of: str, run_ts: str) -> Change:
     """Bill run: one bill per requested customer that has a plan; amount is the
-    plan price, due in 7 days, plus one subscription line item."""
+    plan price, due in 7 days, plus one subscription line item. Both are in ``changed``."""
     from .joins import customers_with_plan
     requests = materialize(requests)
     n = batch_rows(requests)
@@ -165,7 +179,9 @@ def run_billing(customers: DataFrame, plans: DataFrame, bills: DataFrame, items:
                                             "amount", F.lit("subscription").alias("item_type")),
                            ["bill_id"], items, materialize=False)
     changed = new_bills.select(F.lit("bills").alias("table_name"), F.lit("insert").alias("action"), "request_id",
-                               "id", "customer_id", "amount", "status", "bill_date", "due_date")
+                               "id", "customer_id", "amount", "status", "bill_date", "due_date") \
+        .unionByName(new_items.select(F.lit("bill_items").alias("table_name"), F.lit("insert").alias("action"), "id", "bill_id",
+                                      "description", "amount", "item_type"), allowMissingColumns=True)
     state = {"bills": bills.unionByName(new_bills.drop("request_id")),
              "bill_items": items.unionByName(new_items, allowMissingColumns=True)}
     events = new_bills.select(F.col("id").alias("bill_id"), "customer_id", "amount", "due_date",
@@ -186,7 +202,7 @@ def apply_charges(bills: DataFrame, items: DataFrame, requests: DataFrame, run_t
     b = bills_r.select(F.col("id").alias("_bid"), F.col("amount").alias("_old"), F.col("status").alias("_st"))
     j = r.join(b, r["bill_id"] == b["_bid"], "left")
     ok, rej = _split(j, _reason((F.col("description") == "", R_DESC_REQUIRED),
-                                (~positive_number("amount"), R_AMOUNT_REQUIRED),
+                                (~positive_number("amount") | F.col("amount").try_cast("decimal(10,2)").isNull(), R_AMOUNT_REQUIRED),
                                 (F.col("_bid").isNull(), R_BILL_NOT_FOUND),
                                 (F.lower(F.coalesce(F.col("_st"), F.lit(""))) == "paid", R_BILL_PAID)),
                      "request_id", "charge_requests")
@@ -259,10 +275,11 @@ def settle_manual(bills: DataFrame, customers: DataFrame, payments: DataFrame, r
     n = batch_rows(requests)
     b = _billed(restrict(bills, requests.select("bill_id"), "id", n))
     j = requests.join(b, requests["bill_id"] == b["_bid"], "left")
-    acc, rej = _split(j, _reason((F.col("_bid").isNull(), R_BILL_NOT_FOUND)), "request_id", "settle_requests")
+    acc, rej, seen = _split_counted(j, _reason((F.col("_bid").isNull(), R_BILL_NOT_FOUND)), "request_id", "settle_requests")
     pay = _pay(acc, customers, payments, *STAFF_SETTLEMENT, F.lit(run_ms), _ts(run_ts), bound=n)
     ch = _settle(bills, payments, acc, pay, n)
     ch.rejects = rej
+    ch.affected = _affected(seen)
     return ch
 
 
@@ -368,21 +385,28 @@ def run_reminders(bills: DataFrame, customers: DataFrame, reminders: DataFrame,
     return Change(changed, empty, {"bill_reminders": reminders.unionByName(new)}, events)
 
 
-def notify_type(bills: DataFrame, customers: DataFrame, requests: DataFrame) -> DataFrame:
-    """notify_type_default: requested type (lower-cased), else 'paid' for a paid
-    bill and 'due' otherwise; other values and unknown bills are rejected."""
+def notify_requests(bills: DataFrame, customers: DataFrame, requests: DataFrame) -> DataFrame:
+    """Notification requests with their type, or the reason they are refused, and
+    what a message needs of the bill and its customer, all from one join."""
     from .joins import bills_with_customer
     requests = materialize(requests)
     n = batch_rows(requests)
     b = restrict(bills, requests.select("bill_id"), "id", n)
     c = restrict(customers, b.select("customer_id"), "id", n)
-    bc = bills_with_customer(b, c).select(F.col("id").alias("_bid"), F.col("status").alias("_st"))
+    bc = bills_with_customer(b, c).select(F.col("id").alias("_bid"), F.col("status").alias("_st"), "customer_id", "amount",
+                                          "due_date", "name", "email", "phone")
     j = requests.join(bc, requests["bill_id"] == bc["_bid"], "left")
     req = F.lower(F.coalesce(F.col("notification_type"), F.lit("")))
     t = F.when(req != "", req).when(F.lower(F.col("_st")) == "paid", F.lit("paid")).otherwise(F.lit("due"))
     reason = _reason((F.col("_bid").isNull(), R_BILL_NOT_FOUND), (~t.isin("due", "paid"), R_NOTIFY_TYPE))
     return j.select("request_id", "bill_id", F.when(F.col("_bid").isNotNull(), t).alias("notification_type"),
-                    reason.alias("reason"))
+                    reason.alias("reason"), "customer_id", "amount", "due_date", "name", "email", "phone")
+
+
+def notify_type(bills: DataFrame, customers: DataFrame, requests: DataFrame) -> DataFrame:
+    """notify_type_default: requested type (lower-cased), else 'paid' for a paid
+    bill and 'due' otherwise; other values and unknown bills are rejected."""
+    return notify_requests(bills, customers, requests).select("request_id", "bill_id", "notification_type", "reason")
 
 
 # ------------------------------------------------------------ customers
@@ -572,7 +596,7 @@ def patch_customers(customers: DataFrame, users: DataFrame, plans: DataFrame, pa
         F.col("p_request_id").alias("request_id"), F.col("_old").alias("old"), F.col("_e").alias("e")))
     got = settle_addresses(want, customers, users).select(F.col("request_id").alias("p_request_id"), F.lit(True).alias("_got"))
     tagged = static.join(_small(got, n), "p_request_id", "left")
-    ok, rej = _split(tagged.withColumn("id", F.col("p_id")), _reason(
+    ok, rej, seen = _split_counted(tagged.withColumn("id", F.col("p_id")), _reason(
         (F.col("_static").isNotNull(), F.col("_static")), (F.col("_moves") & F.col("_got").isNull(), R_DUPLICATE)),
         "id", "customer_patches")
     new_phone = F.when(phone_given, phone_in("p_phone")).otherwise(F.col("p_phone"))
@@ -589,7 +613,7 @@ def patch_customers(customers: DataFrame, users: DataFrame, plans: DataFrame, pa
     ident = propagate_identity(users, upd, n)
     state = {"customers": _merge(customers, upd.drop("_old_email", "_identity"), "id"),
              "users": _merge(users, ident.drop("table_name", "action"), "id")}
-    return Change(changed, rej, state, ident)
+    return Change(changed, rej, state, ident, _affected(seen))
 
 
 def propagate_identity(users: DataFrame, upd: DataFrame, bound: int | None = None) -> DataFrame:
@@ -618,8 +642,8 @@ def patch_profile(customers: DataFrame, users: DataFrame, patches: DataFrame) ->
     n = batch_rows(r)
     c = restrict(customers.withColumn("_e", norm_email("email")), r.select("_e"), "_e", n)
     j = r.join(c, "_e", "left")
-    ok, rej = _split(j, _reason((phone_given & (F.col("p_phone") == ""), R_PHONE),
-                                (F.col("id").isNull(), R_PROFILE_NOT_FOUND)), "request_id", "profile_patches")
+    ok, rej, seen = _split_counted(j, _reason((phone_given & (F.col("p_phone") == ""), R_PHONE),
+                                              (F.col("id").isNull(), R_PROFILE_NOT_FOUND)), "request_id", "profile_patches")
     # Several requests for one customer apply in request order: per column
     # the latest request that gives a value wins (a partial max_by per key).
     def latest(c):
@@ -637,7 +661,7 @@ def patch_profile(customers: DataFrame, users: DataFrame, patches: DataFrame) ->
                                     F.col("_n").alias("name"), "email", "role")
     state = {"customers": _merge(customers, upd.drop("p_name", "_e"), "id"),
              "users": _merge(users, uu.drop("table_name", "action"), "id")}
-    return Change(changed.unionByName(uu, allowMissingColumns=True), rej, state)
+    return Change(changed.unionByName(uu, allowMissingColumns=True), rej, state, affected=_affected(seen))
 
 
 def approve_pending(customers: DataFrame, requests: DataFrame) -> Change:
@@ -647,14 +671,15 @@ def approve_pending(customers: DataFrame, requests: DataFrame) -> Change:
     pend = restrict(customers.filter(F.col("status") == "pending"), requests.select("customer_id"), "id", n) \
         .select(F.col("id").alias("customer_id"), F.lit(True).alias("_p"))
     j = requests.join(pend, "customer_id", "left")
-    ok, rej = _split(j, _reason((F.col("_p").isNull(), R_PENDING_NOT_FOUND)), "request_id", "approve_requests")
-    first, dup = _first_wins(ok, ["customer_id"], "request_id", R_PENDING_NOT_FOUND, "approve_requests")
+    ok, rej, seen = _split_counted(j, _reason((F.col("_p").isNull(), R_PENDING_NOT_FOUND)), "request_id", "approve_requests")
+    first, dup, rows = _first_wins_counted(ok, ["customer_id"], "request_id", R_PENDING_NOT_FOUND, "approve_requests")
     upd = restrict(customers, first.select("customer_id"), "id", n) \
         .join(first.select(F.col("customer_id").alias("id"), "request_id"), "id", "inner") \
         .withColumn("status", F.lit("active"))
     changed = upd.select(F.lit("customers").alias("table_name"), F.lit("update").alias("action"), "request_id",
                          "id", "status")
-    return Change(changed, rej.unionByName(dup), {"customers": _merge(customers, upd.drop("request_id"), "id")})
+    return Change(changed, rej.unionByName(dup), {"customers": _merge(customers, upd.drop("request_id"), "id")},
+                  affected=_affected(seen, rows))
 
 
 def reject_pending(tables: dict[str, DataFrame], requests: DataFrame) -> Change:
@@ -692,63 +717,48 @@ def _remove_customers(tables: dict[str, DataFrame], requests: DataFrame, eligibl
     ok, rej = _split(j, _reason((F.col("_known").isNull(), reason)), "request_id", source)
     ok, again = _first_wins(ok, ["customer_id"], "request_id", reason, source)
     rej = rej.unionByName(again)
-    d = ok.select("customer_id", "_e")
-    d_ids = d.select(F.col("customer_id").alias("cid"))
-    bills = tables["bills"]
-    # The bills of the deleted customers drive four further joins: write them
-    # once; a customer owning a large share of bills makes this set large,
-    # and then the joins below fall back to shuffles instead of broadcasts.
-    gone_bills = materialize(restrict(bills, d_ids, "customer_id", n).select(F.col("id").alias("bid")))
-    gone_bills_plain = gone_bills
-    gone_n = batch_rows(gone_bills)
-    small_d = fits_broadcast(n)
-    small_b = fits_broadcast(gone_n)
-    if small_d:
-        d_ids = F.broadcast(d_ids)
-    if small_b:
-        gone_bills = F.broadcast(gone_bills)
-    new = {}
-    new["customers"] = cust.join(d_ids, cust["id"] == d_ids["cid"], "left_anti")
-    new["bills"] = bills.join(d_ids, bills["customer_id"] == d_ids["cid"], "left_anti")
-    for t in ("bill_items", "bill_reminders"):
-        df = tables[t]
-        new[t] = df.join(gone_bills, df["bill_id"] == gone_bills["bid"], "left_anti")
-    pay = tables["payments"]
-    new["payments"] = (pay.join(gone_bills, pay["bill_id"] == gone_bills["bid"], "left_anti")
-                       .join(d_ids, pay["customer_id"] == d_ids["cid"], "left_anti"))
-    use = tables["data_usage"]
-    new["data_usage"] = use.join(d_ids, use["customer_id"] == d_ids["cid"], "left_anti")
-    ue = users.withColumn("_e", norm_email("email"))
-    gone_login = (F.col("role") == "customer")
+    d = materialize(ok.select("customer_id", "_e"))
+    small = fits_broadcast(n)
+    ids = d.select(F.col("customer_id").alias("_cid"), F.lit(True).alias("_of_customer"))
+    ids = F.broadcast(ids) if small else ids
+    # The bills of the deleted customers drive further joins: written once; a customer owning a large share of
+    # the bills makes this set large, and then the joins below are shuffled instead of broadcast.
+    bill_ids = materialize(restrict(tables["bills"], d.select("customer_id"), "customer_id", n)
+                           .select(F.col("id").alias("_bid"), F.lit(True).alias("_of_bill")))
+    bill_ids = _small(bill_ids, batch_rows(bill_ids))
     # Two deleted customers may share an address; each login must meet it once.
-    gone_e = d.select("_e").distinct().withColumn("_gone", F.lit(True))
+    gone_e = d.select("_e").distinct().withColumn("_of_login", F.lit(True))
     gone_e = F.broadcast(gone_e) if fits_broadcast(n, BROADCAST_STRING_KEYS_MAX) else gone_e
-    new["users"] = (ue.join(gone_e, "_e", "left")
-                    .filter(~(gone_login & F.col("_gone").isNotNull())).drop("_e", "_gone"))
-    tk = tables["support_tickets"]
-    hits = _small(d.select(F.col("customer_id").alias("_tc"), F.lit(True).alias("_hit")), n)
-    tk_j = tk.join(hits, tk["customer_id"] == F.col("_tc"), "left").drop("_tc")
-    new["support_tickets"] = tk_j.withColumn(
-        "customer_id", F.when(F.col("_hit"), F.lit(None).cast("long")).otherwise(F.col("customer_id"))).drop("_hit")
-    # Removed rows come from one semi join per table, not from before-minus-after.
-    gone = {
-        "customers": cust.join(d_ids, cust["id"] == d_ids["cid"], "left_semi"),
-        "bills": gone_bills_plain.withColumnRenamed("bid", "id"),
-        "bill_items": tables["bill_items"].join(gone_bills, tables["bill_items"]["bill_id"] == gone_bills["bid"],
-                                                "left_semi"),
-        "bill_reminders": tables["bill_reminders"].join(
-            gone_bills, tables["bill_reminders"]["bill_id"] == gone_bills["bid"], "left_semi"),
-        "payments": pay.join(_small(gone_bills_plain.select(F.col("bid").alias("_gb"), F.lit(True).alias("_bh")),
-                                    gone_n), pay["bill_id"] == F.col("_gb"), "left")
-                       .join(_small(d.select(F.col("customer_id").alias("_gc"), F.lit(True).alias("_ch")), n),
-                             pay["customer_id"] == F.col("_gc"), "left")
-                       .filter(F.col("_bh").isNotNull() | F.col("_ch").isNotNull()),
-        "data_usage": use.join(d_ids, use["customer_id"] == d_ids["cid"], "left_semi"),
-        "users": restrict(ue.filter(gone_login), d.select("_e"), "_e", n),
+
+    def tag(name: str, **by) -> DataFrame:
+        """The table with ``_hit``: does any of its references point to what goes? Keys are unique, so no join fans out."""
+        df = tables[name]
+        hit = F.lit(False)
+        for column, (keys, key, flag) in by.items():
+            df = df.join(keys, df[column] == keys[key], "left")
+            hit = hit | F.col(flag).isNotNull()
+        return df.withColumn("_hit", hit).select(*tables[name].columns, "_hit")
+
+    by_customer, by_bill = (ids, "_cid", "_of_customer"), (bill_ids, "_bid", "_of_bill")
+    login = users.withColumn("_e", norm_email("email")).join(gone_e, "_e", "left")
+    # Every table is tagged once; what stays and what goes are two filters of the same frame.
+    tagged = {
+        "customers": tag("customers", id=by_customer),
+        "bills": tag("bills", customer_id=by_customer),
+        "bill_items": tag("bill_items", bill_id=by_bill),
+        "bill_reminders": tag("bill_reminders", bill_id=by_bill),
+        "payments": tag("payments", bill_id=by_bill, customer_id=by_customer),
+        "data_usage": tag("data_usage", customer_id=by_customer),
+        "users": login.withColumn("_hit", (F.col("role") == "customer") & F.col("_of_login").isNotNull())
+                      .select(*users.columns, F.coalesce("_hit", F.lit(False)).alias("_hit")),
     }
-    changed = _removed(tk_j.filter(F.col("_hit")), "support_tickets", "set_null")
-    for t, df in gone.items():
-        changed = changed.unionByName(_removed(df, t))
+    tickets = tag("support_tickets", customer_id=by_customer)
+    new = {t: df.filter(~F.col("_hit")).drop("_hit") for t, df in tagged.items()}
+    new["support_tickets"] = tickets.withColumn(
+        "customer_id", F.when(~F.col("_hit"), F.col("customer_id"))).drop("_hit")
+    changed = _removed(tickets.filter("_hit"), "support_tickets", "set_null")
+    for t, df in tagged.items():
+        changed = changed.unionByName(_removed(df.filter("_hit").drop("_hit"), t))
     return Change(changed, rej, new)
 
 
@@ -759,7 +769,7 @@ def upsert_plans(plans: DataFrame, requests: DataFrame) -> Change:
     def empty(c):
         return F.col(c).isNull() | (F.col(c).cast("string") == "")
     j = requests.join(plans.select(F.col("id").alias("_pid")), requests["id"] == F.col("_pid"), "left")
-    ok, rej = _split(j, _reason((empty("name") | empty("speed") | empty("price") | empty("validity"), R_PLAN_FIELDS),
+    ok, rej, seen = _split_counted(j, _reason((empty("name") | empty("speed") | empty("price") | empty("validity"), R_PLAN_FIELDS),
                                 (~positive_number("price") | ~positive_number("validity"), R_PLAN_POSITIVE),
                                 (F.col("id").isNotNull() & F.col("_pid").isNull(), R_PLAN_NOT_FOUND)),
                      "request_id", "plan_requests")
@@ -774,16 +784,17 @@ def upsert_plans(plans: DataFrame, requests: DataFrame) -> Change:
                                        "request_id", "id", "name", "speed", "price", "validity")))
     last = latest_by(upd, "id", "request_id").drop("request_id")
     state = {"plans": _merge(plans, last, "id").unionByName(ins.drop("request_id").withColumn("id", F.col("id").cast("int")))}
-    return Change(changed, rej, state)
+    return Change(changed, rej, state, affected=_affected(seen))
 
 
 def delete_plans(plans: DataFrame, customers: DataFrame, requests: DataFrame) -> Change:
     """Delete plans; customers on a deleted plan keep their row with plan_id NULL."""
     j = requests.join(plans.select(F.col("id").alias("plan_id"), F.lit(True).alias("_p")), "plan_id", "left")
-    ok, rej = _split(j, _reason((F.col("_p").isNull(), R_PLAN_NOT_FOUND)), "request_id", "plan_delete_requests")
-    first, dup = _first_wins(ok, ["plan_id"], "request_id", R_PLAN_NOT_FOUND, "plan_delete_requests")
+    ok, rej, seen = _split_counted(j, _reason((F.col("_p").isNull(), R_PLAN_NOT_FOUND)), "request_id", "plan_delete_requests")
+    first, dup, rows = _first_wins_counted(ok, ["plan_id"], "request_id", R_PLAN_NOT_FOUND, "plan_delete_requests")
     gone = first.select("plan_id", "request_id")
-    hit = customers.join(gone.select(F.col("plan_id").alias("_gp")), customers["plan_id"] == F.col("_gp"), "left")
+    # Few plans, each with many customers: broadcast by their counted number.
+    hit = customers.join(_small(gone.select(F.col("plan_id").alias("_gp")), rows), customers["plan_id"] == F.col("_gp"), "left")
     new_c = hit.withColumn("plan_id", F.when(F.col("_gp").isNotNull(), F.lit(None).cast("int"))
                            .otherwise(F.col("plan_id"))).drop("_gp")
     cust_upd = hit.filter(F.col("_gp").isNotNull()).select(
@@ -793,7 +804,7 @@ def delete_plans(plans: DataFrame, customers: DataFrame, requests: DataFrame) ->
                           F.col("plan_id").cast("long").alias("id")).unionByName(
         cust_upd.withColumn("id", F.col("id").cast("long")), allowMissingColumns=True)
     state = {"plans": plans.join(gone.select(F.col("plan_id").alias("id")), "id", "left_anti"), "customers": new_c}
-    return Change(changed, rej.unionByName(dup), state)
+    return Change(changed, rej.unionByName(dup), state, affected=_affected(seen, rows))
 
 
 # ----------------------------------------------------------------- staff
@@ -823,12 +834,12 @@ def delete_staff(users: DataFrame, requests: DataFrame) -> Change:
                      batch_rows(requests)).select(
         F.col("id").alias("user_id"), F.lit(True).alias("_s"))
     j = requests.join(staff, "user_id", "left")
-    ok, rej = _split(j, _reason((F.col("_s").isNull(), R_STAFF_NOT_FOUND)), "request_id", "staff_delete_requests")
-    first, dup = _first_wins(ok, ["user_id"], "request_id", R_STAFF_NOT_FOUND, "staff_delete_requests")
+    ok, rej, seen = _split_counted(j, _reason((F.col("_s").isNull(), R_STAFF_NOT_FOUND)), "request_id", "staff_delete_requests")
+    first, dup, rows = _first_wins_counted(ok, ["user_id"], "request_id", R_STAFF_NOT_FOUND, "staff_delete_requests")
     changed = first.select(F.lit("users").alias("table_name"), F.lit("delete").alias("action"), "request_id",
                            F.col("user_id").alias("id"))
-    state = {"users": users.join(first.select(F.col("user_id").alias("id")), "id", "left_anti")}
-    return Change(changed, rej.unionByName(dup), state)
+    state = {"users": users.join(_small(first.select(F.col("user_id").alias("id")), rows), "id", "left_anti")}
+    return Change(changed, rej.unionByName(dup), state, affected=_affected(seen, rows))
 
 
 # --------------------------------------------------------------- tickets
@@ -849,16 +860,17 @@ def open_tickets(tickets: DataFrame, requests: DataFrame) -> Change:
 def move_tickets(tickets: DataFrame, moves: DataFrame) -> Change:
     """Set ticket status (open / in-progress / resolved, any to any)."""
     moves = materialize(moves)
-    t = restrict(tickets, moves.select("ticket_id"), "id", batch_rows(moves)).select(F.col("id").alias("ticket_id"), F.lit(True).alias("_t"))
+    n = batch_rows(moves)
+    t = restrict(tickets, moves.select("ticket_id"), "id", n).select(F.col("id").alias("ticket_id"), F.lit(True).alias("_t"))
     j = moves.join(t, "ticket_id", "left")
-    ok, rej = _split(j, _reason((F.col("status").isNull() | ~F.col("status").isin(*TICKET_STATUSES), R_TICKET_STATUS),
+    ok, rej, seen = _split_counted(j, _reason((F.col("status").isNull() | ~F.col("status").isin(*TICKET_STATUSES), R_TICKET_STATUS),
                                 (F.col("_t").isNull(), R_TICKET_NOT_FOUND)), "request_id", "ticket_moves")
     changed = ok.select(F.lit("support_tickets").alias("table_name"), F.lit("update").alias("action"), "request_id",
                         F.col("ticket_id").alias("id"), "status")
     last = latest_by(ok.select("ticket_id", "request_id", F.col("status").alias("_ns")), "ticket_id", "request_id")
-    new_t = tickets.join(last.select(F.col("ticket_id").alias("id"), "_ns"), "id", "left") \
+    new_t = tickets.join(_small(last.select(F.col("ticket_id").alias("id"), "_ns"), n), "id", "left") \
         .withColumn("status", F.coalesce("_ns", "status")).drop("_ns")
-    return Change(changed, rej, {"support_tickets": new_t})
+    return Change(changed, rej, {"support_tickets": new_t}, affected=_affected(seen))
 
 
 # ----------------------------------------------------------------- usage

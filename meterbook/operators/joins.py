@@ -125,19 +125,29 @@ def account_pairs(users: DataFrame, customers: DataFrame) -> DataFrame:
 
 def fk_orphans(frames: dict[str, DataFrame]) -> DataFrame:
     """fk_check: per declared foreign key, the orphan values and how many child
-    rows carry each (NULL references are not orphans)."""
-    out = None
+    rows carry each (NULL references are not orphans).
+
+    One pass per parent table: all references to it are united as (table,
+    column, value) and counted, which leaves one row per value and task before
+    the shuffle however hot a value is. The counts are written, which keeps the
+    optimizer from pushing the anti join below them onto every child's rows;
+    one anti join with the parent's keys finds the orphans of all its children.
+    """
+    from ..session import write_through
+    parents: dict[tuple[str, str], list[DataFrame]] = {}
     for child, col, parent, pcol, _ in FOREIGN_KEYS:
-        if child not in frames or parent not in frames:
-            continue
-        # Count child rows per value first: the partial aggregate shrinks the
-        # shuffle to one row per value and task, and the anti join reuses the
-        # aggregate's partitioning on ``value``.
-        ch = (frames[child].select(F.col(col).cast("long").alias("value")).filter(F.col("value").isNotNull())
-              .groupBy("value").agg(F.count(F.lit(1)).alias("n")))
-        pa = frames[parent].select(F.col(pcol).cast("long").alias("value"))
-        orphans = (ch.join(pa, "value", "left_anti")
-                   .select(F.lit(child).alias("table_name"), F.lit(col).alias("column_name"), "value", "n"))
+        if child in frames and parent in frames:
+            parents.setdefault((parent, pcol), []).append(frames[child].select(
+                F.lit(child).alias("table_name"), F.lit(col).alias("column_name"), F.col(col).cast("long").alias("value")))
+    out = None
+    for (parent, pcol), children in parents.items():
+        refs = children[0]
+        for more in children[1:]:
+            refs = refs.unionByName(more)
+        counted = write_through(refs.filter(F.col("value").isNotNull()).groupBy("table_name", "column_name", "value").agg(
+            F.count(F.lit(1)).alias("n")), "references")
+        orphans = counted.join(frames[parent].select(F.col(pcol).cast("long").alias("value")), "value", "left_anti") \
+            .select("table_name", "column_name", "value", "n")
         out = orphans if out is None else out.unionByName(orphans)
     return out
 

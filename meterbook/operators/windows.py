@@ -42,8 +42,8 @@ def current_bill(customers: DataFrame, bills: DataFrame) -> DataFrame:
                     F.col("_b.due_date").alias("due_date"))
 
 
-def split_first(requests: DataFrame, key_cols: list, order_col: str = "request_id") -> tuple[DataFrame, DataFrame]:
-    """(first, repeats): the first request of every unique key, and all later ones.
+def split_first(requests: DataFrame, key_cols: list, order_col: str = "request_id") -> tuple[DataFrame, DataFrame, int]:
+    """(first, repeats, keys): the first request of every unique key, all later ones, and how many keys there are.
 
     A partial ``min`` per key gives the request ids of the firsts, one row per
     key, which are written once. The requests then meet them on the request
@@ -53,23 +53,23 @@ def split_first(requests: DataFrame, key_cols: list, order_col: str = "request_i
     the size check are broadcast. NULL keys are one key. Two rows with the
     same request id and key are both first.
     """
-    from ..session import write_through
+    from ..session import write_counted
     names = [f"_k{i}" for i in range(len(key_cols))]
     keyed = requests.withColumns(dict(zip(names, [c if not isinstance(c, str) else F.col(c) for c in key_cols], strict=True)))
-    firsts = write_through(keyed.groupBy(*names).agg(F.min(order_col).alias("_first")), "firsts").toDF(
-        *[f"_f{n}" for n in names], "_first")
+    firsts, seen = write_counted(keyed.groupBy(*names).agg(F.min(order_col).alias("_first")), "firsts", keys=F.count(F.lit(1)))
+    firsts = firsts.toDF(*[f"_f{n}" for n in names], "_first")
     limit = BROADCAST_STRING_KEYS_MAX if any(t == "string" for _, t in firsts.dtypes) else BROADCAST_KEYS_MAX
-    ids = F.broadcast(firsts) if fits_broadcast(firsts, limit) else firsts
+    ids = F.broadcast(firsts) if fits_broadcast(seen["keys"], limit) else firsts
     cond = F.col(order_col) == F.col("_first")
     for n in names:
         cond = cond & F.col(n).eqNullSafe(F.col(f"_f{n}"))
-    return keyed.join(ids, cond, "left_semi").drop(*names), keyed.join(ids, cond, "left_anti").drop(*names)
+    return (keyed.join(ids, cond, "left_semi").drop(*names), keyed.join(ids, cond, "left_anti").drop(*names), seen["keys"])
 
 
 def first_per_key(requests: DataFrame, key_cols: list, order_col: str = "request_id"):
     """win_dedup_requests: first request per unique key is accepted, the rest
     are rejected with the duplicate reason (see ``split_first``)."""
-    accepted, repeats = split_first(requests, key_cols, order_col)
+    accepted, repeats, _ = split_first(requests, key_cols, order_col)
     return accepted, repeats.select(order_col, F.lit(DUPLICATE).alias("reason"))
 
 

@@ -118,6 +118,15 @@ SELECT id*10+9 AS request_id, CASE WHEN id%5=0 THEN -id-1 ELSE id END AS bill_id
  CAST(50 AS DECIMAL(10,2)) AS amount, 'hardware' AS item_type
 FROM bills WHERE NOT EXISTS (SELECT 1 FROM bill_items i WHERE i.bill_id=bills.id)"""
 
+VIEWS["raw_items"] = """SELECT CASE WHEN request_id%101=3 THEN '#'||CAST(request_id AS STRING) ELSE CAST(request_id AS STRING) END AS id,
+ CASE WHEN request_id%23=4 THEN NULL WHEN request_id%29=5 THEN 'none' ELSE CAST(bill_id AS STRING) END AS bill_id,
+ nullif(trim(description),'') AS description,
+ CASE WHEN request_id%13=6 THEN 'n/a' WHEN request_id%17=7 THEN '123456789.00' ELSE CAST(amount AS STRING) END AS amount,
+ item_type,
+ CASE WHEN request_id%7=1 THEN 'soon' WHEN request_id%7<5
+   THEN strftime(TIMESTAMP '1998-06-01 00:00:00' + to_hours(request_id%300), '%Y-%m-%d %H:%M:%S') END AS created_at
+FROM charge_requests"""
+
 VIEWS["customer_patches"] = """SELECT CASE x WHEN 0 THEN rid WHEN 1 THEN rid+1 ELSE rid+2 END AS request_id,
  CASE WHEN x=2 THEN -id-1 ELSE id END AS id, CASE WHEN id%2=0 THEN name||' Jr' END AS name,
  CASE id%10 WHEN 0 THEN 'NEW.'||email WHEN 1 THEN ' customer.'||lpad(CAST(id+1 AS STRING),9,'0')||'@EXAMPLE.com'

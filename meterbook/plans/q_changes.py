@@ -12,7 +12,7 @@ from ..operators import changes as C
 from ..operators import notify as N
 from ..sources.fixtures import AS_OF, CALLBACK_SECRET, Book
 from .oracle import duck_hmac
-from .q_functions import RUN_MS
+from .q_functions import LINKS, RUN_MS
 from .q_reads import INVOICE_LINES_SQL
 from .registry import query
 
@@ -36,19 +36,23 @@ def _nulls(n: int) -> str:
 
 # ------------------------------------------------------------------ billing
 BILLING_COLS = ["table_name", "action", "request_id", "reason", "id", "customer_id", "amount", "status",
-                "bill_date", "due_date"]
+                "bill_date", "due_date", "bill_id", "description", "item_type"]
 
 
 @query("q_run_billing", f"""
 WITH cp AS (SELECT c.id AS cid, p.price FROM customers c JOIN plans p ON c.plan_id = p.id),
 j AS (SELECT r.*, cp.cid, cp.price FROM billing_requests r LEFT JOIN cp ON cp.cid = r.customer_id),
 t AS (SELECT *, CASE WHEN customer_id IS NULL OR customer_id = 0 THEN 'Customer ID is required'
-                     WHEN cid IS NULL THEN 'Customer not found' END AS reason FROM j)
-SELECT 'bills' AS table_name, 'insert' AS action, request_id, reason,
- (SELECT max(id) FROM bills) + row_number() OVER (ORDER BY request_id) AS id, customer_id, price AS amount,
- 'unpaid' AS status, DATE '{AS_OF}' AS bill_date, DATE '{DUE_IN_7}' AS due_date FROM t WHERE reason IS NULL
+                     WHEN cid IS NULL THEN 'Customer not found' END AS reason FROM j),
+nb AS (SELECT *, (SELECT max(id) FROM bills) + row_number() OVER (ORDER BY request_id) AS id FROM t WHERE reason IS NULL)
+SELECT 'bills' AS table_name, 'insert' AS action, request_id, reason, id, customer_id, price AS amount,
+ 'unpaid' AS status, DATE '{AS_OF}' AS bill_date, DATE '{DUE_IN_7}' AS due_date, CAST(NULL AS BIGINT) AS bill_id,
+ CAST(NULL AS STRING) AS description, CAST(NULL AS STRING) AS item_type FROM nb
 UNION ALL
-SELECT 'billing_requests', 'reject', request_id, reason, {_nulls(6)} FROM t WHERE reason IS NOT NULL""")
+SELECT 'bill_items', 'insert', NULL, NULL, (SELECT max(id) FROM bill_items) + row_number() OVER (ORDER BY id), NULL, price,
+ NULL, NULL, NULL, id, 'Broadband subscription charges', 'subscription' FROM nb
+UNION ALL
+SELECT 'billing_requests', 'reject', request_id, reason, {_nulls(9)} FROM t WHERE reason IS NOT NULL""")
 def q_run_billing(spark, d):
     """Bill run for the requested customers."""
     b = Book(spark, d)
@@ -220,11 +224,7 @@ def q_notify_type_default(spark, d):
 
 
 def _notify_events(b: Book) -> DataFrame:
-    from ..operators.joins import bills_with_customer
-    t = C.notify_type(b.bills, b.customers, b.notify_requests).filter(F.col("reason").isNull())
-    bc = bills_with_customer(b.bills, b.customers).select(
-        F.col("id").alias("bill_id"), "customer_id", "amount", "due_date", "name", "email", "phone")
-    return t.select("request_id", "bill_id", "notification_type").join(bc, "bill_id") \
+    return C.notify_requests(b.bills, b.customers, b.notify_requests).filter(F.col("reason").isNull()).drop("reason") \
         .withColumn("event_key", F.concat(F.col("notification_type"), F.lit(":"), F.col("request_id").cast("string")))
 
 
@@ -232,46 +232,73 @@ def _digits(c):
     return f"regexp_replace(coalesce(CAST({c} AS STRING),''), '[^0-9]', '', 'g')"
 
 
-def _outbox_events_sql(events_cte: str, event_cols: list[str]) -> str:
+def _outbox_events_sql(events_cte: str, event_cols: list[str], config: dict | None = None) -> str:
     """Outbox SQL over an ``ev`` CTE carrying ``event_cols`` (bill_id, customer_id,
     amount, due_date, notification_type, name, email, phone, ...)."""
+    cfg = dict(N.DEFAULT_CONFIG, **(config or {}))
     d = _digits("e.phone")
     intl = f"(CASE WHEN length({d})=10 THEN '91'||{d} ELSE {d} END)"
     e164 = f"(CASE WHEN {intl}='' THEN '' ELSE '+'||{intl} END)"
-    from .q_functions import _message_sql
+    from .q_functions import _PAYLOAD, _PAYLOAD_DUE, _message_sql
     due = dict(zip(("whatsapp", "sms", "email"), _message_sql("due", "e.")))
     paid = dict(zip(("whatsapp", "sms", "email"), _message_sql("paid", "e.")))
-    reason = {"whatsapp": "'WhatsApp not configured'",
-              "sms": f"CASE WHEN {e164}='' THEN 'Customer phone missing' WHEN NOT regexp_full_match({e164}, '\\+[1-9][0-9]{{7,14}}') THEN 'Invalid E.164 destination phone number: '||{e164} END",
-              "email": "CASE WHEN e.email IS NULL OR trim(e.email)='' THEN 'Customer email missing' END"}
-    dest = {"whatsapp": intl, "sms": e164, "email": "e.email"}
+    sms_to = e164 if cfg["sms"] == "twilio" else intl
+    bad = (f" WHEN NOT regexp_full_match({e164}, '\\+[1-9][0-9]{{7,14}}') THEN 'Invalid E.164 destination phone number: '||{e164}"
+           if cfg["sms"] == "twilio" else "")
+    reason = {"whatsapp": f"CASE WHEN {intl}='' THEN 'Customer phone missing' END" if cfg["whatsapp"] else "'WhatsApp not configured'",
+              "sms": f"CASE WHEN {sms_to}='' THEN 'Customer phone missing'{bad} END" if cfg["sms"] else "'SMS not configured'",
+              "email": "CASE WHEN e.email IS NULL OR trim(e.email)='' THEN 'Customer email missing' END"
+                       if cfg["email"] else "'Email not configured'"}
+    dest = {"whatsapp": intl, "sms": sms_to, "email": "e.email"}
+    p = [x.replace("c.name", "e.name").replace("b.id", "e.bill_id").replace("b.", "e.") for x in (_PAYLOAD, _PAYLOAD_DUE)]
+    payload = (f"CAST(CASE WHEN e.notification_type='due' THEN json_object({p[0].format(due=p[1])}) "
+               f"ELSE json_object({p[0].format(due='')}) END AS VARCHAR)")
     parts = []
     for ch in ("whatsapp", "sms", "email"):
         cols = ", ".join(f"e.{c}" for c in event_cols)
         parts.append(f"SELECT {cols}, '{ch}' AS channel, "
                      f"CASE WHEN ({reason[ch]}) IS NULL THEN 'queued' ELSE 'skipped' END AS status, "
                      f"{reason[ch]} AS reason, {dest[ch]} AS destination, "
-                     f"CASE WHEN e.notification_type='paid' THEN {paid[ch]} ELSE {due[ch]} END AS message FROM ev e")
+                     f"CASE WHEN e.notification_type='paid' THEN {paid[ch]} ELSE {due[ch]} END AS message, "
+                     f"{payload if ch == 'sms' and cfg['sms'] == 'msg91' else 'CAST(NULL AS VARCHAR)'} AS payload FROM ev e")
     return f"WITH {events_cte} " + " UNION ALL ".join(parts)
 
 
-def _outbox_sql() -> str:
+def _outbox_sql(config: dict | None = None, email: str = "c.email") -> str:
     events = (f"ev AS (SELECT n.request_id, n.bill_id, n.notification_type, b.customer_id, b.amount, b.due_date, "
-              f"c.name, c.email, c.phone, n.notification_type||':'||CAST(n.request_id AS STRING) AS event_key "
+              f"c.name, {email} AS email, c.phone, n.notification_type||':'||CAST(n.request_id AS STRING) AS event_key "
               f"FROM ({NOTIFY_SQL}) n JOIN bills b ON b.id = n.bill_id JOIN customers c ON c.id = b.customer_id "
               f"WHERE n.reason IS NULL)")
     return _outbox_events_sql(events, ["request_id", "bill_id", "notification_type", "customer_id", "amount",
-                                       "due_date", "name", "email", "phone", "event_key"])
+                                       "due_date", "name", "email", "phone", "event_key"], config)
 
 
 OUTBOX_SQL = _outbox_sql()
+_NO_EMAIL = "CASE WHEN b.customer_id % 10 = 3 THEN ' ' ELSE c.email END"
+# Sender settings beside the default ones.
+SENDERS = {"msg91": {"whatsapp": True, "sms": "msg91"}, "gateway": {"whatsapp": True, "sms": "gateway"},
+           "off": {"sms": None, "email": False}}
 
 
 @query("q_build_outbox", OUTBOX_SQL)
 def q_build_outbox(spark, d):
     """Notification requests fanned out to whatsapp / sms / email with the
     senders' pre-checks (whatsapp off, sms through an E.164 provider)."""
-    return N.build_outbox(_notify_events(Book(spark, d)))
+    return N.build_outbox(_notify_events(Book(spark, d)), LINKS)
+
+
+@query("q_build_outbox_senders", " UNION ALL ".join(
+    f"SELECT '{name}' AS senders, * FROM ({_outbox_sql(config, _NO_EMAIL)}) x" for name, config in SENDERS.items()))
+def q_build_outbox_senders(spark, d):
+    """The fan-out under the other sender settings: WhatsApp on, template SMS, a plain gateway, all off; every
+    tenth customer has no e-mail."""
+    events = _notify_events(Book(spark, d)).withColumn(
+        "email", F.when(F.col("customer_id") % 10 == 3, F.lit(" ")).otherwise(F.col("email")))
+    out = None
+    for name, config in SENDERS.items():
+        one = N.build_outbox(events, LINKS, config).withColumn("senders", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _results(outbox: DataFrame) -> DataFrame:
@@ -284,23 +311,23 @@ def _results(outbox: DataFrame) -> DataFrame:
                                             F.col("message"))).alias("note"))
 
 
-LOG_COLS = ["id", "bill_id", "customer_id", "channel", "notification_type", "status", "message", "created_at"]
+LOG_COLS = ["id", "bill_id", "customer_id", "channel", "notification_type", "status", "message", "full_message", "created_at"]
 
 
 @query("q_log_outcomes", f"""WITH ob AS ({OUTBOX_SQL}),
 lg AS (SELECT request_id, nullif(bill_id, 0) AS bill_id,
          coalesce(nullif(customer_id, 0), nullif(bill_id, 0)) AS customer_id, channel, notification_type,
          CASE WHEN status='skipped' THEN 'skipped' WHEN bill_id % 4 = 0 THEN 'failed' ELSE 'sent' END AS status,
-         substr(coalesce(CASE WHEN status='skipped' THEN reason WHEN bill_id % 4 = 0
-                THEN 'Provider rejected '||channel||' message: '||message END, ''), 1, 255) AS message,
+         coalesce(CASE WHEN status='skipped' THEN reason WHEN bill_id % 4 = 0
+                THEN 'Provider rejected '||channel||' message: '||message END, '') AS full_message,
          TIMESTAMP '{RUN_TS}' AS created_at FROM ob)
 SELECT (SELECT max(id) FROM notification_logs) + row_number() OVER (ORDER BY request_id, channel) AS id, bill_id,
- customer_id, channel, notification_type, status, message, created_at FROM lg""")
+ customer_id, channel, notification_type, status, substr(full_message, 1, 255) AS message, full_message, created_at FROM lg""")
 def q_log_outcomes(spark, d):
     """Delivery outcomes written as notification_logs rows."""
     from ..operators.windows import assign_ids
     b = Book(spark, d)
-    ob = N.build_outbox(_notify_events(b))
+    ob = C.materialize(N.build_outbox(_notify_events(b), LINKS))       # sent from, and logged against, one copy
     rows = N.log_rows(ob, _results(ob), RUN_TS)
     return _cols(assign_ids(rows, ["request_id", "channel"], b.notification_logs), LOG_COLS)
 
@@ -452,16 +479,6 @@ def q_patch_customers(spark, d):
     return _cols(ch.report(), PATCH_COLS)
 
 
-@query("q_agg_affected", f"""WITH {_PATCH_T}
-SELECT action, count(*) AS n FROM (SELECT 'update' AS action FROM u UNION ALL
- SELECT 'reject' FROM t WHERE reason IS NOT NULL) x GROUP BY action""")
-def q_agg_affected(spark, d):
-    """Rows changed / rejected by the customer patch batch (affectedRows)."""
-    b = Book(spark, d)
-    ch = C.patch_customers(b.customers, b.users, b.plans, b.customer_patches)
-    return ch.report().groupBy("action").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("q_propagate_identity", f"""WITH {_PATCH_T}
 SELECT x.id, u.name, u.email, x.role FROM users x JOIN u ON lower(trim(x.email)) = lower(trim(u.old_email))
 WHERE x.role = 'customer' AND u.identity""")
@@ -697,27 +714,28 @@ def _dir(spark, name):
 @query("q_sink_append", f"""SELECT id, bill_id, reminder_date, reminder_type FROM bill_reminders UNION ALL
 SELECT id, bill_id, reminder_date, reminder_type FROM ({REMINDERS_SQL}) x""")
 def q_sink_append(spark, d):
-    """Reminders of a run appended to the stored reminder table, read back."""
+    """Reminders of a run appended to the stored reminder table as a new version, read back through its manifest."""
     from ..sources import sinks as S
     b = Book(spark, d)
-    path = _dir(spark, "sink-append") + "/bill_reminders"
-    S.write_snapshot(b.bill_reminders, path, ["reminder_date"])
-    stored = S.read_table(spark, path, "bill_reminders")
-    ch = C.run_reminders(b.bills, b.customers, stored, AS_OF)
-    S.append(ch.changed.select("id", "bill_id", "reminder_date", "reminder_type"), path, ["reminder_date"])
-    return S.read_table(spark, path, "bill_reminders")
+    root = _dir(spark, "sink-append")
+    S.publish_state(spark, root, replaced={"bill_reminders": b.bill_reminders})
+    ch = C.run_reminders(b.bills, b.customers, S.read_state(spark, root)["bill_reminders"], AS_OF)
+    S.publish_state(spark, root, appended={"bill_reminders": ch.changed.select("id", "bill_id", "reminder_date", "reminder_type")})
+    return S.read_state(spark, root)["bill_reminders"]
 
 
 @query("q_sink_upsert", f"""SELECT u.* FROM data_usage u WHERE NOT EXISTS (SELECT 1 FROM {LATEST_REPORT_SQL} l
 WHERE l.customer_id = u.customer_id AND l.usage_date = u.usage_date) UNION ALL SELECT * FROM {LATEST_REPORT_SQL} l2""")
 def q_sink_upsert(spark, d):
-    """Usage reports merged into the usage table, written as a new snapshot and read back."""
+    """Usage reports merged into the usage table, published as a new version and read back through its manifest."""
     from ..sources import sinks as S
     b = Book(spark, d)
-    latest = C.upsert_usage(b.data_usage, b.usage_reports).changed.drop("table_name", "action")
-    path = _dir(spark, "sink-upsert") + "/data_usage"
-    S.write_snapshot(S.upsert(b.data_usage, latest, ["customer_id", "usage_date"]), path)
-    return S.read_table(spark, path, "data_usage")
+    root = _dir(spark, "sink-upsert")
+    S.publish_state(spark, root, replaced={"data_usage": b.data_usage})
+    stored = S.read_state(spark, root)["data_usage"]
+    latest = C.upsert_usage(stored, b.usage_reports).changed.drop("table_name", "action")
+    S.publish_state(spark, root, replaced={"data_usage": S.upsert(stored, latest, ["customer_id", "usage_date"])})
+    return S.read_state(spark, root)["data_usage"]
 
 
 @query("q_sink_insert_absent", """SELECT id, bill_id, description, amount, item_type FROM bill_items UNION ALL
@@ -769,3 +787,43 @@ def q_sort_plan_price(spark, d):
     """The plan catalogue after the batch of plan changes, by price (id breaks ties)."""
     b = Book(spark, d)
     return C.upsert_plans(b.plans, b.plan_requests).state["plans"].orderBy("price", "id")
+
+
+def _affected_sql() -> str:
+    first = "request_id = min(request_id) OVER (PARTITION BY {0})"
+    sites = {
+        "settle_manual": "SELECT b.id IS NOT NULL AS hit FROM settle_requests r LEFT JOIN bills b ON b.id = r.bill_id",
+        "patch_profile": f"""SELECT c.id IS NOT NULL AND NOT (r.phone IS NOT NULL AND trim(r.phone) <> '' AND {_phone_sql('r.phone')} = '')
+          FROM profile_patches r LEFT JOIN customers c ON lower(trim(c.email)) = lower(trim(r.email))""",
+        "approve_pending": f"""SELECT c.id IS NOT NULL AND {first.format('customer_id')} FROM approve_requests r
+          LEFT JOIN customers c ON c.id = r.customer_id AND c.status = 'pending'""",
+        "upsert_plans": "SELECT reason IS NULL FROM t_plans",
+        "delete_plans": f"""SELECT p.id IS NOT NULL AND {first.format('plan_id')} FROM plan_delete_requests r
+          LEFT JOIN plans p ON p.id = r.plan_id""",
+        "delete_staff": f"""SELECT u.id IS NOT NULL AND {first.format('user_id')} FROM staff_delete_requests r
+          LEFT JOIN users u ON u.id = r.user_id AND u.role = 'staff'""",
+        "move_tickets": """SELECT t.id IS NOT NULL AND coalesce(m.status IN ('open','in-progress','resolved'), false)
+          FROM ticket_moves m LEFT JOIN support_tickets t ON t.id = m.ticket_id""",
+    }
+    plans = _PLAN_CTES.replace("t AS (", "t_plans AS (", 1).replace("FROM t WHERE", "FROM t_plans WHERE")
+    return f"WITH {plans} " + " UNION ALL ".join(
+        f"SELECT '{site}' AS site, count(*) FILTER (WHERE hit) AS affected, count(*) FILTER (WHERE NOT hit) AS rejected "
+        f"FROM ({sql}) x(hit)" for site, sql in sites.items())
+
+
+@query("q_agg_affected", _affected_sql())
+def q_agg_affected(spark, d):
+    """Rows changed and requests refused by each of the seven update and delete jobs (affectedRows), counted by an
+    observation while each job writes its batch."""
+    b = Book(spark, d)
+    jobs = {
+        "settle_manual": C.settle_manual(b.bills, b.customers, b.payments, b.settle_requests, RUN_MS, RUN_TS),
+        "patch_profile": C.patch_profile(b.customers, b.users, b.profile_patches),
+        "approve_pending": C.approve_pending(b.customers, b.approve_requests),
+        "upsert_plans": C.upsert_plans(b.plans, b.plan_requests),
+        "delete_plans": C.delete_plans(b.plans, b.customers, b.plan_delete_requests),
+        "delete_staff": C.delete_staff(b.users, b.staff_delete_requests),
+        "move_tickets": C.move_tickets(b.support_tickets, b.ticket_moves),
+    }
+    return spark.createDataFrame([(site, ch.affected["affected"], ch.affected["rejected"]) for site, ch in jobs.items()],
+                                 "site string, affected bigint, rejected bigint")

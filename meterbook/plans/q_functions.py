@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators.notify import Links
 from ..sources.fixtures import AS_OF, CALLBACK_SECRET, Book
 from .oracle import duck_hmac, render_sql
 from .registry import query
@@ -16,6 +17,14 @@ RUN_MS = int(dt.datetime.fromisoformat(AS_OF).replace(tzinfo=dt.timezone.utc).ti
 TTL_MS = X.DOWNLOAD_TTL_HOURS * 3600 * 1000
 BASE_URL = "http://localhost:5000/"
 LINK_SECRET = "download-secret"
+_EXP = RUN_MS + TTL_MS
+LINKS = Links(BASE_URL, _EXP, LINK_SECRET)
+
+
+def link_sql(bill: str) -> str:
+    """The signed download link of a bill id expression."""
+    token = duck_hmac(f"CAST({bill} AS STRING)||':{_EXP}'", LINK_SECRET)
+    return f"'{BASE_URL.rstrip('/')}/api/bills/download/'||CAST({bill} AS STRING)||'/{_EXP}/'||{token}"
 
 DIGITS = "regexp_replace(coalesce(CAST({c} AS STRING),''), '[^0-9]', '', 'g')"
 
@@ -157,7 +166,8 @@ def _message_sql(kind: str, prefix: str = "") -> tuple[str, str, str]:
     fields = {"name": f"coalesce(nullif({prefix or 'c.'}name,''),'Customer')",
               "amount": f"CAST(CAST({prefix or 'b.'}amount AS DECIMAL(10,2)) AS STRING)",
               "due": f"coalesce(strftime({prefix or 'b.'}due_date, '%d %b %Y'), '--')",
-              "bill": f"CAST({prefix + 'bill_id' if prefix else 'b.id'} AS STRING)"}
+              "bill": f"CAST({prefix + 'bill_id' if prefix else 'b.id'} AS STRING)",
+              "link": link_sql(prefix + "bill_id" if prefix else "b.id"), "brand": f"'{X.BRAND}'"}
     return tuple(render_sql(X.MESSAGES[(kind, ch)], fields) for ch in ("whatsapp", "sms", "email"))
 
 
@@ -175,9 +185,9 @@ def _texts(spark, d, kind):
     bills = b.bills.filter(F.col("status") != "paid") if kind == "due" else b.bills.filter(F.col("status") == "paid")
     j = bills_with_customer(bills, b.customers)
     if kind == "due":
-        f = lambda ch: X.msg_due(F.lit(ch), F.col("name"), F.col("amount"), F.col("due_date"))
+        f = lambda ch: X.msg_due(F.lit(ch), F.col("name"), F.col("amount"), F.col("due_date"), LINKS.of("id"))
     else:
-        f = lambda ch: X.msg_paid(F.lit(ch), F.col("name"), F.col("amount"), F.col("id"))
+        f = lambda ch: X.msg_paid(F.lit(ch), F.col("name"), F.col("amount"), F.col("id"), LINKS.of("id"))
     return j.select(F.col("id").alias("bill_id"), f("whatsapp").alias("whatsapp_text"), f("sms").alias("sms_text"),
                     f("email").alias("email_text"))
 
@@ -212,20 +222,23 @@ def q_fn_message_cut(spark, d):
                     F.length("email_text").cast("long").alias("full_length"))
 
 
-@query("q_fn_sms_payload", "SELECT b.id AS bill_id, CAST(json_object('name', coalesce(nullif(c.name,''),'Customer'), "
-                           "'customer_name', coalesce(nullif(c.name,''),'Customer'), "
-                           "'amount', CAST(CAST(b.amount AS DECIMAL(10,2)) AS VARCHAR), "
-                           "'due_date', coalesce(strftime(b.due_date, '%d %b %Y'), '--'), "
-                           "'bill_id', coalesce(CAST(b.id AS VARCHAR), '')) AS VARCHAR) AS payload "
-                           "FROM bills b JOIN customers c ON b.customer_id = c.id WHERE b.status <> 'paid'")
+_PAYLOAD = ("'name', coalesce(nullif(c.name,''),'Customer'), 'customer_name', coalesce(nullif(c.name,''),'Customer'), "
+            "'amount', CAST(CAST(b.amount AS DECIMAL(10,2)) AS VARCHAR), {due} 'bill_id', coalesce(CAST(b.id AS VARCHAR), '')")
+_PAYLOAD_DUE = "'due_date', coalesce(strftime(b.due_date, '%d %b %Y'), '--'),"
+
+
+@query("q_fn_sms_payload", f"SELECT b.id AS bill_id, CASE WHEN b.status = 'paid' THEN 'paid' ELSE 'due' END AS kind, "
+                           f"CAST(CASE WHEN b.status = 'paid' THEN json_object({_PAYLOAD.format(due='')}) "
+                           f"ELSE json_object({_PAYLOAD.format(due=_PAYLOAD_DUE)}) END AS VARCHAR) AS payload "
+                           "FROM bills b JOIN customers c ON b.customer_id = c.id")
 def q_fn_sms_payload(spark, d):
-    """SMS template variables as JSON for every open bill."""
+    """SMS template variables as JSON: 'due' for every open bill, 'paid' for every paid one."""
     from ..operators.joins import bills_with_customer
     b = Book(spark, d)
-    j = bills_with_customer(b.bills.filter(F.col("status") != "paid"), b.customers)
-    return j.select(F.col("id").alias("bill_id"),
-                    X.sms_payload(F.lit("due"), F.col("name"), F.col("amount"), F.col("due_date"), F.col("id"))
-                    .alias("payload"))
+    j = bills_with_customer(b.bills, b.customers).withColumn(
+        "kind", F.when(F.col("status") == "paid", F.lit("paid")).otherwise(F.lit("due")))
+    return j.select(F.col("id").alias("bill_id"), "kind",
+                    X.sms_payload("kind", F.col("name"), F.col("amount"), F.col("due_date"), F.col("id")).alias("payload"))
 
 
 @query("q_fn_hmac_sha256", f"SELECT id, {duck_hmac(chr(39) + chr(39) + '||provider_order_id||' + chr(39) + '|' + chr(39) + '||provider_payment_id')} "
@@ -237,12 +250,7 @@ def q_fn_hmac_sha256(spark, d):
     return p.select("id", X.hmac_sha256_hex(msg, CALLBACK_SECRET).alias("signature"))
 
 
-_EXP = RUN_MS + TTL_MS
-
-
-@query("q_fn_download_link", f"SELECT id, '{BASE_URL.rstrip('/')}/api/bills/download/'||CAST(id AS STRING)||'/{_EXP}/'||"
-                             f"{duck_hmac(f'CAST(id AS STRING)||' + chr(39) + f':{_EXP}' + chr(39), LINK_SECRET)} AS link "
-                             "FROM bills WHERE status='paid'")
+@query("q_fn_download_link", f"SELECT id, {link_sql('id')} AS link FROM bills WHERE status='paid'")
 def q_fn_download_link(spark, d):
     """Signed download links of every paid bill."""
     b = Book(spark, d).bills.filter(F.col("status") == "paid")

@@ -11,9 +11,9 @@ from ..operators import aggregates as A
 from ..operators import filters as FL
 from ..operators import joins as J
 from ..operators import windows as W
-from ..sources.fixtures import AS_OF, SEED_USAGE_GB, Book
-from ..sources.schema import CUSTOMER_STATUSES, UNIQUE_KEYS
-from ..sources.tables import enforce
+from ..sources.fixtures import AS_OF, SEED_CUSTOMER, SEED_USAGE_GB, SEED_USERS, Book
+from ..sources.schema import CUSTOMER_STATUSES, NOTIFY_TYPES, ROLES, TICKET_STATUSES, UNIQUE_KEYS
+from ..sources.tables import enforce, quarantine, seed_tables
 from .registry import query
 
 
@@ -49,28 +49,74 @@ def _seed_usage_rows():
 _SEED_SQL = " UNION ALL ".join(
     f"SELECT CAST({c} AS BIGINT) AS customer_id, DATE '{d}' AS usage_date, CAST({gb} AS DECIMAL(10,2)) AS used_gb, "
     f"CAST(1000 AS DECIMAL(10,2)) AS total_gb" for c, d, gb in _seed_usage_rows())
+# Days from the as-of date to the last of the test events: stored usage is moved back by so many, so that it ends on that date.
+_USAGE_SHIFT = (dt.date(2024, 1, 30) - dt.date.fromisoformat(AS_OF)).days
 
 
-@query("q_src_seed", f"WITH seed AS ({_SEED_SQL}) "
-                     "SELECT u.* FROM data_usage u WHERE NOT EXISTS (SELECT 1 FROM seed s WHERE "
+@query("q_src_seed", f"WITH seed AS ({_SEED_SQL}), stored AS (SELECT * REPLACE (usage_date - {_USAGE_SHIFT} AS usage_date) FROM data_usage) "
+                     "SELECT u.* FROM stored u WHERE NOT EXISTS (SELECT 1 FROM seed s WHERE "
                      "s.customer_id=u.customer_id AND s.usage_date=u.usage_date) UNION ALL SELECT * FROM seed")
 def q_src_seed(spark, d):
-    """The seeded week of usage, upserted into the usage table."""
-    seed = spark.createDataFrame(
-        [(c, day, gb, 1000) for c, day, gb in _seed_usage_rows()],
-        "customer_id bigint, usage_date date, used_gb int, total_gb int").select(
-        "customer_id", "usage_date", F.col("used_gb").cast("decimal(10,2)").alias("used_gb"),
-        F.col("total_gb").cast("decimal(10,2)").alias("total_gb"))
-    usage = Book(spark, d).data_usage
-    return usage.join(seed.select("customer_id", "usage_date"), ["customer_id", "usage_date"], "left_anti") \
-        .unionByName(seed)
-
-
-@query("q_schema_enforce", "SELECT request_id AS id, bill_id, description, amount, "
-                           "COALESCE(item_type,'hardware') AS item_type FROM charge_requests")
+    """The seeded week of usage, upserted into stored usage of the same days."""
+    stored = Book(spark, d).data_usage.withColumn("usage_date", F.date_sub("usage_date", _USAGE_SHIFT))
+    return seed_tables(spark, {"data_usage": stored}, AS_OF, usage=_seed_usage_rows())["data_usage"]
+
+
+_BOOK_SEED_SQL = f"""WITH su AS (SELECT * FROM (VALUES {", ".join(str((i, *r)) for i, r in enumerate(SEED_USERS))}) t(k, name, email, role)),
+u AS (SELECT id, coalesce(s.name, x.name) AS name, x.email, coalesce(s.role, x.role) AS role FROM users x
+      LEFT JOIN su s ON lower(trim(x.email)) = s.email
+      UNION ALL SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY k), name, email, role FROM su
+      WHERE email NOT IN (SELECT lower(trim(email)) FROM users))
+SELECT 'users' AS table_name, id, name, email, role AS detail, CAST(NULL AS DECIMAL(10,2)) AS amount FROM u
+UNION ALL SELECT 'customers', id, name, email, status, NULL FROM customers WHERE id <> 1
+UNION ALL SELECT 'customers', {SEED_CUSTOMER[0]}, '{SEED_CUSTOMER[1]}', '{SEED_CUSTOMER[2]}', '{SEED_CUSTOMER[6]}', NULL
+UNION ALL SELECT 'bills', id, CAST(customer_id AS VARCHAR), CAST(due_date AS VARCHAR), status, amount FROM bills WHERE id <> 1
+UNION ALL SELECT 'bills', 1, '1', CAST(DATE '{AS_OF}' + 7 AS VARCHAR), 'unpaid', 799
+UNION ALL SELECT 'bill_items', id, description, CAST(bill_id AS VARCHAR), item_type, amount FROM bill_items
+UNION ALL SELECT 'bill_items', (SELECT max(id) FROM bill_items) + 1, 'Broadband subscription charges', '1', 'subscription', 799
+ WHERE NOT EXISTS (SELECT 1 FROM bill_items WHERE bill_id = 1 AND item_type = 'subscription')"""
+
+
+@query("q_src_seed_books", _BOOK_SEED_SQL)
+def q_src_seed_books(spark, d):
+    """The seeded logins, customer, bill and line item upserted into the stored books."""
+    b = Book(spark, d)
+    new = seed_tables(spark, {"users": b.users, "customers": b.customers, "bills": b.bills, "bill_items": b.bill_items}, AS_OF)
+    none = F.lit(None).cast("decimal(10,2)")
+
+    def listed(name, *cols):
+        return new[name].select(F.lit(name).alias("table_name"), "id", *[c.alias(a) for c, a in zip(cols, ("name", "email", "detail", "amount"), strict=True)])
+    return (listed("users", F.col("name"), F.col("email"), F.col("role"), none)
+            .unionByName(listed("customers", F.col("name"), F.col("email"), F.col("status"), none))
+            .unionByName(listed("bills", F.col("customer_id").cast("string"), F.col("due_date").cast("string"), F.col("status"), F.col("amount")))
+            .unionByName(listed("bill_items", F.col("description"), F.col("bill_id").cast("string"), F.col("item_type"), F.col("amount"))))
+
+
+RUN_AT = f"{AS_OF} 06:30:00"
+_ITEM_TYPES = {"id": "BIGINT", "bill_id": "BIGINT", "amount": "DECIMAL(10,2)", "created_at": "TIMESTAMP"}
+_SPARK_TYPES = {"BIGINT": "bigint", "DECIMAL(10,2)": "decimal(10,2)", "TIMESTAMP": "timestamp_ntz"}
+
+
+def _quarantine_sql() -> str:
+    bad = {c: f"({c} IS NOT NULL AND TRY_CAST({c} AS {t}) IS NULL)" for c, t in _ITEM_TYPES.items()}
+    absent = [f"{c} IS NULL" for c in ("bill_id", "description")]
+    parts = [f"SELECT NULL, NULL, NULL, NULL, NULL, NULL, id, '{c}', {c}, 'Not a value of type {_SPARK_TYPES[t]}' FROM raw_items "
+             f"WHERE {bad[c]}" for c, t in _ITEM_TYPES.items()]
+    parts += [f"SELECT NULL, NULL, NULL, NULL, NULL, NULL, id, '{a.split()[0]}', NULL, 'Required value missing' FROM raw_items WHERE {a}"
+              for a in absent]
+    casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in _ITEM_TYPES.items() if c != "created_at")
+    return (f"SELECT {casts}, description, coalesce(item_type, 'hardware') AS item_type, "
+            f"coalesce(CAST(created_at AS TIMESTAMP), TIMESTAMP '{RUN_AT}') AS created_at, CAST(NULL AS STRING) AS source_id, "
+            f"CAST(NULL AS STRING) AS column_name, CAST(NULL AS STRING) AS value, CAST(NULL AS STRING) AS reason "
+            f"FROM raw_items WHERE NOT ({' OR '.join([*bad.values(), *absent])}) UNION ALL " + " UNION ALL ".join(parts))
+
+
+@query("q_schema_enforce", _quarantine_sql())
 def q_schema_enforce(spark, d):
-    """Charge requests brought to the bill_items schema (casts + defaults)."""
-    return enforce(Book(spark, d).charge_requests.withColumnRenamed("request_id", "id"), "bill_items")
+    """Line items given as text brought to their table's columns (casts, defaults, creation time); values that do not
+    fit, or are missing, as rejects with column and reason."""
+    rows, rejects = quarantine(Book(spark, d).raw_items, "bill_items", "id", F.lit(RUN_AT).cast("timestamp_ntz"))
+    return rows.unionByName(rejects.withColumnRenamed("id", "source_id"), allowMissingColumns=True)
 
 
 # ------------------------------------------------- 2.2 projections / filters
@@ -154,11 +200,25 @@ def q_flt_is_null(spark, d):
     return b.bills.join(r, "id", "left_anti")
 
 
-@query("q_flt_in_list", "SELECT id, status, status IN ('pending','active','suspended') AS valid "
-                        "FROM customer_patches WHERE status IS NOT NULL")
+# Which column holds a value of which enum; as the application compares it.
+_ENUMS = {"customer_patches": ("request_id", "status", CUSTOMER_STATUSES, "status"),
+          "ticket_moves": ("request_id", "status", TICKET_STATUSES, "status"),
+          "login_requests": ("request_id", "role", ROLES, "lower(trim(role))"),
+          "notify_requests": ("request_id", "notification_type", NOTIFY_TYPES, "lower(notification_type)")}
+
+
+@query("q_flt_in_list", " UNION ALL ".join(
+    f"SELECT '{t}' AS source, {key} AS id, {value} AS value, {value} IN ({', '.join(repr(x) for x in allowed)}) AS valid "
+    f"FROM {t} WHERE {col} IS NOT NULL" for t, (key, col, allowed, value) in _ENUMS.items()))
 def q_flt_in_list(spark, d):
-    p = Book(spark, d).customer_patches.filter(F.col("status").isNotNull())
-    return FL.membership(p, "status", CUSTOMER_STATUSES).select("id", "status", "valid")
+    """Values of the four enums: customer and ticket status, role, notification type."""
+    b, out = Book(spark, d), None
+    for t, (key, col, allowed, value) in _ENUMS.items():
+        rows = getattr(b, t).filter(F.col(col).isNotNull()).select(F.lit(t).alias("source"), F.col(key).alias("id"),
+                                                                   F.expr(value).alias("value"))
+        rows = FL.membership(rows, "value", allowed)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 _RESOLVED = ("SELECT p.id, p.role, coalesce(nullif(p.email,''), u.email) AS email, "
@@ -349,12 +409,16 @@ def q_join_account(spark, d):
 
 
 def _fk_sql():
+    """Orphans of the damaged tables: a negative value was turned by ``DAMAGE`` unless the table is whole."""
+    from ..sources.fixtures import DAMAGE
     from ..sources.schema import FOREIGN_KEYS
     parts = []
     for child, col, parent, pcol, _ in FOREIGN_KEYS:
-        parts.append(f"SELECT '{child}' AS table_name, '{col}' AS column_name, CAST(x.{col} AS BIGINT) AS value, "
+        key, every = next((k, n) for c, k, n in DAMAGE[child] if c == col)
+        value = f"CASE WHEN x.{key} % {every} = 1 THEN -x.{col} - 1 ELSE x.{col} END"
+        parts.append(f"SELECT '{child}' AS table_name, '{col}' AS column_name, CAST({value} AS BIGINT) AS value, "
                      f"count(*) AS n FROM {child} x WHERE x.{col} IS NOT NULL AND NOT EXISTS "
-                     f"(SELECT 1 FROM {parent} y WHERE y.{pcol} = x.{col}) GROUP BY x.{col}")
+                     f"(SELECT 1 FROM {parent} y WHERE y.{pcol} = {value}) GROUP BY 3")
     return " UNION ALL ".join(parts)
 
 
@@ -366,7 +430,9 @@ def _book_frames(b: Book) -> dict:
 
 @query("q_fk_check", _fk_sql())
 def q_fk_check(spark, d):
-    return J.fk_orphans(_book_frames(Book(spark, d)))
+    """Orphans of every foreign key, over book tables some of whose references point nowhere."""
+    b = Book(spark, d)
+    return J.fk_orphans({name: b.damaged(name) for name in _book_frames(b)})
 
 
 # ----------------------------------------------------------- 2.4 aggregates
@@ -536,9 +602,18 @@ def q_win_assign_ids(spark, d):
 
 
 # ------------------------------------------------------------ 2.6 ordering
-@query("q_sort_id_desc", "SELECT * FROM customers ORDER BY id DESC")
-def q_sort_id_desc(spark, d):
-    return Book(spark, d).customers.orderBy(F.desc("id"))
+def _newest_first(table: str, where: str | None = None):
+    """Registers the newest-first listing of ``table``: a range-partitioned sort."""
+    name = "q_sort_id_desc" if table == "customers" else f"q_sort_{'staff' if where else table}_desc"
+
+    @query(name, f"SELECT * FROM {table} {'WHERE ' + where if where else ''} ORDER BY id DESC")
+    def listing(spark, d):
+        df = getattr(Book(spark, d), table)
+        return (df.where(where) if where else df).orderBy(F.desc("id"))
+
+
+for _table, _where in (("customers", None), ("bills", None), ("payments", None), ("support_tickets", None), ("users", "role = 'staff'")):
+    _newest_first(_table, _where)
 
 
 @query("q_sort_usage_series", "SELECT customer_id, usage_date, used_gb, total_gb FROM data_usage "

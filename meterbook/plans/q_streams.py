@@ -9,6 +9,7 @@ from ..session import shared_dir
 from ..sources.fixtures import AS_OF, CALLBACK_SECRET, Book
 from ..streaming import streams as ST
 from .q_changes import _IDEM_ACC, LATEST_REPORT_SQL, PAY_COLS, _CANDIDATES, _outbox_events_sql, _settle_sql
+from .q_functions import LINKS
 from .registry import query
 
 LANDINGS = 3
@@ -77,4 +78,4 @@ def q_st_usage(spark, d):
     ["bill_id", "customer_id", "amount", "due_date", "notification_type", "name", "email", "phone"]))
 def q_st_outbox(spark, d):
     """'paid' notifications fanned out per channel as bills stream in."""
-    return ST.outbox(spark, d, Book(spark, d).customers)
+    return ST.outbox(spark, d, Book(spark, d).customers, LINKS)

@@ -104,3 +104,12 @@ def write_through(df, purpose: str):
     path = shared_dir(spark, purpose)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def write_counted(df, purpose: str, **counts):
+    """``write_through`` that also counts: (frame, {name: value}) with each named
+    aggregate taken by an observation of the write itself, not by another pass."""
+    from pyspark.sql import Observation
+    seen = Observation()
+    written = write_through(df.observe(seen, *[c.alias(name) for name, c in counts.items()]), purpose)
+    return written, seen.get

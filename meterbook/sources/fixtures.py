@@ -27,8 +27,24 @@ SEED_PLANS = [
     (4, "Family Fiber", "500 Mbps", 1499, 30),
     (5, "Giga Fiber", "1 Gbps", 1999, 30),
 ]
+# The seeded logins (name, e-mail, role), customer (id, name, e-mail, phone, plan, address, status) and
+# bill amount of bill 1.
+SEED_USERS = [("Admin User", "admin@test.com", "admin"), ("Staff User", "staff@test.com", "staff"),
+              ("Customer User", "customer@test.com", "customer")]
+SEED_CUSTOMER = (1, "Customer User", "customer@test.com", "9999999999", 2, "Karur, Tamil Nadu", "active")
+SEED_BILL_AMOUNT = 799
 # The seeded week of usage for customer 1 (GB used, oldest first; quota 1000).
 SEED_USAGE_GB = [42, 88, 135, 181, 226, 274, 320]
+# Which references of the damaged tables point nowhere: column, key column, every how manyth key.
+DAMAGE = {
+    "customers": [("plan_id", "id", 37)],
+    "bills": [("customer_id", "id", 41)],
+    "bill_items": [("bill_id", "id", 43)],
+    "support_tickets": [("customer_id", "id", 29)],
+    "data_usage": [("customer_id", "customer_id", 31)],
+    "payments": [("bill_id", "id", 53), ("customer_id", "id", 59)],
+    "bill_reminders": [("bill_id", "id", 47)],
+}
 # 2024-01-01 00:00 UTC, when the events begin.
 ACCESS_EPOCH_MICROS = 1704067200 * 10**6
 # Key signing the fixture payment callbacks.
@@ -190,6 +206,28 @@ class Book:
             F.col("ts").alias("created_at"),
         )
 
+    # ---- tables with faults ------------------------------------------------------
+    def damaged(self, name: str) -> DataFrame:
+        """A book table some of whose references point nowhere, as after a restore without its parents (``DAMAGE``)."""
+        df = getattr(self, name)
+        for col, key, every in DAMAGE.get(name, ()):
+            c = F.col(col)
+            df = df.withColumn(col, F.when(F.col(key) % every == 1, -c - 1).otherwise(c))
+        return df
+
+    @property
+    def raw_items(self) -> DataFrame:
+        """Line items as text, as a bulk file would hold them; some values do not fit their column."""
+        r = F.col("request_id")
+        hours = F.expr("timestamp_ntz'1998-06-01 00:00:00' + make_dt_interval(0, cast(request_id % 300 as int), 0, 0)")
+        return self.charge_requests.select(
+            F.when(r % 101 == 3, F.concat(F.lit("#"), _s(r))).otherwise(_s(r)).alias("id"),
+            F.when(r % 23 == 4, F.lit(None)).when(r % 29 == 5, F.lit("none")).otherwise(_s(F.col("bill_id"))).alias("bill_id"),
+            F.nullif(F.trim("description"), F.lit("")).alias("description"),
+            F.when(r % 13 == 6, F.lit("n/a")).when(r % 17 == 7, F.lit("123456789.00")).otherwise(_s(F.col("amount"))).alias("amount"),
+            "item_type",
+            F.when(r % 7 == 1, F.lit("soon")).when(r % 7 < 5, F.date_format(hours, "yyyy-MM-dd HH:mm:ss")).alias("created_at"))
+
     # ---- request tables ----------------------------------------------------------
     @property
     def access_log(self) -> DataFrame:

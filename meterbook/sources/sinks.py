@@ -8,6 +8,9 @@ snapshot also cuts the lineage of iterative jobs.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,17 +69,61 @@ def write_invoices(lines: DataFrame, path: str) -> None:
      .write.mode("errorifexists").partitionBy("bill_month").json(path))
 
 
-def publish_state(state: dict[str, DataFrame], root: str, version: str) -> dict[str, str]:
-    """Write every table a change touched as a new snapshot under
-    ``root/version=<version>/<table>`` and return the paths.
-
-    All tables of one change come from the same input snapshot; readers
-    switch to the returned paths together once every write has finished,
-    so nobody sees half a change and no path being read is overwritten.
+MANIFEST = "version bigint, table_name string, part int, path string"
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame | None:
+    """All manifests that were published under ``root``; None before the first."""
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{root.rstrip('/')}/manifests/*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def published_paths(spark: SparkSession, root: str, version: int | None = None) -> tuple[int, dict[str, list[str]]]:
+    """(version, table -> its paths) of the latest complete version, or of ``version``; (0, {}) before the first."""
+    every = _manifest(spark, root)
+    if every is None:
+        return 0, {}
+    if version is None:
+        version = every.agg(F.max("version")).first()[0] or 0
+    paths: dict[str, list[str]] = {}
+    for r in every.filter(F.col("version") == version).orderBy("table_name", "part").collect():
+        paths.setdefault(r["table_name"], []).append(r["path"])
+    return version, paths
+
+
+def publish_state(spark: SparkSession, root: str, replaced: dict[str, DataFrame] | None = None,
+                  appended: dict[str, DataFrame] | None = None) -> int:
+    """Publish one change of several tables as a new version under ``root``; returns its number.
+
+    ``replaced`` tables are written as new snapshots; of ``appended`` ones only
+    the new rows are, as a further part of the table. When every write has
+    finished, the manifest is written: for all tables of the store, touched or
+    not, the paths that make them up, a handful of rows that Spark's writer
+    commits as one file. Readers find tables through manifests alone
+    (``read_state``), so they see the whole change or nothing of it; a change
+    that stops half-way leaves files that no manifest names. No path that a
+    manifest names is ever written again. One publisher at a time per root.
     """
-    paths = {}
-    for name, df in state.items():
-        path = f"{root.rstrip('/')}/version={version}/{name}"
-        write_snapshot(df, path)
-        paths[name] = path
-    return paths
+    root = root.rstrip("/")
+    before, paths = published_paths(spark, root)
+    version = before + 1
+    attempt = f"{root}/data/{version}-{uuid.uuid4().hex[:12]}"
+    for name, df in (replaced or {}).items():
+        write_snapshot(df, f"{attempt}/{name}")
+        paths[name] = [f"{attempt}/{name}"]
+    for name, df in (appended or {}).items():
+        write_snapshot(df, f"{attempt}/{name}-more")
+        paths[name] = [*paths.get(name, []), f"{attempt}/{name}-more"]
+    rows = [(version, name, part, path) for name, parts in paths.items() for part, path in enumerate(parts)]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{root}/manifests/{version}")
+    return version
+
+
+def read_state(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of the latest published version (or of ``version``), all of one manifest."""
+    _, paths = published_paths(spark, root, version)
+    return {name: spark.read.schema(TABLES[name]).parquet(*parts) for name, parts in paths.items()}

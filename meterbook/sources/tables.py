@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession  # noqa: F401
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .schema import DEFAULTS, TABLES
+from ..functions.exprs import SUBSCRIPTION_LINE
+from .schema import DEFAULTS, NOW_DEFAULTED, TABLES
+
+# Why a value is held back.
+NOT_A = "Not a value of type "
+ABSENT = "Required value missing"
 
 
 def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,24 +47,115 @@ def seed(spark: SparkSession, name: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, TABLES[name])
 
 
+def seed_tables(spark: SparkSession, state: dict[str, DataFrame], as_of: str, usage: list[tuple] = ()) -> dict[str, DataFrame]:
+    """Upsert the seed rows into the tables of ``state`` that have any; returns those tables.
+
+    Logins go by e-mail (name and role are replaced, new ones get the next
+    ids), customer, bill and plans by id, usage by customer and date; bill 1
+    gets a subscription line unless it has one. The seeds are a handful of
+    literal rows, so every merge broadcasts them and scans its table once.
+    """
+    from ..operators.windows import assign_ids
+    from .fixtures import SEED_BILL_AMOUNT, SEED_CUSTOMER, SEED_PLANS, SEED_USERS
+
+    def literal(rows: list[tuple], name: str, *cols: str) -> DataFrame:
+        """Rows as strings, cast to the table's types; missing columns are NULL."""
+        text = spark.createDataFrame([tuple(None if v is None else str(v) for v in r) for r in rows],
+                                     ", ".join(f"{c} string" for c in cols))
+        return text.select(*[F.col(f.name).cast(f.dataType) if f.name in cols else F.lit(None).cast(f.dataType).alias(f.name)
+                             for f in TABLES[name].fields])
+
+    def merged(name: str, seeds: DataFrame, keys: list[str]) -> DataFrame:
+        df = state[name]
+        return df.join(F.broadcast(seeds.select(*keys)), keys, "left_anti").unionByName(
+            seeds.select(*[F.col(c).cast(df.schema[c].dataType) for c in df.columns]))
+
+    new = {}
+    if "users" in state:
+        users = state["users"]
+        seeds = spark.createDataFrame([(i, *r) for i, r in enumerate(SEED_USERS)], "_k int, _name string, _e string, _role string")
+        key = F.lower(F.trim("email"))
+        hit = users.join(F.broadcast(seeds), key == F.col("_e"), "left")
+        kept = hit.select("id", F.coalesce("_name", "name").alias("name"), "email", F.coalesce("_role", "role").alias("role"))
+        fresh = seeds.join(users.select(key.alias("_e")).join(F.broadcast(seeds.select("_e")), "_e", "left_semi"), "_e", "left_anti")
+        ins = assign_ids(fresh.select("_k", F.col("_name").alias("name"), F.col("_e").alias("email"), F.col("_role").alias("role")),
+                         ["_k"], users)
+        new["users"] = kept.unionByName(ins.drop("_k"))
+    if "plans" in state:
+        new["plans"] = merged("plans", literal(SEED_PLANS, "plans", "id", "name", "speed", "price", "validity"), ["id"])
+    if "customers" in state:
+        new["customers"] = merged("customers", literal([SEED_CUSTOMER], "customers", "id", "name", "email", "phone", "plan_id", "address",
+                                                       "status"), ["id"])
+    if "bills" in state:
+        seeds = literal([(1, SEED_CUSTOMER[0], SEED_BILL_AMOUNT, "unpaid", as_of, as_of)], "bills", *TABLES["bills"].names)
+        new["bills"] = merged("bills", seeds.withColumn("due_date", F.date_add("due_date", 7)), ["id"])
+    if "bill_items" in state:
+        items = state["bill_items"]
+        seeds = literal([(1, SUBSCRIPTION_LINE, SEED_BILL_AMOUNT, "subscription")], "bill_items", "bill_id", "description", "amount",
+                        "item_type").drop("id")
+        has = items.where("bill_id = 1 AND item_type = 'subscription'").select("bill_id").distinct()
+        new["bill_items"] = items.unionByName(
+            assign_ids(seeds.join(has, "bill_id", "left_anti"), ["bill_id"], items).select(*items.columns))
+    if "data_usage" in state:
+        rows = [(c, day, gb, 1000) for c, day, gb in usage]
+        new["data_usage"] = merged("data_usage", literal(rows, "data_usage", "customer_id", "usage_date", "used_gb", "total_gb"),
+                                   ["customer_id", "usage_date"])
+    return new
+
+
+def _declared(name: str, now: Column | None) -> list[T.StructField]:
+    """Declared columns, and creation times that the declaration leaves out, when ``now`` is given."""
+    fields = list(TABLES[name].fields)
+    if now is not None:
+        fields += [T.StructField(c, T.TimestampNTZType(), True) for c in NOW_DEFAULTED.get(name, ())
+                   if c not in TABLES[name].names]
+    return fields
+
+
+def _cast(df: DataFrame, f: T.StructField) -> Column:
+    return F.col(f.name).try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)
+
+
+def _filled(c: Column, name: str, f: T.StructField, now: Column | None) -> Column:
+    """``c`` with the declared default, or the run time, in place of NULL."""
+    defaults = DEFAULTS.get(name, {})
+    if f.name in defaults:
+        c = F.coalesce(c, F.lit(defaults[f.name]).cast(f.dataType))
+    if now is not None and f.name in NOW_DEFAULTED.get(name, ()):
+        c = F.coalesce(c, now.cast("timestamp_ntz"))
+    return c
+
+
 def enforce(df: DataFrame, name: str, now: Column | None = None) -> DataFrame:
     """Bring ``df`` to the declared columns of ``name`` (schema_enforce).
 
-    Every declared field is cast with ``try_cast`` (bad text becomes NULL
-    rather than failing the job); declared defaults fill NULLs; timestamp
-    defaults take ``now``. Unknown columns are dropped, missing ones added.
+    Every declared field is cast with ``try_cast``; declared defaults fill
+    NULLs; creation times take ``now``. Unknown columns are dropped, missing
+    ones added. A value that does not fit its type becomes NULL here: for
+    input that is not trusted, ``quarantine`` keeps it.
     """
-    schema = TABLES[name]
-    defaults = DEFAULTS.get(name, {})
-    present = set(df.columns)
-    cols = []
-    for f in schema.fields:
-        c = F.col(f.name).try_cast(f.dataType) if f.name in present else F.lit(None).cast(f.dataType)
-        if f.name in defaults:
-            c = F.coalesce(c, F.lit(defaults[f.name]).cast(f.dataType))
-        cols.append(c.alias(f.name))
-    if now is not None and name in ("bill_items", "support_tickets", "notification_logs",
-                                    "bill_reminders"):
-        cols.append(F.coalesce(F.col("created_at").try_cast("timestamp_ntz") if "created_at" in present
-                               else F.lit(None).cast("timestamp_ntz"), now).alias("created_at"))
-    return df.select(*cols)
+    return df.select(*[_filled(_cast(df, f), name, f, now).alias(f.name) for f in _declared(name, now)])
+
+
+def quarantine(df: DataFrame, name: str, key: str, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """schema_enforce for input that is not trusted: (rows, rejects).
+
+    ``rows`` are brought to the declared columns as by ``enforce``. A row with a
+    value that does not fit its column's type, or without one that the table
+    requires and has no default for, is held back as a whole; ``rejects`` has
+    a row for each such value: ``key`` as text, column_name, value as text, reason.
+    """
+    fields = _declared(name, now)
+    faults = []
+    for f in fields:
+        given = F.col(f.name).cast("string") if f.name in df.columns else F.lit(None).cast("string")
+        cast = _cast(df, f)
+        misfit = given.isNotNull() & cast.isNull()
+        absent = given.isNull() & _filled(cast, name, f, now).isNull() if not f.nullable else F.lit(False)
+        reason = F.when(misfit, F.lit(f"{NOT_A}{f.dataType.simpleString()}")).when(absent, F.lit(ABSENT))
+        faults.append(F.when(reason.isNotNull(), F.struct(F.lit(f.name).alias("column_name"), given.alias("value"),
+                                                          reason.alias("reason"))))
+    tagged = df.withColumn("_faults", F.array_compact(F.array(*faults)))
+    rows = enforce(tagged.filter(F.size("_faults") == 0), name, now)
+    rejects = tagged.filter(F.size("_faults") > 0).select(F.col(key).cast("string").alias(key), F.inline("_faults"))
+    return rows, rejects

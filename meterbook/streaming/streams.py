@@ -262,7 +262,7 @@ def usage(spark: SparkSession, sf_dir: str, initial: DataFrame, root: str | None
     return C.upsert_usage(initial, logged).state["data_usage"]
 
 
-def outbox(spark: SparkSession, sf_dir: str, customers: DataFrame, config: dict | None = None,
+def outbox(spark: SparkSession, sf_dir: str, customers: DataFrame, links: N.Links, config: dict | None = None,
            root: str | None = None) -> DataFrame:
     """st_outbox: 'paid' notifications fanned out per channel as bills arrive
     (stateless: a stream-static join with customers and an explode, append mode)."""
@@ -272,6 +272,6 @@ def outbox(spark: SparkSession, sf_dir: str, customers: DataFrame, config: dict
     events = (bills.join(c, "customer_id")
               .select(F.col("id").alias("bill_id"), "customer_id", "amount", "due_date",
                       F.lit("paid").alias("notification_type"), "name", "email", "phone"))
-    ob = N.build_outbox(events, config)
+    ob = N.build_outbox(events, links, config)
     _run(ob.writeStream.format("parquet").option("path", f"{root}/out").outputMode("append"), f"{root}/checkpoint")
     return spark.read.schema(ob.schema).parquet(f"{root}/out")

@@ -73,13 +73,15 @@ def test_assign_ids_dense_and_ordered(spark):
 
 def test_published_change_reads_back_consistent(spark, book):
     from meterbook.session import shared_dir
-    from meterbook.sources.sinks import publish_state, read_table
+    from meterbook.sources.sinks import publish_state, read_state
     sums = book.bill_items.groupBy("bill_id").agg(F.sum("amount").cast("decimal(10,2)").alias("s"))
     b0 = book.bills
     bills = b0.join(sums, b0.id == sums.bill_id, "left").withColumn("amount", F.coalesce("s", "amount")) \
         .drop("bill_id", "s")
     ch = C.apply_charges(bills, book.bill_items, book.charge_requests, AS_OF + " 00:00:00")
-    paths = publish_state(ch.state, shared_dir(spark, "publish"), "1")
-    new_bills, new_items = read_table(spark, paths["bills"]), read_table(spark, paths["bill_items"])
+    root = shared_dir(spark, "publish")
+    publish_state(spark, root, ch.state)
+    state = read_state(spark, root)
+    new_bills, new_items = state["bills"], state["bill_items"]
     assert new_bills.count() == book.bills.count()
     assert A.amount_reconcile(new_bills, new_items).count() == 0

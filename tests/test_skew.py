@@ -159,7 +159,8 @@ def test_hot_request_key_is_never_joined_alone(spark):
         import meterbook.operators.windows as module
         old, module.fits_broadcast = module.fits_broadcast, lambda *a: False
         try:
-            first, repeats = W.split_first(req, ["key", "second"])
+            first, repeats, keys = W.split_first(req, ["key", "second"])
+            assert keys == first.count()
             got = first.filter("key = 'hot'").orderBy("request_id").collect()
             assert [(r.request_id, r.second) for r in got] == [(0, None), (3, 1)]
             assert first.count() + repeats.count() == N and repeats.count() == N // 3 - 2

@@ -13,6 +13,7 @@ from pyspark.sql.readwriter import DataFrameReader
 
 from meterbook.operators import changes as C
 from meterbook.sources.schema import TABLES
+from meterbook.plans.q_functions import LINKS
 from meterbook.session import shared_dir
 from meterbook.sources.fixtures import AS_OF, CALLBACK_SECRET
 from meterbook.streaming import streams as ST
@@ -26,8 +27,8 @@ def _rows(df):
 
 def test_outbox_stream_resumes_without_duplicates(spark, book):
     root = shared_dir(spark, "test-outbox")
-    first = _rows(ST.outbox(spark, SMALL, book.customers, root=root))
-    again = _rows(ST.outbox(spark, SMALL, book.customers, root=root))
+    first = _rows(ST.outbox(spark, SMALL, book.customers, LINKS, root=root))
+    again = _rows(ST.outbox(spark, SMALL, book.customers, LINKS, root=root))
     assert first and first == again
 
 
