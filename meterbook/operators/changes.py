@@ -95,6 +95,14 @@ def _small(df: DataFrame, bound: int | None) -> DataFrame:
     return F.broadcast(df) if bound is not None and fits_broadcast(bound) else df
 
 
+def _lookup(keys: DataFrame, bound: int | None) -> DataFrame:
+    """Unique text keys that a batch is joined with: broadcast when their bound passes the size check, else written,
+    so that the join has two plain sides and AQE splits a key that much of the batch shares."""
+    if bound is not None and fits_broadcast(bound, BROADCAST_STRING_KEYS_MAX):
+        return F.broadcast(keys)
+    return materialize(keys)
+
+
 def _small_table(df: DataFrame) -> DataFrame:
     """Broadcast a table of few rows, its size checked by reading no more than one row beyond the bound."""
     return F.broadcast(df) if fits_broadcast(df) else df
@@ -440,9 +448,9 @@ def ingest_registrations(users: DataFrame, customers: DataFrame, plans: DataFram
     # Requests run in request_id order: the earliest request per e-mail that
     # passes all of its own checks takes the address, and every later request
     # for it fails at the e-mail check, before the checks that follow it.
-    own = j.withColumn("_own", chain(F.lit(False)))
+    own = materialize(j.withColumn("_own", chain(F.lit(False))))
     firsts = own.filter(F.col("_own").isNull()).groupBy("email").agg(F.min("request_id").alias("_first_ok"))
-    j = own.join(firsts, "email", "left")
+    j = own.join(_lookup(firsts, n), "email", "left")
     taken = F.col("_first_ok").isNotNull() & (F.col("_first_ok") < F.col("request_id"))
     first, rej = _split(j.withColumn("_taken", taken).drop("_own", "_first_ok"), chain(F.col("_taken")),
                         "request_id", "registrations")
@@ -462,8 +470,8 @@ def ingest_registrations(users: DataFrame, customers: DataFrame, plans: DataFram
 def _emails(table: DataFrame, requests: DataFrame, flag: str, bound: int | None = None) -> DataFrame:
     """Normalised e-mails of ``table`` that occur among the requests' e-mails."""
     e = table.select(norm_email("email").alias("email"))
-    return restrict(e, requests.select("email"), "email", bound).withColumn(flag, F.lit(True)) \
-        .dropDuplicates(["email"])
+    return _lookup(restrict(e, requests.select("email"), "email", bound).withColumn(flag, F.lit(True))
+                   .dropDuplicates(["email"]), bound)
 
 
 def ingest_customers(users: DataFrame, customers: DataFrame, plans: DataFrame, requests: DataFrame) -> Change:
@@ -491,11 +499,11 @@ def ingest_customers(users: DataFrame, customers: DataFrame, plans: DataFrame, r
     logins = first.filter(pw > 0).select("request_id", "name", "email")
     u = users.select(F.col("id").alias("_uid"), norm_email("email").alias("email"))
     u = restrict(u, r.select("email"), "email", n)
-    lj = logins.join(u, "email", "left")
+    lj = materialize(logins.join(u, "email", "left"))
     upd = lj.filter(F.col("_uid").isNotNull()).select("request_id", F.col("_uid").alias("id"), "name", "email",
                                                      F.lit("customer").alias("role"))
-    ins = assign_ids(lj.filter(F.col("_uid").isNull()).select("request_id", "name", "email",
-                                                              F.lit("customer").alias("role")), ["request_id"], users)
+    ins = assign_ids(lj.filter(F.col("_uid").isNull()).select("request_id", "name", "email", F.lit("customer").alias("role")),
+                     ["request_id"], users, materialize=False)
     changed = (new_cust.select(F.lit("customers").alias("table_name"), F.lit("insert").alias("action"), "request_id",
                                "id", "name", "email", "phone", "address", "plan_id", "status")
                .unionByName(ins.select(F.lit("users").alias("table_name"), F.lit("insert").alias("action"),

@@ -106,12 +106,13 @@ VIEWS["access_log"] = """SELECT event_id AS request_id, CASE WHEN user_id%3=0 TH
  (us + CASE WHEN event_id%40=7 THEN 1800000000 ELSE 0 END) // 1800000000 AS landing
 FROM (SELECT *, (epoch_us(ts) - 1704067200000000) // 720 AS us FROM events)"""
 
-VIEWS["charge_requests"] = """SELECT CAST(l_orderkey*10+l_linenumber AS BIGINT) AS request_id, l_orderkey AS bill_id,
+VIEWS["charge_requests"] = """SELECT CAST(l_orderkey*10+l_linenumber AS BIGINT) AS request_id,
+ CASE WHEN l_partkey%19=0 THEN -l_orderkey-1 ELSE l_orderkey END AS bill_id,
  CASE WHEN l_partkey%17=0 THEN '  ' ELSE ' '||p_name||' ' END AS description,
  CAST(CASE WHEN l_partkey%13=0 THEN 0 ELSE l_quantity*10 END AS DECIMAL(10,2)) AS amount,
  CASE WHEN l_partkey%3=0 THEN NULL WHEN l_partkey%3=1 THEN ' Service ' ELSE 'hardware' END AS item_type
 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity
-      FROM lineitem WHERE l_linenumber IN (6,7) GROUP BY l_orderkey, l_linenumber) x
+      FROM lineitem GROUP BY l_orderkey, l_linenumber) x
 JOIN part ON l_partkey=p_partkey
 UNION ALL
 SELECT id*10+9 AS request_id, CASE WHEN id%5=0 THEN -id-1 ELSE id END AS bill_id, 'Router' AS description,
@@ -139,20 +140,23 @@ VIEWS["customer_patches"] = """SELECT CASE x WHEN 0 THEN rid WHEN 1 THEN rid+1 E
 FROM (SELECT *, CASE WHEN id%20<10 THEN id ELSE 2000000000-id END * 10 + 7 AS rid FROM customers) c
 CROSS JOIN (VALUES (0),(1),(2)) t(x) WHERE x=0 OR (x=1 AND id%50=1) OR (x=2 AND id%100=3)"""
 
-VIEWS["registrations"] = """SELECT id AS request_id, ' '||name||' ' AS name,
- CASE WHEN id%4=0 THEN upper(email) ELSE 'reg.'||CAST(id%400 AS STRING)||'@example.com' END AS email,
+VIEWS["registrations"] = """SELECT id AS request_id, CASE WHEN id%24=5 THEN '  ' ELSE ' '||name||' ' END AS name,
+ CASE WHEN id%4=0 THEN upper(email) WHEN id%20=18 THEN 'customer.'||lpad(CAST(id+1 AS STRING),9,'0')||'@example.com'
+      WHEN id%40=11 THEN 'no-address' ELSE 'reg.'||CAST(id%400 AS STRING)||'@example.com' END AS email,
  CASE WHEN id%10=9 THEN '12345' ELSE '+91-98765'||lpad(CAST(id%100000 AS STRING),5,'0') END AS phone,
  CASE WHEN id%12=5 THEN ' ' ELSE 'street '||CAST(id AS STRING) END AS address,
- CASE WHEN id%8=7 THEN 99 ELSE id%5+1 END AS plan_id
-FROM customers WHERE id%3=0"""
+ CASE WHEN id%50=13 THEN NULL WHEN id%8=7 THEN 99 ELSE id%5+1 END AS plan_id
+FROM customers"""
 
-VIEWS["payment_callbacks"] = f"""SELECT id*2+k AS callback_id, CASE WHEN id%13=0 THEN -id-1 ELSE id END AS bill_id,
- 'order_'||CAST(id AS STRING) AS order_id, 'pay_'||CAST(id AS STRING) AS payment_id,
+VIEWS["payment_callbacks"] = f"""SELECT id*2+k AS callback_id,
+ CASE WHEN id%13=0 THEN -id-1 WHEN id%29=3 THEN NULL ELSE id END AS bill_id,
+ CASE WHEN id%31<>5 THEN 'order_'||CAST(id AS STRING) END AS order_id,
+ CASE WHEN id%37=7 THEN ' ' ELSE 'pay_'||CAST(id AS STRING) END AS payment_id,
  CASE WHEN id%11=0 THEN 'bad' WHEN id%17=0 THEN NULL
       ELSE {duck_hmac("'order_'||CAST(id AS STRING)||'|'||'pay_'||CAST(id AS STRING)")} END AS signature,
  CASE WHEN k=0 THEN CAST(bill_date AS TIMESTAMP) + INTERVAL 1 HOUR
       ELSE CAST(bill_date AS TIMESTAMP) + INTERVAL 2 HOUR END AS received_at
-FROM bills CROSS JOIN (VALUES (0),(1)) t(k) WHERE id%3=0 AND (k=0 OR id%4=0)"""
+FROM bills CROSS JOIN (VALUES (0),(1)) t(k) WHERE k=0 OR id%4=0"""
 
 VIEWS["principals"] = """SELECT id, CASE WHEN id%7=0 THEN NULL WHEN id%4=0 THEN upper(email) ELSE email END AS email,
  name, role FROM users
@@ -167,11 +171,11 @@ FROM users"""
 VIEWS["approve_requests"] = """SELECT id*10 AS request_id, CASE WHEN id%40=0 THEN -id-1 ELSE id END AS customer_id
 FROM customers WHERE id%4=0"""
 
-VIEWS["billing_requests"] = """SELECT id*10+4 AS request_id, CASE WHEN id%50=0 THEN -id-1 ELSE id END AS customer_id
-FROM customers WHERE id%2=0"""
+VIEWS["billing_requests"] = """SELECT id*10+4 AS request_id,
+ CASE id%50 WHEN 0 THEN -id-1 WHEN 1 THEN NULL WHEN 2 THEN 0 ELSE id END AS customer_id
+FROM customers"""
 
-VIEWS["settle_requests"] = """SELECT id*10+3 AS request_id, CASE WHEN id%55=0 THEN -id-1 ELSE id END AS bill_id
-FROM bills WHERE id%11=0"""
+VIEWS["settle_requests"] = """SELECT id*10+3 AS request_id, CASE WHEN id%55=0 THEN -id-1 ELSE id END AS bill_id FROM bills"""
 
 VIEWS["reject_requests"] = """SELECT id*10+1 AS request_id, CASE WHEN id%42=0 THEN -id-1 ELSE id END AS customer_id
 FROM customers WHERE id%6=0"""
@@ -182,7 +186,7 @@ FROM customers WHERE id%7=0"""
 VIEWS["plan_requests"] = """SELECT p_partkey AS request_id,
  CASE WHEN p_partkey%100=0 THEN CAST(p_partkey%7+1 AS INTEGER) END AS id,
  CASE WHEN p_partkey%450=0 THEN ' ' ELSE ' '||p_brand||' ' END AS name,
- CAST(p_size AS STRING)||' Mbps' AS speed,
+ CASE WHEN p_partkey%350=0 THEN '' ELSE CAST(p_size AS STRING)||' Mbps' END AS speed,
  CASE p_partkey%9 WHEN 0 THEN 'abc' WHEN 1 THEN '-5' WHEN 2 THEN 'NaN'
       ELSE CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS STRING) END AS price,
  CASE WHEN p_partkey%8=0 THEN '0' ELSE '30' END AS validity
@@ -207,7 +211,7 @@ FROM events e LEFT JOIN customers c ON c.id=e.user_id WHERE e.event_type='signup
 
 VIEWS["ticket_moves"] = """SELECT id*10 AS request_id, CASE WHEN id%36=0 THEN -id-1 ELSE id END AS ticket_id,
  CASE WHEN id%28=0 THEN NULL ELSE CASE id%5 WHEN 0 THEN 'closed' WHEN 1 THEN 'open' WHEN 2 THEN 'in-progress' ELSE 'resolved' END END AS status
-FROM support_tickets WHERE id%4=0"""
+FROM support_tickets"""
 
 VIEWS["usage_reports"] = """SELECT event_id AS report_id, user_id AS customer_id, CAST(ts AS DATE) AS usage_date,
  CAST(value AS DECIMAL(10,2)) AS used_gb,
@@ -219,20 +223,21 @@ VIEWS["profile_patches"] = """SELECT id*10+5 AS request_id,
  CASE WHEN id%3=0 THEN '' ELSE name||' X' END AS name,
  CASE id%4 WHEN 0 THEN '98765 43210' WHEN 1 THEN '123' WHEN 2 THEN '' END AS phone,
  CASE WHEN id%5=0 THEN ' new addr ' END AS address
-FROM customers WHERE id%13=0"""
+FROM customers"""
 
-VIEWS["customer_requests"] = """SELECT id*10+6 AS request_id, ' '||name||' ' AS name,
- CASE WHEN id%10=0 THEN email ELSE 'new.'||email END AS email,
- CASE WHEN id%4=0 THEN '98765'||lpad(CAST(id%100000 AS STRING),5,'0') WHEN id%4=1 THEN '555'
+VIEWS["customer_requests"] = """SELECT id*10+6 AS request_id, CASE WHEN id%23=0 THEN ' ' ELSE ' '||name||' ' END AS name,
+ CASE WHEN id%10=0 THEN email WHEN id%20=13 THEN 'supplier.'||lpad(CAST(id%60+1 AS STRING),9,'0')||'@example.com'
+      WHEN id%50=7 THEN 'Desk@example.com' ELSE 'new.'||email END AS email,
+ CASE WHEN id%4=0 THEN '98765'||lpad(CAST(id%100000 AS STRING),5,'0') WHEN id%16=1 THEN '555'
       ELSE '+91 98765 '||lpad(CAST(id%100000 AS STRING),5,'0') END AS phone,
  'addr '||CAST(id AS STRING) AS address,
  CASE WHEN id%15=0 THEN 42 ELSE plan_id END AS plan_id,
- CASE WHEN id%2=0 THEN 8 WHEN id%3=0 THEN 3 ELSE 0 END AS password_length
-FROM customers WHERE id%5=0"""
+ CASE WHEN id%2=0 OR id%20=13 THEN 8 WHEN id%3=0 THEN 3 ELSE 0 END AS password_length
+FROM customers"""
 
 VIEWS["notify_requests"] = """SELECT id AS request_id, CASE WHEN id%85=0 THEN -id-1 ELSE id END AS bill_id,
  CASE id%5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'due' WHEN 3 THEN 'PAID' ELSE 'bogus' END AS notification_type
-FROM bills WHERE id%17=0"""
+FROM bills"""
 
 RAW_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
               "pages benchmark labels conversations").split()

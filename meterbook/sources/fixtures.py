@@ -235,14 +235,14 @@ class Book:
 
     @property
     def charge_requests(self) -> DataFrame:
-        li = (self.raw("lineitem").filter(F.col("l_linenumber").isin(6, 7))
+        li = (self.raw("lineitem")
               .groupBy("l_orderkey", "l_linenumber")
               .agg(F.min("l_partkey").alias("l_partkey"), F.min("l_quantity").alias("l_quantity")))
         part = self.raw("part").select("p_partkey", "p_name")
         pk = F.col("l_partkey")
         first = li.join(part, li.l_partkey == part.p_partkey, "inner").select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("request_id"),
-            F.col("l_orderkey").alias("bill_id"),
+            F.when(pk % 19 == 0, -F.col("l_orderkey") - 1).otherwise(F.col("l_orderkey")).alias("bill_id"),
             F.when(pk % 17 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("p_name"), F.lit(" ")))
             .alias("description"),
             F.when(pk % 13 == 0, F.lit(0)).otherwise(F.col("l_quantity") * 10).cast("decimal(10,2)")
@@ -285,17 +285,20 @@ class Book:
 
     @property
     def registrations(self) -> DataFrame:
-        c = self.customers.filter(F.col("id") % 3 == 0)
+        """A sign-up for every customer. Those with id % 20 = 18 ask for the address of the next one, who has no login."""
+        c = self.customers
         k = F.col("id")
         return c.select(
             k.alias("request_id"),
-            F.concat(F.lit(" "), F.col("name"), F.lit(" ")).alias("name"),
+            F.when(k % 24 == 5, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("name"), F.lit(" "))).alias("name"),
             F.when(k % 4 == 0, F.upper(F.col("email")))
+            .when(k % 20 == 18, F.concat(F.lit("customer."), F.lpad(_s(k + 1), 9, "0"), F.lit("@example.com")))
+            .when(k % 40 == 11, F.lit("no-address"))
             .otherwise(F.concat(F.lit("reg."), _s(k % 400), F.lit("@example.com"))).alias("email"),
             F.when(k % 10 == 9, F.lit("12345"))
             .otherwise(F.concat(F.lit("+91-98765"), F.lpad(_s(k % 100000), 5, "0"))).alias("phone"),
             F.when(k % 12 == 5, F.lit(" ")).otherwise(F.concat(F.lit("street "), _s(k))).alias("address"),
-            F.when(k % 8 == 7, F.lit(99)).otherwise(k % 5 + 1).alias("plan_id"))
+            F.when(k % 50 == 13, F.lit(None)).when(k % 8 == 7, F.lit(99)).otherwise(k % 5 + 1).alias("plan_id"))
 
     @property
     def payment_callbacks(self) -> DataFrame:
@@ -343,11 +346,14 @@ class Book:
 
     @property
     def billing_requests(self) -> DataFrame:
-        return self._keyed(self.customers.filter(F.col("id") % 2 == 0), 10, 4, 50, "customer_id")
+        k = F.col("id")
+        return self.customers.select(
+            (k * 10 + 4).alias("request_id"),
+            F.when(k % 50 == 0, -k - 1).when(k % 50 == 1, F.lit(None)).when(k % 50 == 2, F.lit(0)).otherwise(k).alias("customer_id"))
 
     @property
     def settle_requests(self) -> DataFrame:
-        return self._keyed(self.bills.filter(F.col("id") % 11 == 0), 10, 3, 55, "bill_id")
+        return self._keyed(self.bills, 10, 3, 55, "bill_id")
 
     @property
     def reject_requests(self) -> DataFrame:
@@ -365,7 +371,7 @@ class Book:
             k.alias("request_id"),
             F.when(k % 100 == 0, (k % 7 + 1).cast("int")).alias("id"),
             F.when(k % 450 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), F.col("p_brand"), F.lit(" "))).alias("name"),
-            F.concat(_s(F.col("p_size")), F.lit(" Mbps")).alias("speed"),
+            F.when(k % 350 == 0, F.lit("")).otherwise(F.concat(_s(F.col("p_size")), F.lit(" Mbps"))).alias("speed"),
             _case(k % 9, {0: F.lit("abc"), 1: F.lit("-5"), 2: F.lit("NaN")},
                   _s(F.col("p_retailprice").cast("decimal(10,2)"))).alias("price"),
             F.when(k % 8 == 0, F.lit("0")).otherwise(F.lit("30")).alias("validity"))
@@ -405,9 +411,8 @@ class Book:
 
     @property
     def ticket_moves(self) -> DataFrame:
-        t = self.support_tickets.filter(F.col("id") % 4 == 0)
         k = F.col("id")
-        return t.select((k * 10).alias("request_id"), F.when(k % 36 == 0, -k - 1).otherwise(k).alias("ticket_id"),
+        return self.support_tickets.select((k * 10).alias("request_id"), F.when(k % 36 == 0, -k - 1).otherwise(k).alias("ticket_id"),
                         F.when(k % 28 != 0, _case(k % 5, {0: F.lit("closed"), 1: F.lit("open"), 2: F.lit("in-progress")},
                               F.lit("resolved"))).alias("status"))
 
@@ -417,9 +422,8 @@ class Book:
 
     @property
     def profile_patches(self) -> DataFrame:
-        c = self.customers.filter(F.col("id") % 13 == 0)
         k = F.col("id")
-        return c.select(
+        return self.customers.select(
             (k * 10 + 5).alias("request_id"),
             F.when(k % 39 == 0, F.concat(F.lit("nobody"), _s(k), F.lit("@example.com")))
             .when(k % 2 == 0, F.upper(F.col("email"))).otherwise(F.col("email")).alias("email"),
@@ -429,24 +433,26 @@ class Book:
 
     @property
     def customer_requests(self) -> DataFrame:
-        c = self.customers.filter(F.col("id") % 5 == 0)
+        """A staff entry for every customer. Those with id % 20 = 13 use the address of a staff login, one in 50 a shared one."""
         k = F.col("id")
         tail = F.lpad(_s(k % 100000), 5, "0")
-        return c.select(
+        return self.customers.select(
             (k * 10 + 6).alias("request_id"),
-            F.concat(F.lit(" "), F.col("name"), F.lit(" ")).alias("name"),
-            F.when(k % 10 == 0, F.col("email")).otherwise(F.concat(F.lit("new."), F.col("email"))).alias("email"),
-            F.when(k % 4 == 0, F.concat(F.lit("98765"), tail)).when(k % 4 == 1, F.lit("555"))
+            F.when(k % 23 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), F.col("name"), F.lit(" "))).alias("name"),
+            F.when(k % 10 == 0, F.col("email"))
+            .when(k % 20 == 13, F.concat(F.lit("supplier."), F.lpad(_s(k % 60 + 1), 9, "0"), F.lit("@example.com")))
+            .when(k % 50 == 7, F.lit("Desk@example.com"))
+            .otherwise(F.concat(F.lit("new."), F.col("email"))).alias("email"),
+            F.when(k % 4 == 0, F.concat(F.lit("98765"), tail)).when(k % 16 == 1, F.lit("555"))
             .otherwise(F.concat(F.lit("+91 98765 "), tail)).alias("phone"),
             F.concat(F.lit("addr "), _s(k)).alias("address"),
             F.when(k % 15 == 0, F.lit(42)).otherwise(F.col("plan_id")).alias("plan_id"),
-            F.when(k % 2 == 0, F.lit(8)).when(k % 3 == 0, F.lit(3)).otherwise(F.lit(0)).alias("password_length"))
+            F.when((k % 2 == 0) | (k % 20 == 13), F.lit(8)).when(k % 3 == 0, F.lit(3)).otherwise(F.lit(0)).alias("password_length"))
 
     @property
     def notify_requests(self) -> DataFrame:
-        b = self.bills.filter(F.col("id") % 17 == 0)
         k = F.col("id")
-        return b.select(k.alias("request_id"), F.when(k % 85 == 0, -k - 1).otherwise(k).alias("bill_id"),
+        return self.bills.select(k.alias("request_id"), F.when(k % 85 == 0, -k - 1).otherwise(k).alias("bill_id"),
                         _case(k % 5, {1: F.lit(""), 2: F.lit("due"), 3: F.lit("PAID"), 4: F.lit("bogus")})
                         .alias("notification_type"))
 
@@ -465,23 +471,22 @@ def bills_from_orders(o: DataFrame) -> DataFrame:
 
 
 def callbacks_from_bills(bills: DataFrame) -> DataFrame:
-    """Provider callbacks for every third bill; every fourth of those is delivered twice."""
+    """Provider callbacks for every bill; every fourth is delivered twice."""
     from ..functions.exprs import hmac_sha256_hex
-    b = bills.filter(F.col("id") % 3 == 0)
-    bid = _s(F.col("id"))
+    bid, k = _s(F.col("id")), F.col("id")
     msg = F.concat(F.lit("order_"), bid, F.lit("|"), F.lit("pay_"), bid)
 
-    def shape(frame: DataFrame, k: int, hours: int) -> DataFrame:
+    def shape(frame: DataFrame, n: int, hours: int) -> DataFrame:
         return frame.select(
-            (F.col("id") * 2 + k).alias("callback_id"),
-            F.when(F.col("id") % 13 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("bill_id"),
-            F.concat(F.lit("order_"), bid).alias("order_id"),
-            F.concat(F.lit("pay_"), bid).alias("payment_id"),
-            F.when(F.col("id") % 11 == 0, F.lit("bad")).when(F.col("id") % 17 == 0, F.lit(None))
+            (k * 2 + n).alias("callback_id"),
+            F.when(k % 13 == 0, -k - 1).when(k % 29 == 3, F.lit(None)).otherwise(k).alias("bill_id"),
+            F.when(k % 31 != 5, F.concat(F.lit("order_"), bid)).alias("order_id"),
+            F.when(k % 37 == 7, F.lit(" ")).otherwise(F.concat(F.lit("pay_"), bid)).alias("payment_id"),
+            F.when(k % 11 == 0, F.lit("bad")).when(k % 17 == 0, F.lit(None))
             .otherwise(hmac_sha256_hex(msg, CALLBACK_SECRET)).alias("signature"),
             (F.col("bill_date").cast("timestamp_ntz") + F.expr(f"INTERVAL {hours} HOURS")).alias("received_at"))
 
-    return shape(b, 0, 1).unionByName(shape(b.filter(F.col("id") % 4 == 0), 1, 2))
+    return shape(bills, 0, 1).unionByName(shape(bills.filter(k % 4 == 0), 1, 2))
 
 
 def access_from_events(e: DataFrame) -> DataFrame:

@@ -199,3 +199,23 @@ def test_aqe_splits_the_hot_bill_of_an_invoice(spark):
     counts = {(r.id, r.line_type): r["count"] for r in rows}
     assert counts[1, "hardware"] == N // 3 and sum(counts.values()) == N + 101
     assert sorted(i for i, kind in counts if kind == "subscription") == list(range(2002, 2103))
+
+
+def test_hot_address_of_sign_ups_is_split(spark):
+    """A third of the sign-ups use one address: past the size check, the joins on it have two plain sides that AQE splits."""
+    n = F.col("id")
+    req = spark.range(1, N + 1).select(
+        n.alias("request_id"), F.lit("Ann").alias("name"),
+        F.when(n % 3 == 0, F.lit("Hot@x.com")).otherwise(F.concat(n.cast("string"), F.lit("@x.com"))).alias("email"),
+        F.lit("9876543210").alias("phone"), F.lit("street").alias("address"), F.lit(1).alias("plan_id"))
+    users = spark.createDataFrame([(5, "S", "s@x.com", "staff")], TABLES["users"])
+    plans = spark.createDataFrame([(1, "P", "s", Decimal("1.00"), 30)], TABLES["plans"])
+    with shuffled_and_split(spark):
+        old, C.fits_broadcast = C.fits_broadcast, lambda *a: False
+        try:
+            ch = C.ingest_registrations(users, customers(spark).limit(0), plans, req)
+            got = ch.rejects.groupBy("reason").count().collect()
+        finally:
+            C.fits_broadcast = old
+    assert [(r.reason, r["count"]) for r in got] == [("Email already exists", N // 3 - 1)]
+    assert ch.changed.where("table_name = 'users'").count() == N - N // 3 + 1
