@@ -10,7 +10,6 @@ The same derivations exist as DuckDB SQL in ``meterbook.plans.oracle``.
 from __future__ import annotations
 
 import hashlib
-import hmac
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -521,7 +520,3 @@ def hmac_pads(secret: str) -> tuple[str, str]:
         key = hashlib.sha256(key).digest()
     key = key.ljust(64, b"\0")
     return bytes(b ^ 0x36 for b in key).hex(), bytes(b ^ 0x5C for b in key).hex()
-
-
-def python_hmac(secret: str, msg: str) -> str:
-    return hmac.new(secret.encode(), msg.encode(), hashlib.sha256).hexdigest()

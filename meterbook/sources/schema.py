@@ -60,7 +60,6 @@ DEFAULTS: dict[str, dict[str, object]] = {
 # Allowed enum members.
 ROLES = ["admin", "customer", "staff"]
 CUSTOMER_STATUSES = ["pending", "active", "suspended"]
-BILL_STATUSES = ["paid", "unpaid"]
 TICKET_STATUSES = ["open", "in-progress", "resolved"]
 NOTIFY_TYPES = ["due", "paid"]
 CHANNELS = ["whatsapp", "sms", "email"]
@@ -70,11 +69,7 @@ NOW_DEFAULTED = {"bill_items": ["created_at"], "support_tickets": ["created_at"]
                  "payments": ["paid_at"], "notification_logs": ["created_at"],
                  "bill_reminders": ["created_at"]}
 
-# Primary and unique keys (string keys are compared case-insensitively).
-PRIMARY_KEYS = {"users": ["id"], "plans": ["id"], "customers": ["id"], "bills": ["id"],
-                "bill_items": ["id"], "support_tickets": ["id"], "payments": ["id"],
-                "notification_logs": ["id"], "bill_reminders": ["id"],
-                "data_usage": ["customer_id", "usage_date"]}
+# Unique keys (string keys are compared case-insensitively).
 UNIQUE_KEYS = {"users": ["email"], "customers": ["email"],
                "data_usage": ["customer_id", "usage_date"],
                "bill_reminders": ["bill_id", "reminder_date", "reminder_type"]}
