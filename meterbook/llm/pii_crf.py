@@ -3,7 +3,9 @@
 The rules find plain e-mail addresses, IP addresses, card and phone numbers.
 The field looks at every mention that could be one: the rules' spans, number
 groups of seven digits or more, and words equal to the name part of an address
-in the text. A chain joins neighbouring mentions; skip edges join a mention to
+in the text. The rules take neighbours of different kinds as one number and
+drop it ("10.0.0.1 4111111111111111" has no card by them); what is left of such
+a group beside the rules' spans is cut into groups that can each be a number. A chain joins neighbouring mentions; skip edges join a mention to
 the previous one that repeats or resembles it (the same digits, the same last
 seven digits, the same name), however far away. Each edge kind has its own
 potential. Loopy message passing with damping gives every mention a
@@ -12,7 +14,9 @@ clamped, so that a number that is a phone number in one place is one in the
 others too. Mentions that are likely a kind add a span; the rules' spans stay.
 
 The weights are fitted by pseudo-likelihood on the rules' labels in a sample
-of about ``FIT_TEXTS`` texts. Surface cues are masked in half of the sample,
+of about ``FIT_TEXTS`` texts, whatever their length; tasks turn them into
+features, so no text goes to the driver. Cut groups have no label by the rules
+and take no part in the fit. Surface cues are masked in half of the sample,
 so that the edges have to carry their part. A Gaussian prior pulls the
 resemblance weights to ``SKIP_PRIOR``.
 """
@@ -37,15 +41,19 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NUMBER = re.compile(r"[+(]{0,2}[0-9]++(?:[ ().-]{1,2}[0-9]++)*")
+BLANKLESS = re.compile(r"[^ ]+")
+RUN = re.compile(r"[\w.@%+-]+")
 HINT = re.compile(r"[0-9@]")
 
 FIT_TEXTS = 1500
 MIN_DIGITS = 7
+MAX_DIGITS = 19              # no kind has more
 ROUNDS, DAMPING = 12, 0.5
 SURE = 0.6                   # probability from which a mention adds a span
 SKIP_PRIOR = (4.0, 3.0, 3.0)  # same digits, same last digits, same name
 NONE = len(KINDS)            # label number of "none"
 N_LABELS = NONE + 1
+CUT = N_LABELS               # a mention that the rules gave no label
 N_FEATURES = 13              # the last one marks masked cues
 
 
@@ -89,24 +97,58 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """A number group cut at white space into groups of at most ``MAX_DIGITS`` digits, from the left."""
+    found, first, last, digits = [], start, start, 0
+    for m in BLANKLESS.finditer(text, start, end):
+        more = len(only_digits(m.group()))
+        if digits and digits + more > MAX_DIGITS:
+            found.append((first, last))
+            digits = 0
+        if not digits:
+            first = m.start()
+        last, digits = m.end(), digits + more
+    if digits:
+        found.append((first, last))
+    return found
+
+
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, label) of everything that the field looks at; label is the rule's kind or ``NONE``."""
+    """(start, end, label) of everything that the field looks at.
+
+    The label is the rule's kind, ``NONE``, or ``CUT`` for a part of a number
+    group that the rules read as a whole. Every character is looked at a fixed
+    number of times.
+    """
     taken = sorted((s, e, k) for k, s, e in base)
-    places = [(s, e, k) for s, e, k in taken]
-    number = [m.span() for m in NUMBER.finditer(text) if sum("0" <= c <= "9" for c in m.group()) >= MIN_DIGITS]
-    names = {text[s:text.index("@", s)] for k, s, e in base if k == 0}
-    words = []
-    for name in names:
-        if len(name) >= 4:
-            words += [m.span() for m in re.finditer(r"(?<![\w.@%+-])" + re.escape(name) + r"(?![\w@%+-]|\.\w)", text)]
+    free = []
     i = 0
-    for s, e in sorted({*number, *words}):
+    for m in NUMBER.finditer(text):
+        s, e = m.span()
         while i < len(taken) and taken[i][1] <= s:
             i += 1
-        if i == len(taken) or taken[i][0] >= e:
-            if s >= (places[-1][1] if len(places) > len(taken) else 0):
-                places.append((s, e, NONE))
-    return sorted(places)
+        parts, j, at = [], i, s
+        while j < len(taken) and taken[j][0] < e:
+            parts.append((at, taken[j][0]))
+            at = max(at, taken[j][1])
+            j += 1
+        parts.append((at, e))
+        whole = len(parts) == 1
+        found = [p for a, b in parts if b > a for p in pieces(text, a, b)]
+        free += [(a, b, NONE if whole and len(found) == 1 else CUT) for a, b in found
+                 if len(only_digits(text[a:b])) >= MIN_DIGITS]
+    names = {name for k, s, e in base if k == 0 and len(name := text[s:text.index("@", s)].rstrip(".")) >= 4}
+    if names:
+        free += [(m.start(), m.start() + len(word), NONE) for m in RUN.finditer(text)
+                 if (word := m.group().rstrip(".")) in names]
+    places, i, end = [], 0, 0
+    for s, e, k in sorted(free):
+        while i < len(taken) and taken[i][1] <= s:
+            i += 1
+        if (i == len(taken) or taken[i][0] >= e) and s >= end:
+            places.append((s, e, k))
+            end = e
+    return sorted(places + taken)
 
 
 def features(s: str) -> list[float]:
@@ -192,27 +234,39 @@ def _softmax(a):
     return e / e.sum(1, keepdims=True)
 
 
-def fit(texts: list[str], steps: int = 300) -> Field:
-    """Pseudo-likelihood of the rules' labels given the neighbours' labels, by gradient steps."""
-    xs, ys, eds, kds, n = [], [], [], [], 0
-    for text in texts:
-        places = mentions(text, base_spans(text))
-        if not places:
-            continue
-        x, edges, kinds = graph(text, places)
-        hidden = np.array([zlib.crc32(f"{text[s:e]}:{s}".encode()) % 2 == 0 for s, e, _ in places])
-        x[np.ix_(hidden, [1, 2, 3, 4, 10])] = 0
-        x[hidden, N_FEATURES - 1] = 1
-        xs.append(x)
-        ys += [k for _, _, k in places]
-        eds.append(edges + n)
-        kds.append(kinds)
-        n += len(places)
+PACKED = (np.uint8, np.uint8, np.int32, np.uint8)     # features, labels, edges, edge kinds of one text, as bytes
+
+
+def example(text: str) -> tuple[bytes, ...] | None:
+    """Features, labels, edges and their kinds of a text's labelled mentions, cues masked in half of them."""
+    places = [p for p in mentions(text, base_spans(text)) if p[2] != CUT]
+    if not places:
+        return None
+    x, edges, kinds = graph(text, places)
+    hidden = np.array([zlib.crc32(f"{text[s:e]}:{s}".encode()) % 2 == 0 for s, e, _ in places])
+    x[np.ix_(hidden, [1, 2, 3, 4, 10])] = 0
+    x[hidden, N_FEATURES - 1] = 1
+    labels = np.array([k for _, _, k in places])
+    return tuple(a.astype(kind).tobytes() for a, kind in zip((x, labels, edges, kinds), PACKED, strict=True))
+
+
+def fit(sample: list, steps: int = 300) -> Field:
+    """Pseudo-likelihood of the rules' labels given the neighbours' labels, by gradient steps.
+
+    ``sample`` holds texts, or rows whose last four fields are what ``example`` makes of a text.
+    """
+    packed = [e for t in sample if (e := example(t) if isinstance(t, str) else t[-4:])]
     unary, chain, skip = np.zeros((N_LABELS, N_FEATURES)), np.zeros((N_LABELS, N_LABELS)), np.array(SKIP_PRIOR, float)
-    if not n:
+    if not packed:
         unary[NONE, 0] = 4.0
         return Field(unary, chain, skip)
-    x, y, edges, kinds = np.vstack(xs), np.array(ys), np.vstack(eds), np.concatenate(kds)
+    xs, ys, eds, kds = zip(*([np.frombuffer(b, kind) for b, kind in zip(e, PACKED, strict=True)] for e in packed),
+                           strict=True)
+    starts = np.cumsum([0, *map(len, ys)])
+    n = int(starts[-1])
+    x, y = np.concatenate(xs).reshape(n, N_FEATURES).astype(float), np.concatenate(ys).astype(int)
+    edges = np.vstack([e.reshape(-1, 2).astype(int) + at for e, at in zip(eds, starts, strict=False)])
+    kinds = np.concatenate(kds).astype(int)
     truth = np.eye(N_LABELS)[y]
     ends = np.concatenate([edges, edges[:, ::-1]])
     both = np.concatenate([kinds, kinds])
@@ -242,11 +296,11 @@ def find(text: str, field: Field) -> tuple[list, list]:
     base = base_spans(text)
     places = mentions(text, base)
     added = []
-    if any(k == NONE for _, _, k in places):      # also where the rules find nothing
-        clamped = np.array([k for _, _, k in places])
+    if any(k >= NONE for _, _, k in places):      # also where the rules find nothing
+        clamped = np.array([min(k, NONE) for _, _, k in places])
         p = field.marginals(*graph(text, places), clamped)
         for (s, e, k), row in zip(places, p, strict=True):
-            if k == NONE and (best := int(row.argmax())) != NONE and row[best] >= SURE:
+            if k >= NONE and (best := int(row.argmax())) != NONE and row[best] >= SURE:
                 added.append((best, s, e))
     return base, sorted(base + added)
 
@@ -258,11 +312,23 @@ def spell(spans) -> str:
 def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text", max_texts: int = FIT_TEXTS) -> Field:
     """Fits on about ``max_texts`` distinct texts that hold a mention (at most twice as many are expected), by hash."""
     body = text_of(text)
-    hinting = docs.select(body.alias("t")).where(F.col("t").rlike(r"[0-9]{3}|@") & (F.length("t") < 50_000))
-    # Copies count once: hashes of the texts are counted, and one text of each chosen hash is collected.
+    hinting = docs.select(body.alias("t")).where(F.col("t").rlike(r"[0-9]{3}|@"))
+    # Copies count once: hashes of the texts are counted, and one text of each chosen hash is used.
     hashed = hinting.withColumn("h", F.xxhash64("t"))
     chosen = hash_sample(hashed, F.col("h"), max_texts, hashed.select("h").distinct().count())
-    return fit(sorted(r["t"] for r in chosen.dropDuplicates(["h"]).select("t").collect()))
+
+    def run(batches):
+        for batch in batches:
+            found = [(h, *e) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                     if (e := example(t))]
+            columns = list(zip(*found, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
+                names=["h", "x", "y", "edges", "kinds"])
+
+    rows = (chosen.dropDuplicates(["h"]).select("h", "t")
+            .mapInArrow(run, "h bigint, x binary, y binary, edges binary, kinds binary").collect())
+    return fit(sorted((r["h"], *map(bytes, r[1:])) for r in rows))
 
 
 def detect(docs: DataFrame, field: Field, id_column: str = "doc_id", text: str = "text") -> DataFrame:
