@@ -11,7 +11,9 @@ seven digits, the same name), however far away. Each edge kind has its own
 potential. Loopy message passing with damping gives every mention a
 distribution over {none, email, ip, card, phone}, with the rules' spans
 clamped, so that a number that is a phone number in one place is one in the
-others too. Mentions that are likely a kind add a span; the rules' spans stay.
+others too. Mentions that are likely a kind add a span, if their form allows it (a card
+passes Luhn, an address has four parts); the rules' spans stay. Digits inside a
+word, as in a hexadecimal key, are no mention.
 
 The weights are fitted by pseudo-likelihood on the rules' labels in a sample
 of about ``FIT_TEXTS`` texts, whatever their length; tasks turn them into
@@ -136,7 +138,7 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
         whole = len(parts) == 1
         found = [p for a, b in parts if b > a for p in pieces(text, a, b)]
         free += [(a, b, NONE if whole and len(found) == 1 else CUT) for a, b in found
-                 if len(only_digits(text[a:b])) >= MIN_DIGITS]
+                 if len(only_digits(text[a:b])) >= MIN_DIGITS and not text[a - 1:a].isalnum() and not text[b:b + 1].isalnum()]
     names = {name for k, s, e in base if k == 0 and len(name := text[s:text.index("@", s)].rstrip(".")) >= 4}
     if names:
         free += [(m.start(), m.start() + len(word), NONE) for m in RUN.finditer(text)
@@ -151,6 +153,14 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
     return sorted(places + taken)
 
 
+def possible(s: str) -> list[bool]:
+    """Which labels a mention's form allows: nothing like a number is an address, no kind has digits it cannot have."""
+    groups = re.findall(r"[0-9]+", s)
+    n = sum(map(len, groups))
+    address = len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+    return [n < MIN_DIGITS, address, 13 <= n <= 19 and luhn("".join(groups)), MIN_DIGITS <= n <= 15 and not address, True]
+
+
 def features(s: str) -> list[float]:
     digits = only_digits(s)
     n = len(digits)
@@ -197,9 +207,11 @@ class Field:
         out[like] = np.eye(N_LABELS)[None] * self.skip[kinds[like] - 1][:, None, None]
         return out
 
-    def marginals(self, x, edges, kinds, clamped) -> np.ndarray:
-        """Loopy sum-product over all edges at once, with damping."""
+    def marginals(self, x, edges, kinds, clamped, allowed=None) -> np.ndarray:
+        """Loopy sum-product over all edges at once, with damping; labels that are not allowed keep no weight."""
         local = x @ self.unary.T
+        if allowed is not None:
+            local[~allowed] = -30.0
         known = clamped != NONE
         local[known] = -30.0
         local[known, clamped[known]] = 0.0
@@ -298,7 +310,12 @@ def find(text: str, field: Field) -> tuple[list, list]:
     added = []
     if any(k >= NONE for _, _, k in places):      # also where the rules find nothing
         clamped = np.array([min(k, NONE) for _, _, k in places])
-        p = field.marginals(*graph(text, places), clamped)
+        allowed = np.array([possible(text[s:e]) for s, e, _ in places])
+        x, edges, kinds = graph(text, places)
+        alone = ~np.isin(np.arange(len(places)), edges[kinds > 0])
+        bare = np.array([text[s:e].isdigit() for s, e, _ in places])
+        allowed[alone & bare, KINDS.index("phone")] = False      # plain digits are a phone only where they repeat one
+        p = field.marginals(x, edges, kinds, clamped, allowed)
         for (s, e, k), row in zip(places, p, strict=True):
             if k >= NONE and (best := int(row.argmax())) != NONE and row[best] >= SURE:
                 added.append((best, s, e))
