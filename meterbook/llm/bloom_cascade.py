@@ -156,11 +156,12 @@ class Cascade:
 
 
 def judge_urls(pages: DataFrame, listed_labels=LISTED_LABELS, rules=PATH_RULES, url: str = "url",
-               id_column: str = "page_id") -> DataFrame:
+               id_column: str = "page_id", blocked: DataFrame | None = None) -> DataFrame:
     """``id_column``, host, path, rule, verdict for every row of ``pages``.
 
-    The block list holds the hosts that have one of ``listed_labels`` as a
-    label. A path rule decides first; else a listed host is blocked and any
+    The block list is ``blocked``, a frame whose first column holds hosts (A-Z
+    in any case, repeats and nulls allowed, hosts without a page ignored); without
+    one it holds the hosts that have one of ``listed_labels`` as a label. A path rule decides first; else a listed host is blocked and any
     other allowed. Null URLs and URLs without ``://`` have an empty host and
     path, fit no rule, and are allowed. Repeated rows are judged each; other
     columns of ``pages`` are not carried, so their names cannot clash.
@@ -168,7 +169,11 @@ def judge_urls(pages: DataFrame, listed_labels=LISTED_LABELS, rules=PATH_RULES,
     host, path = host_and_path(F.col(url))
     parsed = pages.select(F.col(id_column), host.alias("host"), path.alias("path"))
     universe = parsed.select(F.col("host").alias("key")).distinct()
-    listed = universe.where(F.arrays_overlap(F.split("key", r"\."), F.array(*[F.lit(x) for x in listed_labels])))
+    if blocked is None:
+        listed = universe.where(F.arrays_overlap(F.split("key", r"\."), F.array(*[F.lit(x) for x in listed_labels])))
+    else:
+        hosts = blocked.select(F.translate(F.col(blocked.columns[0]), UPPER, LOWER).alias("key"))
+        listed = universe.join(hosts, "key", "left_semi")
     cascade = Cascade.build(universe, listed)
     ruled = parsed.withColumn("__rule", path_rule(F.col("host"), F.col("path"), rules))
     method = F.when(cascade.listed(F.col("host")), F.lit("block")).otherwise(F.lit("allow"))
