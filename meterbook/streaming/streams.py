@@ -15,17 +15,13 @@ that are still open, and one row with the greatest id given out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import changes as C
 from ..operators import notify as N
 from ..operators.filters import due_within, not_paid
-from ..session import shared_dir
+from ..session import shared_dir, write_counted
 from ..sources.fixtures import bills_from_orders, usage_reports_from_events
 
 # Request limits per client (count per window) and window lengths in minutes, by route class.
@@ -163,50 +159,36 @@ def reminders(spark: SparkSession, bills: DataFrame, customers: DataFrame, initi
     return spark.read.parquet(f"{root}/out").drop("batch_id")
 
 
-NTZ = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
-
-
-def _first_of_key(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Flags the accepted request with the least id, unless an earlier micro-batch had one; only the best so far is held."""
-    def rows(ids, texts, first: bool) -> pd.DataFrame:
-        return pd.DataFrame({"request_id": ids, "row": texts, "first": [first] * len(ids)})
-
-    taken, best = state.exists, None
-    for part in parts:
-        ids, texts = part["request_id"].tolist(), part["row"].tolist()
-        if not taken:
-            candidates = [i for i, ok in enumerate(part["accepted"].tolist()) if ok]
-            if candidates:
-                i = min(candidates, key=ids.__getitem__)
-                here = ids.pop(i), texts.pop(i)
-                if best is not None:
-                    best, worse = min(best, here), max(best, here)
-                    ids.append(worse[0])
-                    texts.append(worse[1])
-                else:
-                    best = here
-        if ids:
-            yield rows(ids, texts, False)
-    if best is not None:
-        state.update((True,))
-        yield rows([best[0]], [best[1]], True)
-
-
-def first_by_state(tagged: DataFrame, key: Column) -> DataFrame:
-    """Rows of a stream (``request_id`` unique, ``_reason`` NULL where accepted) with ``_first``: accepted and the first of their key
-    in all micro-batches, by request id within one. The state store keeps one flag per key that was taken."""
-    rest = F.struct(*[c for c in tagged.columns if c != "request_id"])
-    schema = tagged.select(rest.alias("row")).schema["row"].dataType
-    ok = F.col("_reason").isNull()
-    keyed = tagged.select(
-        "request_id", ok.alias("accepted"), F.to_json(rest, NTZ).alias("row"),
-        # Rejected rows pass through without state, some hundred groups of them.
-        F.when(ok, F.concat(F.lit("key "), key)).otherwise(F.concat(F.lit("reject "), F.pmod("request_id", F.lit(256)).cast("string")))
-        .alias("key"))
-    found = keyed.groupBy("key").applyInPandasWithState(
-        _first_of_key, "request_id bigint, row string, first boolean", "taken boolean", "append", GroupStateTimeout.NoTimeout)
-    return (found.withColumn("row", F.from_json("row", schema, NTZ))
-            .select("request_id", *[F.col(f"row.{c}").alias(c) for c in schema.names], F.col("first").alias("_first")))
+LAST_ID = (1 << 63) - 1
+
+
+def with_new_keys(tagged: DataFrame, key: str) -> DataFrame:
+    """Rows of a stream (``_reason`` NULL where accepted), and besides them a row with ``_new`` true, and no more than the
+    key, for every key that an accepted row has in this micro-batch and none had before. The state store keeps the keys
+    that were taken; rows never enter it."""
+    taken = tagged.where("_reason IS NULL").select(key).dropDuplicates([key])
+    return tagged.withColumn("_new", F.lit(False)).unionByName(taken.withColumn("_new", F.lit(True)), allowMissingColumns=True)
+
+
+def split_new(spark: SparkSession, batch: DataFrame, key: str) -> tuple[DataFrame, DataFrame, int]:
+    """(first, rest, how many are first) of a micro-batch of ``with_new_keys``: the accepted row with the least
+    request id of every new key, exactly one, and all other rows. Rows meet the firsts by their place in the written
+    copy, so that a key that much of the batch shares is spread like any other.
+
+    The batch is written once and read back by ``spark``: a stateful stream runs its micro-batches in a session of
+    its own without AQE, and what is done with the rows needs neither its state nor its fixed partitions."""
+    copy = shared_dir(spark, "batch")
+    batch = batch.withColumn("_row", F.monotonically_increasing_id())
+    batch.write.mode("overwrite").parquet(copy)
+    placed = spark.read.schema(batch.schema).parquet(copy)
+    order = F.when(~F.col("_new"), F.coalesce("request_id", F.lit(LAST_ID)))
+    least = (placed.where("_reason IS NULL").groupBy(key).agg(F.bool_or("_new").alias("_taken"), F.min_by("_row", order).alias("_row"))
+             .where("_taken").select("_row"))
+    rows = placed.where("NOT _new").drop("_new")
+    marked = rows.join(least.withColumn("_first", F.lit(True)), "_row", "left")
+    marked, seen = write_counted(marked.withColumn("_first", F.coalesce("_first", F.lit(False))).drop("_row"), "firsts",
+                                 firsts=F.count_if("_first"))
+    return marked.where("_first").drop("_first"), marked.where("NOT _first").drop("_first"), seen["firsts"]
 
 
 def settle_stream(spark: SparkSession, stream: DataFrame, bills: DataFrame, customers: DataFrame, payments: DataFrame,
@@ -222,21 +204,20 @@ def settle_stream(spark: SparkSession, stream: DataFrame, bills: DataFrame, cust
     """
     b = C._billed(bills)
     rows = stream.withColumnRenamed("callback_id", "request_id").join(b, F.col("bill_id") == b["_bid"], "left")
-    flagged = first_by_state(rows.withColumn("_reason", C.callback_reason(secret)), F.col("payment_id"))
+    keyed = with_new_keys(rows.withColumn("_reason", C.callback_reason(secret)), "payment_id")
 
     def batch(df: DataFrame, batch_id: int):
         before = _greatest_id(spark, root, batch_id, payments)
-        df = C.materialize(df)
-        n = C.batch_rows(df)
-        ch = C.settle_firsts(bills, customers, payments, df.where("_first"), n, before)
-        rest = df.where("NOT _first").select(F.lit("payment_callbacks").alias("table_name"), "request_id",
-                                             F.coalesce("_reason", F.lit(C.R_DUPLICATE)).alias("reason"))
+        first, rest, n = split_new(spark, df, "payment_id")
+        ch = C.settle_firsts(bills, customers, payments, first, n, before)
+        rest = rest.select(F.lit("payment_callbacks").alias("table_name"), "request_id",
+                           F.coalesce("_reason", F.lit(C.R_DUPLICATE)).alias("reason"))
         ch.rejects = ch.rejects.unionByName(rest)
         out = f"{root}/out/batch_id={batch_id}"
         ch.report().write.mode("overwrite").parquet(out)
         _keep_greatest_id(spark.read.parquet(out).where("table_name = 'payments' AND action = 'insert'"), root, batch_id, before)
 
-    _run(flagged.writeStream.foreachBatch(batch), f"{root}/checkpoint")
+    _run(keyed.writeStream.foreachBatch(batch), f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/out").drop("batch_id")
 
 

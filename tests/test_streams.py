@@ -170,3 +170,24 @@ def test_rate_windows_of_no_requests(spark, book):
 
 def test_rate_windows_batch_counts_all(spark, book):
     assert sum(r.requests for r in ST.rate_windows_batch(book.access_log).collect()) == book.access_log.count()
+
+
+def test_callbacks_keep_their_rows_out_of_python_and_state(spark, tmp_path):
+    """Repeated rows and ids: one of each new key is first, the rest are duplicates, and the state is of keys alone."""
+    def frame(rows):
+        return spark.createDataFrame(rows, "request_id long, payment_id string, _reason string")
+    keyed = ST.with_new_keys(frame([(1, "a", None)]), "payment_id")
+    assert "Pandas" not in keyed._jdf.queryExecution().toString()
+    folder, got = f"{tmp_path}/in", []
+    for rows in ([(4, "a", None), (3, "a", None), (3, "a", None), (2, "a", "bad"), (9, None, "bad"), (5, "b", "bad")],
+                 [(1, "a", None), (6, "b", None), (7, "b", None), (None, "c", None)]):
+        frame(rows).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(frame([]).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+    def batch(df, batch_id):
+        first, rest, n = ST.split_new(spark, df, "payment_id")
+        got.append((sorted(map(tuple, first.collect()), key=str), sorted(map(tuple, rest.collect()), key=str), n))
+    ST._run(ST.with_new_keys(stream, "payment_id").writeStream.foreachBatch(batch), f"{tmp_path}/checkpoint")
+    assert got == [
+        ([(3, "a", None)], [(2, "a", "bad"), (3, "a", None), (4, "a", None), (5, "b", "bad"), (9, None, "bad")], 1),
+        ([(6, "b", None), (None, "c", None)], [(1, "a", None), (7, "b", None)], 2)]
