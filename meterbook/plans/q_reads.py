@@ -13,7 +13,7 @@ from ..operators import joins as J
 from ..operators import windows as W
 from ..sources.fixtures import AS_OF, SEED_CUSTOMER, SEED_USAGE_GB, SEED_USERS, Book
 from ..sources.schema import CUSTOMER_STATUSES, NOTIFY_TYPES, ROLES, TICKET_STATUSES, UNIQUE_KEYS
-from ..sources.tables import enforce, quarantine, seed_tables
+from ..sources.tables import enforce, judged, seed_tables
 from .registry import query
 
 
@@ -115,8 +115,7 @@ def _quarantine_sql() -> str:
 def q_schema_enforce(spark, d):
     """Line items given as text brought to their table's columns (casts, defaults, creation time); values that do not
     fit, or are missing, as rejects with column and reason."""
-    rows, rejects = quarantine(Book(spark, d).raw_items, "bill_items", "id", F.lit(RUN_AT).cast("timestamp_ntz"))
-    return rows.unionByName(rejects.withColumnRenamed("id", "source_id"), allowMissingColumns=True)
+    return judged(Book(spark, d).raw_items, "bill_items", "id", F.lit(RUN_AT).cast("timestamp_ntz"), "source_id")
 
 
 # ------------------------------------------------- 2.2 projections / filters

@@ -137,25 +137,44 @@ def enforce(df: DataFrame, name: str, now: Column | None = None) -> DataFrame:
     return df.select(*[_filled(_cast(df, f), name, f, now).alias(f.name) for f in _declared(name, now)])
 
 
-def quarantine(df: DataFrame, name: str, key: str, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """schema_enforce for input that is not trusted: (rows, rejects).
+def judged(df: DataFrame, name: str, key: str, now: Column | None = None, key_out: str = "source_key") -> DataFrame:
+    """schema_enforce for input that is not trusted, rows and rejects in one frame and one pass over ``df``.
 
-    ``rows`` are brought to the declared columns as by ``enforce``. A row with a
-    value that does not fit its column's type, or without one that the table
-    requires and has no default for, is held back as a whole; ``rejects`` has
-    a row for each such value: ``key`` as text, column_name, value as text, reason.
+    A row that fits has its declared columns, as by ``enforce``, and NULL in ``key_out``, column_name, value and reason.
+    A row with a value that does not fit its column's type, or without one that the table requires and has no
+    default for, is held back as a whole; for each such value there is a row with ``key`` as text, column_name, value
+    as text and reason, and NULL in the declared columns.
     """
     fields = _declared(name, now)
-    faults = []
-    for f in fields:
-        given = F.col(f.name).cast("string") if f.name in df.columns else F.lit(None).cast("string")
-        cast = _cast(df, f)
-        misfit = given.isNotNull() & cast.isNull()
-        absent = given.isNull() & _filled(cast, name, f, now).isNull() if not f.nullable else F.lit(False)
-        reason = F.when(misfit, F.lit(f"{NOT_A}{f.dataType.simpleString()}")).when(absent, F.lit(ABSENT))
-        faults.append(F.when(reason.isNotNull(), F.struct(F.lit(f.name).alias("column_name"), given.alias("value"),
-                                                          reason.alias("reason"))))
-    tagged = df.withColumn("_faults", F.array_compact(F.array(*faults)))
-    rows = enforce(tagged.filter(F.size("_faults") == 0), name, now)
-    rejects = tagged.filter(F.size("_faults") > 0).select(F.col(key).cast("string").alias(key), F.inline("_faults"))
-    return rows, rejects
+    given, cast = [f"_given_{f.name}" for f in fields], [f"_cast_{f.name}" for f in fields]
+    typed = df.select(F.col(key).cast("string").alias("_key"), *[
+        x for f, g, c in zip(fields, given, cast, strict=True)
+        for x in ((F.col(f.name).cast("string") if f.name in df.columns else F.lit(None).cast("string")).alias(g),
+                  _cast(df, f).alias(c))])
+    reasons = []
+    for f, g, c in zip(fields, given, cast, strict=True):
+        absent = F.col(g).isNull() & _filled(F.col(c), name, f, now).isNull() if not f.nullable else F.lit(False)
+        reasons.append(F.when(F.col(g).isNotNull() & F.col(c).isNull(), F.lit(f"{NOT_A}{f.dataType.simpleString()}"))
+                       .when(absent, F.lit(ABSENT)).alias(f"_reason_{f.name}"))
+    told = typed.select("*", *reasons)
+    why = [F.col(f"_reason_{f.name}") for f in fields]
+    fits = F.coalesce(*why).isNull()
+
+    def outcome(columns: list[Column], *reject: Column) -> Column:
+        return F.struct(*[x.alias(f.name) for x, f in zip(columns, fields, strict=True)],
+                        *[x.cast("string").alias(n) for x, n in zip(reject, (key_out, "column_name", "value", "reason"), strict=True)])
+
+    none = F.lit(None)
+    blank = [none.cast(f.dataType) for f in fields]
+    parts = [F.when(fits, outcome([_filled(F.col(c), name, f, now) for f, c in zip(fields, cast, strict=True)], none, none, none, none))]
+    parts += [F.when(w.isNotNull(), outcome(blank, F.col("_key"), F.lit(f.name), F.col(g), w))
+              for f, g, w in zip(fields, given, why, strict=True)]
+    return told.select(F.explode(F.array(*parts)).alias("_o")).where("_o IS NOT NULL").select("_o.*")
+
+
+def quarantine(df: DataFrame, name: str, key: str, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """``judged`` as two frames, each from a pass of its own: (rows, rejects). ``rejects`` has ``key`` as text,
+    column_name, value, reason."""
+    every = judged(df, name, key, now, "_source")
+    rows = every.where("reason IS NULL").select(*[f.name for f in _declared(name, now)])
+    return rows, every.where("reason IS NOT NULL").select(F.col("_source").alias(key), "column_name", "value", "reason")

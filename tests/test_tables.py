@@ -69,6 +69,14 @@ def test_quarantine_holds_back_what_does_not_fit(spark):
     assert quarantine(raw.limit(0), "bill_items", "id")[0].count() == 0
 
 
+def test_rows_and_rejects_come_from_one_pass(spark):
+    df = load_all()["q_schema_enforce"].build(spark, SMALL)
+    plan = plan_of(df)
+    # The line items' requests are derived once: a union of two parts, grouped once.
+    assert plan.count("Union") == 1 and "Generate explode" in plan
+    assert df.where("reason IS NULL AND source_id IS NULL").count() and df.where("reason IS NOT NULL AND id IS NULL").count()
+
+
 def test_orphans_of_all_keys_with_three_anti_joins(spark, book):
     df = load_all()["q_fk_check"].build(spark, SMALL)
     assert plan_of(df).count("LeftAnti") == 3
