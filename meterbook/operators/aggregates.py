@@ -10,6 +10,7 @@ from ..functions.exprs import SUBSCRIPTION_LINE
 
 ITEM_SUMMARY_SEP = ", "
 SEGMENT_ITEMS = 10_000         # items in one text; more are listed in further segments
+BUFFER_ITEMS = 1_000           # items of a bill that one task may hold to cut them into smaller segments
 
 
 def item_summary(items: DataFrame, segment_items: int = SEGMENT_ITEMS) -> DataFrame:
@@ -19,11 +20,12 @@ def item_summary(items: DataFrame, segment_items: int = SEGMENT_ITEMS) -> DataFr
     (bill_id, segment, item_count, item_summary): segment 0 holds the first
     ``segment_items`` descriptions, segment 1 the next, and so on;
     ``item_count`` is the whole bill's. The texts of a bill's segments, joined
-    with the separator, are its full list. No bill is ever one buffer: bills
-    that fit a segment are concatenated as they are; the items of larger ones
-    are numbered across all tasks (``number_rows``), and an item's segment is
-    its place in the bill divided by the size. Items without a bill are the
-    group NULL, as in SQL.
+    with the separator, are its full list. No bill of more than ``BUFFER_ITEMS``
+    items (or of a segment's, if that is more) is ever one buffer: smaller
+    bills are concatenated, or cut into segments, as they are; the items of
+    larger ones are numbered across all tasks (``number_rows``), and an item's
+    segment is its place in the bill divided by the size. Items without a bill
+    are the group NULL, as in SQL.
     """
     from ..session import write_through
     from .joins import fits_broadcast
@@ -35,15 +37,30 @@ def item_summary(items: DataFrame, segment_items: int = SEGMENT_ITEMS) -> DataFr
             F.expr(f"listagg(description, '{ITEM_SUMMARY_SEP}') WITHIN GROUP (ORDER BY id, description)")
             .alias("item_summary"))
 
+    whole = F.lit(0).cast("long").alias("segment")
+
+    def together(df: DataFrame) -> DataFrame:
+        """Bills that are no more than one buffer each."""
+        if segment_items >= BUFFER_ITEMS:
+            return concat(df, "bill_id").select("bill_id", whole, "item_count", "item_summary")
+        listed = df.groupBy("bill_id").agg(F.count(F.lit(1)).alias("item_count"),
+                                           F.sort_array(F.collect_list(F.struct("id", "description"))).alias("_all"))
+        # The places stay with their bill's task, so the segments are grouped without another shuffle.
+        placed = (listed.select("bill_id", "item_count", F.posexplode_outer("_all").alias("_at", "_one"))
+                  .withColumn("segment", F.expr(f"cast(_at div {int(segment_items)} as bigint)"))
+                  .select("bill_id", "segment", "item_count", "_one.id", "_one.description"))
+        cut = placed.groupBy("bill_id", "segment").agg(F.first("item_count").alias("item_count"), F.expr(
+            f"listagg(description, '{ITEM_SUMMARY_SEP}') WITHIN GROUP (ORDER BY id, description)").alias("item_summary"))
+        return cut.select("bill_id", "segment", "item_count", "item_summary")
+
     large = write_through(items.groupBy(F.col("bill_id").alias("_lb")).agg(F.count(F.lit(1)).alias("_n"))
-                          .filter(F.col("_n") > segment_items), "large-bills")
+                          .filter(F.col("_n") > max(segment_items, BUFFER_ITEMS)), "large-bills")
     n = large.count()
-    whole = F.lit(0).cast("long").alias("segment")
     if not n:
-        return concat(items, "bill_id").select("bill_id", whole, "item_count", "item_summary")
+        return together(items)
     keys = F.broadcast(large) if fits_broadcast(n) else large
     of_large = F.col("bill_id").eqNullSafe(F.col("_lb"))
-    small = concat(items.join(keys, of_large, "left_anti"), "bill_id").select("bill_id", whole, "item_count", "item_summary")
+    small = together(items.join(keys, of_large, "left_anti"))
     numbered = number_rows(items.select("bill_id", "id", "description").join(keys, of_large, "left_semi"),
                            ["bill_id", "id", "description"], "_nth")
     firsts = write_through(numbered.groupBy(F.col("bill_id").alias("_fb")).agg(

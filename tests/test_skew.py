@@ -151,6 +151,22 @@ def test_segments_are_the_only_buffers(spark):
     assert "Window" not in plan.split("listagg")[0].split("ObjectHashAggregate")[-1]
 
 
+def test_bills_of_several_segments_are_cut_without_numbering_all_items(spark, monkeypatch):
+    """Ordinary bills above the segment size are neither sorted as a whole nor written; one shuffle beside the count's."""
+    import meterbook.operators.windows as module
+    monkeypatch.setattr(module, "number_rows", lambda *a, **k: 1 / 0)
+    rows = [(i, i % 3 or None, None if i in (1, 4, 7, 6) else f"d{i % 2}", Decimal(1), "x") for i in range(1, 16)] * 2
+    df = A.item_summary(spark.createDataFrame(rows, hot_items(spark).schema), 3)
+    assert plan_of(df).count("Exchange hashpartitioning") == 1
+    want = set()
+    for bill in (1, 2, None):
+        mine = sorted((i, d or "") for i, b, d, *_ in rows if b == bill)
+        for k in range(0, len(mine), 3):
+            texts = [d for _, d in mine[k:k + 3] if d]
+            want.add((bill, k // 3, len(mine), ", ".join(texts) if texts else None))
+    assert {tuple(r) for r in df.collect()} == want and df.count() == len(want) and any(w[3] is None for w in want)
+
+
 def test_hot_request_key_is_never_joined_alone(spark):
     req = spark.range(N).select(
         F.col("id").alias("request_id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("key"),
