@@ -77,6 +77,18 @@ def test_rows_and_rejects_come_from_one_pass(spark):
     assert df.where("reason IS NULL AND source_id IS NULL").count() and df.where("reason IS NOT NULL AND id IS NULL").count()
 
 
+def test_requests_are_grouped_in_tasks_of_bounded_size(spark, monkeypatch):
+    from meterbook.sources import fixtures
+    monkeypatch.setattr(fixtures, "GROUP_ROWS", 400)
+    book = fixtures.Book(spark, SMALL)
+    tasks = -(-book.raw("lineitem").count() // 400)
+    for name in ("q_flt_positive", "q_fn_paise"):
+        plan = plan_of(load_all()[name].build(spark, SMALL))
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(l_orderkey" in line and "l_linenumber" in line]
+        assert len(dealt) == 1 and f", {tasks})" in dealt[0] and "REPARTITION_BY_NUM" in dealt[0]
+        assert "HashAggregate" not in plan.split(dealt[0])[1].split("Exchange")[0]
+
+
 def test_orphans_of_all_keys_with_three_anti_joins(spark, book):
     df = load_all()["q_fk_check"].build(spark, SMALL)
     assert plan_of(df).count("LeftAnti") == 3
